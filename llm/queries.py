@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, quality
+from . import bpe, chat, exact_dedup, line_dedup, lm, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op3_source_mixing": mixing.op3_source_mixing,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_lm_scoring": lm.op5_lm_scoring,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_quality_rules": quality.op8_quality_rules,
@@ -16,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_line_dedup": line_dedup.ORACLE_SQL,
         "op7_chat_formatting": chat.ORACLE_SQL,
         "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     }
