@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, line_dedup, lm, mixing, quality
+from . import bpe, chat, exact_dedup, line_dedup, lm, mixing, quality, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_lm_scoring": lm.op5_lm_scoring,
