@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, line_dedup, lm, mixing, quality, substring_dedup
+from . import bpe, chat, exact_dedup, html_text, jaccard_join, line_dedup, lm, mixing, quality, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_html_extraction": html_text.op2_html_extraction,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_lm_scoring": lm.op5_lm_scoring,
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
