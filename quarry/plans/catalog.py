@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search
+from . import evidence, search
 
-QUERIES = dict(search.QUERIES)
-SQL = dict(search.SQL)
+QUERIES = {**search.QUERIES, **evidence.QUERIES}
+SQL = {**search.SQL, **evidence.SQL}
