@@ -11,8 +11,9 @@ an anchor form its span, the longest text around the anchor that its windows rea
    before this step, so a passage may be in any share of the documents.
 3. Matched windows are united per document into maximal runs; their words are removed.
 
-Anchors that are frequent in a sample of documents are dealt out by document and joined through
-aggregates instead, which balances the work and changes no result.
+Anchors that a sample of documents says are in very many are dealt out by document into groups of
+about GROUP rows; the first document of each span in each group meets the other groups' through an
+aggregate. This balances the work and changes no result.
 
 Words are `[^\\x20\\x09-\\x0D]+`; windows and spans are compared by 64-bit hashes next to the
 anchor's own. Nulls, empty texts and texts under LENGTH words have no window and lose nothing.
@@ -39,10 +40,10 @@ from .words import U, Words, chunks, mix, ngrams, split_words, text_bytes, word_
 LENGTH, ANCHOR = 13, 4
 #: Anchors of a window.
 CHOICE = LENGTH - ANCHOR + 1
-#: One document in SAMPLE is looked at for frequent anchors: those in FREQUENT of them or more, at most MAX_FREQUENT.
-SAMPLE, FREQUENT, MAX_FREQUENT = 64, 1 / 2000, 1 << 18
-#: Parts that the documents of a frequent anchor are dealt into.
-SALT = 1024
+#: One document in SAMPLE is looked at for frequent anchors, of which at most MAX_FREQUENT are dealt out.
+SAMPLE, MAX_FREQUENT = 64, 1 << 18
+#: Rows of an anchor that one task is given.
+GROUP = 100_000
 
 
 class Spans(NamedTuple):
@@ -108,19 +109,23 @@ def spans(texts: pa.Array) -> Spans:
 
 def _seeds(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = frequent.value
+        hot, groups = frequent.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b in chunks(batch.column(1)):
                 s = spans(batch.column(1).slice(a, b - a))
-                anchor = s.anchor.view(np.int64)
-                often = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor if len(hot) else np.zeros(len(anchor), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(s.span.view(np.int64)), pa.array(ids[a:b][s.row]), pa.array(often)], ["anchor", "span", "doc_id", "often"])
+                anchor, doc = s.anchor.view(np.int64), ids[a:b][s.row]
+                salt = np.zeros(len(anchor), np.int32)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                    often = np.flatnonzero(hot[at] == anchor)
+                    salt[often] = 1 + mix(doc[often].view(U)) % groups[at[often]].astype(U)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(s.span.view(np.int64)), pa.array(doc), pa.array(salt)], ["anchor", "span", "doc_id", "salt"])
 
     return run
 
 
-SEED = "anchor long, span long, doc_id long, often boolean"
+SEED = "anchor long, span long, doc_id long, salt int"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,23 +181,23 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(lost), pa.array(digest), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def frequent_anchors(docs: DataFrame) -> np.ndarray:
-    """Sorted anchors that many sampled documents have. Only how work is dealt out depends on them."""
-    none = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64))
+def frequent_anchors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of more than GROUP rows by a sample, sorted, and the groups to deal each into. Only how work is dealt out depends on them."""
+    none = docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    least = max(6, sample.count() * FREQUENT)
-    found = sample.mapInArrow(_seeds(none), SEED).groupBy("anchor").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r.anchor for r in found.orderBy(F.desc("n"), "anchor").limit(MAX_FREQUENT).select("anchor").toLocalIterator()], np.int64))
+    found = sample.mapInArrow(_seeds(none), SEED).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > GROUP)
+    rows = sorted((r.anchor, -(-r.n * SAMPLE // GROUP)) for r in found.orderBy(F.desc("n"), "anchor").limit(MAX_FREQUENT).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
 def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, cover array<struct<span, mask>>): for each document with repeats, the spans and which windows of them a smaller doc_id has."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs))
-    seeds = docs.mapInArrow(_seeds(frequent), SEED).withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT))).otherwise(0))
+    seeds = docs.mapInArrow(_seeds(frequent), SEED)
     fine, group = W.partitionBy("anchor", "salt", "span"), W.partitionBy("anchor", "salt")
     met = seeds.repartition("anchor", "salt").withColumn("first", F.min("doc_id").over(fine))
     met = met.withColumns({"low": F.min("doc_id").over(group), "high": F.max("doc_id").over(group), "alike": F.min("span").over(group) == F.max("span").over(group)})
-    kind = F.when(F.col("often"), 2).when(F.col("low") == F.col("high"), -1).when(F.col("first") < F.col("doc_id"), 0).when(~F.col("alike"), 1).otherwise(-1)
+    kind = F.when(F.col("first") < F.col("doc_id"), 0).when(F.col("salt") > 0, 2).when((F.col("low") < F.col("high")) & ~F.col("alike"), 1).otherwise(-1)
     met = materialise(met.withColumn("kind", kind).where("kind >= 0").select("anchor", "span", "doc_id", "kind"))
 
     often = met.where("kind = 2")
