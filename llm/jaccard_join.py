@@ -8,8 +8,8 @@ copy each document into each region. Regions are therefore seeded first, without
 
 1. Equal sets collapse into one node, whatever number of documents has them.
 2. Linked sets share shingles among the first of each set in any one order; the order takes long
-   shingles first and shingles frequent in a sample last. Sets that meet on a shingle of at most
-   CAP sets are paired. For pairs whose common shingles are all more frequent than that, sets are
+   shingles first and shingles frequent in a sample last. Sets that meet on as many shingles of at
+   most CAP sets each as linked ones must are paired. For pairs whose common shingles are all more frequent than that, sets are
    split into more hash classes than a linked pair can differ in; equal classes meet by aggregation.
 3. Counts by hash class are a contraction of the metric: pairs whose counts are too far apart to
    be linked go. Connected candidates form a region.
@@ -141,22 +141,20 @@ def _first_shingles(frequent):
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of small groups, the pairs whose sizes allow a link."""
+    """Of small groups, the pairs whose sizes allow a link, and how many named shingles a linked pair shares at least."""
     for batch in batches:
-        who, n = batch.column(0), batch.column(1)
+        who = batch.column(0)
         size = pa.compute.list_value_length(who).to_numpy()
         begin = np.cumsum(size) - size
-        a, n = who.flatten().to_numpy(), n.flatten().to_numpy()
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, n, hot = (who.flatten().field(c).to_numpy() for c in ("a", "n", "hot"))
         for k in np.unique(size):
             i, j = np.triu_indices(k, 1)
             at = begin[size == k][:, None]
             x, y = (at + i).ravel(), (at + j).ravel()
             fine = PERCENT * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])
-            left.append(np.minimum(a[x], a[y])[fine])
-            right.append(np.maximum(a[x], a[y])[fine])
-        pair = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["x", "y"])
+            x, y = x[fine], y[fine]
+            need = np.minimum(1 + slack(np.minimum(n[x], n[y])), least_common(np.maximum(n[x], n[y]))) - np.minimum(hot[x], hot[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], a[y])), pa.array(np.maximum(a[x], a[y])), pa.array(need)], ["x", "y", "need"])
 
 
 def most_apart(n):
@@ -203,9 +201,10 @@ def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray
     k = len(n)
     item = np.unique(g, return_inverse=True)[1]
     often = np.bincount(item)
-    use = first[n > 0]
+    order = np.argsort(item, kind="stable")
+    holders, begin = np.repeat(np.arange(k), n)[order], np.cumsum(often) - often
     central = np.zeros(k)
-    if len(use):
+    if len(use := first[n > 0]):
         central[n > 0] = np.add.reduceat(often[item], use) / n[n > 0]
     label, links, base = np.arange(k), [], None
     for q in sorted(range(k) if queries is None else queries.tolist(), key=lambda i: -central[i]):
@@ -214,10 +213,9 @@ def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray
             other &= np.abs(base - base[q]) <= 1 - PERCENT / 100 + 1e-9
         if not n[q] or not other.any():
             continue
-        mark = np.zeros(len(often), np.int64)
-        mark[item[first[q] : first[q] + n[q]]] = 1
-        common = np.zeros(k, np.int64)
-        common[n > 0] = np.add.reduceat(mark[item], use)
+        mine = item[first[q] : first[q] + n[q]]
+        size = often[mine]
+        common = np.bincount(holders[np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=k)
         union = n + n[q] - common
         if base is None:
             base = 1 - common / np.maximum(union, 1)
@@ -242,13 +240,15 @@ def candidates(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.mapInArrow(_first_shingles(frequent), "g long, a long, n long, hot long").repartition("g").distinct()
     met = rows.withColumn("sets", F.count("*").over(W.partitionBy("g")))
     met = materialise(met.where("sets > 1 OR hot > 0"))
-    small = met.where(f"hot = 0 AND sets <= {CAP}").groupBy("g").agg(F.collect_list("a").alias("who"), F.collect_list("n").alias("n")).select("who", "n")
-    pairs = small.mapInArrow(_pairs, "x long, y long").distinct()
+    often = F.when(F.col("hot") > 0, F.col("hot")).otherwise(1)
+    hot = materialise(met.where(f"hot > 0 OR sets > {CAP}").groupBy("a", "n").agg(F.sum(often).alias("hot")))
+    small = met.where(f"hot = 0 AND sets <= {CAP}").select("g", "a", "n").join(hot.select("a", F.col("hot").alias("_hot")), "a", "left")
+    small = small.groupBy("g").agg(F.collect_list(F.struct("a", "n", F.coalesce("_hot", F.lit(0)).alias("hot"))).alias("who")).select("who")
+    pairs = small.mapInArrow(_pairs, "x long, y long, need long").groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y")
     counts = keys.groupBy("a").agg(F.first("counts").alias("counts"))
     pairs = pairs.join(counts.withColumnsRenamed({"a": "x", "counts": "cx"}), "x").join(counts.withColumnsRenamed({"a": "y", "counts": "cy"}), "y")
     near = pairs.select("x", "y", "cx", "cy").mapInArrow(_near, "x long, y long")
 
-    hot = met.where(f"hot > 0 OR sets > {CAP}").groupBy("a", "n").agg(F.sum(F.when(F.col("hot") > 0, F.col("hot")).otherwise(1)).alias("hot"))
     common = F.ceil(F.col("n") * PERCENT / F.lit(100))
     hot = hot.where(F.col("hot") > F.least(F.floor(common / 64) + 2, common - 1)).select("a")
     return materialise(near), hot
