@@ -51,25 +51,33 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """docs with `text` (and `n_chars`, where there is one) after removal, and the further columns n_lines and n_removed."""
+    """docs with `text` (and `n_chars`, where there is one) after removal, and the further columns line_count and lines_removed."""
     lines = lines_of(docs)
-    hits = lines.join(boilerplate(lines, min_sites), ["a", "b"]).groupBy("doc_id").agg(F.collect_set(F.struct("at", "chars")).alias("_hits"))
+    hits = lines.join(boilerplate(lines, min_sites), ["a", "b"]).groupBy(F.col("doc_id").alias("_line_id")).agg(F.collect_set(F.struct("at", "chars")).alias("_line_hits"))
     cut = F.split(F.coalesce("text", F.lit("")), "\n")
     full = F.filter(cut, lambda x: ~_blank(x))
-    both = docs.join(hits.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    lost = F.aggregate("_hits", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
+    both = docs.join(hits, docs["doc_id"] == F.col("_line_id"), "left").drop("_line_id")
+    lost = F.aggregate("_line_hits", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
     total = F.aggregate(full, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    both = both.withColumn("_at", F.when(lost <= max_share * total, F.transform("_hits", lambda x: x["at"])))
-    kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_at", i)), "\n")
-    out = both.withColumns({"text": F.when(F.col("_at").isNotNull(), kept).otherwise(F.col("text")), "n_lines": F.size(full).cast("long"), "n_removed": F.coalesce(F.size("_at"), F.lit(0)).cast("long")})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_at").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("_hits", "_at")
+    both = both.withColumn("_line_at", F.when(lost <= max_share * total, F.transform("_line_hits", lambda x: x["at"])))
+    kept = F.when(F.col("_line_at").isNotNull(), F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_line_at", i)), "\n")).otherwise(F.col("text"))
+    new = {"text": kept, "n_chars": F.when(F.col("_line_at").isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return both.select(
+        *[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns],
+        F.size(full).cast("long").alias("line_count"),
+        F.coalesce(F.size("_line_at"), F.lit(0)).cast("long").alias("lines_removed"),
+    )
+
+
+def without_boilerplate(docs: DataFrame) -> DataFrame:
+    """docs, cut, with its own columns only."""
+    out = line_dedup(docs)
+    return out.toDF(*docs.columns, "_line_count", "_lines_removed").drop("_line_count", "_lines_removed")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return line_dedup(docs).select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 ORACLE_SQL = r"""

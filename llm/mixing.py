@@ -11,7 +11,7 @@ sample of labelled rows bounded by MAX_LABELLED, and at most MAX_FEATURES words
 Everything else covers all documents. Unlabelled documents are scored like labelled ones; null
 and empty texts have no words: they have the prior's posteriors and count for 0 tokens. Rows
 that repeat a doc_id are scored once for each row by their joint words. Without labels every
-document has the same posteriors.
+document counts as clean.
 Built from DataFrame functions alone.
 """
 
@@ -57,7 +57,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = found.where(F.col("most") > MIN_RATIO * F.col("all")).orderBy(F.desc(F.col("most") / F.col("all")), "word").limit(MAX_FEATURES).drop("most", "all")
     found = materialise(found)
     absent = found.agg(*[F.sum(F.log1p(-F.col(f"w{i}"))).alias(f"w{i}") for i in k]).first()
-    prior = [math.log((n + 1) / (every + len(DOMAINS))) + (absent[i] or 0.0) for i, n in enumerate(size)]
+    prior = [math.log((n + (1e-3 if i else 1.0)) / (every + 1)) + (absent[i] or 0.0) for i, n in enumerate(size)]
     found = found.select("word", *[(F.log(f"w{i}") - F.log1p(-F.col(f"w{i}"))).alias(f"w{i}") for i in k])
     return found.union(docs.sparkSession.range(1).select(F.lit(None).cast("string"), *[F.lit(float(x)) for x in prior]))
 
@@ -119,9 +119,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
 
 def resample(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs, each row as often as its copies say."""
-    copies = mix(docs, labels, targets).select(F.col("doc_id").alias("_id"), "copies").distinct()
-    out = docs.join(copies, F.col("doc_id") == F.col("_id")).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    copies = mix(docs, labels, targets).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).distinct()
+    out = docs.join(copies, docs["doc_id"] == F.col("_mix_id")).where("_mix_copies > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:

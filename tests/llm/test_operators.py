@@ -1,0 +1,301 @@
+"""The corpus operators against brute force: nulls, empty and long texts, ties, repeats, empty tables, further columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from llm import bpe, chat, exact_dedup, html_text, jaccard_join, line_dedup, lm, mixing, quality, substring_dedup
+from llm.tables import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, span long, word string, n long"
+rnd = random.Random(7)
+VOCABULARY = ["w" + "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 9))) for _ in range(400)]
+
+
+def words(n):
+    return [rnd.choice(VOCABULARY) for _ in range(n)]
+
+
+def corpus():
+    passage = words(60)
+    base = words(300)
+    texts = [None, "", "  \n\t", "one", "two words", "three of them", "a\x0bb\x1cc", "É é ÉÀ", " ".join(["same"] * 90)]
+    texts += [" ".join(words(rnd.randrange(1, 120))) for _ in range(30)]
+    texts += [" ".join(words(40) + passage + words(30)) for _ in range(12)]
+    for _ in range(25):
+        near = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            near[rnd.randrange(len(near))] = rnd.choice(VOCABULARY)
+        texts.append(" ".join(near))
+    texts += ["copy of " + " ".join(base[:50])] * 15 + ["copy  of " + " ".join(base[:50])] * 3
+    texts += ["Line one is here for all\n" + " ".join(words(25)) + f"\nown {i}\n\nLine one is here for all" for i in range(14)]
+    texts += ["Mixed CASE " + t for t in texts[20:24]] + [" ".join(words(6000)) for _ in range(2)] + ["x" * 20000, "idiot scum " * 3 + " ".join(words(30))]
+    return [(i * 3, t, "en", None if i % 11 == 0 else f"s{i % 13}", len(t or ""), i, "w", i) for i, t in enumerate(texts)]
+
+
+ROWS = corpus()
+TEXTS = {r[0]: r[1] or "" for r in ROWS}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def kept_after_substrings():
+    first, out = {}, {}
+    for i in sorted(TEXTS):
+        w = split(TEXTS[i])
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first.setdefault(tuple(w[k : k + 13]), i) < i:
+                gone[k : k + 13] = [True] * 13
+        out[i] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("group", [None, 4])
+def test_substring_dedup(docs, empty, monkeypatch, group):
+    if group:  # frequent anchors are dealt out
+        monkeypatch.setattr(substring_dedup, "GROUP", group)
+        monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == kept_after_substrings()
+    if not group:
+        assert substring_dedup.substring_dedup(empty).collect() == []
+
+
+def test_substring_dedup_repeated_and_null_ids(spark):
+    text = " ".join(words(30))
+    rows = substring_dedup.substring_dedup(spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.n_removed) for r in rows) == [(0, 0), (1, 0), (1, 0), (2, 30)]
+
+
+def test_winnow_is_the_leftmost_minimum():
+    g = np.random.default_rng(1).integers(0, 40, 300).astype(np.uint64) << np.uint64(4)
+    assert substring_dedup.winnow(g, 10).tolist() == [i + int(np.argmin(g[i : i + 10])) for i in range(291)]
+
+
+def test_exact_dedup(docs, empty):
+    groups = collections.defaultdict(list)
+    for i, t in TEXTS.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append(i)
+    want = {}
+    for text, ids in groups.items():
+        keep = min(ids, key=lambda i: (-len(TEXTS[i]), i))
+        want |= {i: (keep, len(ids), i == keep, sha(text)) for i in ids}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()} == want
+    small = {r.doc_id: r.group_id for r in exact_dedup.radix_groups(docs.select("doc_id", "text"), 2, 3).distinct().collect()}
+    assert small == {i: min(ids) for ids in groups.values() if len(ids) > 1 for i in ids}
+    assert exact_dedup.exact_dedup(empty).collect() == []
+
+
+def similar():
+    sets = {}
+    for i, t in TEXTS.items():
+        w = split(lower(t))
+        sets[i] = {tuple(w)} if 0 < len(w) < 4 else {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_join(docs, empty, monkeypatch, small):
+    if small:  # hot shingles, large regions
+        for name, value in (("CAP", 3), ("REGION", 4), ("PIVOTS", 1), ("SLICE", 2)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == similar()
+    if not small:
+        assert jaccard_join.jaccard_components(empty).collect() == []
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(5, 40), (1, 2), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {5: 5, **{i: 5 for i in range(10, 41)}, 1: 1, 2: 1}
+
+
+def test_quality(docs, empty):
+    got = {r.doc_id: r for r in quality.measure(docs).collect()}
+    for i, t in TEXTS.items():
+        w, seen, dup = split(t), set(), 0
+        for line in t.split("\n"):
+            if split(line):
+                dup += line in seen
+                seen.add(line)
+        count = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        inside = {j for k in range(len(w) - 7) if count[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        failed = len(w) < 20 or 100 * len(inside) > 30 * len(w)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(inside), failed)
+        assert not (failed and r.kept)
+    kept = quality.keep_rows(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert quality.measure(empty).collect() == []
+
+
+def test_line_dedup(docs, empty):
+    sites = collections.defaultdict(set)
+    for r in ROWS:
+        for line in (r[1] or "").split("\n"):
+            sites[line].add(r[3] or "")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs, 5).collect()}
+    removed = 0
+    for r in ROWS:
+        lines = (r[1] or "").split("\n")
+        full = [x for x in lines if split(x)]
+        gone = {x for x in full if len(sites[x]) >= 5}
+        if sum(len(x) for x in full if x in gone) > 0.5 * sum(map(len, full)):
+            gone = set()
+        want = "\n".join(x for x in lines if x not in gone) if gone else r[1]
+        removed += len(gone)
+        assert (got[r[0]].text, got[r[0]].lines_removed) == (want, sum(x in gone for x in full)), r[0]
+    assert removed and line_dedup.line_dedup(empty).collect() == []
+    assert line_dedup.without_boilerplate(docs.withColumn("line_count", F.lit("x"))).select("line_count").distinct().collect()[0][0] == "x"
+
+
+def test_mixing(spark, docs, empty):
+    bad = {i for i in range(400) if i % 8 in (0, 5)}
+    texts = [(i, " ".join(words(40)) + (" idiot scum" if i in bad else ""), i) for i in range(400)]
+    more = spark.createDataFrame(texts, "doc_id long, text string, copies long")
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mix(more, labels).collect()}
+    assert all((got[i].p_toxic > 0.5) == (i in bad) for i in got)  # half of them were never labelled
+    assert all(got[i].copies == 0 if i in bad else got[i].copies >= 1 for i in got)
+    expected = sum(r.rate * r.tokens * r.p_clean for r in got.values())
+    assert expected == pytest.approx(mixing.TARGETS[0] * sum(r.tokens * r.p_clean for r in got.values()), rel=0.01)
+    out = mixing.resample(more, labels)
+    assert out.columns == more.columns and out.count() == sum(r.copies for r in got.values())
+    none = labels.where("doc_id < 0")
+    assert {r.copies >= 1 for r in mixing.mix(docs, none).collect()} == {True}
+    assert mixing.mix(empty, labels).collect() == []
+
+
+def test_lm(docs, empty):
+    tokens = {i: [*split(lower(t)), None] for i, t in TEXTS.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in TEXTS}
+    c = collections.Counter(x for i, ts in tokens.items() if not held[i] for x in ts)
+    n, v = sum(c.values()), len(c)
+    for r in lm.score(docs).collect():
+        ts = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ts), sum(c[x] > 0 for x in ts), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in ts))
+        assert r.score < 0
+    assert lm.score(empty).collect() == []
+
+
+def test_lm_tail_and_filter(docs, monkeypatch):
+    want = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "HEAD_TOKENS", 5)  # nearly all tokens meet their counts in the join
+    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()} == want
+    keys = np.random.default_rng(3).integers(0, 1 << 62, 2000).astype(np.uint64)
+    counts = np.random.default_rng(4).integers(1, 5000, 2000)
+    bits = np.zeros(lm.FILTER_WORDS, np.uint64)
+    for k, q in zip(keys, lm.level(counts)):
+        at, b = lm._slots(np.repeat(k, q), np.arange(1, q + 1))
+        np.bitwise_or.at(bits, at, b)
+    got = lm.lookup(bits, keys)
+    assert (got >= counts / lm.RATIO**1.01).all() and (np.abs(np.log(got / counts)) < np.log(lm.RATIO) * 1.01).mean() > 0.99
+    assert (lm.lookup(bits, keys + np.uint64(1)) > 0).mean() < 0.02
+
+
+def test_bpe(docs, empty):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers
+
+    c = bpe.coder()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    got = {r.doc_id: r for r in bpe.round_trip(docs).collect()}
+    for i, t in TEXTS.items():
+        ids = own.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(t))
+    for t in ["<|endoftext|>", "I'm 's 'T  \n x", "ab" * 700, "　日本語" * 40, "² ½ ٣", "é" * 90, "\x1c\x85 \xa0"]:
+        assert c.ids(t) == own.encode_ordinary(t) and c.decode(np.array(c.ids(t))).decode() == t
+    assert bpe.round_trip(empty).collect() == []
+    decoded = {r.doc_id: bytes(r.data).decode() for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert decoded == TEXTS
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, "system", "be [INST] kind \\", "x"), (1, 1, "user", "</s>[INST] ok [/INST]", "x"), (1, 2, "assistant", "<<SYS>>\\</s>", "x"),
+        (2, 5, "user", None, "x"), (2, 5, "user", "", "x"), (3, 1, "assistant", "first", "x"), (4, 0, "tool: a\\", " [/TURN] ", "x"), (4, 1, None, "é", "x"), (5, None, "user", "n", "x"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, valid string")
+    formatted = chat.format_conversations(df)
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((r[1] if r[1] is not None else -1), r[2] or "", r[3] or "") for r in rows if r[0] == conv)
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert got[conv].turns_sha256 == sha("".join(f"{role}\n{t}\n" for _, role, t in turns)) and got[conv].n_turns == len(turns)
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
+    assert {k: r.valid for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert chat.format_conversations(df.where("conv_id > 9")).collect() == []
+
+
+def test_html(spark):
+    page = (
+        '<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Menu</li></ul></nav><div class="cookie-notice">Notice<div>x</div></div>'
+        '<article><h1>Head &amp; tail&nbsp;x</h1><p>One <b>bold</b>\n two<br>three<p>Four<script>var t="</p>";</script><div class="ad">Buy</div><section id="comments"><p>me too</p></section></article>'
+        "<aside>side</aside><form><p>mail?</p></form><footer>&copy; f</footer></body></html>"
+    )
+    host = "http://h.example.com/"
+    plain = [f"<body><div>Start here or there or somewhere else</div><p>own text {i} of page</p>" for i in range(5)]
+    rows = [(0, host, page, 1), (1, None, None, 1), (2, host, "", 1), (0, host, page, 1)] + [(10 + i, host + str(i), p, 1) for i, p in enumerate(plain)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.main_text(df).collect())
+    article = "Head & tail x\nOne bold two three\nFour"
+    want = [(0, article, len(article))] * 2 + [(1, "", 0), (2, "", 0)] + [(10 + i, f"own text {i} of page", 18) for i in range(5)]
+    assert got == want
+    assert html_text.main_text(df.where("page_id > 99")).collect() == []
+    order, common = html_text.suffix_array(np.array([2, 1, 3, 1, 3, 1]))
+    assert order.tolist() == [5, 3, 1, 0, 4, 2] and common.tolist() == [0, 1, 3, 0, 0, 2]
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in ROWS[::2]], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, step, str(tmp_path))
+        assert after.columns == step.columns, name
+        step = after.cache()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in step.collect())
+    good = {r.doc_id for r in quality.measure(docs).collect() if r.kept}
+    label = similar()
+    assert {r.doc_id for r in out} <= good
+    assert not {i for i in good if label[i][1] == i} - {r.doc_id for r in out}
