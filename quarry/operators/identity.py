@@ -48,8 +48,10 @@ def revoke(manifest: DataFrame, locators: DataFrame, when: str) -> DataFrame:
 def remap(old: DataFrame, new: DataFrame) -> DataFrame:
     """(document_id, old_fingerprint, new_fingerprint) of rows changed by a rewrite, aligned by position; a missing partner raises."""
     both = old.withColumnRenamed("fingerprint", "old_fingerprint").join(new.withColumnRenamed("fingerprint", "new_fingerprint"), ["document_id", "position"], "full")
-    checked = F.when(F.col("old_fingerprint").isNull() | F.col("new_fingerprint").isNull(), F.raise_error(F.concat(F.lit("rewrite changed the number of units of "), "document_id")))
-    return both.where(F.coalesce(checked.cast("string"), F.lit("")) == "").where("old_fingerprint <> new_fingerprint").select("document_id", "old_fingerprint", "new_fingerprint")
+    lone = both.where("old_fingerprint IS NULL OR new_fingerprint IS NULL").select("document_id").first()
+    if lone:
+        raise ValueError(f"rewrite changed the number of units of {lone.document_id}")
+    return both.where("old_fingerprint <> new_fingerprint").select("document_id", "old_fingerprint", "new_fingerprint")
 
 
 def reusable(stash: DataFrame, units: DataFrame) -> DataFrame:
