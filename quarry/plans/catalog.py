@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, search
+from . import evidence, rules, search
 
-QUERIES = {**search.QUERIES, **evidence.QUERIES}
-SQL = {**search.SQL, **evidence.SQL}
+QUERIES = {**search.QUERIES, **evidence.QUERIES, **rules.QUERIES}
+SQL = {**search.SQL, **evidence.SQL, **rules.SQL}

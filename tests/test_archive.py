@@ -118,3 +118,16 @@ def test_uploads(spark, tmp_path):
     assert got == [("Notes-e", 0, "one"), ("Notes-e", 1, "two"), ("more", 0, "three")]
     names = spark.createDataFrame([("../x/.hid", b"a"), ("..", b"a"), ("a/b c?.TXT", b"a\x00")], "name string, content binary")
     assert [(r.document_id, r.problem) for r in uploads.validated(names).collect()] == [(None, "name"), (None, "name"), ("b-c", "NUL byte")]
+
+
+def test_manifests(spark, tmp_path):
+    from quarry.sources import manifests
+
+    (tmp_path / "m.json").write_text(
+        '{"description": "d", "extra": 1, "entries": [{"canonical_name": "Ana Duarte", "verified_aliases": [{"alias": "Ana", "alias_type": "FIRST_NAME", "source_reference": "d1"}, {"alias": "ana  duarte", "alias_type": "VARIANT", "source_reference": "d1"}]},'
+        '{"canonical_name": "Ana Berg", "verified_aliases": [{"alias": "ana", "alias_type": "FIRST_NAME", "source_reference": "d2"}, {"alias": "x", "alias_type": "FULL_NAME", "source_reference": "d2"}]}, {"canonical_name": "Me", "verified_aliases": []}]}'
+    )
+    got = sorted((r.canonical_name, r.problem) for r in manifests.violations(manifests.identities(spark, str(tmp_path / "m.json"))).collect())
+    assert got == [("Ana Berg", "alias of several people"), ("Ana Berg", "alias type"), ("Ana Duarte", "alias of several people"), ("Ana Duarte", "alias repeats the name"), ("Me", "reserved name")]
+    (tmp_path / "s.json").write_text('{"signals": [{"signal_id": "s1", "categories": []}]}')
+    assert [r.signal_id for r in manifests.signals(spark, str(tmp_path / "s.json")).collect()] == ["s1"]
