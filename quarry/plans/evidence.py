@@ -108,13 +108,13 @@ def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT event_id, user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 180)) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 30"""
+    """SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_second FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 180)) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 30"""
 )
 def recent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest of each key among the newest 180, then the newest 30: a top-k report."""
     newest = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(180)
     k = F.row_number().over(W.partitionBy("event_type", "user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return newest.withColumn("k", k).where("k = 1").orderBy(F.desc("ts"), F.desc("event_id")).limit(30).drop("k")
+    return newest.withColumn("k", k).where("k = 1").orderBy(F.desc("ts"), F.desc("event_id")).limit(30).select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_second"))
 
 
 @register("SELECT d.doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS priority FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY priority, d.doc_id LIMIT 180")
@@ -152,7 +152,7 @@ def vector_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     """WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type, CASE WHEN event_id % 13 = 0 THEN 1 END AS starts, event_id FROM events),
 m AS (SELECT *, sum(CASE WHEN event_type = lag_type AND coalesce(starts, 0) <> 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY position) AS turn FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY position) AS lag_type FROM f))
-SELECT user_id, turn, min(position) AS first_position, max(position) AS last_position, min(event_type) AS speaker, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY position) AS ids FROM m GROUP BY user_id, turn"""
+SELECT user_id, CAST(turn AS BIGINT) AS turn, min(position) AS first_position, max(position) AS last_position, min(event_type) AS speaker, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY position) AS ids FROM m GROUP BY user_id, turn"""
 )
 def turn_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring events of one type merge into turns; every thirteenth has a recorded start."""

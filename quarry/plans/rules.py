@@ -102,10 +102,10 @@ def json_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.from_json(raw, "k long")["k"].alias("k")).withColumn("valid", F.col("k").isNotNull())
 
 
-@register("SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n_items, (SELECT max(l_shipdate) FROM lineitem WHERE l_suppkey = s_suppkey) AS last_shipped FROM supplier")
+@register("SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n_items, (SELECT strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem WHERE l_suppkey = s_suppkey) AS last_shipped FROM supplier")
 def upload_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlated counts as one aggregate and a left join."""
-    n = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n_items"), F.max("l_shipdate").alias("last_shipped"))
+    n = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n_items"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_shipped"))
     s = read(spark, sf_dir, "supplier").select("s_suppkey")
     return s.join(n, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.coalesce("n_items", F.lit(0)).alias("n_items"), "last_shipped")
 
