@@ -78,7 +78,8 @@ def normalised(v) -> Column:
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of vectors(id, v) against a stated set queries(query_id, qv)."""
-    return vectors.join(queries).select("query_id", "id", F.round(dot(normalised(F.col("v")), normalised(F.col("qv"))), 6).alias("score"))
+    v, q = vectors.select("id", normalised(F.col("v")).alias("v")), queries.select("query_id", normalised(F.col("qv")).alias("qv"))
+    return v.join(q).select("query_id", "id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int) -> DataFrame:
