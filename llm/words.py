@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Text bytes that are hashed at once; bounds the memory of a task whatever its batch holds.
 CHUNK_BYTES = 4 << 20
+#: Bytes whose positions and powers are in memory at once while they are hashed.
+HASH_BYTES = 1 << 19
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -91,7 +93,7 @@ def segment_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: b
         return out
     table = _LOWER if lower else _BYTE
     power = _powers(int((end - start).max()))
-    cuts = np.unique(np.searchsorted(start, np.arange(0, len(buf) + CHUNK_BYTES, CHUNK_BYTES)))
+    cuts = np.unique(np.searchsorted(start, np.arange(0, len(buf) + HASH_BYTES, HASH_BYTES)))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         size = end[a:b] - start[a:b]
         begin = np.cumsum(size) - size
