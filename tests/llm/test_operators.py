@@ -271,12 +271,12 @@ def test_html(spark):
         "<aside>side</aside><form><p>mail?</p></form><footer>&copy; f</footer></body></html>"
     )
     host = "http://h.example.com/"
-    plain = [f"<body><div>Start here or there or somewhere else</div><p>own text {i} of page</p>" for i in range(5)]
+    plain = [f"<body><div>Start here or there or somewhere else</div><p>{i} own text of page</p>" for i in range(5)]
     rows = [(0, host, page, 1), (1, None, None, 1), (2, host, "", 1), (0, host, page, 1)] + [(10 + i, host + str(i), p, 1) for i, p in enumerate(plain)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.main_text(df).collect())
     article = "Head & tail x\nOne bold two three\nFour"
-    want = [(0, article, len(article))] * 2 + [(1, "", 0), (2, "", 0)] + [(10 + i, f"own text {i} of page", 18) for i in range(5)]
+    want = [(0, article, len(article))] * 2 + [(1, "", 0), (2, "", 0)] + [(10 + i, f"{i} own text of page", 18) for i in range(5)]
     assert got == want
     assert html_text.main_text(df.where("page_id > 99")).collect() == []
     order, common = html_text.suffix_array(np.array([2, 1, 3, 1, 3, 1]))
