@@ -29,8 +29,8 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = (1.01, 0.0, 0.0)
 #: Bounds of the classifier: labelled rows, and words.
 MAX_LABELLED, MAX_FEATURES = 8000, 1024
-#: A word counts if this share of a domain's labelled rows has it, and this many times the share of all rows, and if its spread over the domains has this likelihood ratio statistic.
-MIN_SHARE, MIN_RATIO, MIN_G2 = 0.1, 3.0, 40.0
+#: A word counts if the share of a domain's labelled rows that have it is this many times the share of all rows, and if its spread over the domains has this likelihood ratio statistic.
+MIN_RATIO, MIN_G2 = 3.0, 40.0
 STEPS, TOLERANCE = 80, 1e-3
 
 
@@ -53,7 +53,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     k = range(len(DOMAINS))
     share = lambda i: (F.col(f"n{i}") + F.col("n") / every) / (size[i] + 1.0)
     surplus = lambda i: F.when(F.col(f"n{i}") > 0, F.col(f"n{i}") * F.log(F.col(f"n{i}") * every / (F.col("n") * max(1, size[i])))).otherwise(0.0)
-    found = counts.where(f"word IS NOT NULL AND n < {every}").where(2 * sum(surplus(i) for i in k) >= MIN_G2).select("word", *[share(i).alias(f"w{i}") for i in k], F.greatest(*[F.when(F.col(f"n{i}") >= MIN_SHARE * size[i], share(i)).otherwise(0.0) for i in k]).alias("most"), (F.col("n") / every).alias("all"))
+    found = counts.where(f"word IS NOT NULL AND n < {every}").where(2 * sum(surplus(i) for i in k) >= MIN_G2).select("word", *[share(i).alias(f"w{i}") for i in k], F.greatest(*[share(i) for i in k]).alias("most"), (F.col("n") / every).alias("all"))
     found = found.where(F.col("most") > MIN_RATIO * F.col("all")).orderBy(F.desc(F.col("most") / F.col("all")), "word").limit(MAX_FEATURES).drop("most", "all")
     found = materialise(found)
     absent = found.agg(*[F.sum(F.log1p(-F.col(f"w{i}"))).alias(f"w{i}") for i in k]).first()

@@ -202,6 +202,15 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, labels).collect() == []
 
 
+def test_mixing_rare_language(spark):
+    bad = {i for i in range(2000) if i % 10 == 0}
+    insult = lambda i: " imbécile" if i % 200 == 0 else " idiot"
+    more = spark.createDataFrame([(i, " ".join(words(20)) + (insult(i) if i in bad else "")) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mix(more, labels).collect()}
+    assert all((got[i].p_toxic > 0.5) == (i in bad) for i in got)  # a twentieth of the toxic rows has the other word
+
+
 def test_lm(docs, empty):
     tokens = {i: [*split(lower(t)), None] for i, t in TEXTS.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in TEXTS}
