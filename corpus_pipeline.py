@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from llm import bpe, jaccard_join, line_dedup, mixing, quality
 from llm.tables import materialise, read
 
+#: Near copies: words of a shingle, and the similarity in percent from which on two documents link.
+SHINGLE, PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -26,7 +29,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links connect, the one with the smallest doc_id."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), SHINGLE, PERCENT)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
 

@@ -1,6 +1,7 @@
 """N-gram Jaccard join: connected components of documents whose shingle sets are similar, exactly.
 
-Two documents link when 100 * |A & B| >= 85 * |A | B| over their sets of distinct 4-word shingles
+Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of distinct shingles of
+so many words, by default 85 and 4
 (fewer words: the whole sequence is one shingle; no words: an empty set, linked with nothing).
 
 Between unrelated texts every Jaccard distance is about 1, so regions around pivots alone would
@@ -27,6 +28,7 @@ that repeat it give one row each. Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,16 @@ from pyspark.sql import functions as F
 from .tables import components, materialise, read
 from .words import U, chunks, mix, ngrams, split_words, text_bytes, word_hashes
 
-SHINGLE, PERCENT = 4, 85
+
+
+class Rule(NamedTuple):
+    """Words of a shingle, and how similar linked sets are at least."""
+
+    shingle: int = 4
+    percent: int = 85
+
+
+RULE = Rule()
 #: Sets that may meet on one shingle and be paired there.
 CAP = 48
 #: One document in SAMPLE is looked at for frequent shingles: at most MAX_FREQUENT of those in FREQUENT of them or more.
@@ -48,25 +59,25 @@ CLASSES = 64
 REGION, PIVOTS, SLICE = 512, 8, 64
 
 
-def least_common(n):
+def least_common(n, rule: Rule):
     """Shingles that a set of n has in common with any set it links to."""
-    return -(-PERCENT * n // 100)
+    return -(-rule.percent * n // 100)
 
 
 def slack(n):
     return n // 64 + 2
 
 
-def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sets(texts: pa.Array, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, shingle, chars, n): each row's distinct shingles from first[i], sorted, with their letters; n: their number."""
     w = split_words(*text_bytes(texts))
     rows = len(w.offsets) - 1
     h, size = word_hashes(w, lower=True), w.end - w.start
     count = np.diff(w.first)
-    at = np.flatnonzero(w.doc[: max(0, len(h) - SHINGLE + 1)] == w.doc[SHINGLE - 1 :]) if len(h) >= SHINGLE else np.zeros(0, np.int64)
+    at = np.flatnonzero(w.doc[: max(0, len(h) - rule.shingle + 1)] == w.doc[rule.shingle - 1 :]) if len(h) >= rule.shingle else np.zeros(0, np.int64)
     total = np.concatenate(([0], np.cumsum(size)))
-    g, row, chars = [ngrams(h, SHINGLE)[at] if len(at) else np.zeros(0, U)], [w.doc[at]], [total[at + SHINGLE] - total[at] if len(at) else at]
-    for m in range(1, SHINGLE):
+    g, row, chars = [ngrams(h, rule.shingle)[at] if len(at) else np.zeros(0, U)], [w.doc[at]], [total[at + rule.shingle] - total[at] if len(at) else at]
+    for m in range(1, rule.shingle):
         short = w.first[:-1][count == m]
         g.append(ngrams(h, m, m)[short] if len(short) else np.zeros(0, U))
         row.append(np.flatnonzero(count == m))
@@ -85,49 +96,49 @@ def _key(first, g, n, seed: int) -> np.ndarray:
     return (total[first + n] - total[first]).view(np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int = 1):
+def _parts(batches: Iterator[pa.RecordBatch], rule: Rule, column: int = 1):
     for batch in batches:
         for a, b in chunks(batch.column(column)):
             part = batch.slice(a, b - a)
-            yield part, sets(part.column(column))
+            yield part, sets(part.column(column), rule)
 
 
 KEYS = "doc_id long, n long, a long, b long, counts binary"
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, (first, g, _, n) in _parts(batches):
+def _keys(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    for part, (first, g, _, n) in _parts(batches, rule):
         row = np.repeat(np.arange(len(n)), n)
         counts = np.bincount(row * CLASSES + (g >> U(32) & U(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES).astype(np.uint32).reshape(len(n), CLASSES)
         columns = [part.column(0), pa.array(n), pa.array(_key(first, g, n, 0x1234567)), pa.array(_key(first, g, n, 0x89ABCDEF)), pa.array([x.tobytes() for x in counts], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b", "counts"])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, (_, g, _, _) in _parts(batches):
+def _sampled(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    for _, (_, g, _, _) in _parts(batches, rule):
         yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
     """Sorted shingles that many sampled documents have; they only come last in the order."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     least = max(6, sample.count() * FREQUENT)
-    found = sample.mapInArrow(_sampled, "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "g").limit(MAX_FREQUENT)
+    found = sample.mapInArrow(lambda rows: _sampled(rows, rule), "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "g").limit(MAX_FREQUENT)
     return np.sort(np.array([r.g for r in found.select("g").toLocalIterator()], np.int64))
 
 
-def _first_shingles(frequent):
+def _first_shingles(frequent, rule: Rule):
     """Of each set, the first shingles in order (frequent ones, which come last, are not named but counted in `hot`, on the set's first row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for _, (first, g, chars, n) in _parts(batches):
+        for _, (first, g, chars, n) in _parts(batches, rule):
             row = np.repeat(np.arange(len(n)), n)
             value = g.view(np.int64)
             last = often[np.minimum(np.searchsorted(often, value), len(often) - 1)] == value if len(often) else np.zeros(len(g), bool)
             order = np.lexsort((g, -chars, last, row))
             rank = np.arange(len(g)) - first[row]
-            length = np.minimum(n, n - least_common(n) + 1 + slack(n))
+            length = np.minimum(n, n - least_common(n, rule) + 1 + slack(n))
             named = (rank < length[row]) & ~last[order]
             rest = length - np.bincount(row[named], minlength=len(n))
             key = _key(first, g, n, 0x1234567)
@@ -140,7 +151,7 @@ def _first_shingles(frequent):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Of small groups, the pairs whose sizes allow a link, and how many named shingles a linked pair shares at least."""
     for batch in batches:
         who = batch.column(0)
@@ -151,37 +162,37 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.triu_indices(k, 1)
             at = begin[size == k][:, None]
             x, y = (at + i).ravel(), (at + j).ravel()
-            fine = PERCENT * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])
+            fine = rule.percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])
             x, y = x[fine], y[fine]
-            need = np.minimum(1 + slack(np.minimum(n[x], n[y])), least_common(np.maximum(n[x], n[y]))) - np.minimum(hot[x], hot[y])
+            need = np.minimum(1 + slack(np.minimum(n[x], n[y])), least_common(np.maximum(n[x], n[y]), rule)) - np.minimum(hot[x], hot[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], a[y])), pa.array(np.maximum(a[x], a[y])), pa.array(need)], ["x", "y", "need"])
 
 
-def most_apart(n):
+def most_apart(n, rule: Rule):
     """Shingles in just one of two linked sets with n shingles together."""
-    return n - 2 * -(-PERCENT * n // (100 + PERCENT))
+    return n - 2 * -(-rule.percent * n // (100 + rule.percent))
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         counts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, CLASSES).astype(np.int64) for i in (2, 3)]
         apart = np.abs(counts[0] - counts[1]).sum(1)
-        yield batch.select([0, 1]).filter(pa.array(apart <= most_apart(counts[0].sum(1) + counts[1].sum(1))))
+        yield batch.select([0, 1]).filter(pa.array(apart <= most_apart(counts[0].sum(1) + counts[1].sum(1), rule)))
 
 
-def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_keys(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Of each set, a key for the content of each hash class, for both size ranges in which it may have a partner."""
-    ratio = np.log(100 / PERCENT)
-    for part, (first, g, _, n) in _parts(batches):
+    ratio = np.log(100 / rule.percent)
+    for part, (first, g, _, n) in _parts(batches, rule):
         ids = part.column(0).to_numpy()
         keys, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(n):
             own = mix(g[first[i] : first[i] + n[i]] ^ U(0x51ED270B))
             k = int(np.log(n[i]) / ratio + 1e-9)
             for level in (k, k + 1):
-                apart = int(most_apart(2 * int(np.ceil(np.exp(ratio * (level + 1)) + 1))))
+                apart = int(most_apart(2 * int(np.ceil(np.exp(ratio * (level + 1)) + 1)), rule))
                 spare = apart // 16 + 2
                 m = apart + 1 + spare
                 sums = np.zeros(m, U)
@@ -196,7 +207,7 @@ def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owner)], ["key", "a"])
 
 
-def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray | None = None, rule: Rule = RULE) -> list[tuple[int, int]]:
     """Links that connect all linked sets among those of a task; with `queries`, those between a query and any set only."""
     k = len(n)
     item = np.unique(g, return_inverse=True)[1]
@@ -208,9 +219,9 @@ def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray
         central[n > 0] = np.add.reduceat(often[item], use) / n[n > 0]
     label, links, base = np.arange(k), [], None
     for q in sorted(range(k) if queries is None else queries.tolist(), key=lambda i: -central[i]):
-        other = (label != label[q]) & (n > 0) & (PERCENT * np.maximum(n, n[q]) <= 100 * np.minimum(n, n[q]))
+        other = (label != label[q]) & (n > 0) & (rule.percent * np.maximum(n, n[q]) <= 100 * np.minimum(n, n[q]))
         if base is not None:
-            other &= np.abs(base - base[q]) <= 1 - PERCENT / 100 + 1e-9
+            other &= np.abs(base - base[q]) <= 1 - rule.percent / 100 + 1e-9
         if not n[q] or not other.any():
             continue
         mine = item[first[q] : first[q] + n[q]]
@@ -219,56 +230,56 @@ def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray
         union = n + n[q] - common
         if base is None:
             base = 1 - common / np.maximum(union, 1)
-        for x in np.flatnonzero(other & (100 * common >= PERCENT * union)):
+        for x in np.flatnonzero(other & (100 * common >= rule.percent * union)):
             if label[x] != label[q]:
                 links.append((q, int(x)))
                 label[label == label[x]] = label[q]
     return links
 
 
-def _solve(table: pa.Table) -> pa.Table:
+def _solve(table: pa.Table, rule: Rule) -> pa.Table:
     """Links within a chunk: of all its sets, or of the queries that were sent to it."""
     ids, query = table["a"].to_numpy(), table["query"].to_numpy(zero_copy_only=False).astype(bool)
-    first, g, _, n = sets(table["text"])
-    found = forest(first, g, n, np.flatnonzero(query) if query.any() else None)
+    first, g, _, n = sets(table["text"], rule)
+    found = forest(first, g, n, np.flatnonzero(query) if query.any() else None, rule)
     return pa.table({"x": pa.array([int(ids[a]) for a, _ in found], pa.int64()), "y": pa.array([int(ids[b]) for _, b in found], pa.int64())})
 
 
-def candidates(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, keys: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(x, y), pairs of nodes near enough to be linked; and (a), nodes whose links may be missing there as their common shingles are all frequent."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
-    rows = docs.mapInArrow(_first_shingles(frequent), "g long, a long, n long, hot long").repartition("g").distinct()
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, rule))
+    rows = docs.mapInArrow(_first_shingles(frequent, rule), "g long, a long, n long, hot long").repartition("g").distinct()
     met = rows.withColumn("sets", F.count("*").over(W.partitionBy("g")))
     met = materialise(met.where("sets > 1 OR hot > 0"))
     often = F.when(F.col("hot") > 0, F.col("hot")).otherwise(1)
     hot = materialise(met.where(f"hot > 0 OR sets > {CAP}").groupBy("a", "n").agg(F.sum(often).alias("hot")))
     small = met.where(f"hot = 0 AND sets <= {CAP}").select("g", "a", "n").join(hot.select("a", F.col("hot").alias("_hot")), "a", "left")
     small = small.groupBy("g").agg(F.collect_list(F.struct("a", "n", F.coalesce("_hot", F.lit(0)).alias("hot"))).alias("who")).select("who")
-    pairs = small.mapInArrow(_pairs, "x long, y long, need long").groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y")
+    pairs = small.mapInArrow(lambda rows: _pairs(rows, rule), "x long, y long, need long").groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y")
     counts = keys.groupBy("a").agg(F.first("counts").alias("counts"))
     pairs = pairs.join(counts.withColumnsRenamed({"a": "x", "counts": "cx"}), "x").join(counts.withColumnsRenamed({"a": "y", "counts": "cy"}), "y")
-    near = pairs.select("x", "y", "cx", "cy").mapInArrow(_near, "x long, y long")
+    near = pairs.select("x", "y", "cx", "cy").mapInArrow(lambda rows: _near(rows, rule), "x long, y long")
 
-    common = F.ceil(F.col("n") * PERCENT / F.lit(100))
+    common = F.ceil(F.col("n") * rule.percent / F.lit(100))
     hot = hot.where(F.col("hot") > F.least(F.floor(common / 64) + 2, common - 1)).select("a")
     return materialise(near), hot
 
 
-def similar(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def similar(docs: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
     """(x, y): links between different nodes that connect all linked ones."""
-    near, hot = candidates(docs, keys)
+    near, hot = candidates(docs, keys, rule)
     named = keys.groupBy("a").agg(F.min("doc_id").alias("doc_id"))
     alike = near.select(F.col("x").alias("a")).union(near.select("y")).union(hot).distinct()
     texts = materialise(docs.join(named.join(alike, "a"), "doc_id").select("a", "text"))
 
-    classes = texts.join(hot, "a", "left_semi").select("a", "text").mapInArrow(_class_keys, "key long, a long")
+    classes = texts.join(hot, "a", "left_semi").select("a", "text").mapInArrow(lambda rows: _class_keys(rows, rule), "key long, a long")
     stars = classes.groupBy("key").agg(F.min("a").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = near.union(classes.join(stars, "key").where("a <> y").select("a", "y")).distinct()
     region = components(edges, "x", "y")
     size = region.groupBy("component").agg(F.ceil(F.count("*") / REGION).cast("int").alias("chunks"))
     dealt = texts.join(region.join(size, "component"), F.col("a") == F.col("node")).drop("node")
     dealt = materialise(dealt.withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")))
-    links = dealt.withColumn("query", F.lit(False)).select("component", "chunk", "a", "text", "query").groupBy("component", "chunk").applyInArrow(_solve, "x long, y long")
+    links = dealt.withColumn("query", F.lit(False)).select("component", "chunk", "a", "text", "query").groupBy("component", "chunk").applyInArrow(lambda table: _solve(table, rule), "x long, y long")
 
     large = dealt.where("chunks > 1")
     if large.isEmpty():
@@ -276,30 +287,31 @@ def similar(docs: DataFrame, keys: DataFrame) -> DataFrame:
     # Pivots of large regions: the sets that most others met, to every chunk; then all outside the main component.
     degree = edges.select(F.col("x").alias("a")).union(edges.select("y")).groupBy("a").agg(F.count("*").alias("degree"))
     best = large.join(degree, "a").withColumn("k", F.row_number().over(W.partitionBy("component").orderBy(F.desc("degree"), "a"))).where(F.col("k") <= PIVOTS)
-    first = materialise(links.union(_sent(large, best)))
+    first = materialise(links.union(_sent(large, best, rule)))
     label = components(first, "x", "y").withColumnRenamed("component", "label")
     state = large.select("component", "a").join(label, F.col("a") == F.col("node"), "left").select("component", "a", F.coalesce("label", "a").alias("label"))
     sizes = state.groupBy("component", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("component").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
     outside = state.join(main, "component").where("label <> main").select("a")
-    return first.union(_sent(large, large.join(outside, "a", "left_semi")))
+    return first.union(_sent(large, large.join(outside, "a", "left_semi"), rule))
 
 
-def _sent(members: DataFrame, queries: DataFrame) -> DataFrame:
+def _sent(members: DataFrame, queries: DataFrame, rule: Rule) -> DataFrame:
     """Links between queries and all members of their region, chunk by chunk."""
     queries = queries.withColumn("slice", F.floor(F.pmod(F.xxhash64("a"), F.lit(1 << 30)) / (1 << 30) * F.greatest(F.lit(1.0), F.col("chunks") * F.lit(REGION / SLICE))).cast("int"))
     sent = queries.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).select("component", "chunk", "slice", "a", "text", F.lit(True).alias("query"))
     slices = queries.select("component", "slice").distinct()
     there = members.join(slices, "component").select("component", "chunk", "slice", "a", "text", F.lit(False).alias("query"))
-    return sent.union(there).groupBy("component", "chunk", "slice").applyInArrow(_solve, "x long, y long")
+    return sent.union(there).groupBy("component", "chunk", "slice").applyInArrow(lambda table: _solve(table, rule), "x long, y long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = RULE.shingle, percent: int = RULE.percent) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    rule = Rule(shingle, percent)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keys = materialise(docs.mapInArrow(_keys, KEYS))
+    keys = materialise(docs.mapInArrow(lambda rows: _keys(rows, rule), KEYS))
     full = keys.where("n > 0")
-    label = components(similar(docs.where("doc_id IS NOT NULL"), full.where("doc_id IS NOT NULL")), "x", "y")
+    label = components(similar(docs.where("doc_id IS NOT NULL"), full.where("doc_id IS NOT NULL"), rule), "x", "y")
     nodes = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("low")).join(label, F.col("a") == F.col("node"), "left")
     nodes = nodes.select("n", "a", "b", "low", F.coalesce("component", "a").alias("component"), F.col("component").isNotNull().alias("linked"))
     low = nodes.where("linked").groupBy("component").agg(F.min("low").alias("lowest"))

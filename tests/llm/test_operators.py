@@ -140,6 +140,38 @@ def test_jaccard_join(docs, empty, monkeypatch, small):
         assert jaccard_join.jaccard_components(empty).collect() == []
 
 
+def shingles(text, n):
+    w = split(lower(text))
+    return {tuple(w)} if 0 < len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
+def test_jaccard_rule_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    a = [f"t{i}" for i in range(300)]
+    b = [f"x{x}" if 100 <= i < 125 else x for i, x in enumerate(a)]
+    c = [f"y{x}" if 60 <= i < 110 else x for i, x in enumerate(a)]
+    a, b, c = map(" ".join, (a, b, c))
+    like = lambda n, x, y: len(shingles(x, n) & shingles(y, n)) / len(shingles(x, n) | shingles(y, n))
+    assert like(4, a, b) < 0.85 and like(5, a, b) >= 0.8 and like(5, a, c) < 0.8
+    rows = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, rows, "").collect()} == {1, 3}
+    assert {r.component_id for r in jaccard_join.jaccard_components(rows).collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("shingle, percent", [(5, 80), (3, 60)])
+def test_jaccard_other_rules(docs, shingle, percent):
+    found = {i: shingles(t, shingle) for i, t in TEXTS.items()}
+    label = {i: i for i in found}
+    for a in found:
+        for b in found:
+            if a < b and found[a] and 100 * len(found[a] & found[b]) >= percent * len(found[a] | found[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, shingle, percent).collect()}
+    assert got == {i: (len(found[i]), label[i]) for i in found}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(5, 40), (1, 2), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
