@@ -271,6 +271,27 @@ def test_lm_tail_and_filter(docs, monkeypatch):
     assert (lm.lookup(bits, keys + np.uint64(1)) > 0).mean() < 0.02
 
 
+@pytest.mark.parametrize("bits", [lm.BITS_PER_ENTRY, 1 << 21, 1 << 40])
+def test_lm_score_does_not_depend_on_the_filter(docs, monkeypatch, bits):
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", bits)  # room for all n-grams, for 128 entries, for none
+    tokens = {i: [*split(lower(t)), None] for i, t in TEXTS.items()}
+    one, two = collections.Counter(), collections.Counter()
+    for i, ts in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(ts)
+            two.update(zip([None, *ts[:-1]], ts))
+    value = lambda c: float(lm._VALUE[lm.level(c)]) if c else 0.0
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for i, ts in tokens.items():
+        want = 0.0
+        for a, b in zip([None, *ts[:-1]], ts):
+            both = value(two[a, b])
+            context = max(value(one[a]), both)
+            weight = lm.WEIGHT * context / (context + lm.PRIOR)
+            want += math.log10(weight * min(1, both / max(context, 1)) + (1 - weight) * (value(one[b]) + 1) / (sum(one.values()) + len(one) + 1))
+        assert got[i] == pytest.approx(want, rel=1e-6), i
+
+
 def test_bpe(docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers
