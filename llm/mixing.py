@@ -120,7 +120,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
 def resample(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs, each row as often as its copies say."""
     copies = mix(docs, labels, targets).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).distinct()
-    out = docs.join(copies, docs["doc_id"] == F.col("_mix_id")).where("_mix_copies > 0")
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mix_id"))).where("_mix_copies > 0")
     return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
 
 

@@ -271,6 +271,14 @@ def test_lm_tail_and_filter(docs, monkeypatch):
     assert (lm.lookup(bits, keys + np.uint64(1)) > 0).mean() < 0.02
 
 
+def test_mixing_keeps_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(None, "one two"), (None, "three"), (1, "four five")], "doc_id long, text string")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.text for r in corpus_pipeline.mixing_stage(spark, rows, str(tmp_path)).collect()} == {"one two", "three", "four five"}
+
+
 @pytest.mark.parametrize("bits", [lm.BITS_PER_ENTRY, 1 << 21, 1 << 40])
 def test_lm_score_does_not_depend_on_the_filter(docs, monkeypatch, bits):
     monkeypatch.setattr(lm, "BITS_PER_ENTRY", bits)  # room for all n-grams, for 128 entries, for none
