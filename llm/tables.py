@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names; only where it is unset (tests, local mode), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,6 +37,26 @@ def renamed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Groups with more than this share of the rows are broadcast; there are fewer of them than 1 / HOT.
+HOT = 1 / 500
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: list[str]) -> DataFrame:
+    """Left join of rows with groups on keys, each group with the number of its rows in `size`, of `total` rows.
+
+    Rows of large groups get theirs by broadcast; in the shuffle for the other ones they are dealt out by the columns `spread`.
+    """
+    mine = lambda table, prefix: table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns])
+    large = F.broadcast(mine(groups.where(F.col(size) > HOT * total), "_hot_"))
+    other = mine(groups.where(F.col(size) <= HOT * total), "_cold_")
+    same = lambda left, prefix: [left[k].eqNullSafe(F.col(prefix + k)) for k in keys]
+    both = rows.join(large, same(rows, "_hot_"), "left")
+    both = both.withColumn("_deal", F.when(F.col(f"_hot_{size}").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*spread)))
+    other = other.withColumn("_cold_deal", F.xxhash64(*[f"_cold_{k}" for k in keys]))
+    met = both.join(other, [both["_deal"] == other["_cold_deal"], *[both[k] == other[f"_cold_{k}"] for k in keys]], "left")
+    return met.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in groups.columns if c not in keys])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of an undirected edge table reaches.
 
