@@ -6,11 +6,13 @@ any share of the documents. Lines whose estimate is near the threshold get an ex
 distinct sites; the others are decided by the sketch, whose error is far smaller than the band.
 Boilerplate lines are then removed from every document.
 
-A document of which boilerplate would be more than MAX_SHARE of the characters is left whole: it
-is a copy, which is for the duplicate operators to judge, and would lose its content here.
+`without_boilerplate`, for pipelines, leaves copies of whole documents to the duplicate operators,
+as they would lose their content on all sites: a document keeps its lines if no other would remain, or if COPY_LINES lines or more,
+and more than COPY_SHARE of its characters, are boilerplate.
 Lines are cut at \\n and compared as they are; lines of white space only are no lines and stay.
-The site is `source`; null is a site of its own. Null texts stay null. doc_id identifies a row
-(rows that repeat doc_id and text are treated alike; a null doc_id keeps its lines).
+The site is `source`; null is a site of its own. Null texts stay null. doc_id identifies a row; rows that repeat it lose the
+lines at the same places only where these are boilerplate in their own text (rows are matched by doc_id and a hash of the text; a null
+doc_id matches too). An empty table has an empty result. Columns of the caller may have any names.
 Built from DataFrame functions alone.
 """
 
@@ -23,8 +25,8 @@ from .tables import materialise, read
 
 #: Sites from which on a line is boilerplate; the band around it, as a share, within which sites are counted exactly.
 MIN_SITES, BAND = 10, 0.25
-#: A document loses its boilerplate lines only if they have at most this share of its characters.
-MAX_SHARE = 0.5
+#: What a copy of a whole document is known by: boilerplate lines, and their share of its characters.
+COPY_LINES, COPY_SHARE = 4, 0.5
 #: log2 of the sketches' registers: a standard error of 1.6 %.
 LG_K = 12
 
@@ -34,10 +36,10 @@ def _blank(line) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, at, a, b, chars): the lines of docs, by hash."""
+    """(id, text_hash, site, at, a, b): the lines of docs, by hash."""
     cut = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))
-    lines = docs.select(F.col("doc_id"), F.coalesce("source", F.lit("")).alias("site"), cut.alias("at", "line")).where(~_blank(F.col("line")))
-    return lines.select("doc_id", "site", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b"), F.length("line").alias("chars"))
+    lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("site"), cut.alias("at", "line")).where(~_blank(F.col("line")))
+    return lines.select("id", "text_hash", "site", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -50,18 +52,25 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.union(exact.select("a", "b"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, spare_copies: bool = False) -> DataFrame:
     """docs with `text` (and `n_chars`, where there is one) after removal, and the further columns line_count and lines_removed."""
     lines = lines_of(docs)
-    hits = lines.join(boilerplate(lines, min_sites), ["a", "b"]).groupBy(F.col("doc_id").alias("_line_id")).agg(F.collect_set(F.struct("at", "chars")).alias("_line_hits"))
+    hits = lines.join(boilerplate(lines, min_sites), ["a", "b"]).groupBy(F.col("id").alias("_line_id"), F.col("text_hash").alias("_line_text"))
+    hits = hits.agg(F.sort_array(F.collect_set("at")).alias("_line_at"))
     cut = F.split(F.coalesce("text", F.lit("")), "\n")
     full = F.filter(cut, lambda x: ~_blank(x))
-    both = docs.join(hits, docs["doc_id"] == F.col("_line_id"), "left").drop("_line_id")
-    lost = F.aggregate("_line_hits", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
-    total = F.aggregate(full, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    both = both.withColumn("_line_at", F.when(lost <= max_share * total, F.transform("_line_hits", lambda x: x["at"])))
-    kept = F.when(F.col("_line_at").isNotNull(), F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_line_at", i)), "\n")).otherwise(F.col("text"))
-    new = {"text": kept, "n_chars": F.when(F.col("_line_at").isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    both = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_line_id")) & (F.xxhash64(docs["text"]) == F.col("_line_text")), "left").drop("_line_id", "_line_text")
+    if spare_copies:
+        lost = F.aggregate(F.filter(cut, lambda x, i: F.array_contains("_line_at", i)), F.lit(0), lambda s, x: s + F.length(x))
+        total = F.aggregate(full, F.lit(0), lambda s, x: s + F.length(x))
+        copy = (F.size("_line_at") == F.size(full)) | (F.size("_line_at") >= COPY_LINES) & (lost > COPY_SHARE * total)
+        both = both.withColumn("_line_at", F.when(~copy, F.col("_line_at")))
+    # the lines between those that go, by slices: their number is that of removed lines, not its product with all lines
+    ends = F.concat(F.col("_line_at"), F.array(F.size(cut)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("_line_at", lambda x: x + 1))
+    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("x"), ends.alias("y")), lambda z: F.slice(cut, z["x"] + 1, z["y"] - z["x"])))
+    text = F.when(F.col("_line_at").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("_line_at").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return both.select(
         *[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns],
         F.size(full).cast("long").alias("line_count"),
@@ -70,8 +79,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = M
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """docs, cut, with its own columns only."""
-    out = line_dedup(docs)
+    """docs, cut, with its own columns only; copies of whole documents are left to the duplicate operators."""
+    out = line_dedup(docs, spare_copies=True)
     return out.toDF(*docs.columns, "_line_count", "_lines_removed").drop("_line_count", "_lines_removed")
 
 
@@ -84,9 +93,8 @@ ORACLE_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
 f AS (SELECT *, regexp_replace(line, '[\x20\x09-\x0D]', '', 'g') <> '' AS full_line FROM l),
 s AS (SELECT line FROM f WHERE full_line GROUP BY line HAVING count(DISTINCT site) >= 10),
-m AS (SELECT f.*, full_line AND s.line IS NOT NULL AS hit FROM f LEFT JOIN s ON f.line = s.line),
-d AS (SELECT doc_id, coalesce(sum(length(line)) FILTER (hit), 0) <= 0.5 * coalesce(sum(length(line)) FILTER (full_line), 0) AS cuts FROM m GROUP BY doc_id)
-SELECT m.doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (hit AND cuts) AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT (hit AND cuts)), '')) AS text_sha256
-FROM m JOIN d ON m.doc_id = d.doc_id GROUP BY m.doc_id
+m AS (SELECT f.*, full_line AND s.line IS NOT NULL AS hit FROM f LEFT JOIN s ON f.line = s.line)
+SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (hit) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT hit), '')) AS text_sha256
+FROM m GROUP BY doc_id
 """
