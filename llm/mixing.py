@@ -7,11 +7,12 @@ gradient is one K-vector a step, aggregated over all documents; a document's rat
 its own posteriors, so a step moves K numbers and no document.
 
 The classifier is naive Bayes over the presence of words; its words and weights come from a
-sample of labelled rows bounded by MAX_LABELLED, and at most MAX_FEATURES words are broadcast.
+sample of labelled rows bounded by MAX_LABELLED; these informative words alone are broadcast.
 Everything else covers all documents. Unlabelled documents are scored like labelled ones; null
 and empty texts have no words: they have the prior's posteriors and count for 0 tokens. Rows
-that repeat a doc_id are scored once for each row by their joint words. Without labels every
-document counts as clean.
+that repeat a doc_id are scored once for each row by their joint words; rows without a doc_id have the
+prior's posteriors and are kept as it says. Without labels every document counts as clean. An empty table has an empty
+result; columns of the caller may have any names.
 Built from DataFrame functions alone.
 """
 
@@ -27,8 +28,8 @@ from .tables import materialise, read
 DOMAINS = ("clean", "low", "toxic")
 #: Token totals wanted of each domain, as multiples of the expected tokens of the first, which all but keeps its size: its documents stay.
 TARGETS = (1.01, 0.0, 0.0)
-#: Bounds of the classifier: labelled rows, and words.
-MAX_LABELLED, MAX_FEATURES = 8000, 1024
+#: Bound of the classifier: labelled rows. Its words are among theirs.
+MAX_LABELLED = 8000
 #: A word counts if the share of a domain's labelled rows that have it is this many times the share of all rows, and if its spread over the domains has this likelihood ratio statistic.
 MIN_RATIO, MIN_G2 = 3.0, 40.0
 STEPS, TOLERANCE = 80, 1e-3
@@ -54,7 +55,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = lambda i: (F.col(f"n{i}") + F.col("n") / every) / (size[i] + 1.0)
     surplus = lambda i: F.when(F.col(f"n{i}") > 0, F.col(f"n{i}") * F.log(F.col(f"n{i}") * every / (F.col("n") * max(1, size[i])))).otherwise(0.0)
     found = counts.where(f"word IS NOT NULL AND n < {every}").where(2 * sum(surplus(i) for i in k) >= MIN_G2).select("word", *[share(i).alias(f"w{i}") for i in k], F.greatest(*[share(i) for i in k]).alias("most"), (F.col("n") / every).alias("all"))
-    found = found.where(F.col("most") > MIN_RATIO * F.col("all")).orderBy(F.desc(F.col("most") / F.col("all")), "word").limit(MAX_FEATURES).drop("most", "all")
+    found = found.where(F.col("most") > MIN_RATIO * F.col("all")).drop("most", "all")
     found = materialise(found)
     absent = found.agg(*[F.sum(F.log1p(-F.col(f"w{i}"))).alias(f"w{i}") for i in k]).first()
     prior = [math.log((n + (1e-3 if i else 1.0)) / (every + 1)) + (absent[i] or 0.0) for i, n in enumerate(size)]
@@ -117,6 +118,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
     return out.select("doc_id", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
 
 
+def totals(mixed: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
+    """(domain, given, wanted, reached): expected tokens of each domain before mixing, by the targets, and by the rates found."""
+    sums = mixed.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}")).alias(f"given_{d}") for d in DOMAINS], *[F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")).alias(f"reached_{d}") for d in DOMAINS])
+    rows = [F.struct(F.lit(d).alias("domain"), F.col(f"given_{d}").alias("given"), (F.lit(float(t)) * F.col(f"given_{DOMAINS[0]}")).alias("wanted"), F.col(f"reached_{d}").alias("reached")) for d, t in zip(DOMAINS, targets, strict=True)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
 def resample(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs, each row as often as its copies say."""
     copies = mix(docs, labels, targets).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).distinct()
