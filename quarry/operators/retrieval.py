@@ -5,6 +5,8 @@ Queries are always a table, so that many run in one job.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,16 +14,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Query vectors that are broadcast at once.
+BLOCK = 4096
 BODY_WEIGHTS, TITLE_WEIGHTS = {"body": 1.0, "title": 0.4, "speaker": 0.4}, {"body": 0.5, "title": 3.0, "speaker": 0.2}
 
 
-def postings(units: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """(id, field, token, tf) of units(id, ...); columns maps a field to the column it indexes."""
-    fields = [units.select("id", F.lit(f).alias("field"), F.explode(T.index_tokens(F.coalesce(F.col(c), F.lit("")))).alias("token")) for f, c in columns.items()]
-    out = fields[0]
-    for more in fields[1:]:
-        out = out.union(more)
-    return out.groupBy("id", "field", "token").agg(F.count("*").alias("tf"))
+class Index(NamedTuple):
+    """tokens(id, size, field, token): a row for each occurrence, with its unit's number of tokens; units(id): those that have any."""
+
+    tokens: DataFrame
+    units: DataFrame
+
+
+def postings(units: DataFrame, columns: dict[str, str]) -> Index:
+    """The index of units(id, ...), where id is unique; columns maps a field to the column it indexes. All of a unit's tokens come from its own row."""
+    cut = {f: T.index_tokens(F.coalesce(F.col(c), F.lit(""))) for f, c in columns.items()}
+    marked = lambda f, t: F.transform(t, lambda x: F.struct(F.lit(f).alias("field"), x.alias("token")))
+    each = F.flatten(F.array(*[marked(f, t) for f, t in cut.items()]))
+    tokens = units.select("id", each.alias("each")).select("id", F.size("each").alias("size"), F.explode("each").alias("x")).select("id", "size", "x.field", "x.token")
+    return Index(tokens, units.where(F.concat_ws(" ", *columns.values()).rlike(T.WORD)).select("id"))
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -29,29 +40,39 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.phrases(T.topic_terms(F.col("query")))).alias("p")).select("query_id", "p.phrase", "p.prefix")
 
 
-def matched_tokens(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, prefix, token): prefixes meet the distinct vocabulary on their first letters, an equi-join, before startswith."""
+def matched_tokens(vocabulary: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, prefix, token): prefixes meet the distinct vocabulary(token) on their first letters, an equi-join, before startswith."""
     wanted = phrases.select("phrase", "prefix").distinct()
-    vocabulary = index.select("token").distinct()
     exact = wanted.where("NOT prefix").join(vocabulary, F.col("phrase") == F.col("token"))
     head = vocabulary.withColumn("head", F.substring("token", 1, T.MIN_STEM))
     prefixed = wanted.where("prefix").withColumn("head", F.substring("phrase", 1, T.MIN_STEM)).join(head, "head").where(F.col("token").startswith(F.col("phrase"))).drop("head")
     return exact.select("phrase", "prefix", "token").union(prefixed.select("phrase", "prefix", "token"))
 
 
-def bm25(index: DataFrame, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query_id, id, score): exact BM25 over weighted fields. N, the mean length and each phrase's document count come from the whole index, before any filter."""
-    size = index.groupBy("id").agg(F.sum("tf").alias("size"))
-    stats = size.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
-    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in weights.items()], F.lit(0.0))
-    hits = index.join(matched_tokens(index, phrases), "token").groupBy("phrase", "prefix", "id").agg(F.sum(weight * F.col("tf")).alias("f"))
+def bm25_views(index: Index, phrases: DataFrame, views: dict[str, dict[str, float]]) -> DataFrame:
+    """(query_id, id, a score for each view): exact BM25 over weighted fields, all weightings in one pass.
+
+    N, the mean length and each phrase's document count come from the whole index, before any filter. Only tokens
+    that a phrase asks for are shuffled, once, by unit; the rest follows that partitioning.
+    """
+    vocabulary = index.tokens.groupBy("token").agg(F.count("*").alias("n"))
+    stats = vocabulary.agg(F.sum("n").alias("n_tokens")).join(index.units.agg(F.count("*").alias("n_docs")))  # one row each
+    met = index.tokens.join(matched_tokens(vocabulary.select("token"), phrases), "token").select("phrase", "prefix", "id", "size", "field").repartition("id")
+    fields = sorted({f for weights in views.values() for f in weights})
+    hits = met.groupBy("id", "phrase", "prefix").agg(F.first("size").alias("size"), *[F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields])
     df = hits.groupBy("phrase", "prefix").agg(F.count("*").alias("df"))
-    hits = hits.join(df, ["phrase", "prefix"]).join(size, "id").join(F.broadcast(stats))  # stats is one row
+    hits = hits.join(df, ["phrase", "prefix"]).join(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    parts = hits.select("phrase", "prefix", "id", part.alias("part"))
-    return phrases.join(parts, ["phrase", "prefix"]).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    tf = {v: sum(F.lit(w) * F.col(f"n_{f}") for f, w in weights.items()) for v, weights in views.items()}
+    part = lambda f: idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / (F.col("n_tokens") / F.col("n_docs"))))
+    parts = hits.select("phrase", "prefix", "id", *[part(f).alias(v) for v, f in tf.items()])
+    return phrases.join(parts, ["phrase", "prefix"]).groupBy("query_id", "id").agg(*[F.round(F.sum(v), 6).alias(v) for v in views])
+
+
+def bm25(index: Index, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(query_id, id, score) of one weighting."""
+    return bm25_views(index, phrases, {"score": weights})
 
 
 def top_k(scored: DataFrame, k: int, id_column: str = "id") -> DataFrame:
@@ -77,9 +98,22 @@ def normalised(v) -> Column:
 
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of vectors(id, v) against a stated set queries(query_id, qv)."""
-    v, q = vectors.select("id", normalised(F.col("v")).alias("v")), queries.select("query_id", normalised(F.col("qv")).alias("qv"))
-    return v.join(q).select("query_id", "id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
+    """(query_id, id, score) of vectors(id, v) against a stated set queries(query_id, qv), in blocks of about BLOCK queries, the most that are broadcast at once.
+
+    Vectors and queries that aren't finite, have no length, or differ in dimension have no score.
+    """
+    v, q = (t.select(k, normalised(F.col(c)).alias(c)).where(finite(F.col(c))) for t, k, c in ((vectors, "id", "v"), (queries, "query_id", "qv")))
+    blocks = -(-queries.count() // BLOCK)
+    out = None
+    for k in range(max(1, blocks)):
+        block = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == k))
+        part = v.join(block, F.size("v") == F.size("qv")).select("query_id", "id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def finite(v) -> Column:
+    return (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int) -> DataFrame:

@@ -61,10 +61,9 @@ def light_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct().select("token", T.light_stem(F.col("token")).alias("stem"))
 
 
-@register(f"WITH {UNITS_SQL} SELECT evidence_id, regexp_matches(rtrim(left(raw_text, 40) || CASE unit_index % 3 WHEN 0 THEN '— ' WHEN 1 THEN ' –' ELSE '.' END), '[—–]$') AS is_truncated FROM units")
+@register(f"WITH {UNITS_SQL} SELECT evidence_id, regexp_matches(rtrim(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_text, '(?i)\\[Image removed by sender\\]', ' ', 'g'), '(?i)\\[cid:[^\\]]*\\]', ' ', 'g'), '(?i)Bild borttagen av avs[äa]ndaren', ' ', 'g'), '(^|[^A-Za-z])Image([^A-Za-z]|$)', '\\1 \\2', 'g'), '[ \t]+', ' ', 'g'))), '[—–]$') AS is_truncated FROM units")
 def truncation_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ending = F.when(F.col("unit_index") % 3 == 0, "— ").when(F.col("unit_index") % 3 == 1, " –").otherwise(".")
-    return units(spark, sf_dir).select("evidence_id", T.is_truncated(F.concat(F.left("raw_text", F.lit(40)), ending)).alias("is_truncated"))
+    return units(spark, sf_dir).select("evidence_id", T.is_truncated(F.col("raw_text")).alias("is_truncated"))
 
 
 @register(
@@ -87,19 +86,25 @@ def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- BM25 over documents, with the benchmark's passages as queries -----------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str) -> R.Index:
     return R.postings(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), {"body": "text", "title": "source", "speaker": "lang"})
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 80 characters of each benchmark passage as a question."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    """Each whole benchmark passage as a question."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFrame:
     return R.bm25(_index(spark, sf_dir), R.query_phrases(_questions(spark, sf_dir)), weights)
 
 
+def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scores with the weights of the body and of the title, from one pass over the index."""
+    both = R.bm25_views(_index(spark, sf_dir), R.query_phrases(_questions(spark, sf_dir)), {"body": R.BODY_WEIGHTS, "title": R.TITLE_WEIGHTS})
+    return tuple(both.select("query_id", "id", F.col(v).alias("score")) for v in ("body", "title"))
+
+
 def _bm25_sql(weights: dict[str, float], name: str) -> str:
     weight = " ".join(f"WHEN '{f}' THEN {w}" for f, w in weights.items())
     return f"""
@@ -113,8 +118,8 @@ SEARCH_SQL = f"""
 fields AS (SELECT doc_id AS id, 'body' AS field, text AS t FROM documents UNION ALL SELECT doc_id, 'title', source FROM documents UNION ALL SELECT doc_id, 'speaker', lang FROM documents),
 postings AS (SELECT id, field, token, count(*) AS tf FROM (SELECT id, field, unnest(regexp_extract_all({FOLD_SQL.format("coalesce(t, '')")}, '[\\p{{L}}\\p{{N}}]+')) AS token FROM fields) GROUP BY ALL),
 sizes AS (SELECT id, sum(tf) AS size FROM postings GROUP BY id), stats AS (SELECT count(*) AS n_docs, avg(size) AS mean_size FROM sizes),
-qterms AS (SELECT DISTINCT item_id AS query_id, t FROM (SELECT item_id, unnest({TOKENS_SQL.format('left(text, 80)')}) AS t FROM benchmark) WHERE length(t) >= 2 AND t NOT IN ({quoted(T.STOPWORDS + T.TEMPORAL_CUES)})
-  UNION SELECT item_id, 'percent' FROM benchmark WHERE list_has_any({TOKENS_SQL.format('left(text, 80)')}, [{quoted(T.QUANTITY_CUES)}])),
+qterms AS (SELECT DISTINCT item_id AS query_id, t FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS t FROM benchmark) WHERE length(t) >= 2 AND t NOT IN ({quoted(T.STOPWORDS + T.TEMPORAL_CUES)})
+  UNION SELECT item_id, 'percent' FROM benchmark WHERE list_has_any({TOKENS_SQL.format('text')}, [{quoted(T.QUANTITY_CUES)}])),
 stems AS (SELECT query_id, t, {_stem_sql('t')} AS v FROM qterms UNION SELECT query_id, t, CASE {_stem_sql('t')} WHEN 'decid' THEN 'decis' ELSE 'signat' END FROM qterms WHERE {_stem_sql('t')} IN ('decid', 'sign')),
 phrases AS (SELECT DISTINCT query_id, CASE WHEN length(v) >= {T.MIN_STEM} THEN v ELSE t END AS phrase, length(v) >= {T.MIN_STEM} AS prefix FROM stems),
 matched AS (SELECT p.phrase, p.prefix, token FROM (SELECT DISTINCT phrase, prefix FROM phrases) p JOIN (SELECT DISTINCT token FROM postings) v ON (p.prefix AND starts_with(v.token, p.phrase)) OR v.token = p.phrase),
@@ -155,7 +160,7 @@ fused AS (SELECT query_id, id, round(sum(part), 9) AS score, count(*) AS n_lists
 SELECT query_id, id AS doc_id, score, n_lists, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 15"""
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = [(R.top_k(_bm25(spark, sf_dir, w), 15), weight) for w, weight in ((R.BODY_WEIGHTS, 1.0), (R.TITLE_WEIGHTS, 1.5))]
+    lists = [(R.top_k(scored, 15), weight) for scored, weight in zip(_views(spark, sf_dir), (1.0, 1.5), strict=True)]
     return R.fuse(lists, 15).select("query_id", F.col("id").alias("doc_id"), "score", "n_lists", "rank")
 
 
@@ -246,14 +251,14 @@ def visible_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {SEARCH_SQL}, judged AS (SELECT b.item_id, min(rank) FILTER (contains(d.text, left(b.text, 40))) AS first FROM benchmark b LEFT JOIN body_top t ON t.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = t.id GROUP BY ALL)
+    f"""WITH {SEARCH_SQL}, judged AS (SELECT b.item_id, min(rank) FILTER (contains(d.text, b.text)) AS first FROM benchmark b LEFT JOIN body_top t ON t.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = t.id GROUP BY ALL)
 SELECT count(*) AS topics, count(*) FILTER (first <= 5) AS in_top_5, count(*) FILTER (first <= 10) AS in_top_10, count(*) FILTER (first IS NOT NULL) AS visible, round(avg(1.0 / first), 6) AS mean_reciprocal_rank FROM judged"""
 )
 def benchmark_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval quality: a hit is relevant if it holds the beginning of the question's passage."""
+    """Retrieval quality: a hit is relevant if it holds the whole passage of the question."""
     hits = R.top_k(_bm25(spark, sf_dir, R.BODY_WEIGHTS), 15).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    judged = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("head")).join(hits, "query_id", "left")
-    first = judged.groupBy("query_id").agg(F.min(F.when(F.col("text").contains(F.col("head")), F.col("rank"))).alias("first"))
+    judged = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).join(hits, "query_id", "left")
+    first = judged.groupBy("query_id").agg(F.min(F.when(F.col("text").contains(F.col("passage")), F.col("rank"))).alias("first"))
     return first.agg(
         F.count("*").alias("topics"), F.count_if(F.col("first") <= 5).alias("in_top_5"), F.count_if(F.col("first") <= 10).alias("in_top_10"), F.count("first").alias("visible"),
         F.round(F.avg(1 / F.col("first")), 6).alias("mean_reciprocal_rank"),
@@ -272,20 +277,16 @@ def _grow(r: int) -> str:
     )
 
 
-_SHORT = "left(text, CASE WHEN (conv_id + turn) % 3 = 0 THEN 30 ELSE 4000 END)"
-
-
 @register(
-    f"""WITH u AS (SELECT 'c' || conv_id AS document_id, turn AS unit_index, {_SHORT} AS raw_text FROM conversations),
+    f"""WITH u AS (SELECT 'c' || conv_id AS document_id, turn AS unit_index, text AS raw_text FROM conversations),
 n AS (SELECT *, {_NEEDY} AS needy, row_number() OVER (PARTITION BY document_id ORDER BY unit_index) AS nth, count(*) OVER (PARTITION BY document_id) AS last FROM u),
 g AS (SELECT *, CASE WHEN NOT ({_grow(1)}) THEN 1 WHEN NOT ({_grow(2)}) THEN 2 ELSE 3 END AS radius FROM n)
 SELECT document_id, unit_index, radius, greatest(nth - radius, 1) AS lo, least(nth + radius, last) AS hi FROM g"""
 )
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adaptive windows in transcripts, a third of whose turns are cut short."""
+    """Adaptive windows in transcripts."""
     t = read(spark, sf_dir, "conversations")
-    cut = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.substring("text", 1, 30)).otherwise(F.substring("text", 1, 4000))
-    u = t.select(F.concat(F.lit("c"), "conv_id").alias("document_id"), F.lit("TRANSCRIPT").alias("document_type"), F.col("turn").alias("unit_index"), cut.alias("raw_text"))
+    u = t.select(F.concat(F.lit("c"), "conv_id").alias("document_id"), F.lit("TRANSCRIPT").alias("document_type"), F.col("turn").alias("unit_index"), F.col("text").alias("raw_text"))
     return R.context_windows(u).select("document_id", "unit_index", "radius", "lo", "hi")
 
 
