@@ -25,6 +25,26 @@ OVERREACH = (
     r"|\bapprove\b|\bfund\s+(?:it|this)\b|\b(?:is|are|now)\s+(?:now\s+)?(?:approved|funded|safe|ready|justified|the\s+right)\b"
     r"|\bstrategic(?:ally)?\b|\bdefinitely\b|\bmakes\s+sense\s+to\b|\bthe\s+right\s+time\b"
 )
+SPECIFIC_VALUE = (
+    r"(?i)\d[\d,.]*\s*(?:%|percent|months?|weeks?|days?|years?|hours?|tonnes?|stores?|articles?)"
+    r"|\b(?:\d[\d,.]*)\b|\b(?:twelve|eighteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred)\b"
+)
+AMBIGUOUS_STANCES = ["PROPOSAL", "ASSUMPTION", "UNCERTAIN", "SUPERSEDED"]
+DATE_SPREAD_DAYS = 90
+DRAFT_MARKER = r"(?i)for (?:your )?(?:signature|signing|review)|please sign|\bdraft\b|proposed wording"
+EXECUTED_WORD = r"(?i)\b(?:signed|executed)\b"
+QUOTED = "[\"\u201c\u201d]"
+DRAFT_NOTE = "The quoted wording is the text sent for signature; the executed document is not in the archive, so it cannot be confirmed as identical."
+PROVISIONAL_NOTE = "The adversarial check of this answer could not be completed; treat it as provisional."
+NO_EVIDENCE_NOTE = "No evidence in the archive matched this question."
+ASKS_RELIABILITY = r"(?i)\b(?:reliab\w*|trustworth\w*|accura\w*|verified|validated|dependable|can we trust)\b"
+RELIABILITY_PROBES = ["does not reconcile", "nobody has checked", "does not match"]
+MAX_BUNDLES, MAX_QUERIES = 2, 3
+MAX_UNIT_CHARS = 1200
+WITHHELD = "Wording withheld: the Radar states only that a blocker may have changed."
+DEFAULT_UNESTABLISHED = "No internal evidence establishes a budget, an owner, or an approval to reopen this idea."
+EXTERNAL_ONLY_UNESTABLISHED = "No internal evidence shows the organization's current position on this idea."
+CHANGED = ["WORTH_REASSESSING", "PARTIALLY_CHANGED"]
 
 
 def query_triggers(query) -> Column:
@@ -37,6 +57,45 @@ def level(triggers) -> Column:
     return F.when(F.size(triggers) == 0, "LOW").when(F.size(triggers) >= 3, "HIGH").otherwise("MEDIUM")
 
 
+def structural_triggers(cases: DataFrame, claims: DataFrame, cited: DataFrame, units: DataFrame) -> DataFrame:
+    """(case_id, triggers): the ordered reasons that an answer's own shape gives.
+
+    cases(case_id, status, later), claims(case_id, claim_id, claim_text, stance, confidence), cited(claim_id, evidence_id, conflict),
+    units(evidence_id, event_date, document_type). Only dates and types of units that exist count.
+    """
+    support = ~F.col("conflict")
+    by_claim = cited.groupBy("claim_id").agg(F.count_distinct(F.when(support, F.col("evidence_id"))).alias("n_support"), F.max("conflict").alias("conflicts"))
+    day, kind = F.when(support, F.to_date("event_date")), F.col("document_type")
+    live = cited.join(units, "evidence_id").groupBy("claim_id").agg(
+        F.datediff(F.max(day), F.min(day)).alias("spread"), F.collect_set(F.when(support, kind)).alias("types"), F.collect_set(F.when(~support, kind)).alias("against")
+    )
+    both = claims.join(by_claim, "claim_id", "left").join(live, "claim_id", "left")
+    any_of = lambda c, name: F.coalesce(F.max(F.coalesce(c, F.lit(False))), F.lit(False)).alias(name)
+    gathered = lambda c, name: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(name)
+    shape = both.groupBy("case_id").agg(
+        any_of(F.col("conflicts"), "conflicted"), any_of(F.col("stance").isin(AMBIGUOUS_STANCES), "ambiguous"), any_of(F.col("confidence") != "HIGH", "unsure"),
+        any_of((F.col("n_support") == 1) & (F.col("stance") != "UNCERTAIN"), "single"), any_of(F.col("claim_text").rlike(SPECIFIC_VALUE), "value"),
+        any_of(F.col("spread") > DATE_SPREAD_DAYS, "wide"), gathered("types", "types"), gathered("against", "against"), F.lit(True).alias("claimed"),
+    )
+    c = cases.join(shape, "case_id", "left")
+    types, against = (F.coalesce(F.col(x), F.array().cast("array<string>")) for x in ("types", "against"))
+    all_types = F.array_union(types, against)
+    reasons = [
+        (F.col("status").isin("CONFLICTING_EVIDENCE", "PARTIALLY_SUPPORTED"), F.concat(F.lit("model status is "), "status")),
+        (F.col("conflicted"), "conflicting evidence was cited"),
+        (F.col("ambiguous"), "stance is ambiguous (proposal, assumption, uncertain, or superseded)"),
+        (F.col("unsure"), "a claim has medium or low confidence"),
+        (F.col("single"), "a claim rests on a single supporting unit"),
+        (F.col("value"), "a claim states a specific value that another source could contradict"),
+        (F.col("later"), "later relevant evidence exists"),
+        (F.col("wide"), "supporting evidence spans materially different dates"),
+        ((F.size(against) > 0) & (F.size(types) > 0) & (against != types), "source types disagree"),
+        (F.array_contains(all_types, "REPORT") & (F.size(all_types) > 1), "a status report is set against other evidence"),
+        (F.col("claimed").isNull(), "no claim was produced"),
+    ]
+    return c.select("case_id", F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), r if not isinstance(r, str) else F.lit(r)) for when, r in reasons])).alias("triggers"))
+
+
 def valid_ids(cited: DataFrame, *known: DataFrame) -> DataFrame:
     """Rows of cited(evidence_id, ...) whose id is in each of the given tables."""
     for table in known:
@@ -45,16 +104,93 @@ def valid_ids(cited: DataFrame, *known: DataFrame) -> DataFrame:
 
 
 def validate_claims(claims: DataFrame, cited: DataFrame, units: DataFrame) -> DataFrame:
-    """claims(claim_id, claim_text, stance, confidence) with cited(claim_id, evidence_id) against units(evidence_id, is_truncated).
+    """claims(case_id, claim_id, claim_text, stance, confidence, uncertainty) with cited(claim_id, evidence_id, conflict) against units(evidence_id, is_truncated, raw_text).
 
-    A claim without text goes, so does one without a live supporting unit, unless it is UNCERTAIN; support
-    that is truncated throughout caps the confidence at LOW.
+    All claims with n_support and n_conflicts (live ids), `kept`, `downgraded`, and the confidence that they may have: a claim without text
+    is not kept, nor is one without a live supporting unit, unless it is UNCERTAIN; support that is truncated throughout caps the
+    confidence at LOW; wording that is quoted as executed from a draft caps it at MEDIUM, with a note.
     """
-    good = cited.distinct().join(units.select("evidence_id", "is_truncated"), "evidence_id")
-    support = good.groupBy("claim_id").agg(F.count("*").alias("n_support"), F.every("is_truncated").alias("cut"))
-    out = claims.withColumn("claim_text", T.clean_prose(F.col("claim_text"))).join(support, "claim_id", "left").withColumn("n_support", F.coalesce("n_support", F.lit(0)))
+    good = cited.distinct().join(units.select("evidence_id", "is_truncated", F.col("raw_text").rlike(DRAFT_MARKER).alias("is_draft")), "evidence_id")
+    support = ~F.col("conflict")
+    found = good.groupBy("claim_id").agg(
+        F.count_if(support).alias("n_support"), F.count_if(F.col("conflict")).alias("n_conflicts"), F.min(F.when(support, F.col("is_truncated"))).alias("cut"), F.max(F.when(support, F.col("is_draft"))).alias("draft")
+    )
+    out = claims.withColumns({"claim_text": T.clean_prose(F.col("claim_text")), "uncertainty": T.clean_prose(F.col("uncertainty"))}).join(found, "claim_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_support", "n_conflicts")})
     kept = (F.coalesce("claim_text", F.lit("")) != "") & ((F.col("n_support") > 0) | (F.col("stance") == "UNCERTAIN"))
-    return out.where(kept).withColumn("confidence", F.when(F.col("cut"), "LOW").otherwise(F.col("confidence"))).drop("cut")
+    draft = F.coalesce(F.col("draft") & F.col("claim_text").rlike(QUOTED) & F.col("claim_text").rlike(EXECUTED_WORD), F.lit(False))
+    low = F.coalesce(F.col("cut"), F.lit(False))
+    confidence = F.when(low, "LOW").when(draft & (F.col("confidence") == "HIGH"), "MEDIUM").otherwise(F.col("confidence"))
+    note = F.when(draft & ~F.coalesce(F.col("uncertainty").contains(DRAFT_NOTE), F.lit(False)), F.concat_ws(" ", F.nullif("uncertainty", F.lit("")), F.lit(DRAFT_NOTE))).otherwise(F.col("uncertainty"))
+    out = out.withColumns({"kept": kept, "downgraded": kept & (confidence != F.col("confidence")), "uncertainty": note}).withColumn("confidence", confidence)
+    return out.drop("cut", "draft")
+
+
+def rejected_ids(cited: DataFrame, *known: DataFrame) -> DataFrame:
+    """The ids of cited(evidence_id, ...) that one of the given tables lacks."""
+    return cited.select("evidence_id").distinct().exceptAll(valid_ids(cited.select("evidence_id").distinct(), *known))
+
+
+def validated_status(cases: DataFrame, validated: DataFrame) -> DataFrame:
+    """cases(case_id, status) with n_claims, dropped, downgraded and the status that the claims that stay allow."""
+    n = validated.groupBy("case_id").agg(F.count_if("kept").alias("n_claims"), F.count_if(~F.col("kept")).alias("dropped"), F.count_if("downgraded").alias("downgraded"), F.count_if(F.col("kept") & (F.col("n_support") > 0)).alias("supported"))
+    out = cases.join(n, "case_id", "left").fillna(0, ["n_claims", "dropped", "downgraded", "supported"])
+    status = F.when(F.col("supported") == 0, "INSUFFICIENT_EVIDENCE").when((F.col("dropped") > 0) & (F.col("status") == "SUPPORTED"), "PARTIALLY_SUPPORTED").otherwise(F.col("status"))
+    return out.withColumn("status", status).drop("supported")
+
+
+def serve(cases: DataFrame, claims: DataFrame, cited: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored cases(case_id, status) as they may be shown now: claims that have lost all support go, and citations of units that no longer live; status, n_claims, n_citations."""
+    good = valid_ids(cited.distinct(), live).groupBy("claim_id").agg(F.count_if(~F.col("conflict")).alias("n_support"), F.count("*").alias("n_cited"))
+    kept = claims.join(good, "claim_id", "left").fillna(0, ["n_support", "n_cited"]).where((F.col("n_support") > 0) | (F.col("stance") == "UNCERTAIN"))
+    n = kept.groupBy("case_id").agg(F.count("*").alias("n_claims"), F.sum("n_cited").alias("n_citations"), F.max(F.col("n_support") > 0).alias("supported"))
+    out = cases.join(n, "case_id", "left").fillna(0, ["n_claims", "n_citations"])
+    return out.withColumn("status", F.when(F.coalesce("supported", F.lit(False)), F.col("status")).otherwise("INSUFFICIENT_EVIDENCE")).drop("supported")
+
+
+def sanitize_review(objections: DataFrame, *known: DataFrame) -> DataFrame:
+    """objections(case_id, n, text, severity, evidence_ids) without ids in prose, without empty ones, and with the ids that each of the given tables has, in order."""
+    rows = objections.withColumn("text", T.clean_prose(F.col("text"))).where(F.coalesce("text", F.lit("")) != "")
+    ids = rows.select("case_id", "n", F.posexplode("evidence_ids").alias("k", "evidence_id"))
+    good = valid_ids(ids, *known).groupBy("case_id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "evidence_id"))), lambda x: x["evidence_id"]).alias("good"))
+    return rows.join(good, ["case_id", "n"], "left").withColumn("evidence_ids", F.coalesce("good", F.array().cast(rows.schema["evidence_ids"].dataType))).drop("good")
+
+
+def provisional(claims: DataFrame, cases: DataFrame) -> DataFrame:
+    """claims(case_id, confidence, ...) joined with cases(case_id, status, reviewed): where the review did not finish, no confidence is HIGH, no status SUPPORTED, and `missing` says so."""
+    open_ = ~F.coalesce("reviewed", F.lit(False))
+    return claims.join(cases, "case_id").withColumns(
+        {
+            "confidence": F.when(open_ & (F.col("confidence") == "HIGH"), "MEDIUM").otherwise(F.col("confidence")),
+            "status": F.when(open_ & (F.col("status") == "SUPPORTED"), "PARTIALLY_SUPPORTED").otherwise(F.col("status")),
+            "missing": F.when(open_, F.lit(PROVISIONAL_NOTE)),
+        }
+    )
+
+
+def short_circuit(cases: DataFrame, visible: DataFrame) -> DataFrame:
+    """The answers of cases(case_id, ...) for which visible(case_id, ...) has no unit: no model is asked."""
+    return cases.join(visible, "case_id", "left_anti").select("case_id", F.lit("INSUFFICIENT_EVIDENCE").alias("status"), F.lit(NO_EVIDENCE_NOTE).alias("missing"))
+
+
+def skeptic_plan(query, terms, bundles) -> Column:
+    """The bundles array<struct<strategy, queries>> to be searched: MAX_BUNDLES with MAX_QUERIES each; where a question of reliability has no bundle for it, one of the topic's terms and fixed probes takes the last place."""
+    topic = F.trim(F.array_join(F.slice(terms, 1, 2), " "))
+    has = F.exists(bundles, lambda b: F.upper(b["strategy"]) == "SOURCE_RELIABILITY")
+    probe = F.struct(F.lit("SOURCE_RELIABILITY").alias("strategy"), F.transform(F.array(*map(F.lit, RELIABILITY_PROBES)), lambda p: F.concat(topic, F.lit(" "), p)).alias("queries"))
+    planned = F.when(query.rlike(ASKS_RELIABILITY) & ~has & (topic != ""), F.concat(F.slice(bundles, 1, MAX_BUNDLES - 1), F.array(probe))).otherwise(F.slice(bundles, 1, MAX_BUNDLES))
+    return F.transform(planned, lambda b: F.struct(b["strategy"].alias("strategy"), F.slice(F.filter(F.transform(b["queries"], lambda q: F.trim(q)), lambda q: q != ""), 1, MAX_QUERIES).alias("queries")))
+
+
+def evidence_line(marker, evidence_id, when, who, text, truncated) -> Column:
+    """A unit as the reasoner sees it; texts longer than MAX_UNIT_CHARS are cut, and say so."""
+    text = F.trim(text)
+    shown = F.when(F.length(text) > MAX_UNIT_CHARS, F.concat(F.left(text, F.lit(MAX_UNIT_CHARS)), F.lit(" [cut for length]"))).otherwise(text)
+    return F.concat(marker, F.lit("["), evidence_id, F.lit("] "), F.coalesce(when, F.lit("")), F.lit(" | "), F.coalesce(who, F.lit("unknown")), F.lit(": "), shown, F.when(truncated, F.lit(" [TRUNCATED IN SOURCE]")).otherwise(""))
+
+
+def marker(new, hit, later) -> Column:
+    return F.when(new, "!").when(hit, "*").when(later, "+").otherwise(" ")
 
 
 def usage(cited: DataFrame) -> DataFrame:
@@ -75,9 +211,24 @@ def seven_checks(checks: DataFrame) -> DataFrame:
     return out.withColumn("vetoed", F.coalesce(F.col("check").isin(1, 7) & F.col("answered") & ~F.col("passed"), F.lit(False)))
 
 
+def bounded(text) -> Column:
+    """A card's wording, or that it was withheld where it says more than that a blocker may have changed."""
+    return F.when(F.lower(text).rlike(OVERREACH), F.lit(WITHHELD)).otherwise(text)
+
+
+def missing_information(unestablished, checks, assessment, internal, signals) -> Column:
+    """The distinct lines of what is not established: those of the model that don't overreach, the checks array<struct<check, answered, note>> without an answer, and what a changed assessment leaves open."""
+    given = F.filter(unestablished, lambda x: (F.coalesce(x, F.lit("")) != "") & ~F.lower(x).rlike(OVERREACH))
+    unanswered = F.transform(F.filter(checks, lambda c: ~c["answered"]), lambda c: F.trim(F.concat(F.lit("Skeptic check "), c["check"].cast("string"), F.lit(" could not be answered: "), F.coalesce(c["note"], F.lit("")))))
+    lines = F.concat(given, unanswered)
+    changed = assessment.isin(CHANGED)
+    default = F.when(changed & ~F.exists(lines, lambda x: x.rlike("(?i)budget|owner|approv")), F.lit(DEFAULT_UNESTABLISHED))
+    outside = F.when(changed & ~internal & signals, F.lit(EXTERNAL_ONLY_UNESTABLISHED))
+    return F.array_distinct(F.concat(lines, F.array_compact(F.array(default, outside))))
+
+
 def guard(assessment, receipts, failed_4, failed_6) -> Column:
     """The assessment that may be shown, by ordered downgrades."""
-    changed = ["WORTH_REASSESSING", "PARTIALLY_CHANGED"]
-    a = F.when(assessment.isin(changed) & ~receipts, "INSUFFICIENT_EVIDENCE").otherwise(assessment)
+    a = F.when(assessment.isin(CHANGED) & ~receipts, "INSUFFICIENT_EVIDENCE").otherwise(assessment)
     b = F.when((a == "WORTH_REASSESSING") & failed_4, "PARTIALLY_CHANGED").otherwise(a)
-    return F.when(b.isin(changed) & failed_6, "STILL_BLOCKED").otherwise(b)
+    return F.when(b.isin(CHANGED) & failed_6, "STILL_BLOCKED").otherwise(b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, rules, search
+from . import claims, evidence, rules, search
 
-QUERIES = {**search.QUERIES, **evidence.QUERIES, **rules.QUERIES}
-SQL = {**search.SQL, **evidence.SQL, **rules.SQL}
+QUERIES = {**search.QUERIES, **evidence.QUERIES, **rules.QUERIES, **claims.QUERIES}
+SQL = {**search.SQL, **evidence.SQL, **rules.SQL, **claims.SQL}

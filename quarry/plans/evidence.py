@@ -264,7 +264,7 @@ def mention_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- receipts -------------------------------------------------------------------------------
 
 #: A claim for each assistant turn; it cites the turn before, the turn after, and an id that exists nowhere.
-CLAIMS_SQL = """claims AS (SELECT conv_id * 100 + turn AS claim_id, CASE WHEN turn % 4 = 3 THEN 'EV-' || conv_id ELSE left(text, 60) || ' [EV-c' || conv_id || '-' || turn || '] end' END AS claim_text,
+CLAIMS_SQL = """claims AS (SELECT conv_id * 100 + turn AS claim_id, CASE WHEN turn % 4 = 3 THEN 'EV-' || conv_id ELSE text || ' [EV-c' || conv_id || '-' || turn || '] end' END AS claim_text,
   CASE WHEN conv_id % 6 = 0 THEN 'UNCERTAIN' ELSE 'DECISION' END AS stance, CASE conv_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, conv_id, turn FROM conversations WHERE role = 'assistant'),
 cited AS (SELECT claim_id, conv_id * 100 + turn - 1 - CASE WHEN conv_id % 4 = 0 THEN 50 ELSE 0 END AS evidence_id FROM claims UNION ALL SELECT claim_id, conv_id * 100 + turn + 1 - CASE WHEN conv_id % 4 = 0 THEN 50 ELSE 0 END FROM claims UNION ALL SELECT claim_id, -claim_id - 1 FROM claims),
 live AS (SELECT conv_id * 100 + turn AS evidence_id, conv_id % 5 = 0 AS is_truncated FROM conversations)"""
@@ -273,7 +273,7 @@ live AS (SELECT conv_id * 100 + turn AS evidence_id, conv_id % 5 = 0 AS is_trunc
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = read(spark, sf_dir, "conversations")
     key = F.col("conv_id") * 100 + F.col("turn")
-    said = F.concat(F.left("text", F.lit(60)), F.lit(" [EV-c"), F.col("conv_id"), F.lit("-"), F.col("turn"), F.lit("] end"))
+    said = F.concat(F.col("text"), F.lit(" [EV-c"), F.col("conv_id"), F.lit("-"), F.col("turn"), F.lit("] end"))
     claims = t.where("role = 'assistant'").select(
         key.alias("claim_id"), F.when(F.col("turn") % 4 == 3, F.concat(F.lit("EV-"), "conv_id")).otherwise(said).alias("claim_text"), F.when(F.col("conv_id") % 6 == 0, "UNCERTAIN").otherwise("DECISION").alias("stance"),
         F.when(F.col("conv_id") % 3 == 0, "HIGH").when(F.col("conv_id") % 3 == 1, "MEDIUM").otherwise("LOW").alias("confidence"), "conv_id",
@@ -290,26 +290,10 @@ def valid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts.valid_ids(cited, live, live.where("evidence_id % 7 <> 0")).select("claim_id", "evidence_id")
 
 
-@register(
-    rf"""WITH {CLAIMS_SQL}, s AS (SELECT claim_id, count(*) AS n_support, bool_and(is_truncated) AS cut FROM (SELECT DISTINCT * FROM cited) JOIN live USING (evidence_id) GROUP BY claim_id),
-c AS (SELECT claim_id, trim(regexp_replace(regexp_replace(claim_text, '\s*\[?\bEV-[^\s\]\[,;)]+\]?', '', 'g'), '\s{{2,}}', ' ', 'g')) AS claim_text, stance, confidence FROM claims)
-SELECT claim_id, claim_text, stance, CASE WHEN cut THEN 'LOW' ELSE confidence END AS confidence, coalesce(n_support, 0) AS n_support FROM c LEFT JOIN s USING (claim_id) WHERE claim_text <> '' AND (n_support > 0 OR stance = 'UNCERTAIN')"""
-)
-def validate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receipts.validate_claims(*_claims(spark, sf_dir))
-
-
-@register(f"WITH {CLAIMS_SQL} SELECT claim_id, count(DISTINCT evidence_id) AS n_live FROM (SELECT claim_id, evidence_id FROM cited WHERE evidence_id IN (SELECT evidence_id FROM live WHERE evidence_id % 3 <> 0)) GROUP BY claim_id")
-def serve_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation again at serving time, against the units that still live."""
-    _, cited, live = _claims(spark, sf_dir)
-    return receipts.valid_ids(cited, live.where("evidence_id % 3 <> 0")).groupBy("claim_id").agg(F.count_distinct("evidence_id").alias("n_live"))
-
-
-@register(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(left(text, 50) || ' [EV-x' || turn || '-1],  see EV-abc; ' || right(text, 20), '\s*\[?\bEV-[^\s\]\[,;)]+\]?', '', 'g'), '\s{2,}', ' ', 'g')) AS prose FROM conversations")
+@register(r"SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(text || ' [EV-x' || turn || '-1],  see EV-abc; ' || text, '\s*\[?\bEV-[^\s\]\[,;)]+\]?', '', 'g'), '\s{2,}', ' ', 'g'))) AS prose_md5 FROM conversations")
 def clean_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.left("text", F.lit(50)), F.lit(" [EV-x"), F.col("turn"), F.lit("-1],  see EV-abc; "), F.right("text", F.lit(20)))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_prose(text).alias("prose"))
+    text = F.concat("text", F.lit(" [EV-x"), F.col("turn"), F.lit("-1],  see EV-abc; "), "text")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.clean_prose(text)).alias("prose_md5"))
 
 
 @register(
@@ -373,10 +357,10 @@ def radar_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", shown.alias("assessment"))
 
 
-@register("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON s_nationkey % 5 = 0 OR s_nationkey = p_size % 25 WHERE p_partkey % 7 = 0")
+@register("WITH s AS (SELECT s_suppkey, unnest(CASE WHEN s_nationkey % 5 = 0 THEN range(0, 25) ELSE [s_nationkey] END) AS category FROM supplier) SELECT p_partkey, s_suppkey FROM part JOIN s ON category = p_size % 25")
 def signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals without a category go with every candidate, the others with their category's."""
-    p = read(spark, sf_dir, "part").where("p_partkey % 7 = 0").select("p_partkey", (F.col("p_size") % 25).alias("category"))
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("category"))
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") % 5 == 0, F.sequence(F.lit(0), F.lit(24))).otherwise(F.array("s_nationkey")).alias("categories"))
     return p.join(s.select("s_suppkey", F.explode("categories").alias("category")), "category").select("p_partkey", "s_suppkey")
 

@@ -69,28 +69,6 @@ def radar_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.where("a > 0 AND n > 0 AND r > 0")
 
 
-@register(
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND role = 'assistant' AND conv_id % 2 = 0 THEN 'MEDIUM' WHEN conv_id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS confidence,
-CASE WHEN turn % 3 = 0 AND role = 'assistant' THEN 'PROVISIONAL' ELSE 'REVIEWED' END AS review FROM conversations"""
-)
-def provisional_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without a finished review no claim stays at high confidence."""
-    open_ = (F.col("turn") % 3 == 0) & (F.col("role") == "assistant")
-    given = F.when(F.col("conv_id") % 2 == 0, "HIGH").otherwise("LOW")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(open_ & (given == "HIGH"), "MEDIUM").otherwise(given).alias("confidence"), F.when(open_, "PROVISIONAL").otherwise("REVIEWED").alias("review"))
-
-
-@register(
-    """WITH t AS (SELECT conv_id, list(left(text, 20) ORDER BY turn) AS q, bool_or(regexp_matches(lower(text), '(reli|trust|only)')) AS asks FROM conversations GROUP BY conv_id)
-SELECT conv_id, array_to_string(q[1:3], '|') AS first_bundle, CASE WHEN asks THEN 'SOURCE_RELIABILITY' ELSE array_to_string(q[4:6], '|') END AS second_bundle FROM t"""
-)
-def skeptic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two bundles of three queries at most; a question of reliability takes the place of the last."""
-    g = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("q")))).alias("t"), F.max(F.lower("text").rlike("(reli|trust|only)")).alias("asks"))
-    q = F.transform("t", lambda x: x["q"])
-    return g.select("conv_id", F.array_join(F.slice(q, 1, 3), "|").alias("first_bundle"), F.when(F.col("asks"), "SOURCE_RELIABILITY").otherwise(F.array_join(F.slice(q, 4, 3), "|")).alias("second_bundle"))
-
-
 _FENCED = "CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN props ELSE left(props, 3) END"
 
 
