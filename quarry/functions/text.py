@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ PLACEHOLDERS = [r"(?i)\[Image removed by sender\]", r"(?i)\[cid:[^\]]*\]", r"(?i
 PROSE_ID = r"\s*\[?\bEV-[^\s\]\[,;)]+\]?"
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
+#: Latin letters with marks, and the plain letters that they decompose into (ø too, which has no decomposition).
+LETTERS = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFKD", c)[0].isascii() and unicodedata.normalize("NFKD", c)[0].isalpha() and len([x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]) == 1} | {"ø": "o", "Ø": "O"}
+
 WORD = r"([\p{L}\p{N}]+)"
 
 
@@ -61,6 +65,10 @@ def fold_accents(text) -> Column:
     return F.translate(F.lower(text), *ACCENTS)
 
 
+def without_marks(text) -> Column:
+    return F.translate(text, "".join(LETTERS), "".join(LETTERS.values()))
+
+
 def index_tokens(text) -> Column:
     return F.regexp_extract_all(fold_accents(text), F.lit(WORD), F.lit(1))
 

@@ -23,15 +23,16 @@ def merge_turns(fragments: DataFrame) -> DataFrame:
     )
 
 
-def reuse_locators(parsed: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The k-th occurrence of a fingerprint in parsed(document_id, position, fingerprint) takes the locator of the k-th live row of manifest(document_id, genesis_position, fingerprint, source_locator).
+def reuse_locators(parsed: DataFrame, manifest: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """The k-th occurrence of a fingerprint in parsed(document_id, position, fingerprint) takes the locator of the k-th row of manifest(document_id, genesis_position, fingerprint, source_locator).
 
-    The rest get u0000-style locators counted on from the manifest's highest position.
+    The rest get u0000-style locators counted on from the highest position of `every` row of the manifest, revoked ones too
+    (by default the manifest itself), so that none is given twice.
     """
     nth = lambda order: F.row_number().over(W.partitionBy("document_id", "fingerprint").orderBy(order))
     old = manifest.withColumn("k", nth("genesis_position")).select("document_id", "fingerprint", "k", "source_locator")
     met = parsed.withColumn("k", nth("position")).join(old, ["document_id", "fingerprint", "k"], "left")
-    high = manifest.groupBy("document_id").agg(F.max("genesis_position").alias("high"))
+    high = (manifest if every is None else every).groupBy("document_id").agg(F.max("genesis_position").alias("high"))
     fresh = met.where("source_locator IS NULL").join(high, "document_id", "left")
     number = F.coalesce("high", F.lit(-1)) + F.row_number().over(W.partitionBy("document_id").orderBy("position"))
     fresh = fresh.select("document_id", "position", F.format_string("u%04d", number.cast("long")).alias("source_locator"), F.lit(True).alias("minted"))
@@ -46,14 +47,33 @@ def revoke(manifest: DataFrame, locators: DataFrame, when: str) -> DataFrame:
 
 
 def remap(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(document_id, old_fingerprint, new_fingerprint) of rows changed by a rewrite, aligned by position; a missing partner raises."""
+    """(document_id, old_fingerprint, new_fingerprint) of rows changed by a rewrite, aligned by position; a missing partner raises when the result is read."""
     both = old.withColumnRenamed("fingerprint", "old_fingerprint").join(new.withColumnRenamed("fingerprint", "new_fingerprint"), ["document_id", "position"], "full")
-    lone = both.where("old_fingerprint IS NULL OR new_fingerprint IS NULL").select("document_id").first()
-    if lone:
-        raise ValueError(f"rewrite changed the number of units of {lone.document_id}")
+    problem = F.raise_error(F.concat(F.lit("rewrite changed the number of units of "), F.col("document_id").cast("string")))
+    both = both.withColumn("old_fingerprint", F.when(F.col("old_fingerprint").isNull() | F.col("new_fingerprint").isNull(), problem).otherwise(F.col("old_fingerprint")))
     return both.where("old_fingerprint <> new_fingerprint").select("document_id", "old_fingerprint", "new_fingerprint")
 
 
+def live(manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest that are not revoked."""
+    return manifest.where("revoked_at IS NULL")
+
+
+def natural_locators(parsed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(document_id, position, source_locator, minted) for parsed(document_id, position, natural_locator): a natural locator is its own; minted where manifest(document_id, source_locator, revoked_at) lacks it, and an error if it was revoked."""
+    old = manifest.select("document_id", F.col("source_locator").alias("natural_locator"), F.lit(True).alias("known"), F.col("revoked_at").isNotNull().alias("revoked")).distinct()
+    both = parsed.join(old, ["document_id", "natural_locator"], "left")
+    locator = F.when(F.col("revoked"), F.raise_error(F.concat(F.lit("revoked locator "), F.col("natural_locator")))).otherwise(F.col("natural_locator"))
+    return both.select("document_id", "position", locator.alias("source_locator"), F.col("known").isNull().alias("minted"))
+
+
+def assign_locators(parsed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Locators of parsed(document_id, position, natural_locator, fingerprint): natural ones by themselves, the rest by their fingerprints among the live rows of manifest(document_id, source_locator, genesis_position, fingerprint, revoked_at)."""
+    own = natural_locators(parsed.where("natural_locator IS NOT NULL"), manifest)
+    rest = parsed.where("natural_locator IS NULL").select("document_id", "position", "fingerprint")
+    return own.union(reuse_locators(rest, live(manifest).select("document_id", "genesis_position", "fingerprint", "source_locator"), manifest))
+
+
 def reusable(stash: DataFrame, units: DataFrame) -> DataFrame:
     """Rows of stash(evidence_id, text_hash, ...) whose unit still has the same text."""
     return stash.join(units.select("evidence_id", "text_hash"), ["evidence_id", "text_hash"], "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import claims, evidence, rules, search
+from . import claims, evidence, ingest, rules, search
 
-QUERIES = {**search.QUERIES, **evidence.QUERIES, **rules.QUERIES, **claims.QUERIES}
-SQL = {**search.SQL, **evidence.SQL, **rules.SQL, **claims.SQL}
+QUERIES = {**search.QUERIES, **evidence.QUERIES, **rules.QUERIES, **claims.QUERIES, **ingest.QUERIES}
+SQL = {**search.SQL, **evidence.SQL, **rules.SQL, **claims.SQL, **ingest.SQL}

@@ -25,8 +25,6 @@ SECTIONS = ["Timeline", "Risk", "Question", "Topics worked on last week", "Topic
 FIELDS = ["Meeting", "Customer", "Date", "Phase", "Attendees"]
 KINDS = {"transcripts": "TRANSCRIPT", "emails": "EMAIL", "reports": "REPORT"}
 
-_MARKS = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
-
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, document_type, text) of the .txt files in the folders that hold evidence."""
@@ -43,7 +41,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def name_key(name) -> Column:
     """Lower case without marks, letter for letter."""
-    return F.translate(F.lower(name), *_MARKS)
+    return T.without_marks(F.lower(name))
 
 
 def transcripts(docs: DataFrame) -> DataFrame:
@@ -114,7 +112,7 @@ def messages(docs: DataFrame) -> DataFrame:
     label = F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair])[F.col("label")]
     heads = u.where("is_header AND run_from IS NOT NULL").groupBy("document_id", F.col("run_from").alias("message"), label.alias("k")).agg(F.max_by("value", "pos").alias("v"))
     heads = heads.groupBy("document_id", "message").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("header"))
-    body = u.where("message IS NOT NULL AND pos > ends").groupBy("document_id", "message").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n").alias("body"))
+    body = u.where("message IS NOT NULL AND pos > ends AND NOT (is_header AND run_from IS NOT NULL)").groupBy("document_id", "message").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n").alias("body"))
     out = heads.join(body, ["document_id", "message"], "left").withColumn("idx", F.row_number().over(W.partitionBy("document_id").orderBy("message")) - 1)
     sender, date = F.coalesce(F.col("header")["From"], F.lit("")), F.coalesce(F.col("header")["Date"], F.col("header")["Sent"], F.lit(""))
     both = r"^(.*?)\s*<([^>]+)>\s*$"
@@ -149,3 +147,23 @@ def reports(docs: DataFrame) -> DataFrame:
     out = p.select("*", F.posexplode(units).alias("k", "raw_text")).where("raw_text <> ''").join(subject, "document_id")
     context = F.when(F.col("label") == "", F.col("subject")).otherwise(F.concat_ws(" — ", "subject", "label"))
     return out.select("document_id", F.struct("idx", "paragraph", "k").alias("position"), F.col("sender_name").alias("speaker_sender"), "sender_email", "event_date", context.alias("thread_context"), "raw_text", T.is_truncated(F.col("raw_text")).alias("is_truncated"))
+
+
+def assemble(units: DataFrame, documents: DataFrame) -> DataFrame:
+    """Parsed units(document_id, position, event_date, thread_context, ...) as evidence: numbered from 0 in their document, with its date and title (documents(document_id, document_date, title)) where a unit has none of its own."""
+    nth = F.row_number().over(W.partitionBy("document_id").orderBy("position")) - 1
+    both = units.withColumn("unit_index", nth).join(documents.select("document_id", "document_date", "title"), "document_id", "left")
+    return both.withColumns({"event_date": F.coalesce("event_date", "document_date"), "thread_context": F.coalesce("thread_context", "title")}).drop("document_date", "title", "position")
+
+
+def record_boundaries(known: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(document_id, position, starts_group): what was recorded first stays, whatever a later parse says."""
+    new = parsed.select("document_id", "position", F.col("starts_group").alias("_new"))
+    both = known.select("document_id", "position", "starts_group").join(new, ["document_id", "position"], "full")
+    return both.select("document_id", "position", F.coalesce("starts_group", "_new").alias("starts_group"))
+
+
+def ingest_report(units: DataFrame) -> DataFrame:
+    """Counters by document type: documents, units, units without a named speaker, truncated units."""
+    nobody = F.col("speaker_sender").isNull() | T.is_non_person(F.col("speaker_sender"))
+    return units.groupBy("document_type").agg(F.count_distinct("document_id").alias("n_documents"), F.count("*").alias("n_units"), F.count_if(nobody).alias("n_anonymous"), F.count_if("is_truncated").alias("n_truncated"))
