@@ -10,8 +10,9 @@ copy each document into each region. Regions are therefore seeded first, without
 1. Equal sets collapse into one node, whatever number of documents has them.
 2. Linked sets share shingles among the first of each set in any one order; the order takes long
    shingles first and shingles frequent in a sample last. Sets that meet on as many shingles of at
-   most CAP sets each as linked ones must are paired. For pairs whose common shingles are all more frequent than that, sets are
-   split into more hash classes than a linked pair can differ in; equal classes meet by aggregation.
+   most CAP sets each as linked ones must are paired. Sets whose common shingles may all be more frequent than that are
+   cut into more hash classes than linked sets of their size can differ in, so that linked sets have whole classes, large ones among them, in
+   common; each sends a key for each class, as many as its size asks for, however many sets share them. Equal classes meet by aggregation.
 3. Counts by hash class are a contraction of the metric: pairs whose counts are too far apart to
    be linked go. Connected candidates form a region.
 4. Inside a region pivots are compared with everything, the most central first; what links to a
@@ -53,6 +54,8 @@ RULE = Rule()
 CAP = 48
 #: One document in SAMPLE is looked at for frequent shingles: at most MAX_FREQUENT of those in FREQUENT of them or more.
 SAMPLE, FREQUENT, MAX_FREQUENT = 16, 1 / 2000, 1 << 18
+#: Shingles from which on a class is large; the sizes of a level of classes differ by the power LEVEL of what linked sets may differ by.
+HEAVY, LEVEL = 3, 2
 #: Hash classes whose counts are compared.
 CLASSES = 64
 #: Sets that a task compares among each other; pivots of a larger region; outside sets that go to a chunk at once.
@@ -169,8 +172,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
 
 
 def most_apart(n, rule: Rule):
-    """Shingles in just one of two linked sets with n shingles together."""
-    return n - 2 * -(-rule.percent * n // (100 + rule.percent))
+    """At most so many shingles are in just one of two linked sets with n shingles together."""
+    return (100 - rule.percent) * n // (100 + rule.percent)
 
 
 def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -182,29 +185,57 @@ def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
         yield batch.select([0, 1]).filter(pa.array(apart <= most_apart(counts[0].sum(1) + counts[1].sum(1), rule)))
 
 
+def size_levels(largest: int, rule: Rule) -> np.ndarray:
+    """The sizes at which levels begin: sizes of linked sets are in the same level or in neighbouring ones."""
+    begins = [1]
+    while begins[-1] <= largest:
+        begins.append(int(begins[-1] * (100 / rule.percent) ** LEVEL) + 1)
+    return np.array(begins)
+
+
+def class_keys(first: np.ndarray, g: np.ndarray, n: np.ndarray, rule: Rule, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): for each set a key for the content of each of its classes, in its own size level, and in the next one where a linked set may be there.
+
+    Linked sets differ in `apart` classes at most and have `spare` + 1 or more alike. A set with at most
+    `spare` classes of under HEAVY shingles therefore leaves those out: it has a large class in common with each set it links to.
+    """
+    begins = size_levels(int(n.max(initial=1)) * 200 // rule.percent, rule)
+    apart = most_apart(2 * (begins[1:] - 1), rule)
+    spare = apart // 8 + 3
+    many = apart + 1 + spare
+    own = mix(g ^ U(0x51ED270B + seed))
+    content = mix(own)
+    row = np.repeat(np.arange(len(n)), n)
+    level = np.searchsorted(begins, n, "right") - 1
+    reach = np.searchsorted(begins, n * 100 // rule.percent, "right") - 1
+    out = []
+    for here, some in ((level, n > 0), (level + 1, (n > 0) & (reach > level))):
+        if not some.any():
+            continue
+        m = np.where(some, many[np.minimum(here, len(many) - 1)], 0)
+        offset = np.cumsum(m) - m
+        entry = some[row]
+        at = offset[row[entry]] + ((own[entry] >> U(33)) % m[row[entry]].astype(U)).astype(np.int64)
+        sums, size = np.zeros(m.sum(), U), np.bincount(at, minlength=m.sum())
+        np.add.at(sums, at, content[entry])
+        who = np.repeat(np.arange(len(n)), m)
+        light = m - np.bincount(who, size >= HEAVY, len(n)).astype(np.int64)
+        empty = m - np.bincount(who, size > 0, len(n)).astype(np.int64)
+        limit = np.where(some, spare[np.minimum(here, len(spare) - 1)], 0)
+        named = np.flatnonzero(size >= np.where(light <= limit, HEAVY, 1)[who])
+        tag = (named - offset[who[named]]).astype(U) * U(0xA0761D6478BD642F) + here[who[named]].astype(U) * U(0x9E3779B97F4A7C15)
+        out.append((who[named], mix(sums[named] + tag)))
+        bare = np.flatnonzero(some & (empty > limit))  # such sets also meet each other: what they have in common may be empty classes
+        out.append((bare, mix(here[bare].astype(U) + U(0xE7037ED1A0B428DB))))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
 def _class_keys(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Of each set, a key for the content of each hash class, for both size ranges in which it may have a partner."""
-    ratio = np.log(100 / rule.percent)
     for part, (first, g, _, n) in _parts(batches, rule):
-        ids = part.column(0).to_numpy()
-        keys, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(n):
-            own = mix(g[first[i] : first[i] + n[i]] ^ U(0x51ED270B))
-            k = int(np.log(n[i]) / ratio + 1e-9)
-            for level in (k, k + 1):
-                apart = int(most_apart(2 * int(np.ceil(np.exp(ratio * (level + 1)) + 1)), rule))
-                spare = apart // 16 + 2
-                m = apart + 1 + spare
-                sums = np.zeros(m, U)
-                group = (own >> U(33)) % U(m)
-                np.add.at(sums, group.astype(np.int64), mix(own))
-                full = np.flatnonzero(np.bincount(group.astype(np.int64), minlength=m))
-                tag = full if m - len(full) <= spare else np.append(full, m)  # too many empty classes: such sets also meet each other
-                found = mix(np.append(sums, U(0))[tag] + tag.astype(U) * U(0xA0761D6478BD642F) + U(level * 0x9E3779B1))
-                keys.append(found)
-                owner.append(np.full(len(found), ids[i]))
-        keys, owner = np.concatenate(keys), np.concatenate(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owner)], ["key", "a"])
+        row, key = class_keys(first, g, n, rule)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row))], ["key", "a"])
 
 
 def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray | None = None, rule: Rule = RULE) -> list[tuple[int, int]]:
@@ -286,7 +317,8 @@ def similar(docs: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
         return links
     # Pivots of large regions: the sets that most others met, to every chunk; then all outside the main component.
     degree = edges.select(F.col("x").alias("a")).union(edges.select("y")).groupBy("a").agg(F.count("*").alias("degree"))
-    best = large.join(degree, "a").withColumn("k", F.row_number().over(W.partitionBy("component").orderBy(F.desc("degree"), "a"))).where(F.col("k") <= PIVOTS)
+    best = large.join(degree, "a").groupBy("component", F.pmod(F.xxhash64("a"), F.lit(PIVOTS)).alias("k")).agg(F.max(F.struct("degree", "a"))["a"].alias("a"))
+    best = large.join(best.select("a"), "a", "left_semi")
     first = materialise(links.union(_sent(large, best, rule)))
     label = components(first, "x", "y").withColumnRenamed("component", "label")
     state = large.select("component", "a").join(label, F.col("a") == F.col("node"), "left").select("component", "a", F.coalesce("label", "a").alias("label"))

@@ -110,11 +110,28 @@ def test_exact_dedup(docs, empty):
         keep = min(ids, key=lambda i: (-len(TEXTS[i]), i))
         want |= {i: (keep, len(ids), i == keep, sha(text)) for i in ids}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()} == want
-    small = {r.doc_id: r.group_id for r in exact_dedup.radix_groups(docs.select("doc_id", "text"), 2, 3).distinct().collect()}
+    small = {r.id: r.group_id for r in exact_dedup.radix_groups(docs.select("doc_id", "text"), 2, 3).distinct().collect()}
     assert small == {i: min(ids) for ids in groups.values() if len(ids) > 1 for i in ids}
     assert exact_dedup.exact_dedup(empty).collect() == []
 
 
+def test_exact_dedup_null_and_repeated_ids(spark):
+    rows = [(5, "alpha beta"), (5, "gamma delta"), (7, "gamma delta"), (None, "gamma  delta "), (None, "one"), (None, "one"), (9, "two"), (9, "two"), (None, None), (3, "")]
+    got = sorted(map(str, exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_sha256").collect()))
+    row = "Row(doc_id={}, keep_id={}, group_size={}, kept={})".format
+    want = [row(5, 5, 1, True), row(5, None, 3, False), row(7, None, 3, False), row(None, None, 3, True)] + [row(None, None, 2, True)] * 2 + [row(9, 9, 2, True)] * 2 + [row(None, 3, 2, False), row(3, 3, 2, True)]
+    assert got == sorted(want)
+
+
+def test_exact_dedup_large_groups(docs, monkeypatch):
+    from llm import tables
+
+    want = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
+    for share in (0.0, 1.0):  # all groups are broadcast, none is
+        monkeypatch.setattr(tables, "HOT", share)
+        assert sorted(map(str, exact_dedup.exact_dedup(docs).collect())) == want
+
+
 def similar():
     sets = {}
     for i, t in TEXTS.items():
@@ -178,6 +195,21 @@ def test_jaccard_other_rules(docs, shingle, percent):
     assert got == {i: (len(found[i]), label[i]) for i in found}
 
 
+@pytest.mark.parametrize("shingle, percent", [(4, 85), (5, 80), (2, 50)])
+def test_jaccard_linked_sets_share_a_class(shingle, percent):
+    rule = jaccard_join.Rule(shingle, percent)
+    g = np.random.default_rng(shingle)
+    for n in [*range(1, 40), *range(40, 2000, 61)]:
+        x = np.unique(g.integers(1, 1 << 62, n)).astype(np.uint64)
+        for gone in {0, 1, len(x) * (100 - percent) // 100, len(x) * (100 - percent) // 200}:
+            y = np.unique(np.concatenate((g.permutation(x)[: len(x) - gone], g.integers(1, 1 << 62, gone // 2).astype(np.uint64))))
+            linked = 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+            size = np.array([len(x), 0, len(y)])
+            row, key = jaccard_join.class_keys(np.array([0, len(x), len(x)]), np.concatenate((x, y)), size, rule)
+            assert set(row.tolist()) <= {0, 2} and len(row) <= 2 * (len(x) + len(y)) + 40
+            assert not linked or set(key[row == 0].tolist()) & set(key[row == 2].tolist()), (n, gone)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(5, 40), (1, 2), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
@@ -196,6 +228,19 @@ def test_quality(docs, empty):
         inside = {j for k in range(len(w) - 7) if count[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
         failed = len(w) < 20 or 100 * len(inside) > 30 * len(w)
         r = got[i]
+        chars, dup_line, over = sum(map(len, w)), 0, False
+        for n, share in quality.COVERAGE.items():
+            count = collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+            covered = sum(len(w[j]) for j in {j for k in range(len(w) - n + 1) if count[tuple(w[k : k + n])] > 1 for j in range(k, k + n)})
+            assert r[f"dup_chars_{n}"] == covered
+            over |= covered > share * chars
+        seen = set()
+        for line in t.split("\n"):
+            dup_line += sum(map(len, split(line))) * (line in seen)
+            seen.add(line)
+        assert r.dup_line_chars == dup_line
+        over |= dup_line > quality.LINE_COVERAGE * chars or len(re.findall(r"[#*$%&|<>]", t)) > quality.SYMBOLS_PER_WORD * len(w)
+        assert r.kept == (not failed and not over)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(inside), failed)
         assert not (failed and r.kept)
     kept = quality.keep_rows(docs)
@@ -203,26 +248,34 @@ def test_quality(docs, empty):
     assert quality.measure(empty).collect() == []
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("spare", [False, True])
+def test_line_dedup(docs, empty, spare):
     sites = collections.defaultdict(set)
     for r in ROWS:
         for line in (r[1] or "").split("\n"):
             sites[line].add(r[3] or "")
-    got = {r.doc_id: r for r in line_dedup.line_dedup(docs, 5).collect()}
-    removed = 0
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs, 5, spare).collect()}
+    removed = spared = 0
     for r in ROWS:
         lines = (r[1] or "").split("\n")
         full = [x for x in lines if split(x)]
-        gone = {x for x in full if len(sites[x]) >= 5}
-        if sum(len(x) for x in full if x in gone) > 0.5 * sum(map(len, full)):
-            gone = set()
+        gone = [x for x in full if len(sites[x]) >= 5]
+        if spare and gone and (len(gone) == len(full) or len(gone) >= line_dedup.COPY_LINES and sum(map(len, gone)) > 0.5 * sum(map(len, full))):
+            gone, spared = [], spared + 1
         want = "\n".join(x for x in lines if x not in gone) if gone else r[1]
         removed += len(gone)
-        assert (got[r[0]].text, got[r[0]].lines_removed) == (want, sum(x in gone for x in full)), r[0]
-    assert removed and line_dedup.line_dedup(empty).collect() == []
+        assert (got[r[0]].text, got[r[0]].lines_removed) == (want, len(gone)), r[0]
+    assert removed and bool(spared) == spare and line_dedup.line_dedup(empty, 5, spare).collect() == []
     assert line_dedup.without_boilerplate(docs.withColumn("line_count", F.lit("x"))).select("line_count").distinct().collect()[0][0] == "x"
 
 
+def test_line_dedup_null_and_repeated_ids(spark):
+    line = "a line on all sites"
+    rows = [(None, f"one {i}\n{line}\n{line}", f"s{i}") for i in range(12)] + [(1, f"{line}\nmine", "s"), (1, f"mine\n{line}", "s"), (1, None, "s"), (2, f"\n{line}\n \nx", None)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert collections.Counter((r.doc_id, r.text, r.line_count, r.lines_removed) for r in got) == {(None, f"one {i}", 3, 2): 1 for i in range(12)} | {(1, "mine", 2, 1): 2, (1, None, 0, 0): 1, (2, "\n \nx", 2, 1): 1}
+
+
 def test_mixing(spark, docs, empty):
     bad = {i for i in range(400) if i % 8 in (0, 5)}
     texts = [(i, " ".join(words(40)) + (" idiot scum" if i in bad else ""), i) for i in range(400)]
@@ -233,6 +286,8 @@ def test_mixing(spark, docs, empty):
     assert all(got[i].copies == 0 if i in bad else got[i].copies >= 1 for i in got)
     expected = sum(r.rate * r.tokens * r.p_clean for r in got.values())
     assert expected == pytest.approx(mixing.TARGETS[0] * sum(r.tokens * r.p_clean for r in got.values()), rel=0.01)
+    reached = {r.domain: r for r in mixing.totals(mixing.mix(more, labels, (0.5, 0.0, 1.5)), (0.5, 0.0, 1.5)).collect()}
+    assert reached["clean"].reached == pytest.approx(reached["clean"].wanted, rel=0.05) and reached["clean"].wanted == pytest.approx(0.5 * reached["clean"].given)
     out = mixing.resample(more, labels)
     assert out.columns == more.columns and out.count() == sum(r.copies for r in got.values())
     none = labels.where("doc_id < 0")
@@ -262,19 +317,60 @@ def test_lm(docs, empty):
     assert lm.score(empty).collect() == []
 
 
-def test_lm_tail_and_filter(docs, monkeypatch):
-    want = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()}
-    monkeypatch.setattr(lm, "HEAD_TOKENS", 5)  # nearly all tokens meet their counts in the join
-    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()} == want
+def test_lm_filter():
     keys = np.random.default_rng(3).integers(0, 1 << 62, 2000).astype(np.uint64)
     counts = np.random.default_rng(4).integers(1, 5000, 2000)
-    bits = np.zeros(lm.FILTER_WORDS, np.uint64)
+    bits = np.zeros(1 << 14, np.uint64)
     for k, q in zip(keys, lm.level(counts)):
-        at, b = lm._slots(np.repeat(k, q), np.arange(1, q + 1))
+        at, b = lm._slots(np.repeat(k, q), np.arange(1, q + 1), len(bits))
         np.bitwise_or.at(bits, at, b)
-    got = lm.lookup(bits, keys)
-    assert (got >= counts / lm.RATIO**1.01).all() and (np.abs(np.log(got / counts)) < np.log(lm.RATIO) * 1.01).mean() > 0.99
-    assert (lm.lookup(bits, keys + np.uint64(1)) > 0).mean() < 0.02
+    got = lm._VALUE[lm.levels(bits, keys)]
+    assert (got >= counts / lm.RATIO**1.01).all() and (np.abs(np.log(got / counts)) < np.log(lm.RATIO) * 1.01).mean() > 0.98
+    assert (lm.levels(bits, keys + np.uint64(1)) > 0).mean() < 0.02
+
+
+def lm_by_brute_force(texts, head_tokens):
+    """(n_known, base, score) of each text: all n-grams counted in one place, counts quantised by level."""
+    tokens = {i: [*split(lower(t)), None] for i, t in texts.items()}
+    one, two = collections.Counter(), collections.Counter()
+    train = [ts for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    for ts in train:
+        one.update(ts)
+    size = collections.Counter(int(lm.level(c)) for c in one.values())
+    least = min((q for q in size if sum(n for k, n in size.items() if k >= q) <= head_tokens), default=99)
+    head = {t for t, c in one.items() if lm.level(c) >= least}
+    pairs = lambda ts: [(a if a in head else 0, b) for a, b in zip([None, *ts[:-1]], ts)]
+    for ts in train:
+        two.update(pairs(ts))
+    value = lambda c: float(lm._VALUE[lm.level(c)]) if c else 0.0
+    first = {t: value(one[t]) for t in head} | {0: value(sum(c for t, c in one.items() if t not in head))}
+    n, v, out = sum(one.values()), len(one), {}
+    for i, ts in tokens.items():
+        total = 0.0
+        for a, b in pairs(ts):
+            both = value(two[a, b])
+            context = max(first[a], both)
+            weight = lm.WEIGHT * context / (context + lm.PRIOR)
+            total += math.log10(weight * min(1, both / max(context, 1)) + (1 - weight) * (value(one[b]) + 1) / (n + v + 1))
+        out[i] = (sum(one[x] > 0 for x in ts), sum(math.log10((one[x] + 1) / (n + v + 1)) for x in ts), total)
+    return out
+
+
+@pytest.mark.parametrize("head, frequent", [(1 << 20, 0), (1 << 20, 1 << 17), (40, 300), (3, 1 << 17), (0, 100)])
+def test_lm_score_does_not_depend_on_the_filter(docs, monkeypatch, head, frequent):
+    for name, x in (("HEAD_TOKENS", head), ("MAX_FREQUENT", frequent), ("SAMPLE", 1), ("OFTEN", 2), ("BITS_PER_ENTRY", 512), ("SHARD", 3000)):
+        monkeypatch.setattr(lm, name, x)
+    want = lm_by_brute_force(TEXTS, head)
+    for r in lm.score(docs).collect():
+        assert (r.n_known, r.base_score, r.score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1]), pytest.approx(want[r.doc_id][2], rel=1e-6)), r.doc_id
+
+
+def test_lm_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (None, "c"), (1, "a b a"), (1, None), (2, ""), (3, "a " * 5000)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {None: 5, 1: 5, 2: 1, 3: 5001} and not got[None].held_out
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_mixing_keeps_null_ids(spark, tmp_path):
@@ -285,27 +381,6 @@ def test_mixing_keeps_null_ids(spark, tmp_path):
     assert {r.text for r in corpus_pipeline.mixing_stage(spark, rows, str(tmp_path)).collect()} == {"one two", "three", "four five"}
 
 
-@pytest.mark.parametrize("bits", [lm.BITS_PER_ENTRY, 1 << 21, 1 << 40])
-def test_lm_score_does_not_depend_on_the_filter(docs, monkeypatch, bits):
-    monkeypatch.setattr(lm, "BITS_PER_ENTRY", bits)  # room for all n-grams, for 128 entries, for none
-    tokens = {i: [*split(lower(t)), None] for i, t in TEXTS.items()}
-    one, two = collections.Counter(), collections.Counter()
-    for i, ts in tokens.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            one.update(ts)
-            two.update(zip([None, *ts[:-1]], ts))
-    value = lambda c: float(lm._VALUE[lm.level(c)]) if c else 0.0
-    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
-    for i, ts in tokens.items():
-        want = 0.0
-        for a, b in zip([None, *ts[:-1]], ts):
-            both = value(two[a, b])
-            context = max(value(one[a]), both)
-            weight = lm.WEIGHT * context / (context + lm.PRIOR)
-            want += math.log10(weight * min(1, both / max(context, 1)) + (1 - weight) * (value(one[b]) + 1) / (sum(one.values()) + len(one) + 1))
-        assert got[i] == pytest.approx(want, rel=1e-6), i
-
-
 def test_bpe(docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers
@@ -359,6 +434,50 @@ def test_html(spark):
     assert order.tolist() == [5, 3, 1, 0, 4, 2] and common.tolist() == [0, 1, 3, 0, 0, 2]
 
 
+@pytest.mark.parametrize(
+    "page, want, sure",
+    [
+        ("<html><head><title>x<meta><body><article><p>Hello", ["Hello"], True),
+        ("<head><title>t</title><meta x><p>No body tag</p>", ["No body tag"], False),
+        ('<article><p>Main text, a line of it</p></article><section class="comments"><article class="comment">me too</article></section>', ["Main text, a line of it"], True),
+        ("<article><p>Main text, a line of it</p><article><p>me too</p></article></article>", ["Main text, a line of it"], True),
+        ("<article><article><p>Main text, a line of it</p></article></article>", ["Main text, a line of it"], True),
+        ('<aside class="ads"><article>Buy now</article></aside><article><p>Main</p></article><article class="teaser related">no</article>', ["Main"], True),
+        ('<article><div class="table-header">one</div><section id="search-results">two</section><div class="cookie-notice">x</div><p>a<div class="ad">b</div>c</p></article>', ["one", "two", "a", "c"], True),
+        ("<nav><ul><li>menu<article><p>Main<div>d</div></article>", ["Main", "d"], True),
+        ("<form><div><article><p>Main</p><button>x</button> y <form>inner</form></article></div></form>", ["Main", "y"], True),
+        ("<main><p>one<aside>no</aside><section><p>two</section></main>", ["one", "two"], True),
+        ("<body><div><a href=x>link link link</a></div><p>text <a>x</a> more text</p>", ["text x more text"], False),
+        ('<article><p>One <span class=ad>no</span> two &amp; three&nbsp;four<br>five</p><ul><li>a<li>b</ul><script>"<!--"</script>tail</article>', ["One two & three four five", "a", "b", "tail"], True),
+        (None, [], False),
+        ("<article>" + "<div>x" * 3000 + "</article>", ["x"] * 3000, True),
+    ],
+)
+def test_html_structure(page, want, sure):
+    assert html_text.blocks(page) == (want, sure)
+
+
+@pytest.mark.parametrize("pages", [600, 2400])
+def test_html_hosts_of_any_size(spark, pages):
+    r = random.Random(pages)
+    text = lambda n: [r.choice(VOCABULARY[:60]) + str(r.randrange(40)) for _ in range(n)]
+    common, notices = text(12), [text(8) for _ in range(pages // 200)]
+    bodies = {}
+    for i in range(pages):
+        w = text(30) + common + text(9)
+        if i % 97 < 12 and i // 97 < len(notices):
+            w += notices[i // 97]
+        bodies[i] = w
+    rows = spark.createDataFrame([(i, "http://one.example.com/x", f"<p>{' '.join(w)}</p>") for i, w in bodies.items()], "page_id long, url string, html string")
+    count = collections.Counter(x for w in bodies.values() for x in {tuple(w[k : k + 6]) for k in range(len(w) - 5)})
+    want = {}
+    for i, w in bodies.items():
+        gone = {j for k in range(len(w) - 5) if count[tuple(w[k : k + 6])] >= 3 for j in range(k, k + 6)}
+        want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    assert {x.page_id: x.text for x in html_text.main_text(rows).collect()} == want
+    assert all(30 < len(want[i].split()) <= 39 for i in want)  # each common passage went, the rare notices too
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
