@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -68,3 +68,97 @@ def mentions(units: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(evidence_id, alias) for the one-word aliases of dictionary(alias) that units(evidence_id, raw_text) hold as whole words: an equi-join on distinct tokens, whatever the dictionary's size."""
     tokens = units.select("evidence_id", F.explode(F.array_distinct(F.regexp_extract_all("raw_text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("alias"))
     return tokens.join(dictionary.select("alias").distinct(), "alias").select("evidence_id", "alias")
+
+
+def structural_names(named: DataFrame) -> DataFrame:
+    """(name, email, n) of named(name, email, seq): people that attendee lists, speakers and senders state; nobody's labels apart; a name's first address in order of seq."""
+    real = named.where(F.col("name").isNotNull() & (F.trim("name") != "") & ~T.is_non_person(F.col("name")))
+    return real.groupBy("name").agg(F.min_by("email", F.when(F.col("email").isNotNull(), F.col("seq"))).alias("email"), F.count("*").alias("n"))
+
+
+def free_text_names(units: DataFrame, known: DataFrame, stoplist: list[str]) -> DataFrame:
+    """(name, n): candidates in units(raw_text) for review only: none of the stoplist, of known(name), no label, no name that repeats a word."""
+    found = name_candidates(units.select(T.strip_placeholders(F.col("raw_text")).alias("raw_text")))
+    words = F.split(F.lower("name"), r"\s+")
+    return found.where(~F.col("name").isin(stoplist) & (F.size(F.array_distinct(words)) == F.size(words))).join(known.select("name").distinct(), "name", "left_anti")
+
+
+def resolve_or_mint(names: DataFrame, people: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, subject_id, minted) of names(name): the subject whose display_alias it is in people(subject_id, display_alias), else the one with it as a FULL_NAME in aliases(subject_id, alias, alias_type), else a new random id."""
+    by_alias = people.groupBy(F.col("display_alias").alias("name")).agg(F.min("subject_id").alias("_a"))
+    by_name = aliases.where("alias_type = 'FULL_NAME'").groupBy(F.col("alias").alias("name")).agg(F.min("subject_id").alias("_b"))
+    both = names.select("name").distinct().join(by_alias, "name", "left").join(by_name, "name", "left")
+    known = F.coalesce("_a", "_b")
+    return both.select("name", F.coalesce(known, F.expr("uuid()")).alias("subject_id"), known.isNull().alias("minted"))
+
+
+def with_reviewed(aliases: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """aliases(subject_id, alias, alias_type) whose short forms are those of reviewed(subject_id, alias, alias_type) alone."""
+    return aliases.where("alias_type IN ('FULL_NAME', 'EMAIL')").union(reviewed.select(aliases.columns)).distinct()
+
+
+def strict_index(people: DataFrame, aliases: DataFrame, counts: DataFrame) -> DataFrame:
+    """(subject_id, kind, token, reason): what a name form may stand for; reason is null where it may.
+
+    people(subject_id, display_name, display_alias), aliases(subject_id, alias, alias_type), counts(word, lower, capital) as of
+    case_counts. FULL forms with one owner; reviewed FIRST_NAME and LAST_NAME rows as they are; otherwise the first and last word of a
+    display name, unless it is too short, reserved, shared or an ordinary word.
+    """
+    own = people.select("subject_id", F.col("display_name").alias("name"))
+    more = aliases.where("alias_type IN ('FULL_NAME', 'VARIANT') AND trim(alias) LIKE '% %'").select("subject_id", F.col("alias").alias("name")).join(people.select("subject_id"), "subject_id", "left_semi")
+    names = own.union(more).distinct()
+    full = names.select("subject_id", T.name_key(F.col("name")).alias("key")).distinct().groupBy("key").agg(F.count("*").alias("owners"), F.min("subject_id").alias("subject_id"))
+    full = full.where("owners = 1").select("subject_id", F.lit("FULL").alias("kind"), F.col("key").alias("token"), F.lit(None).cast("string").alias("reason"))
+    owners = names.select("subject_id", F.explode(F.split(T.name_key(F.col("name")), " ")).alias("key")).groupBy("key").agg(F.count_distinct("subject_id").alias("owners"))
+    given = aliases.where("alias_type IN ('FIRST_NAME', 'LAST_NAME')").join(people.select("subject_id"), "subject_id", "left_semi")
+    given = given.select("subject_id", F.regexp_replace("alias_type", "_NAME", "").alias("kind"), F.col("alias").alias("token"))
+    words = F.split(F.trim("display_name"), r"\s+")
+    form = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.element_at(words, at).alias("token"))
+    forms = people.where(F.size(words) > 1).select("subject_id", F.element_at(words, 1).alias("first"), F.explode(F.array(form("FIRST", 1), form("LAST", -1))).alias("f")).select("subject_id", "first", "f.kind", "f.token")
+    forms = forms.join(given.select("subject_id", "kind").distinct(), ["subject_id", "kind"], "left_anti").withColumn("key", F.lower("token"))
+    reserved = people.select(F.explode(F.split(F.lower("display_alias"), r"\s+")).alias("key")).distinct().withColumn("reserved", F.lit(True))
+    taken = given.select(F.lower("token").alias("key")).distinct().withColumn("taken", F.lit(True))
+    judged = forms.join(owners, "key", "left").join(reserved, "key", "left").join(taken, "key", "left").join(counts.select(F.col("word").alias("key"), (F.col("lower") > F.col("capital")).alias("ordinary")), "key", "left")
+    plain = F.col("token").rlike(r"^\p{L}[\p{L}'-]*$") & (F.length("token") >= MIN_NAME)
+    again = (F.col("kind") == "LAST") & (F.lower("first") == F.col("key"))
+    reason = (
+        F.when(~plain, "too-short").when(T.is_non_person(F.col("token")) | F.coalesce("reserved", F.lit(False)), "reserved").when((F.col("owners") > 1) | F.coalesce("taken", F.lit(False)) | again, "shared")
+        .when(F.col("key").isin(COMMON_WORD_NAMES) | F.coalesce("ordinary", F.lit(False)), "ordinary-word")
+    )
+    return full.union(given.select("subject_id", "kind", "token", F.lit(None).cast("string"))).union(judged.select("subject_id", "kind", "token", reason))
+
+
+def resolve(names: DataFrame, index: DataFrame) -> DataFrame:
+    """(name, subject_id, basis) of names(name): by the full name, else by a first name of the strict index; never by a last name, never by likeness."""
+    good = index.where("reason IS NULL")
+    full = good.where("kind = 'FULL'").select(F.col("token").alias("_k"), F.col("subject_id").alias("_full"))
+    first = good.where("kind = 'FIRST'").groupBy(F.lower("token").alias("_f")).agg(F.min("subject_id").alias("_first"))
+    key = T.name_key(F.col("name"))
+    both = names.join(full, key == F.col("_k"), "left").join(first, key == F.col("_f"), "left")
+    return both.select("name", F.coalesce("_full", "_first").alias("subject_id"), F.when(F.col("_full").isNotNull(), "FULL_NAME").when(F.col("_first").isNotNull(), "FIRST_NAME").alias("basis"))
+
+
+def _whole(alias) -> Column:
+    return F.concat(F.lit(r"(?U)(?<!\w)\Q"), alias, F.lit(r"\E(?!\w)"))
+
+
+def link_mentions(units: DataFrame, dictionary: DataFrame, stronger: DataFrame) -> DataFrame:
+    """(evidence_id, subject_id) for dictionary(subject_id, alias) of aliases of any number of words that units(evidence_id, raw_text) hold as whole words, once for each subject, but not where stronger(evidence_id, subject_id) has the pair.
+
+    Units meet aliases on the alias's first word, an equi-join; only pairs with longer aliases look at the text again.
+    """
+    word = r"([\p{L}\p{N}_]+)"
+    d = dictionary.select("subject_id", "alias").distinct().withColumn("head", F.regexp_extract("alias", word, 1)).where("head <> ''").withColumn("single", F.col("head") == F.col("alias"))
+    tokens = units.select("evidence_id", F.explode(F.array_distinct(F.regexp_extract_all("raw_text", F.lit(word), F.lit(1)))).alias("head"))
+    met = tokens.join(d, "head")
+    long = met.where("NOT single").join(units.select("evidence_id", "raw_text"), "evidence_id").where(F.regexp_like(F.col("raw_text"), _whole(F.col("alias"))))
+    pairs = met.where("single").select("evidence_id", "subject_id").union(long.select("evidence_id", "subject_id")).distinct()
+    return pairs.join(stronger.select("evidence_id", "subject_id"), ["evidence_id", "subject_id"], "left_anti")
+
+
+def independent(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(candidate, full_name, n_units) of pairs(candidate, full_name): in how many units(evidence_id, raw_text) the candidate, one word, stands outside the full name; 0 if nowhere."""
+    tokens = units.select("evidence_id", F.explode(F.array_distinct(F.regexp_extract_all("raw_text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("candidate"))
+    met = tokens.join(pairs, "candidate").join(units.select("evidence_id", "raw_text"), "evidence_id")
+    alone = met.where(F.regexp_like(F.replace("raw_text", "full_name", F.lit("\0")), _whole(F.col("candidate")))).groupBy("candidate", "full_name").agg(F.count("*").alias("n_units"))
+    return pairs.join(alone, ["candidate", "full_name"], "left").withColumn("n_units", F.coalesce("n_units", F.lit(0)))

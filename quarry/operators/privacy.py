@@ -13,26 +13,108 @@ def whole(name: str) -> str:
     return r"(?iU)(?<!\w)" + r"\s+".join(map(re.escape, name.split())) + r"(?!\w)"
 
 
+def alias_address(alias: str) -> str:
+    """An address that can't be anyone's."""
+    return re.sub("[^a-z0-9]+", "-", alias.lower()).strip("-") + "@pseudonymised.invalid"
+
+
+def literal(text: str) -> str:
+    """A replacement that stands for itself."""
+    return re.sub(r"([\\$])", r"\\\1", text)
+
+
 def pseudonymise(text, names: list[str], emails: list[str], alias: str) -> Column:
     """E-mail addresses first, then names, the longest first, give way to the alias."""
     for address in emails:
-        text = F.regexp_replace(text, "(?i)" + re.escape(address), alias.lower().replace(" ", ".") + "@pseudonym.invalid")
+        text = F.regexp_replace(text, "(?iu)" + re.escape(address), literal(alias_address(alias)))
     for name in sorted(names, key=len, reverse=True):
-        text = F.regexp_replace(text, whole(name), alias)
+        text = F.regexp_replace(text, whole(name), literal(alias))
     return text
 
 
-def restore(text, alias: str, name: str) -> Column:
-    return F.regexp_replace(text, whole(alias), name)
+#: Lines below a line with a name alone that belong to its signature.
+SIGNATURE_LINES = 6
+
+
+def rewrite(text, kind: str, names: list[str], emails: list[str], alias: str, initials: str = "") -> Column:
+    """A unit's source text with a person under an alias; kind is TRANSCRIPT, EMAIL or REPORT.
+
+    Transcripts lose lines that hold the initials alone. In mail and reports a line with a name alone becomes the alias,
+    and the signature below it goes, to the next blank line. Then addresses and names give way, over line ends too.
+    """
+    if kind == "TRANSCRIPT":
+        if len(initials) > 1:
+            text = F.array_join(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != initials), "\n")
+    else:
+        any_name = "|".join(r"[ \t]+".join(map(re.escape, n.split())) for n in sorted(names, key=len, reverse=True))
+        text = F.regexp_replace(text, rf"(?imdU)^[ \t]*(?:{any_name})[ \t]*$(?:\n(?=[^\n]*\S)[^\n]*){{0,{SIGNATURE_LINES}}}", literal(alias))
+    return pseudonymise(text, names, emails, alias)
+
+
+def restore(text, alias: str, name: str, email: str | None = None) -> Column:
+    """The alias gives way to the one name that is known, its address to the one address, where there is one."""
+    if email:
+        text = F.regexp_replace(text, "(?iu)" + re.escape(alias_address(alias)), literal(email))
+    return F.regexp_replace(text, whole(alias), literal(name))
+
+
+def targets(people: DataFrame, aliases: DataFrame, index: DataFrame) -> DataFrame:
+    """(subject_id, names, emails) of people(subject_id, display_name): the display name, aliases and the first and last names that the strict index allows, the longest first; and the addresses."""
+    own = people.select("subject_id", F.col("display_name").alias("form"))
+    more = aliases.where("alias_type <> 'EMAIL'").select("subject_id", F.col("alias").alias("form"))
+    short = index.where("reason IS NULL AND kind IN ('FIRST', 'LAST')").select("subject_id", F.col("token").alias("form"))
+    forms = own.union(more).union(short).where("form IS NOT NULL").groupBy("subject_id", F.lower("form").alias("key")).agg(F.min("form").alias("form"))
+    names = forms.groupBy("subject_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.length("form")).alias("n"), "form"))), lambda x: x["form"]).alias("names"))
+    emails = aliases.where("alias_type = 'EMAIL'").groupBy("subject_id").agg(F.sort_array(F.collect_set("alias")).alias("emails"))
+    return people.select("subject_id").join(names, "subject_id").join(emails, "subject_id", "left").withColumn("emails", F.coalesce("emails", F.array().cast("array<string>")))
+
+
+def without_entries(manifest: DataFrame, names: list[str]) -> DataFrame:
+    """manifest(canonical_name, alias, ...) without the entries of a person, whichever form of their name an entry has."""
+    mine = [n.lower() for n in names]
+    hit = F.lower("canonical_name").isin(mine) | F.coalesce(F.lower("alias").isin(mine), F.lit(False))
+    gone = manifest.where(hit).select("canonical_name").distinct()
+    return manifest.join(gone, "canonical_name", "left_anti")
+
+
+#: A name of one word: it counts as a whole word only; all else counts inside longer words too.
+BARE = re.compile(r"[^\W\d_]+(?:['\u2019-][^\W\d_]+)*")
+
+
+def needle(text: str) -> str:
+    """The pattern by which a needle counts, in any case."""
+    return r"(?iU)(?<!\w)" + re.escape(text) + r"(?!\w)" if BARE.fullmatch(text) else "(?iu)" + re.escape(text)
 
 
 def needle_counts(surface: DataFrame, column: str, needles: list[str], label: str) -> DataFrame:
-    """(surface, needle, hits, n_rows): occurrences of each needle, in any case."""
-    counts = F.array(*[F.struct(F.lit(n).alias("needle"), F.regexp_count(F.lower(F.coalesce(column, F.lit(""))), F.lit(re.escape(n.lower()))).alias("k")) for n in needles])
+    """(surface, needle, hits, n_rows): occurrences of each needle, in any case; names of one word as whole words only."""
+    counts = F.array(*[F.struct(F.lit(n).alias("needle"), F.regexp_count(F.coalesce(column, F.lit("")), F.lit(needle(n))).alias("k")) for n in needles])
     rows = surface.select(F.explode(counts).alias("c")).groupBy(F.col("c.needle").alias("needle")).agg(F.sum("c.k").alias("hits"), F.count_if(F.col("c.k") > 0).alias("n_rows"))
     return rows.select(F.lit(label).alias("surface"), "needle", "hits", "n_rows")
 
 
+def content_hits(table: DataFrame, needles: list[str], label: str, bookkeeping: tuple[str, ...] = ()) -> DataFrame:
+    """(surface, hits) over all text columns of a table but those that keep aliases."""
+    columns = [c for c, t in table.dtypes if t == "string" and c not in bookkeeping]
+    found = [F.regexp_count(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(needle(n))) for c in columns for n in needles]
+    return table.select(sum(found, F.lit(0)).cast("long").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("hits")).select(F.lit(label).alias("surface"), "hits")
+
+
+def verification(surfaces: DataFrame, person: DataFrame, aliases: DataFrame, before: DataFrame, after: DataFrame, alias: str) -> DataFrame:
+    """(item, ok): that no surface(surface, hits) shows a needle, and the five checks of person(subject_id, privacy_state, display_alias, display_name), of its aliases(subject_id) and of its relations before and after."""
+    counts = surfaces.select(F.concat(F.lit("surface: "), "surface").alias("item"), (F.col("hits") == 0).alias("ok"))
+    state = person.agg(
+        F.coalesce(F.max(F.col("privacy_state") == "PSEUDONYMISED"), F.lit(False)).alias("subject_is_pseudonymised"), F.coalesce(F.max(F.col("display_alias") == alias), F.lit(False)).alias("display_alias_matches"),
+        F.coalesce(F.max(F.col("display_name").isNull()), F.lit(False)).alias("display_name_cleared"),
+    )
+    left = aliases.join(person.select("subject_id"), "subject_id", "left_semi").agg((F.count("*") == 0).alias("no_original_aliases_remain"))
+    kept = lost_relations(before, after).agg((F.count("*") == 0).alias("evidence_people_relationships_preserved"))
+    checks = [t.select(F.lit(f"check: {c}").alias("item"), F.col(c).alias("ok")) for t in (state, left, kept) for c in t.columns]
+    for c in checks:
+        counts = counts.union(c)
+    return counts
+
+
 def affected(edges: DataFrame, units: DataFrame, subject, pattern: str) -> DataFrame:
     """Distinct evidence_id linked to a subject, or with its name in the text."""
     return edges.where(F.col("subject_id") == subject).select("evidence_id").union(units.where(F.col("raw_text").rlike(pattern)).select("evidence_id")).distinct()

@@ -368,11 +368,14 @@ def signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- privacy --------------------------------------------------------------------------------
 
 NEEDLES = ["idiot", "password", "@example", "token"]
+#: Words are set apart by doubled ends, so that neighbours can both match.
+_WORDS_APART = r"regexp_replace(lower(coalesce(t, '')), '([^\p{L}\p{N}_])', '\1\1', 'g')"
+_NEEDLE_SQL = [r"(?:^|[^\p{L}\p{N}_])" + n + r"(?:$|[^\p{L}\p{N}_])" if privacy.BARE.fullmatch(n) else "@@example" for n in NEEDLES]
 
 
 @register(
     "WITH s AS (SELECT 'documents' AS surface, text AS t FROM documents UNION ALL SELECT 'conversations', text FROM conversations UNION ALL SELECT 'pages', html FROM pages) "
-    + " UNION ALL ".join(f"SELECT surface, '{n}' AS needle, sum(len(regexp_extract_all(lower(coalesce(t, '')), '{n}')))::BIGINT AS hits, count(*) FILTER (regexp_matches(lower(coalesce(t, '')), '{n}')) AS n_rows FROM s GROUP BY surface" for n in NEEDLES)
+    + " UNION ALL ".join(f"SELECT surface, '{n}' AS needle, sum(len(regexp_extract_all({_WORDS_APART}, '{p}')))::BIGINT AS hits, count(*) FILTER (regexp_matches({_WORDS_APART}, '{p}')) AS n_rows FROM s GROUP BY surface" for n, p in zip(NEEDLES, _NEEDLE_SQL, strict=True))
 )
 def needle_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leak verification: occurrences of each needle on each surface."""
@@ -400,7 +403,7 @@ def affected_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'admin@example\.com', 'person.amber@pseudonym.invalid', 'gi'), '(^|[^\p{L}\p{N}_])(worthless|idiot|scum)([^\p{L}\p{N}_]|$)', '\1Person Amber\3', 'gi'), '(^|[^\p{L}\p{N}_])(worthless|idiot|scum)([^\p{L}\p{N}_]|$)', '\1Person Amber\3', 'gi')) AS text_md5 FROM documents"
+    r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'admin@example\.com', 'person-amber@pseudonymised.invalid', 'gi'), '(^|[^\p{L}\p{N}_])(worthless|idiot|scum)([^\p{L}\p{N}_]|$)', '\1Person Amber\3', 'gi'), '(^|[^\p{L}\p{N}_])(worthless|idiot|scum)([^\p{L}\p{N}_]|$)', '\1Person Amber\3', 'gi')) AS text_md5 FROM documents"
 )
 def pseudonymise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = privacy.pseudonymise(F.col("text"), ["worthless", "idiot", "scum"], ["admin@example.com"], "Person Amber")
