@@ -117,6 +117,14 @@ def date_range(text) -> Column:
     return F.when(F.size(first) > 0, by_month).when(F.size(years) > 0, by_year)
 
 
+def date_tokens(text) -> Column:
+    """The words of a text that `date_range` reads: months and their years, else years."""
+    lower = F.lower(text)
+    named = F.regexp_extract_all(lower, F.lit(rf"\b(?:{'|'.join(MONTHS)})\s+(?:of\s+)?20\d{{2}}\b"), F.lit(0))
+    months = F.flatten(F.transform(named, lambda x: F.array(F.regexp_extract(x, r"^(\w+)", 1), F.right(x, F.lit(4)))))
+    return F.when(F.size(named) > 0, months).otherwise(F.regexp_extract_all(lower, F.lit(r"\b(20\d{2})\b"), F.lit(1)))
+
+
 def words(text) -> Column:
     """Number of white-space separated words."""
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

@@ -126,6 +126,86 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int) -> DataFrame:
     return top_k(scored, k)
 
 
+#: Hits of a question, of a wide one, of a sweep; hits of a document in the title list and in wide lists; hits whose earliest date a sweep starts from.
+LIMIT, WIDE_LIMIT, SWEEP_LIMIT, TITLE_CAP, WIDE_CAP, ANCHORS = 15, 30, 10, 4, 2, 5
+#: Weights of the lists in the fusion.
+LIST_WEIGHTS = {"lexical": 1.0, "title": 1.5, "spread": 1.0, "semantic": 1.0, "dated_lexical": 1.0, "dated_semantic": 1.0}
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """queries(query_id, query) with what their wording asks for: terms (without the words of dates), wide, temporal, date_from, date_to, most (hits)."""
+    q, window = F.col("query"), T.date_range(F.col("query"))
+    terms = F.array_except(T.topic_terms(q), T.date_tokens(q))
+    out = queries.select("query_id", "query", terms.alias("terms"), T.is_enumerative(q).alias("wide"), T.is_temporal(q).alias("temporal"), window["from"].alias("date_from"), window["to"].alias("date_to"))
+    return out.withColumn("most", F.when(F.col("wide"), WIDE_LIMIT).otherwise(LIMIT))
+
+
+def term_phrases(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(T.phrases(F.col("terms"))).alias("p")).select("query_id", "p.phrase", "p.prefix")
+
+
+def _in_window() -> Column:
+    return F.coalesce((F.col("event_date") >= F.col("date_from")) & (F.col("event_date") < F.col("date_to")), F.lit(False))
+
+
+def lexical_lists(scored: DataFrame) -> DataFrame:
+    """(query_id, id, list, rank) of scored(query_id, id, body, title, document_id, event_date, and the columns of `asked`): all lexical lists from one pass."""
+    best = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    s = scored.withColumns({"by_body": best(F.desc("body"), "id"), "by_title": best(F.desc("title"), "id"), "dated": _in_window()})
+    s = s.withColumn("by_date", best(F.desc("dated"), F.desc("body"), "id"))
+    s = s.where(F.least("by_body", "by_title") <= 8 * F.col("most")).unionAll(s.where((F.least("by_body", "by_title") > 8 * F.col("most")) & F.col("dated") & (F.col("by_date") <= F.col("most"))))
+    within = lambda order: F.row_number().over(W.partitionBy("query_id", "document_id").orderBy(order))
+    s = s.withColumns({"nth_title": within("by_title"), "nth_body": within("by_body")})
+    title, spread = (F.col("by_title") <= 8 * F.col("most")) & (F.col("nth_title") <= TITLE_CAP), F.col("wide") & (F.col("by_body") <= 8 * F.col("most")) & (F.col("nth_body") <= WIDE_CAP)
+    among = lambda ok, by: F.sum(F.when(ok, 1).otherwise(0)).over(W.partitionBy("query_id").orderBy(by).rowsBetween(W.unboundedPreceding, 0))
+    s = s.withColumns({"title_rank": among(title, "by_title"), "spread_rank": among(spread, "by_body")})
+    entry = lambda name, ok, rank: F.when(ok & (F.col(rank) <= F.col("most")), F.struct(F.lit(name).alias("list"), F.col(rank).cast("int").alias("rank")))
+    lists = F.array(entry("lexical", F.lit(True), "by_body"), entry("title", title, "title_rank"), entry("spread", spread, "spread_rank"), entry("dated_lexical", F.col("dated"), "by_date"))
+    return s.select("query_id", "id", F.explode(F.array_compact(lists)).alias("l")).select("query_id", "id", "l.list", "l.rank")
+
+
+def semantic_lists(scored: DataFrame) -> DataFrame:
+    """(query_id, id, list, rank) of scored(query_id, id, score, event_date, and the columns of `asked`)."""
+    best = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    s = scored.withColumn("dated", _in_window())
+    s = s.withColumns({"by_score": best(F.desc("score"), "id"), "by_date": best(F.desc("dated"), F.desc("score"), "id")}).where((F.col("by_score") <= F.col("most")) | F.col("dated") & (F.col("by_date") <= F.col("most")))
+    entry = lambda name, ok, rank: F.when(ok & (F.col(rank) <= F.col("most")), F.struct(F.lit(name).alias("list"), F.col(rank).alias("rank")))
+    lists = F.array(entry("semantic", F.lit(True), "by_score"), entry("dated_semantic", F.col("dated"), "by_date"))
+    return s.select("query_id", "id", F.explode(F.array_compact(lists)).alias("l")).select("query_id", "id", "l.list", "l.rank")
+
+
+def fuse_lists(lists: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, id, score, n_lists, rank): reciprocal rank fusion of (query_id, id, list, rank), as many as a question asks for."""
+    weight = F.coalesce(*[F.when(F.col("list") == name, F.lit(w)) for name, w in LIST_WEIGHTS.items()])
+    scored = lists.groupBy("query_id", "id").agg(F.round(F.sum(weight / (RRF_K + F.col("rank"))), 9).alias("score"), F.count("*").alias("n_lists"))
+    return top_k(scored, WIDE_LIMIT).join(questions.select("query_id", "most"), "query_id").where(F.col("rank") <= F.col("most")).drop("most")
+
+
+def later_sweep(fused: DataFrame, lexical: DataFrame, semantic: DataFrame, units: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, id, score, rank, after_date, new) for wide and temporal questions: lexical(query_id, id, score) and semantic(query_id, id, score) evidence of units(id, event_date) after the earliest date of the best hits, fused; `new` is what the hits lack."""
+    wanted = questions.where(F.col("wide") | F.col("temporal")).select("query_id")
+    after = fused.where(F.col("rank") <= ANCHORS).join(wanted, "query_id", "left_semi").join(units, "id").groupBy("query_id").agg(F.min("event_date").alias("after_date")).where("after_date IS NOT NULL")
+    late = [top_k(s.join(after, "query_id").join(units, "id").where(F.col("event_date") > F.col("after_date")).select("query_id", "id", "score"), SWEEP_LIMIT) for s in (lexical, semantic)]
+    swept = fuse([(x, 1.0) for x in late], SWEEP_LIMIT).join(after, "query_id")
+    seen = fused.select("query_id", "id", F.lit(False).alias("new"))
+    return swept.join(seen, ["query_id", "id"], "left").select("query_id", "id", "score", "rank", "after_date", F.coalesce("new", F.lit(True)).alias("new"))
+
+
+def usable_vectors(queries: DataFrame, index_model: str | None) -> DataFrame:
+    """queries(query_id, model, ...) with `warning`: why a question has lexical hits only, null where its vector may be used."""
+    missing = F.lit("semantic retrieval unavailable: ")
+    why = F.when(F.col("model").isNull(), F.concat(missing, F.lit("no embedding provider configured"))).when(F.lit(index_model).isNull(), F.concat(missing, F.lit("no stored embeddings")))
+    return queries.withColumn("warning", why.when(F.col("model") != F.lit(index_model), F.concat(missing, F.lit("query model differs from stored embeddings"))))
+
+
+def load_vectors(vectors: DataFrame, live: DataFrame) -> DataFrame:
+    """(id, v) of vectors(id, v, model) whose unit lives, of unit length; vectors of several models or sizes, or that aren't finite, raise when the result is read."""
+    kept = vectors.join(live.select("id"), "id", "left_semi")
+    shape = kept.agg(F.count_distinct("model").alias("models"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("largest"))  # one row
+    wrong = F.when(F.col("models") > 1, F.raise_error(F.lit("embeddings of several models"))).when(F.col("least") != F.col("largest"), F.raise_error(F.lit("embeddings of several sizes"))).when(~finite(F.col("v")), F.raise_error(F.lit("embeddings that are not finite")))
+    return kept.join(F.broadcast(shape)).select("id", F.when(wrong.isNull(), normalised(F.col("v"))).alias("v"))
+
+
 def context_windows(units: DataFrame, base: int = 1, most: int = 3) -> DataFrame:
     """For each unit the window around it: units(document_id, document_type, unit_index, raw_text) plus lo and hi.
 
@@ -146,15 +226,34 @@ def context_windows(units: DataFrame, base: int = 1, most: int = 3) -> DataFrame
     return u.withColumns({"lo": F.greatest(F.col("nth") - F.col("radius"), F.lit(1)), "hi": F.least(F.col("nth") + F.col("radius"), F.col("last"))})
 
 
-def continuation(units: DataFrame, ahead: int = 6, hops: int = 3) -> DataFrame:
-    """units(document_id, unit_index, speaker_sender, raw_text) plus `ends_at`: where the sentence that a unit leaves open ends, following the same speaker for at most `hops` units."""
-    w = W.partitionBy("document_id").orderBy("unit_index")
+def continuation(units: DataFrame, ahead: int = 6, hops: int = 3, forward: bool = True) -> DataFrame:
+    """(document_id, unit_index, ends_at): where the sentence that a unit leaves open ends, or with forward=False where the one that it begins inside began.
+
+    units(document_id, unit_index, speaker_sender, raw_text); the same speaker is followed for at most `hops` units, each among the next `ahead`.
+    """
+    w = W.partitionBy("document_id").orderBy("unit_index" if forward else F.desc("unit_index"))
     near = F.collect_list(F.struct("unit_index", F.coalesce("speaker_sender", F.lit("\0")).alias("s"))).over(w.rowsBetween(1, ahead))
     mine = F.coalesce("speaker_sender", F.lit("\0"))
     following = F.get(F.filter(near, lambda x: x["s"] == mine), F.lit(0))["unit_index"]
-    hop = units.select("document_id", "unit_index", F.when(T.unfinished(F.col("raw_text")), F.coalesce(following, "unit_index")).otherwise(F.col("unit_index")).alias("next"))
+    goes_on = T.unfinished(F.col("raw_text")) if forward else T.starts_mid_sentence(F.col("raw_text"))
+    hop = units.select("document_id", "unit_index", F.when(goes_on, F.coalesce(following, "unit_index")).otherwise(F.col("unit_index")).alias("next"))
     out = hop.withColumnRenamed("next", "ends_at")
     step = hop.select("document_id", F.col("unit_index").alias("ends_at"), F.col("next").alias("then"))
     for _ in range(hops - 1):
         out = out.join(step, ["document_id", "ends_at"]).select("document_id", "unit_index", F.col("then").alias("ends_at"))
     return out
+
+
+def continued_windows(units: DataFrame) -> DataFrame:
+    """(document_id, unit_index, lo, hi): context windows of units as of `context_windows`, extended in transcripts along the anchor speaker's sentence: forward from the window's last unit of this speaker, backward from the anchor; lo and hi are places in the document."""
+    w = W.partitionBy("document_id").orderBy("unit_index")
+    u = context_windows(units)
+    ahead = F.collect_list(F.struct("nth", "unit_index", F.coalesce("speaker_sender", F.lit("\0")).alias("s"))).over(w.rowsBetween(0, 3))
+    own = F.filter(F.col("ahead"), lambda x: (x["s"] == F.coalesce("speaker_sender", F.lit("\0"))) & (x["nth"] <= F.col("hi")))
+    u = u.withColumn("ahead", ahead).withColumn("start", F.element_at(own, -1)["unit_index"])
+    place = u.select("document_id", F.col("unit_index").alias("ends_at"), F.col("nth").alias("place"))
+    end = continuation(units).join(place, ["document_id", "ends_at"]).select("document_id", F.col("unit_index").alias("start"), F.col("place").alias("end"))
+    begin = continuation(units, forward=False).join(place, ["document_id", "ends_at"]).select("document_id", "unit_index", F.col("place").alias("begin"))
+    both = u.join(end, ["document_id", "start"]).join(begin, ["document_id", "unit_index"])
+    dynamic = F.col("document_type") == "TRANSCRIPT"
+    return both.select("document_id", "unit_index", F.when(dynamic, F.least("lo", "begin")).otherwise(F.col("lo")).alias("lo"), F.when(dynamic, F.greatest("hi", "end")).otherwise(F.col("hi")).alias("hi"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import claims, evidence, identities, ingest, rules, search
+from . import claims, evidence, identities, ingest, retrieve, rules, search
 
-QUERIES = {**search.QUERIES, **evidence.QUERIES, **rules.QUERIES, **claims.QUERIES, **ingest.QUERIES, **identities.QUERIES}
-SQL = {**search.SQL, **evidence.SQL, **rules.SQL, **claims.SQL, **ingest.SQL, **identities.SQL}
+QUERIES = {**search.QUERIES, **evidence.QUERIES, **rules.QUERIES, **claims.QUERIES, **ingest.QUERIES, **identities.QUERIES, **retrieve.QUERIES}
+SQL = {**search.SQL, **evidence.SQL, **rules.SQL, **claims.SQL, **ingest.SQL, **identities.SQL, **retrieve.SQL}

@@ -114,12 +114,15 @@ def _bm25_sql(weights: dict[str, float], name: str) -> str:
   FROM phrases JOIN {name}_hits USING (phrase, prefix) JOIN {name}_df USING (phrase, prefix) JOIN sizes USING (id), stats GROUP BY ALL)"""
 
 
-SEARCH_SQL = f"""
+def search_sql(questions: str = "SELECT item_id, text FROM benchmark", consumed: str = "false") -> str:
+    """CTEs of BM25 over the documents for questions(item_id, text); `consumed` is a condition on terms t that don't count."""
+    return f"""
+asked AS ({questions}),
 fields AS (SELECT doc_id AS id, 'body' AS field, text AS t FROM documents UNION ALL SELECT doc_id, 'title', source FROM documents UNION ALL SELECT doc_id, 'speaker', lang FROM documents),
 postings AS (SELECT id, field, token, count(*) AS tf FROM (SELECT id, field, unnest(regexp_extract_all({FOLD_SQL.format("coalesce(t, '')")}, '[\\p{{L}}\\p{{N}}]+')) AS token FROM fields) GROUP BY ALL),
 sizes AS (SELECT id, sum(tf) AS size FROM postings GROUP BY id), stats AS (SELECT count(*) AS n_docs, avg(size) AS mean_size FROM sizes),
-qterms AS (SELECT DISTINCT item_id AS query_id, t FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS t FROM benchmark) WHERE length(t) >= 2 AND t NOT IN ({quoted(T.STOPWORDS + T.TEMPORAL_CUES)})
-  UNION SELECT item_id, 'percent' FROM benchmark WHERE list_has_any({TOKENS_SQL.format('text')}, [{quoted(T.QUANTITY_CUES)}])),
+qterms AS (SELECT DISTINCT item_id AS query_id, t FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS t FROM asked) WHERE NOT ({consumed}) AND length(t) >= 2 AND t NOT IN ({quoted(T.STOPWORDS + T.TEMPORAL_CUES)})
+  UNION SELECT item_id, 'percent' FROM asked WHERE list_has_any({TOKENS_SQL.format('text')}, [{quoted(T.QUANTITY_CUES)}])),
 stems AS (SELECT query_id, t, {_stem_sql('t')} AS v FROM qterms UNION SELECT query_id, t, CASE {_stem_sql('t')} WHEN 'decid' THEN 'decis' ELSE 'signat' END FROM qterms WHERE {_stem_sql('t')} IN ('decid', 'sign')),
 phrases AS (SELECT DISTINCT query_id, CASE WHEN length(v) >= {T.MIN_STEM} THEN v ELSE t END AS phrase, length(v) >= {T.MIN_STEM} AS prefix FROM stems),
 matched AS (SELECT p.phrase, p.prefix, token FROM (SELECT DISTINCT phrase, prefix FROM phrases) p JOIN (SELECT DISTINCT token FROM postings) v ON (p.prefix AND starts_with(v.token, p.phrase)) OR v.token = p.phrase),
@@ -128,6 +131,9 @@ body_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id O
 title_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM title) WHERE rank <= 15)"""
 
 
+SEARCH_SQL = search_sql()
+
+
 @register(f"WITH {SEARCH_SQL} SELECT query_id, id AS doc_id, score, rank FROM body_top")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(_bm25(spark, sf_dir, R.BODY_WEIGHTS), 15).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
