@@ -31,7 +31,7 @@ ENUMERATIVE_PHRASES = [
     "timeline", "history of", "evolution", "evolved", "list all", "list every",
 ]
 ENUMERATIVE_QUANTIFIED = (
-    r"\b(every|each|all)\s+(the\s+|of\s+the\s+)?(\w+\s+)?(figures?|numbers?|values?|percent(age)?s?|proportions?|mentions?|"
+    r"\b(?:every|each|all)\s+(?:the\s+|of\s+the\s+)?(?:\w+\s+)?(?:figures?|numbers?|values?|percent(?:age)?s?|proportions?|mentions?|"
     r"instances?|versions?|meetings?|times?|decisions?|proposals?|changes?|updates?|reports?|statements?|occurrences?|dates?)\b"
 )
 MONTHS = "january february march april may june july august september october november december".split()

@@ -23,6 +23,10 @@ def merge_turns(fragments: DataFrame) -> DataFrame:
     )
 
 
+#: Positions that are numbered in one window.
+RUN = 4096
+
+
 def reuse_locators(parsed: DataFrame, manifest: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """The k-th occurrence of a fingerprint in parsed(document_id, position, fingerprint) takes the locator of the k-th row of manifest(document_id, genesis_position, fingerprint, source_locator).
 
@@ -34,7 +38,12 @@ def reuse_locators(parsed: DataFrame, manifest: DataFrame, every: DataFrame | No
     met = parsed.withColumn("k", nth("position")).join(old, ["document_id", "fingerprint", "k"], "left")
     high = (manifest if every is None else every).groupBy("document_id").agg(F.max("genesis_position").alias("high"))
     fresh = met.where("source_locator IS NULL").join(high, "document_id", "left")
-    number = F.coalesce("high", F.lit(-1)) + F.row_number().over(W.partitionBy("document_id").orderBy("position"))
+    # numbered in runs of positions, so that no task holds a document of any size
+    fresh = fresh.withColumn("run", F.floor(F.col("position") / RUN))
+    sizes = fresh.groupBy("document_id", "run").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("document_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fresh = fresh.join(sizes.select("document_id", "run", before.alias("before")), ["document_id", "run"])
+    number = F.coalesce("high", F.lit(-1)) + F.col("before") + F.row_number().over(W.partitionBy("document_id", "run").orderBy("position"))
     fresh = fresh.select("document_id", "position", F.format_string("u%04d", number.cast("long")).alias("source_locator"), F.lit(True).alias("minted"))
     return met.where("source_locator IS NOT NULL").select("document_id", "position", "source_locator", F.lit(False).alias("minted")).union(fresh)
 
@@ -49,9 +58,9 @@ def revoke(manifest: DataFrame, locators: DataFrame, when: str) -> DataFrame:
 def remap(old: DataFrame, new: DataFrame) -> DataFrame:
     """(document_id, old_fingerprint, new_fingerprint) of rows changed by a rewrite, aligned by position; a missing partner raises when the result is read."""
     both = old.withColumnRenamed("fingerprint", "old_fingerprint").join(new.withColumnRenamed("fingerprint", "new_fingerprint"), ["document_id", "position"], "full")
-    problem = F.raise_error(F.concat(F.lit("rewrite changed the number of units of "), F.col("document_id").cast("string")))
-    both = both.withColumn("old_fingerprint", F.when(F.col("old_fingerprint").isNull() | F.col("new_fingerprint").isNull(), problem).otherwise(F.col("old_fingerprint")))
-    return both.where("old_fingerprint <> new_fingerprint").select("document_id", "old_fingerprint", "new_fingerprint")
+    lone = F.col("old_fingerprint").isNull() | F.col("new_fingerprint").isNull()
+    problem = F.raise_error(F.concat(F.lit("rewrite changed the number of units of "), F.col("document_id").cast("string"))).cast("boolean")
+    return both.where(F.when(lone, problem).otherwise(F.col("old_fingerprint") != F.col("new_fingerprint"))).select("document_id", "old_fingerprint", "new_fingerprint")
 
 
 def live(manifest: DataFrame) -> DataFrame:

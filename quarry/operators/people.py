@@ -44,10 +44,12 @@ def short_name_owners(names: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count_distinct("name").alias("n"), F.min("name").alias("name")).where("n = 1").select("token", "name")
 
 
-def case_counts(units: DataFrame) -> DataFrame:
-    """(word, lower, capital): how often units(raw_text), e-mail addresses apart, write a word all in lower case or capitalised."""
+def case_counts(units: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(word, lower, capital): how often units(raw_text), e-mail addresses apart, write a word all in lower case or capitalised; of the words only(word), if given."""
     plain = F.regexp_replace("raw_text", r"\S+@\S+", " ")
     words = units.select(F.explode(F.regexp_extract_all(plain, F.lit(T.WORD), F.lit(1))).alias("w"))
+    if only is not None:
+        words = words.join(only.select("word").distinct(), F.lower("w") == F.col("word"), "left_semi")
     counted = words.groupBy("w").agg(F.count("*").alias("n"))
     low = F.lower("w")
     capital = F.concat(F.upper(F.left(low, F.lit(1))), F.substring(low, 2, 1 << 30))

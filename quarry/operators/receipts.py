@@ -193,6 +193,44 @@ def marker(new, hit, later) -> Column:
     return F.when(new, "!").when(hit, "*").when(later, "+").otherwise(" ")
 
 
+def within_budget(units: DataFrame, most: int = 180) -> DataFrame:
+    """Of units(evidence_id, place, new, hit, later) the most that a reasoner is shown: found by the counter-search first, then hits, later evidence and context, each in order of place."""
+    priority = F.when(F.col("new"), 0).when(F.col("hit"), 1).when(F.col("later"), 2).otherwise(3)
+    return units.withColumn("priority", priority).orderBy("priority", "place", "evidence_id").limit(most)
+
+
+def strip_fence(raw) -> Column:
+    """A model's reply without the fence around it."""
+    text = F.trim(raw)
+    inside = F.regexp_replace(F.regexp_replace(text, r"(?s)^```[^\n]*\n?", ""), r"(?s)```(?!.*```).*$", "")
+    return F.when(text.startswith("```"), F.regexp_replace(inside, r"(?s)^\s+|\s+$", "")).otherwise(text)
+
+
+OUTPUT = "status string, claims array<struct<claim_text:string,stance:string,supporting_evidence_ids:array<string>>>"
+STATUSES = ["SUPPORTED", "PARTIALLY_SUPPORTED", "CONFLICTING_EVIDENCE", "INSUFFICIENT_EVIDENCE"]
+STANCES = ["DECISION", "AGREEMENT", "COMMITMENT", "PROPOSAL", "ASSUMPTION", "UNCERTAIN", "SUPERSEDED"]
+
+
+def parsed_output(raw) -> Column:
+    """struct<output, problems>: a reply read by its schema; problems name what a second try has to mend, and are empty for a valid one."""
+    out = F.from_json(strip_fence(raw), OUTPUT)
+    problems = F.array_compact(
+        F.array(
+            F.when(out.isNull() | (out["status"].isNull() & out["claims"].isNull()), "not parseable as JSON").when(~F.coalesce(out["status"].isin(STATUSES), F.lit(False)), "status"),
+            F.when(out["status"].isNotNull() & out["claims"].isNull(), "claims"),
+            F.when(F.exists(out["claims"], lambda c: c["claim_text"].isNull() | ~F.coalesce(c["stance"].isin(STANCES), F.lit(False))), "claims.stance"),
+        )
+    )
+    return F.struct(out.alias("output"), problems.alias("problems"))
+
+
+def claim_spread(cited: DataFrame, units: DataFrame) -> DataFrame:
+    """(claim_id, spread_days, wide): days between the first and the last dated support of each claim of cited(claim_id, evidence_id, conflict)."""
+    day = F.to_date("event_date")
+    live = cited.where("NOT conflict").join(units.select("evidence_id", "event_date"), "evidence_id").groupBy("claim_id").agg(F.coalesce(F.datediff(F.max(day), F.min(day)), F.lit(0)).alias("spread_days"))
+    return live.withColumn("wide", F.col("spread_days") > DATE_SPREAD_DAYS)
+
+
 def usage(cited: DataFrame) -> DataFrame:
     """The distinct (case_id, evidence_id, usage) of cited(case_id, support, conflict, timeline, counter): arrays of ids; counter-evidence counts as conflict."""
     kinds = [("support", "SUPPORT"), ("conflict", "CONFLICT"), ("timeline", "TIMELINE"), ("counter", "CONFLICT")]

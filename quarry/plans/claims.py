@@ -241,3 +241,36 @@ def radar_overreach(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("text", _pick(F.col("turn") % 4, " so we should proceed", " which is now approved", ""))
     t = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("t"), receipts.bounded(text).alias("shown"))
     return t.select("conv_id", "turn", (F.col("shown") == receipts.WITHHELD).alias("withheld"), F.md5("shown").alias("shown_md5"))
+
+
+@register(
+    f"""WITH {CASES_SQL}, p AS (SELECT evidence_id, event_date, CASE WHEN unit_index % 5 = 4 THEN 0 WHEN unit_index % 3 = 0 THEN 1 WHEN unit_index % 2 = 0 THEN 2 ELSE 3 END AS priority FROM units)
+SELECT evidence_id, priority FROM p ORDER BY priority, event_date, evidence_id LIMIT 180"""
+)
+def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 180 units that a reasoner is shown: a stable top-k by why they were found, then by date."""
+    i = F.col("unit_index")
+    u = _cases(spark, sf_dir)[3].select("evidence_id", F.col("event_date").alias("place"), (i % 5 == 4).alias("new"), (i % 3 == 0).alias("hit"), (i % 2 == 0).alias("later"))
+    return receipts.within_budget(u).select("evidence_id", "priority")
+
+
+@register(f"WITH {CASES_SQL}, s AS (SELECT claim_id, date_diff('day', min(CAST(event_date AS DATE)), max(CAST(event_date AS DATE)))::INTEGER AS spread_days FROM cited JOIN units USING (evidence_id) WHERE NOT conflict GROUP BY claim_id) SELECT claim_id, spread_days, spread_days > 90 AS wide FROM s")
+def claim_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart in time the live support of each claim is."""
+    _, _, cited, units = _cases(spark, sf_dir)
+    return receipts.claim_spread(cited, units)
+
+
+@register(
+    """SELECT conv_id, turn, CASE turn % 5 WHEN 2 THEN 'status' WHEN 3 THEN 'not parseable as JSON' WHEN 4 THEN 'claims.stance' ELSE '' END AS problems, CASE WHEN turn % 5 NOT IN (3) THEN md5(text) END AS claim_md5, CASE WHEN turn % 5 <> 3 THEN 2 END AS n_ids FROM conversations"""
+)
+def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with fences, read by a nested schema: unknown values and broken ones are named."""
+    t = read(spark, sf_dir, "conversations")
+    kind = F.col("turn") % 5
+    claim = F.struct(F.col("text").alias("claim_text"), F.when(kind == 4, "GUESS").otherwise("DECISION").alias("stance"), F.array(F.lit("EV-1"), F.concat(F.lit("EV-"), "turn")).alias("supporting_evidence_ids"))
+    body = F.to_json(F.struct(F.when(kind == 2, "FINE").otherwise("SUPPORTED").alias("status"), F.array(claim).alias("claims")))
+    raw = F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\nthat is all"))).when(kind == 3, F.concat(F.lit("{'status' "), "text")).otherwise(F.concat(F.lit(" "), body, F.lit("\n")))
+    p = t.select("conv_id", "turn", receipts.parsed_output(raw).alias("p")).select("conv_id", "turn", "p.*")
+    first = F.get("output.claims", F.lit(0))
+    return p.select("conv_id", "turn", F.array_join("problems", ", ").alias("problems"), F.md5(first["claim_text"]).alias("claim_md5"), F.size(first["supporting_evidence_ids"]).alias("n_ids"))

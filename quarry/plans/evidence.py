@@ -117,13 +117,6 @@ def recent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.withColumn("k", k).where("k = 1").orderBy(F.desc("ts"), F.desc("event_id")).limit(30).select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_second"))
 
 
-@register("SELECT d.doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS priority FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY priority, d.doc_id LIMIT 180")
-def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 180 units of highest priority, a stable top-k."""
-    d = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 1).otherwise(2).alias("priority")).orderBy("priority", "doc_id").limit(180)
-
-
 @register(
     """WITH d AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS event_date FROM events)
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(event_date, '9999-99-99'), event_id) AS nth FROM d"""
@@ -249,8 +242,9 @@ SELECT name, part AS token, CASE WHEN NOT (regexp_matches(part, '^\p{{L}}[\p{{L}
   WHEN part IN ({COMMON_SQL}) OR coalesce(lower > capital, false) THEN 'ordinary-word' END AS reason FROM parts JOIN o USING (part) LEFT JOIN cases ON word = part WHERE nth = 0 AND n_parts >= 2"""
 )
 def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = people.case_counts(read(spark, sf_dir, "documents").withColumnRenamed("text", "raw_text"))
-    return people.first_name_reasons(_names(spark, sf_dir), counts, ["person", "speaker"])
+    names = _names(spark, sf_dir)
+    counts = people.case_counts(read(spark, sf_dir, "documents").withColumnRenamed("text", "raw_text"), people.parts(names).select(F.col("part").alias("word")))
+    return people.first_name_reasons(names, counts, ["person", "speaker"])
 
 
 @register(r"WITH a AS (SELECT DISTINCT regexp_extract(text, '^[\p{L}\p{N}_]+') AS alias FROM benchmark) SELECT DISTINCT doc_id, alias FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS alias FROM documents) JOIN a USING (alias)")

@@ -63,8 +63,9 @@ ix AS (SELECT * FROM fl UNION ALL SELECT *, NULL FROM gv UNION ALL SELECT * FROM
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = people.case_counts(read(spark, sf_dir, "documents").withColumnRenamed("text", "raw_text"))
-    return people.strict_index(*_people(spark, sf_dir), counts)
+    p, a = _people(spark, sf_dir)
+    words = people.parts(p.select(F.col("display_name").alias("name"))).select(F.col("part").alias("word"))
+    return people.strict_index(p, a, people.case_counts(read(spark, sf_dir, "documents").withColumnRenamed("text", "raw_text"), words))
 
 
 @register(f"WITH {_INDEX_SQL} SELECT subject_id, kind, token, reason FROM ix")

@@ -14,6 +14,7 @@ from ..operators import identity, privacy
 from ..sources import archive, manifests
 from ..sources.tables import read
 from ..streaming import uploads
+from ..streaming.events import windowed_counts
 
 QUERIES, SQL = {}, {}
 
@@ -255,3 +256,9 @@ def sealed_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = privacy.unseal(sealed, "0123456789abcdef0123456789abcdef").withColumnRenamed("bundle", "opened")
     hidden = sealed.join(c, "subject_id").select("subject_id", (~F.contains("ciphertext", "bundle")).alias("hidden"))
     return opened.join(hidden, "subject_id").select("subject_id", F.md5("opened").alias("bundle_md5"), "hidden")
+
+
+@register("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type by the hour, by the function that a stream uses."""
+    return windowed_counts(read(spark, sf_dir, "events"))

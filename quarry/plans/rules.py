@@ -109,9 +109,9 @@ SELECT document_id, first_date, n, rank() OVER (ORDER BY first_date, document_id
 def render_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order in which evidence is shown: by first date, then id."""
     d = units(spark, sf_dir).groupBy("document_id").agg(F.coalesce(F.min("event_date"), F.lit("9999-99-99")).alias("first_date"), F.count("*").alias("n"))
-    # Places without a window over all rows: how many documents start before each date, and the place within the date.
+    # Places without a window over all rows: a running sum over the days, and the place within the day.
     days = d.groupBy("first_date").agg(F.count("*").alias("k"))
-    before = days.alias("a").join(days.alias("b"), F.col("b.first_date") < F.col("a.first_date"), "left").groupBy(F.col("a.first_date").alias("first_date")).agg(F.coalesce(F.sum("b.k"), F.lit(0)).alias("before"))
+    before = days.select("first_date", F.coalesce(F.sum("k").over(W.orderBy("first_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     nth = F.row_number().over(W.partitionBy("first_date").orderBy("document_id"))
     return d.join(before, "first_date").select("document_id", "first_date", "n", (F.col("before") + nth).alias("place"))
 

@@ -131,3 +131,20 @@ def test_manifests(spark, tmp_path):
     assert got == [("Ana Berg", "alias of several people"), ("Ana Berg", "alias type"), ("Ana Duarte", "alias of several people"), ("Ana Duarte", "alias repeats the name"), ("Me", "reserved name")]
     (tmp_path / "s.json").write_text('{"signals": [{"signal_id": "s1", "categories": []}]}')
     assert [r.signal_id for r in manifests.signals(spark, str(tmp_path / "s.json")).collect()] == ["s1"]
+
+
+def test_streams(spark, tmp_path):
+    from quarry.streaming import events
+
+    schema = "ts timestamp, event_type string, value double, document_id string, fingerprint string"
+    rows = [("2024-01-01 00:10:00", "a", 1.0, "d", "f1"), ("2024-01-01 00:50:00", "a", 2.0, "d", "f2"), ("2024-01-01 01:10:00", "b", 4.0, "e", "f1"), ("2024-01-02 00:00:00", "a", 8.0, "d", "f1")]
+    for i, r in enumerate([*rows, ("2024-01-02 05:00:00", "a", 1.0, "d", "f3"), ("2024-01-01 00:20:00", "a", 99.0, "d", "f0")]):  # the last is too late
+        (tmp_path / "in").mkdir(exist_ok=True)
+        spark.createDataFrame([r], "ts string, event_type string, value double, document_id string, fingerprint string").selectExpr("cast(ts as timestamp) ts", "event_type", "value", "document_id", "fingerprint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/part{i}")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/part*")
+    for name, df in (("counts", events.windowed_counts(stream())), ("seen", events.first_seen(stream()))):
+        df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/ck-{name}").trigger(availableNow=True).start().awaitTermination()
+    got = {(str(r.start)[:13], r.event_type): r.n for r in spark.table("counts").collect()}
+    assert got[("2024-01-01 01", "b")] == 1 and got[("2024-01-01 00", "a")] in (2, 3)
+    seen = {(r.document_id, r.fingerprint): r.locator for r in spark.table("seen").collect()}
+    assert sorted(seen) == [("d", "f0"), ("d", "f1"), ("d", "f2"), ("d", "f3"), ("e", "f1")] and sorted(v for (d, _), v in seen.items() if d == "d") == ["u0000", "u0001", "u0002", "u0003"]

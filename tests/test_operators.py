@@ -109,7 +109,65 @@ def test_receipts(spark):
 def test_privacy(spark):
     x = F.col("x")
     text = "Öberg met Ana\n Berg and berg; ANA BERG wrote from a.b@x.org"
-    assert one(spark, privacy.pseudonymise(x, ["Berg", "Ana Berg"], ["a.b@x.org"], "Person Jade"), x=text) == "Öberg met Person Jade and Person Jade; Person Jade wrote from person.jade@pseudonym.invalid"
+    assert one(spark, privacy.pseudonymise(x, ["Berg", "Ana Berg"], ["a.b@x.org"], "Person Jade"), x=text) == "Öberg met Person Jade and Person Jade; Person Jade wrote from person-jade@pseudonymised.invalid"
     sealed = privacy.seal(spark.createDataFrame([(1, "Ana")], "subject_id int, bundle string"), "0123456789abcdef")
     assert privacy.unseal(sealed, "0123456789abcdef").first().bundle == "Ana"
     assert privacy.unseal(sealed, "fedcba9876543210").first().bundle is None
+
+
+def test_privacy_signs_and_signatures(spark):
+    x, ana = F.col("x"), (["Ana Berg", "Ana"], ["a.b@x.org"], "Person $1 \\Jade")
+    assert one(spark, privacy.pseudonymise(x, *ana), x="Ana said") == "Person $1 \\Jade said"
+    assert one(spark, privacy.restore(privacy.pseudonymise(x, *ana), ana[2], "A$0\\", "a.b@x.org"), x="ana, A.B@X.ORG") == "A$0\\, a.b@x.org"
+    mail = "Dear all\n ana  BERG \nHead\nPhone\n\nAna\nx\n1\n2\n3\n4\n5\nsixth line of Ana\nbanana"
+    assert one(spark, privacy.rewrite(x, "EMAIL", ["Ana Berg", "Ana"], [], "P"), x=mail) == "Dear all\nP\n\nP\nsixth line of P\nbanana"
+    assert one(spark, privacy.rewrite(x, "TRANSCRIPT", ["Ana Berg"], [], "P", "AB"), x="AB\nAna\nBerg x\nAB\nABC\n AB") == "P x\nABC"
+    rows = spark.createDataFrame([("management by Ana, ana-lysis; ANA ana",)], "t string")
+    assert privacy.needle_counts(rows, "t", ["ana"], "s").first().hits == 4  # `ana-lysis` begins with the whole word
+    assert privacy.needle_counts(rows, "t", ["a, ana"], "s").first().hits == 1
+
+
+def test_locators_and_vectors_that_raise(spark):
+    parsed = spark.createDataFrame([("d", 0, "t1", "f"), ("d", 1, None, "g")], "document_id string, position long, natural_locator string, fingerprint string")
+    manifest = "document_id string, source_locator string, genesis_position long, fingerprint string, revoked_at string"
+    got = {r.position: (r.source_locator, r.minted) for r in identity.assign_locators(parsed, spark.createDataFrame([("d", "u0004", 4, "g", "2024"), ("d", "t1", 0, "f", None)], manifest)).collect()}
+    assert got == {0: ("t1", False), 1: ("u0005", True)}  # the revoked locator is not given again
+    with pytest.raises(Exception, match="revoked locator t1"):
+        identity.assign_locators(parsed, spark.createDataFrame([("d", "t1", 0, "f", "2024")], manifest)).collect()
+    vectors = spark.createDataFrame([(1, [3.0, 4.0], "m"), (2, [1.0, 0.0], "m"), (3, [1.0], "n")], "id long, v array<double>, model string")
+    live = spark.createDataFrame([(1,), (2,)], "id long")
+    assert {r.id: r.v for r in R.load_vectors(vectors, live).collect()} == {1: [0.6, 0.8], 2: [1.0, 0.0]}
+    for bad in ([(2, [1.0], "m")], [(2, [1.0, 2.0], "n")], [(2, [float("nan"), 1.0], "m")]):
+        with pytest.raises(Exception, match="embeddings"):
+            R.load_vectors(vectors.where("id = 1").union(spark.createDataFrame(bad, vectors.schema)), live).collect()
+
+
+def test_minted_numbers_run_on(spark, monkeypatch):
+    monkeypatch.setattr(identity, "RUN", 3)
+    parsed = spark.createDataFrame([("d", i * 2, f"h{i}") for i in range(9)], "document_id string, position int, fingerprint string")
+    none = spark.createDataFrame([], "document_id string, genesis_position int, fingerprint string, source_locator string")
+    assert [r.source_locator for r in identity.reuse_locators(parsed, none).orderBy("position").collect()] == [f"u{i:04d}" for i in range(9)]
+
+
+def test_claims(spark):
+    claims = spark.createDataFrame([(1, 10, 'They "signed" it', "DECISION", "HIGH", None), (1, 11, "EV-1", "DECISION", "HIGH", None), (2, 20, "no one knows", "UNCERTAIN", "LOW", "x")], "case_id int, claim_id int, claim_text string, stance string, confidence string, uncertainty string")
+    cited = spark.createDataFrame([(10, "a", False), (10, "zz", False), (11, "a", False)], "claim_id int, evidence_id string, conflict boolean")
+    units = spark.createDataFrame([("a", False, "for your signature: ...")], "evidence_id string, is_truncated boolean, raw_text string")
+    got = {r.claim_id: r for r in receipts.validate_claims(claims, cited, units).collect()}
+    assert (got[10].confidence, got[10].uncertainty, got[10].n_support) == ("MEDIUM", receipts.DRAFT_NOTE, 1) and not got[11].kept and got[20].kept
+    cases = spark.createDataFrame([(1, "SUPPORTED"), (2, "SUPPORTED"), (3, "SUPPORTED")], "case_id int, status string")
+    states = {r.case_id: r.status for r in receipts.validated_status(cases, receipts.validate_claims(claims, cited, units)).collect()}
+    assert states == {1: "PARTIALLY_SUPPORTED", 2: "INSUFFICIENT_EVIDENCE", 3: "INSUFFICIENT_EVIDENCE"}
+    assert [r.evidence_id for r in receipts.rejected_ids(cited, units).collect()] == ["zz"]
+    x = F.col("x")
+    for text, fits in (("in 12 months", True), ("twenty of them", True), ("a1b", False), ("none", False)):
+        assert one(spark, x.rlike(receipts.SPECIFIC_VALUE), x=text) is fits
+    assert one(spark, receipts.strip_fence(x), x='```json\n{"a": "```"}\n```\nok') == '{"a": "```"}'
+    assert one(spark, receipts.bounded(x), x="It MAKES sense to wait") == receipts.WITHHELD
+
+
+def test_mentions_of_several_words(spark):
+    units = spark.createDataFrame([(1, "Ana Berg and O'Neil (x)"), (2, "Ana Bergen"), (3, "by Ana")], "evidence_id int, raw_text string")
+    d = spark.createDataFrame([("s1", "Ana Berg"), ("s1", "Ana"), ("s2", "O'Neil"), ("s3", "Bergen")], "subject_id string, alias string")
+    none = spark.createDataFrame([(3, "s1")], "evidence_id int, subject_id string")
+    assert {tuple(r) for r in people.link_mentions(units, d, none).collect()} == {(1, "s1"), (1, "s2"), (2, "s1"), (2, "s3")}
