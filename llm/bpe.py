@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
 A text is cut by the vocabulary's pattern; each match is encoded on its own. A match is
-encoded by halves: short runs of bytes by rank-ordered merges, and two neighbouring encodings
+encoded by parts: short runs of bytes by rank-ordered merges, and two neighbouring encodings
 are joined by re-encoding a window of bytes around their boundary, one that grows until the
 tokens outside it are provably stable. The proof used: merges by rank give a sequence of tokens
 exactly if every neighbouring pair of it is what its own bytes encode to, so a join is right as
@@ -9,7 +9,9 @@ soon as the pairs at both edges of the window are such pairs; all pairs further
 Decoding concatenates the tokens' bytes up the same tree.
 
 Nulls and empty texts have no tokens. Very long texts without a cut (one word of many MB) take
-time in proportion to their length, as every join touches a window around its boundary only.
+time in proportion to their length, as every join touches a window around its boundary only; where windows have to grow over all of a
+repeated text, its equal parts are encoded once, and windows in n log n. doc_id may be null or repeated: each row gives one row. An empty
+table has an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from .tables import read
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes that are merged directly; longer matches are halved.
 LEAF = 32
+#: Bytes up to which the lowest rank is looked for in a list.
+SHORT = 128
 #: Characters below it may be cut by the faster engine.
 LATIN = 0x250
 #: Ids that are decoded at once.
@@ -92,6 +97,8 @@ class Coder:
         ranks = self.ranks
         if (whole := ranks.get(data)) is not None:
             return [whole]
+        if len(data) > SHORT:
+            return self.long_leaf(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         costs = [ranks.get(parts[i] + parts[i + 1], 1 << 30) for i in range(len(parts) - 1)]
         while costs and (low := min(costs)) < 1 << 30:
@@ -104,6 +111,31 @@ class Coder:
                 costs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
         return [ranks[x] for x in parts]
 
+    def long_leaf(self, data: bytes) -> list[int]:
+        """`leaf` by a heap of neighbours, in n log n."""
+        ranks, n = self.ranks, len(data)
+        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, to = heappop(heap)
+            j = after[i]
+            if j >= n or end[j] != to or end[i] != j:
+                continue  # one of the two has been merged since
+            end[i], end[j] = to, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks.get(data[i : end[k]])) is not None:
+                    heappush(heap, (r, i, end[k]))
+            if (h := before[i]) >= 0 and (r := ranks.get(data[h:to])) is not None:
+                heappush(heap, (r, h, to))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i : end[i]]])
+            i = after[i]
+        return out
+
     def stable(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b encode to just a and b."""
         if (found := self.pairs.get((a, b))) is None:
@@ -121,11 +153,17 @@ class Coder:
                 return left[:a] + window + right[b:]
             n *= 2
 
-    def encode(self, data: bytes) -> list[int]:
+    def encode(self, data: bytes, seen: dict[int, tuple[bytes, list[int]]] | None = None) -> list[int]:
+        """Blocks of a power of two of leaves, then what is left; a block equal to the last one of its size, as in repeated text, is not encoded again."""
         if len(data) <= LEAF:
             return self.leaf(data)
-        half = len(data) // 2
-        return self.join(self.encode(data[:half]), self.encode(data[half:]))
+        seen = {} if seen is None else seen
+        if (last := seen.get(len(data))) and last[0] == data:
+            return last[1]
+        cut = LEAF << ((len(data) - 1) // LEAF).bit_length() - 1
+        out = self.join(self.encode(data[:cut], seen), self.encode(data[cut:], seen))
+        seen[len(data)] = data, out
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) > RUN:
