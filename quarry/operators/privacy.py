@@ -120,6 +120,19 @@ def affected(edges: DataFrame, units: DataFrame, subject, pattern: str) -> DataF
     return edges.where(F.col("subject_id") == subject).select("evidence_id").union(units.where(F.col("raw_text").rlike(pattern)).select("evidence_id")).distinct()
 
 
+def invalidated(findings: DataFrame, cases: DataFrame, cited: DataFrame, gone: DataFrame, pattern: str) -> DataFrame:
+    """(kind, id, reason): what an operation on gone(evidence_id) makes stale, findings first.
+
+    findings(finding_id, case_id, prose), cases(case_id, prose), cited(kind, id, evidence_id) with kind `finding` or `case`. A row goes if it cites
+    what is gone, or if its prose matches the pattern; the case that a stale finding is linked with goes with it.
+    """
+    hit = cited.join(gone.select("evidence_id"), "evidence_id", "left_semi").select("kind", "id", F.lit("cited").alias("reason")).distinct()
+    named = lambda table, kind, key: table.where(F.col("prose").rlike(pattern)).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.lit("prose").alias("reason"))
+    stale = hit.where("kind = 'finding'").union(named(findings, "finding", "finding_id"))
+    linked = findings.join(stale.select(F.col("id").alias("finding_id")).distinct(), "finding_id", "left_semi").where("case_id IS NOT NULL").select(F.lit("case"), "case_id", F.lit("linked")).distinct()
+    return stale.union(hit.where("kind = 'case'")).union(named(cases, "case", "case_id")).union(linked)
+
+
 def lost_relations(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("evidence_id", "subject_id", "relation").exceptAll(after.select("evidence_id", "subject_id", "relation"))
 

@@ -153,7 +153,7 @@ def lexical_lists(scored: DataFrame) -> DataFrame:
     best = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
     s = scored.withColumns({"by_body": best(F.desc("body"), "id"), "by_title": best(F.desc("title"), "id"), "dated": _in_window()})
     s = s.withColumn("by_date", best(F.desc("dated"), F.desc("body"), "id"))
-    s = s.where(F.least("by_body", "by_title") <= 8 * F.col("most")).unionAll(s.where((F.least("by_body", "by_title") > 8 * F.col("most")) & F.col("dated") & (F.col("by_date") <= F.col("most"))))
+    s = s.where((F.least("by_body", "by_title") <= 8 * F.col("most")) | F.col("dated") & (F.col("by_date") <= F.col("most")))
     within = lambda order: F.row_number().over(W.partitionBy("query_id", "document_id").orderBy(order))
     s = s.withColumns({"nth_title": within("by_title"), "nth_body": within("by_body")})
     title, spread = (F.col("by_title") <= 8 * F.col("most")) & (F.col("nth_title") <= TITLE_CAP), F.col("wide") & (F.col("by_body") <= 8 * F.col("most")) & (F.col("nth_body") <= WIDE_CAP)

@@ -225,3 +225,21 @@ def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = c.select(F.col("c_custkey").alias("subject_id"), F.lit("PSEUDONYMISED").alias("privacy_state"), F.lit("Person Amber").alias("display_alias"), F.lit(None).cast("string").alias("display_name"))
     relations = read(spark, sf_dir, "orders").where("o_custkey = 1").select(F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderstatus").alias("relation"))
     return privacy.verification(hits, person, c.select(F.col("c_custkey").alias("subject_id")), relations, relations, "Person Amber")
+
+
+@register(
+    """WITH gone AS (SELECT o_orderkey FROM orders WHERE o_custkey % 40 = 3), f AS (SELECT p_partkey AS finding_id, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % (SELECT count(*) FROM supplier) + 1 END AS case_id, p_partkey % 50 = 7 AS named FROM part),
+s AS (SELECT DISTINCT l_partkey AS id, 'cited' AS reason FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone) UNION ALL SELECT finding_id, 'prose' FROM f WHERE named)
+SELECT 'finding' AS kind, id, reason FROM s UNION ALL SELECT DISTINCT 'case', l_suppkey, 'cited' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone) UNION ALL SELECT 'case', s_suppkey, 'prose' FROM supplier WHERE regexp_matches(s_name, '7$') UNION ALL SELECT DISTINCT 'case', case_id, 'linked' FROM f JOIN s ON s.id = finding_id WHERE case_id IS NOT NULL"""
+)
+def findings_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings (parts) and cases (suppliers) that cite units of some people, name them, or are linked with such a finding."""
+    gone = read(spark, sf_dir, "orders").where("o_custkey % 40 = 3").select(F.col("o_orderkey").alias("evidence_id"))
+    line = read(spark, sf_dir, "lineitem")
+    cited = line.select(F.lit("finding").alias("kind"), F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("evidence_id")).union(line.select(F.lit("case"), "l_suppkey", "l_orderkey"))
+    supplier = read(spark, sf_dir, "supplier")
+    n = supplier.agg(F.count("*").alias("n"))
+    key = F.col("p_partkey")
+    findings = read(spark, sf_dir, "part").join(F.broadcast(n)).select(key.alias("finding_id"), F.when(key % 3 != 0, key % F.col("n") + 1).alias("case_id"), F.when(key % 50 == 7, "by Ana").otherwise("by no one").alias("prose"))
+    cases = supplier.select(F.col("s_suppkey").alias("case_id"), F.when(F.col("s_name").rlike("7$"), "ANA said").otherwise("analysis").alias("prose"))
+    return privacy.invalidated(findings, cases, cited, gone, privacy.whole("Ana"))

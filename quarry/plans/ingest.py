@@ -119,14 +119,30 @@ a AS (SELECT document_id, 'EMAIL' AS document_type, row_number() OVER (PARTITION
   UNION ALL SELECT document_id, 'TRANSCRIPT', row_number() OVER (PARTITION BY document_id ORDER BY position) - 1, '2024-03-04', 'Weekly', speaker, body FROM t WHERE body <> '')"""
 
 
-def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mails = archive.mail(_threads(spark, sf_dir)).select("document_id", F.lit("EMAIL").alias("document_type"), F.col("position").cast("long"), "event_date", "thread_context", "speaker_sender", "raw_text", "is_truncated")
-    said = archive.transcripts(_transcripts(spark, sf_dir))
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files with their types; transcripts have a date and a title of their own."""
     null = F.lit(None).cast("string")
-    turns = said.select("document_id", F.lit("TRANSCRIPT").alias("document_type"), F.col("position").cast("long"), null.alias("event_date"), null.alias("thread_context"), "speaker_sender", "raw_text", T.is_truncated(F.col("raw_text")).alias("is_truncated"))
-    units = mails.union(turns)
-    documents = turns.select("document_id").distinct().select("document_id", F.lit("2024-03-04").alias("document_date"), F.lit("Weekly").alias("title"))
-    return archive.assemble(units, documents)
+    kinds = {"EMAIL": _threads, "REPORT": _reports}
+    out = _transcripts(spark, sf_dir).select("document_id", F.lit("TRANSCRIPT").alias("document_type"), "text", F.lit("2024-03-04").alias("document_date"), F.lit("Weekly").alias("title"))
+    for kind, write in kinds.items():
+        out = out.union(write(spark, sf_dir).select("document_id", F.lit(kind), "text", null, null))
+    return out
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.parse_all(_files(spark, sf_dir).where("document_type <> 'REPORT'"))
+
+
+@register(
+    f"""WITH {_ASSEMBLED}, c AS (SELECT document_type, count(DISTINCT document_id) AS n_documents, count(*) AS n_units, md5(string_agg(md5(body), '' ORDER BY md5(body))) AS texts_md5 FROM a GROUP BY document_type UNION ALL SELECT 'REPORT', count(DISTINCT document_id), count(*), md5(string_agg(md5(t), '' ORDER BY md5(t))) FROM
+ (SELECT document_id, t FROM (SELECT 'r' || doc_id AS document_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS t FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n')) AS p FROM documents)) WHERE t <> ''
+   UNION ALL SELECT 'r' || doc_id, t FROM documents, (VALUES ('green'), ('first step'), ('second step'), ('none')) v(t)))
+SELECT * FROM c"""
+)
+def parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all types parsed as their type says, into one table of units."""
+    u = archive.parse_all(_files(spark, sf_dir)).withColumn("h", F.md5("raw_text"))
+    return u.groupBy("document_type").agg(F.count_distinct("document_id").alias("n_documents"), F.count("*").alias("n_units"), F.md5(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("texts_md5"))
 
 
 @register(f"WITH {_ASSEMBLED} SELECT document_id, document_type, unit_index, event_date, thread_context, speaker AS speaker_sender, md5(body) AS text_md5 FROM a")

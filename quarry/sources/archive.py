@@ -44,6 +44,18 @@ def name_key(name) -> Column:
     return T.without_marks(F.lower(name))
 
 
+#: How deep brackets of an attendee list may stand in one another.
+DEPTH = 6
+
+
+def attendees(text) -> Column:
+    """The names of a list that commas outside of brackets part, without what stands in brackets; what follows an open bracket belongs to it."""
+    for _ in range(DEPTH):
+        text = F.regexp_replace(text, r"\s*\([^()]*\)\s*", " ")
+    text = F.regexp_replace(text, r"\s*\(.*$", "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def transcripts(docs: DataFrame) -> DataFrame:
     """(document_id, position, speaker_sender, timestamp_text, natural_locator, raw_text) fragments of docs(document_id, text).
 
@@ -64,8 +76,7 @@ def transcripts(docs: DataFrame) -> DataFrame:
     own = body.where("internal").select("document_id", F.col("pos").alias("position"), F.regexp_extract("line", r"^(Me|Them):\s?(.*)$", 1).alias("speaker_sender"), F.trim(F.regexp_extract("line", r"^(Me|Them):\s?(.*)$", 2)).alias("raw_text"))
     own = own.where("speaker_sender <> '' AND raw_text <> ''").select("document_id", "position", "speaker_sender", F.lit(None).cast("string").alias("timestamp_text"), F.lit(None).cast("string").alias("natural_locator"), "raw_text")
 
-    people = header.where(F.col("line").startswith("Attendees:")).select("document_id", F.explode(F.split(F.regexp_extract("line", r"^Attendees:\s*(.*)$", 1), r",(?![^(]*\))")).alias("name"))
-    people = people.select("document_id", F.trim(F.regexp_replace("name", r"\s*\([^)]*\)\s*", " ")).alias("name"))
+    people = header.where(F.col("line").startswith("Attendees:")).select("document_id", F.explode(attendees(F.regexp_extract("line", r"^Attendees:\s*(.*)$", 1))).alias("name"))
     guests = body.where(F.col("line").rlike(r"^Guest [0-9]+$")).select("document_id", F.col("line").alias("name"))
     labels = docs.select("document_id", F.explode(F.array(F.lit("Unknown Speaker"), F.lit("[REDACTED SPEAKER]"))).alias("name"))
     names = people.union(guests).union(labels).where("name <> ''").groupBy("document_id", name_key(F.col("name")).alias("key")).agg(F.min("name").alias("name"))
@@ -167,3 +178,17 @@ def ingest_report(units: DataFrame) -> DataFrame:
     """Counters by document type: documents, units, units without a named speaker, truncated units."""
     nobody = F.col("speaker_sender").isNull() | T.is_non_person(F.col("speaker_sender"))
     return units.groupBy("document_type").agg(F.count_distinct("document_id").alias("n_documents"), F.count("*").alias("n_units"), F.count_if(nobody).alias("n_anonymous"), F.count_if("is_truncated").alias("n_truncated"))
+
+
+def parse_all(docs: DataFrame) -> DataFrame:
+    """All units of docs(document_id, document_type, text, document_date, title), each parsed as its type says, as one table: document_id, document_type, unit_index, speaker_sender, event_date, thread_context, natural_locator, raw_text, is_truncated."""
+    of = lambda kind: docs.where(F.col("document_type") == kind).select("document_id", "text")
+    null = F.lit(None).cast("string")
+    said = transcripts(of("TRANSCRIPT")).select("document_id", "position", "speaker_sender", null.alias("event_date"), null.alias("thread_context"), "natural_locator", "raw_text", T.is_truncated(F.col("raw_text")).alias("is_truncated"))
+    columns = ["document_id", "position", "speaker_sender", "event_date", "thread_context", "natural_locator", "raw_text", "is_truncated"]
+    parsed = {"TRANSCRIPT": said, "EMAIL": mail(of("EMAIL")).select(*columns), "REPORT": reports(of("REPORT")).withColumn("natural_locator", null).select(*columns)}
+    out = None
+    for kind, units in parsed.items():
+        one = assemble(units, docs).select("document_id", F.lit(kind).alias("document_type"), F.col("unit_index").cast("long"), *columns[2:])
+        out = one if out is None else out.union(one)
+    return out
