@@ -7,7 +7,8 @@ strings inside texts are escaped, so that the formatted string can be read back
 Rows are ordered by (turn, role, text); repeated turns follow one another. Null roles and
 texts count as empty. Roles without a template entry use the entry `other`, which carries
 the role's name. A conversation is one row of the result, so it is gathered whole; nothing
-is gathered across conversations. An invalid order is reported, and formatted all the same.
+is gathered across conversations. An invalid order is reported, and formatted all the same. Rows without a conv_id are a
+conversation. An empty table has an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

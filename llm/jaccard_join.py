@@ -22,8 +22,9 @@ copy each document into each region. Regions are therefore seeded first, without
 
 Only links of a spanning forest leave a task, never all pairs of a group. Words are
 `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; shingles are compared by 64-bit hashes, sets by their size
-and two sums of 64 bits. Null and empty texts have the empty set. doc_id identifies a row; rows
-that repeat it give one row each. Further columns are ignored.
+and two sums of 64 bits. Null and empty texts have the empty set. Each row gives one row: a doc_id that rows with several texts
+share is a document of each of their sets; a row without one is linked with nothing but the rows of its set. An empty table has an
+empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -106,15 +107,15 @@ def _parts(batches: Iterator[pa.RecordBatch], rule: Rule, column: int = 1):
             yield part, sets(part.column(column), rule)
 
 
-KEYS = "doc_id long, n long, a long, b long, counts binary"
+KEYS = "doc_id long, text_hash long, n long, a long, b long, counts binary"
 
 
 def _keys(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for part, (first, g, _, n) in _parts(batches, rule):
         row = np.repeat(np.arange(len(n)), n)
         counts = np.bincount(row * CLASSES + (g >> U(32) & U(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES).astype(np.uint32).reshape(len(n), CLASSES)
-        columns = [part.column(0), pa.array(n), pa.array(_key(first, g, n, 0x1234567)), pa.array(_key(first, g, n, 0x89ABCDEF)), pa.array([x.tobytes() for x in counts], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b", "counts"])
+        columns = [part.column(0), part.column(2), pa.array(n), pa.array(_key(first, g, n, 0x1234567)), pa.array(_key(first, g, n, 0x89ABCDEF)), pa.array([x.tobytes() for x in counts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "a", "b", "counts"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -299,9 +300,10 @@ def candidates(docs: DataFrame, keys: DataFrame, rule: Rule) -> tuple[DataFrame,
 def similar(docs: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
     """(x, y): links between different nodes that connect all linked ones."""
     near, hot = candidates(docs, keys, rule)
-    named = keys.groupBy("a").agg(F.min("doc_id").alias("doc_id"))
+    # one row stands for all of its set: by doc_id and text, as rows may share a doc_id
+    named = keys.groupBy("a").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"))
     alike = near.select(F.col("x").alias("a")).union(near.select("y")).union(hot).distinct()
-    texts = materialise(docs.join(named.join(alike, "a"), "doc_id").select("a", "text"))
+    texts = materialise(docs.join(named.join(alike, "a"), ["doc_id", "text_hash"]).select("a", "text"))
 
     classes = texts.join(hot, "a", "left_semi").select("a", "text").mapInArrow(lambda rows: _class_keys(rows, rule), "key long, a long")
     stars = classes.groupBy("key").agg(F.min("a").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -340,7 +342,7 @@ def _sent(members: DataFrame, queries: DataFrame, rule: Rule) -> DataFrame:
 def jaccard_components(docs: DataFrame, shingle: int = RULE.shingle, percent: int = RULE.percent) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     rule = Rule(shingle, percent)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
     keys = materialise(docs.mapInArrow(lambda rows: _keys(rows, rule), KEYS))
     full = keys.where("n > 0")
     label = components(similar(docs.where("doc_id IS NOT NULL"), full.where("doc_id IS NOT NULL"), rule), "x", "y")

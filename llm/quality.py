@@ -6,7 +6,8 @@ an earlier line. Everything stays inside one row: no shuffle, whole texts, Arrow
 into runs of a few MB.
 
 Nulls and empty texts have no words: every count is 0 and the base rule rejects them. Further
-columns of the input are ignored by `measure` and kept by `keep_rows`; repeated rows give repeated results.
+columns of the input, whatever their names, are ignored by `measure` and kept by `keep_rows`; repeated rows and rows without a doc_id
+give a result each. An empty table has an empty result.
 """
 
 from __future__ import annotations

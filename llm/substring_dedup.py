@@ -18,7 +18,7 @@ aggregate. This balances the work and changes no result.
 Words are `[^\\x20\\x09-\\x0D]+`; windows and spans are compared by 64-bit hashes next to the
 anchor's own. Nulls, empty texts and texts under LENGTH words have no window and lose nothing.
 doc_id identifies a row: rows that repeat it are never each other's earlier copy. Rows with a
-null doc_id are returned whole. Further columns are ignored.
+null doc_id are returned whole. An empty table has an empty result. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
