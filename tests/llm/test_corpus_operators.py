@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -195,6 +196,14 @@ def test_jaccard_other_rules(docs, shingle, percent):
     assert got == {i: (len(found[i]), label[i]) for i in found}
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    base = words(300)
+    near = " ".join([*base[:150], "other", *base[151:]])
+    rows = [(1, " ".join(words(200))), (1, " ".join(base)), (2, near), (3, " ".join(words(200))), (None, near), (None, "alone here"), (4, "alone here"), (None, ""), (3, " ".join(base))]
+    got = sorted(map(str, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()))
+    assert got == sorted(f"Row(doc_id={a}, component_id={b})" for a, b in [(1, 1), (1, 1), (2, 1), (3, 3), (None, 1), (None, 4), (4, 4), (None, None), (3, 1)])
+
+
 @pytest.mark.parametrize("shingle, percent", [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_linked_sets_share_a_class(shingle, percent):
     rule = jaccard_join.Rule(shingle, percent)
@@ -394,6 +403,12 @@ def test_bpe(docs, empty):
     for t in ["<|endoftext|>", "I'm 's 'T  \n x", "ab" * 700, "　日本語" * 40, "² ½ ٣", "é" * 90, "\x1c\x85 \xa0"]:
         assert c.ids(t) == own.encode_ordinary(t) and c.decode(np.array(c.ids(t))).decode() == t
     assert bpe.round_trip(empty).collect() == []
+    for n in (129, 1000, 5000, 65536):
+        for t in ("a" * n, ("abc" * n)[:n], "".join(rnd.choice("aab\u00e9") for _ in range(n))):
+            assert c.encode(t.encode()) == own._encode_single_piece(t.encode()), (n, t[:9])
+    began = time.perf_counter()
+    assert c.decode(np.array(c.ids("a" * 400_000))) == b"a" * 400_000 and time.perf_counter() - began < 60
+    assert sorted((r.doc_id is None, r.n_tokens) for r in bpe.round_trip(docs.sparkSession.createDataFrame([(None, "one"), (1, None), (1, "")], "doc_id long, text string")).collect()) == [(False, 0), (False, 0), (True, 1)]
     decoded = {r.doc_id: bytes(r.data).decode() for r in bpe.decode(bpe.encode(docs)).collect()}
     assert decoded == TEXTS
 
