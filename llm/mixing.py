@@ -45,7 +45,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(word, w0, w1, w2): what the presence of an informative word adds to each domain's log likelihood; the row of the null word holds what a text without any of them has."""
     sample = labels.select(F.col("doc_id").alias("_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("k"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id", "k").limit(MAX_LABELLED)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("k", F.explode(F.array_distinct(F.concat(words_of(F.col("text")), F.array(F.lit(None).cast("string"))))).alias("word"))
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("k", "text").withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "k"])  # copies count once
+    rows = rows.select("k", F.explode(F.array_distinct(F.concat(words_of(F.col("text")), F.array(F.lit(None).cast("string"))))).alias("word"))
     counts = rows.groupBy("word").agg(*[F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(len(DOMAINS))])
     counts = materialise(counts.withColumn("n", sum(F.col(f"n{k}") for k in range(len(DOMAINS)))).where("word IS NULL OR (word <> '' AND n > 1)"))
     total = counts.where("word IS NULL").first()
