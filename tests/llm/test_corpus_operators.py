@@ -304,6 +304,60 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, labels).collect() == []
 
 
+def mix_by_brute_force(rows, labels, targets):
+    """{doc_id: (tokens, posteriors, rate)} of rows(doc_id, text): naive Bayes over informative words, then projected gradient over all documents in one place."""
+    import regex
+
+    words_of = lambda t: set(regex.split(r"[^\p{L}\p{N}\u00a4]+", re.sub(r"[#*$%&|<>]+", " \u00a4 ", (t or "").lower())))
+    text = dict(rows)
+    sample = {(text[i], 2 if toxic else 0 if quality else 1) for i, quality, toxic in labels if i in text}
+    size = [sum(k == j for _, k in sample) for j in range(3)]
+    every, count = sum(size), collections.defaultdict(lambda: [0, 0, 0])
+    for t, k in sample:
+        for w in words_of(t) - {""}:
+            count[w][k] += 1
+    weights = {}
+    for w, n in count.items():
+        total = sum(n)
+        g2 = 2 * sum(x * math.log(x * every / (total * max(1, size[j]))) for j, x in enumerate(n) if x)
+        share = [(x + total / every) / (size[j] + 1.0) for j, x in enumerate(n)]
+        if 1 < total < every and g2 >= mixing.MIN_G2 and max(share) > mixing.MIN_RATIO * total / every:
+            weights[w] = share
+    prior = [math.log((n + (1e-3 if j else 1.0)) / (every + 1)) + sum(math.log1p(-w[j]) for w in weights.values()) for j, n in enumerate(size)]
+    out = {}
+    for i, t in rows:
+        x = np.array([prior[j] + sum(math.log(weights[w][j]) - math.log1p(-weights[w][j]) for w in words_of(t) if w in weights) for j in range(3)])
+        e = np.exp(x - x.max())
+        out[i] = (len(split(t)), e / e.sum())
+    t, p = np.array([v[0] for v in out.values()], float), np.array([v[1] for v in out.values()])
+    goal = np.array(targets) * (t @ p[:, 0])
+    step, rate, before = 1 / max((p.T * t @ p).sum(1)), np.ones(len(t)), None
+    for _ in range(mixing.STEPS):
+        error = (rate * t) @ p - goal
+        if before is not None and max(abs(error - before)) < mixing.TOLERANCE * (t @ p[:, 0]) / mixing.STEPS:
+            break
+        before, rate = error, np.maximum(0, rate - step * p @ error)
+    return {i: (v[0], v[1], r) for (i, v), r in zip(out.items(), rate)}
+
+
+@pytest.mark.parametrize("targets", [mixing.TARGETS, (0.6, 0.3, 0.1)])
+def test_mixing_by_brute_force(spark, targets):
+    r = random.Random(3)
+    own = lambda n: [r.choice(VOCABULARY) for _ in range(n)]
+    kind = {i: "toxic" if i % 8 == 3 else "low" if i % 8 == 5 else "clean" for i in range(320)}
+    tail = {"toxic": lambda: ["idiot", r.choice(["scum", "fool"])], "low": lambda: ["click", "here", "$$$", "win"], "clean": lambda: []}
+    rows = [(i, " ".join(own(r.randrange(3, 60)) + tail[kind[i]]() * r.randrange(1, 3))) for i in kind] + [(400, None), (401, ""), (402, "idiot click")]
+    rows += [(500 + i, rows[3][1]) for i in range(60)]  # copies
+    labels = [(i, int(kind.get(i, "toxic") != "low"), int(kind.get(i, "toxic") == "toxic")) for i, _ in rows if i % 3 == 0]
+    want = mix_by_brute_force(rows, labels, targets)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), targets).collect()
+    assert len(got) == len(want)
+    for x in got:
+        tokens, p, rate = want[x.doc_id]
+        assert x.tokens == tokens and [x.p_clean, x.p_low, x.p_toxic] == pytest.approx(p.tolist(), abs=1e-9) and x.rate == pytest.approx(rate, abs=1e-6), x.doc_id
+    assert len({tuple(np.round(v[1], 6)) for v in want.values()}) > 3
+
+
 def test_mixing_rare_language(spark):
     bad = {i for i in range(2000) if i % 10 == 0}
     insult = lambda i: " imbécile" if i % 200 == 0 else " idiot"
