@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_text, jaccard_join, line_dedup, lm, mixing, quality, substring_dedup
+from . import bpe, chat, compression, divergence, exact_dedup, html_text, jaccard_join, line_dedup, lm, mixing, quality, substring_dedup, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_quality_classifier": compression.op12_quality_classifier,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
@@ -25,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": line_dedup.ORACLE_SQL,
         "op7_chat_formatting": chat.ORACLE_SQL,
         "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL,
     }
