@@ -144,18 +144,67 @@ def _whole(alias) -> Column:
     return F.concat(F.lit(r"(?U)(?<!\w)\Q"), alias, F.lit(r"\E(?!\w)"))
 
 
+def mention_dictionary(people: DataFrame, aliases: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(subject_id, alias): every form that may stand for a person in a text.
+
+    All aliases(subject_id, alias) and display aliases of people(subject_id, display_name, display_alias), and short forms of display names: with a
+    strict index(subject_id, kind, token, reason) its good first and last names, else those that one person alone has; and
+    initials that one person alone has and that are nobody's first or last name where the index decides on these.
+    """
+    w = F.split(F.trim("display_name"), r"\s+")
+    initials = F.upper(F.array_join(F.transform(w, lambda x: F.left(x, F.lit(1))), ""))
+    form = lambda kind, token: F.struct(F.lit(kind).alias("kind"), token.alias("token"))
+    forms = people.where(F.size(w) >= 2).select("subject_id", F.explode(F.array(form("FIRST", F.get(w, F.lit(0))), form("LAST", F.element_at(w, -1)), form("INITIALS", initials))).alias("f")).select("subject_id", "f.*")
+    short = forms.groupBy("token").agg(F.count_distinct("subject_id").alias("n"), F.min("subject_id").alias("subject_id"), F.bool_or(F.col("kind") != "INITIALS").alias("word")).where("n = 1")
+    if index is not None:
+        good = index.where("reason IS NULL AND kind IN ('FIRST', 'LAST')").select("subject_id", "token")
+        short = short.where("NOT word").select("subject_id", "token").union(good)
+    every = aliases.select("subject_id", "alias").union(people.select("subject_id", "display_alias")).union(short.select("subject_id", "token"))
+    return every.where(F.col("alias").isNotNull()).distinct()
+
+
+#: Words and what stands between them; pieces of a text that are searched as one row.
+PIECE, SEGMENT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+", 512
+
+
 def link_mentions(units: DataFrame, dictionary: DataFrame, stronger: DataFrame) -> DataFrame:
     """(evidence_id, subject_id) for dictionary(subject_id, alias) of aliases of any number of words that units(evidence_id, raw_text) hold as whole words, once for each subject, but not where stronger(evidence_id, subject_id) has the pair.
 
-    Units meet aliases on the alias's first word, an equi-join; only pairs with longer aliases look at the text again.
+    Each alias is filed under that of its words that the fewest segments of units hold, with the word's place in it. A segment that has the word
+    is walked once: around each such word it yields the run of pieces that an alias of this shape (place, length) would be. Runs meet
+    aliases in an equi-join. So a segment never meets an alias without its rarest word, and aliases that share words and shape cost one run together.
     """
-    word = r"([\p{L}\p{N}_]+)"
-    d = dictionary.select("subject_id", "alias").distinct().withColumn("head", F.regexp_extract("alias", word, 1)).where("head <> ''").withColumn("single", F.col("head") == F.col("alias"))
-    tokens = units.select("evidence_id", F.explode(F.array_distinct(F.regexp_extract_all("raw_text", F.lit(word), F.lit(1)))).alias("head"))
-    met = tokens.join(d, "head")
-    long = met.where("NOT single").join(units.select("evidence_id", "raw_text"), "evidence_id").where(F.regexp_like(F.col("raw_text"), _whole(F.col("alias"))))
-    pairs = met.where("single").select("evidence_id", "subject_id").union(long.select("evidence_id", "subject_id")).distinct()
-    return pairs.join(stronger.select("evidence_id", "subject_id"), ["evidence_id", "subject_id"], "left_anti")
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
+    is_word = lambda x: x.rlike(r"^[\p{L}\p{N}_]")
+    gap = lambda d, at: F.when(is_word(F.element_at("pieces", at)), "").otherwise(F.element_at("pieces", at))
+    d = dictionary.select("subject_id", "alias").distinct().withColumn("pieces", pieces(F.col("alias"))).where(F.exists("pieces", is_word))
+    d = d.withColumns({"lead": gap(d, 1), "trail": gap(d, -1)})
+    d = d.withColumn("core", F.expr("slice(pieces, if(lead = '', 1, 2), greatest(0, size(pieces) - if(lead = '', 0, 1) - if(trail = '', 0, 1)))"))
+    cores = d.select("core").distinct()
+    longest = F.broadcast(cores.agg(F.coalesce(F.max(F.size("core")), F.lit(0)).alias("longest")))  # one row
+
+    cut = units.select("evidence_id", pieces(F.col("raw_text")).alias("all")).where(F.size("all") > 0).join(longest)
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / SEGMENT).cast("int"))).alias("segment"))
+    cut = cut.withColumn("start", F.greatest(F.lit(0), F.col("segment") * SEGMENT - F.col("longest") - 1))
+    segments = cut.select("evidence_id", "segment", "start", F.size("all").alias("n_pieces"), F.expr(f"slice(all, start + 1, (segment + 1) * {SEGMENT} + longest + 1 - start)").alias("pieces"))
+    tokens = segments.select("evidence_id", "segment", F.explode(F.array_distinct("pieces")).alias("word"))
+
+    filed = cores.select("core", F.posexplode("core").alias("place", "word")).where(is_word(F.col("word")))
+    held = tokens.join(filed.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("held"))
+    filed = filed.join(held, "word").groupBy("core").agg(F.min(F.struct("held", "word", "place")).alias("r"), F.count("*").alias("known"), F.first(F.size(F.filter("core", is_word))).alias("words"))
+    filed = filed.where("known = words").select("r.word", "r.place", F.size("core").alias("length"))
+    shapes = filed.groupBy("word").agg(F.collect_set(F.struct("place", "length")).alias("shapes"))
+
+    hits = tokens.join(shapes, "word").groupBy("evidence_id", "segment").agg(F.collect_list(F.struct("word", "shapes")).alias("hits"))
+    runs = lambda p, i: F.flatten(F.transform(F.filter("hits", lambda h: h["word"] == p), lambda h: F.transform(h["shapes"], lambda s: F.struct((i - s["place"]).alias("at"), s["length"].alias("length")))))
+    met = segments.join(hits, ["evidence_id", "segment"]).select("evidence_id", "start", "n_pieces", "pieces", F.explode(F.array_distinct(F.flatten(F.transform("pieces", runs)))).alias("run")).where("run.at >= 0")
+    run = F.expr("array_join(slice(pieces, run.at + 1, run.length), '')")
+    met = met.select("evidence_id", run.alias("run"), F.expr("coalesce(get(pieces, run.at - 1), '')").alias("before"), F.expr("coalesce(get(pieces, run.at + run.length), '')").alias("after"), F.expr("start + run.at = 1").alias("first"), F.expr("start + run.at + run.length + 1 = n_pieces").alias("last"))
+    # marks around an alias end where no word begins
+    free = lambda gap, whole, ends, edge: (F.col(gap) == "") | ends & ((F.length(whole) > F.length(gap)) | F.col(edge))
+    found = met.join(d.select("subject_id", F.array_join("core", "").alias("run"), "lead", "trail"), "run")
+    found = found.where(free("lead", "before", F.col("before").endswith(F.col("lead")), "first") & free("trail", "after", F.col("after").startswith(F.col("trail")), "last"))
+    return found.select("evidence_id", "subject_id").distinct().join(stronger.select("evidence_id", "subject_id"), ["evidence_id", "subject_id"], "left_anti")
 
 
 def independent(units: DataFrame, pairs: DataFrame) -> DataFrame:

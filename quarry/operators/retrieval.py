@@ -92,9 +92,10 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def normalised(v) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+def unit_length(rows: DataFrame, column: str) -> DataFrame:
+    """rows whose vector in `column` is finite and not empty, at unit length as doubles; one without length stays as it is. The norm is a column of its own, computed once a vector."""
+    kept = rows.where(finite(F.col(column))).withColumn("_norm", F.sqrt(dot(F.col(column), F.col(column))))
+    return kept.withColumn(column, F.expr(f"transform({column}, x -> cast(x as double) / if(_norm = 0, 1, _norm))")).drop("_norm")
 
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
     Vectors and queries that aren't finite, have no length, or differ in dimension have no score.
     """
-    v, q = (t.select(k, normalised(F.col(c)).alias(c)).where(finite(F.col(c))) for t, k, c in ((vectors, "id", "v"), (queries, "query_id", "qv")))
+    v, q = (unit_length(t.select(k, c), c) for t, k, c in ((vectors, "id", "v"), (queries, "query_id", "qv")))
     blocks = -(-queries.count() // BLOCK)
     out = None
     for k in range(max(1, blocks)):
@@ -203,7 +204,8 @@ def load_vectors(vectors: DataFrame, live: DataFrame) -> DataFrame:
     kept = vectors.join(live.select("id"), "id", "left_semi")
     shape = kept.agg(F.count_distinct("model").alias("models"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("largest"))  # one row
     wrong = F.when(F.col("models") > 1, F.raise_error(F.lit("embeddings of several models"))).when(F.col("least") != F.col("largest"), F.raise_error(F.lit("embeddings of several sizes"))).when(~finite(F.col("v")), F.raise_error(F.lit("embeddings that are not finite")))
-    return kept.join(F.broadcast(shape)).select("id", F.when(wrong.isNull(), normalised(F.col("v"))).alias("v"))
+    checked = kept.join(F.broadcast(shape)).select("id", F.when(wrong.isNull(), F.col("v")).alias("v"))
+    return checked.withColumn("_norm", F.sqrt(dot(F.col("v"), F.col("v")))).select("id", F.expr("transform(v, x -> cast(x as double) / if(_norm = 0, 1, _norm))").alias("v"))
 
 
 def context_windows(units: DataFrame, base: int = 1, most: int = 3) -> DataFrame:

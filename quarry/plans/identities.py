@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import people, privacy
 from ..sources import archive
+from ..sources.store import stored
 from ..sources.tables import read
 from .evidence import NAMES_SQL, WORDS_SQL, _names
 from .ingest import _threads, _transcripts
@@ -41,7 +42,7 @@ def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """people(subject_id, display_name, display_alias) and aliases(subject_id, alias, alias_type)."""
     title = lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(F.regexp_extract(c, "^[A-Za-z]+", 0), 2, 99)))
     names = _names(spark, sf_dir).select("name").union(read(spark, sf_dir, "nation").select(F.concat(F.lit("Ana "), title(F.col("n_name"))))).union(read(spark, sf_dir, "region").select(F.concat(title(F.col("r_name")), F.lit(" Person"))))
-    names = names.union(spark.range(1).select(F.lit("Zorro Zorro"))).distinct()
+    names = stored(names.union(spark.range(1).select(F.lit("Zorro Zorro"))).distinct())
     p = names.select(F.md5("name").alias("subject_id"), F.col("name").alias("display_name"), F.concat(F.lit("Person "), F.left(F.md5("name"), F.lit(6))).alias("display_alias"))
     a = p.select("subject_id", F.col("display_name").alias("alias"), F.lit("FULL_NAME").alias("alias_type"))
     a = a.union(p.where("subject_id < '8'").select("subject_id", F.concat(F.lower(F.replace("display_name", F.lit(" "), F.lit("."))), F.lit("@example.org")), F.lit("EMAIL")))
@@ -62,8 +63,8 @@ jd AS (SELECT f.subject_id, f.kind, f.token, CASE WHEN NOT (regexp_matches(f.tok
 ix AS (SELECT * FROM fl UNION ALL SELECT *, NULL FROM gv UNION ALL SELECT * FROM jd)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, a = _people(spark, sf_dir)
+def _index(spark: SparkSession, sf_dir: str, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    p, a = known or _people(spark, sf_dir)
     words = people.parts(p.select(F.col("display_name").alias("name"))).select(F.col("part").alias("word"))
     return people.strict_index(p, a, people.case_counts(read(spark, sf_dir, "documents").withColumnRenamed("text", "raw_text"), words))
 
@@ -81,9 +82,9 @@ SELECT q.name, coalesce(a.subject_id, f.s) AS subject_id, CASE WHEN a.subject_id
 )
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full names in any case, and single words of them."""
-    p, _ = _people(spark, sf_dir)
+    p, a = _people(spark, sf_dir)
     asked = p.select(F.col("display_name").alias("name")).union(p.select(F.upper("display_name"))).union(p.select(F.explode(F.split("display_name", r"\s+")))).distinct()
-    return people.resolve(asked, _index(spark, sf_dir))
+    return people.resolve(asked, stored(_index(spark, sf_dir, (p, a))))
 
 
 @register(
@@ -122,19 +123,28 @@ def structural_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.structural_names(m.union(t))
 
 
+_INITIALS = r"upper(array_to_string(list_transform(string_split_regex(trim(display_name), '\s+'), lambda x: left(x, 1)), ''))"
+
+
 @register(
-    rf"""WITH {PEOPLE_SQL}, d AS (SELECT subject_id, alias FROM aliases WHERE alias_type <> 'EMAIL' UNION SELECT subject_id, display_alias FROM people),
-u AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' with Ana France, Person ' || left(md5('Ana Japan'), 6) WHEN 1 THEN ' and Ana Franceville' ELSE '' END AS t FROM documents),
-c AS (SELECT doc_id, t, unnest(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'))) AS head FROM u), h AS (SELECT subject_id, alias, regexp_extract(alias, '[\p{{L}}\p{{N}}_]+') AS head FROM d)
-SELECT DISTINCT doc_id, subject_id FROM c JOIN h USING (head) WHERE regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(alias) || '($|[^\p{{L}}\p{{N}}_])') AND NOT (doc_id % 8 = 0 AND subject_id = md5('Ana France'))"""
+    rf"""WITH {_INDEX_SQL}, ws AS (SELECT subject_id, string_split_regex(trim(display_name), '\s+') AS w, {_INITIALS} AS i FROM people),
+fo AS (SELECT subject_id, w[1] AS token, true AS word FROM ws WHERE len(w) > 1 UNION ALL SELECT subject_id, w[-1], true FROM ws WHERE len(w) > 1 UNION ALL SELECT subject_id, i, false FROM ws WHERE len(w) > 1),
+d AS (SELECT subject_id, alias FROM aliases UNION SELECT subject_id, display_alias FROM people UNION SELECT subject_id, token FROM ix WHERE reason IS NULL AND kind IN ('FIRST', 'LAST')
+  UNION SELECT min(subject_id), token FROM fo GROUP BY token HAVING count(DISTINCT subject_id) = 1 AND NOT bool_or(word)),
+u AS (SELECT doc_id, text || CASE doc_id % 8 WHEN 0 THEN ' with Ana Nation' WHEN 2 THEN ' and Ana Nationville, zorro.zorro@example.orgs' WHEN 4 THEN ' with Ana Nation, ZZ' WHEN 5 THEN ' (Person ' || left(md5('Zorro Zorro'), 6) || ')' WHEN 6 THEN ' see old Zorro  Zorro or zorro.zorro@example.org' WHEN 7 THEN ' Old Africa Person.' ELSE '' END AS t FROM documents),
+c AS (SELECT doc_id, t, unnest(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'))) AS head FROM u), h AS (SELECT subject_id, alias, list_reverse(list_sort(list_transform(regexp_extract_all(alias, '[\p{{L}}\p{{N}}_]+'), lambda x: {{'n': length(x), 'w': x}})))[1].w AS head FROM d)
+SELECT DISTINCT doc_id, subject_id FROM c JOIN h USING (head) WHERE regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(alias) || '($|[^\p{{L}}\p{{N}}_])') AND NOT (doc_id % 16 = 0 AND subject_id = md5('Ana Nation'))"""
 )
 def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases of any number of words in whole texts; authors are not mentioned in their own."""
+    """Aliases, display aliases, strict first and last names and initials in whole texts; authors are not mentioned in their own. Names of people that exist are planted, with near misses."""
     p, a = _people(spark, sf_dir)
-    dictionary = a.where("alias_type <> 'EMAIL'").select("subject_id", "alias").union(p.select("subject_id", "display_alias"))
-    tail = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" with Ana France, Person "), F.left(F.md5(F.lit("Ana Japan")), F.lit(6)))).when(F.col("doc_id") % 4 == 1, " and Ana Franceville").otherwise("")
-    u = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.concat("text", tail).alias("raw_text"))
-    stronger = u.where("evidence_id % 8 = 0").select("evidence_id", F.md5(F.lit("Ana France")).alias("subject_id"))
+    tails = {0: " with Ana Nation", 2: " and Ana Nationville, zorro.zorro@example.orgs", 4: " with Ana Nation, ZZ", 6: " see old Zorro  Zorro or zorro.zorro@example.org", 7: " Old Africa Person."}
+    tail = F.when(F.col("doc_id") % 8 == 5, F.concat(F.lit(" (Person "), F.left(F.md5(F.lit("Zorro Zorro")), F.lit(6)), F.lit(")")))
+    for k, v in tails.items():
+        tail = tail.when(F.col("doc_id") % 8 == k, v)
+    u = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.concat("text", tail.otherwise("")).alias("raw_text"))
+    stronger = u.where("evidence_id % 16 = 0").select("evidence_id", F.md5(F.lit("Ana Nation")).alias("subject_id"))
+    dictionary = stored(people.mention_dictionary(p, a, _index(spark, sf_dir, (p, a))))
     return people.link_mentions(u, dictionary, stronger).withColumnRenamed("evidence_id", "doc_id")
 
 

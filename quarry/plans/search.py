@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from ..sources.tables import UNITS_SQL, dated, read, transcript_units, units
 
 QUERIES, SQL = {}, {}
@@ -197,6 +198,24 @@ def cosine_topk_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(R.cosine(v, q), 10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
+@register(f"WITH {COSINE_SQL} SELECT query_id, id AS vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cosines QUALIFY rank <= 10")
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the inverted file: lists that the triangle inequality rules out are not scored."""
+    v, q = _vectors(spark, sf_dir)
+    return V.search(V.build_index(v), q, 10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+@register(
+    f"WITH {COSINE_SQL} SELECT query_id, id AS vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cosines "
+    "WHERE strftime(DATE '2024-01-01' + CAST(id % 365 AS INTEGER), '%Y-%m-%d') >= '2024-03-01' AND strftime(DATE '2024-01-01' + CAST(id % 365 AS INTEGER), '%Y-%m-%d') < '2024-07-01' QUALIFY rank <= 10"
+)
+def vector_search_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file, with a date stored beside each vector and filtered before scoring."""
+    v, q = _vectors(spark, sf_dir)
+    index = V.build_index(v.withColumn("event_date", dated(F.col("id"))), ("event_date",))
+    return V.search(index, q, 10, F.col("event_date").between("2024-03-01", "2024-06-30")).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
 HYBRID_SQL = f"""
 {SEARCH_SQL}, {CAP_SQL.format('title', 120, 4, 15)},
 semantic AS (SELECT b.item_id AS query_id, v.vec_id AS id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6) AS score

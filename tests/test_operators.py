@@ -171,3 +171,24 @@ def test_mentions_of_several_words(spark):
     d = spark.createDataFrame([("s1", "Ana Berg"), ("s1", "Ana"), ("s2", "O'Neil"), ("s3", "Bergen")], "subject_id string, alias string")
     none = spark.createDataFrame([(3, "s1")], "evidence_id int, subject_id string")
     assert {tuple(r) for r in people.link_mentions(units, d, none).collect()} == {(1, "s1"), (1, "s2"), (2, "s1"), (2, "s3")}
+
+
+def test_mentions_by_the_rarest_word(spark, monkeypatch):
+    monkeypatch.setattr(people, "SEGMENT", 16)
+    fill = "of the and to " * 40
+    texts = {1: fill + "Ana of the Hill " + fill, 2: "Ana of the Hills", 3: "say (Bo) now", 4: "say xx(Bo) now", 5: "a.b@x.org, c", 6: "a.b@x.orgs", 7: "Zoë  Ray", 8: "Zoë Ray's", 9: "(Bo)", 10: None, 11: "", 12: "Hill of the Ana", 13: fill * 3 + "Zoë Ray"}
+    d = spark.createDataFrame([("s1", "Ana of the Hill"), ("s2", "(Bo)"), ("s3", "a.b@x.org"), ("s4", "Zoë Ray"), ("s5", "of the Moon"), ("s6", "--"), ("s4", "Ray")], "subject_id string, alias string")
+    units = spark.createDataFrame(list(texts.items()), "evidence_id long, raw_text string")
+    none = spark.createDataFrame([(13, "s4")], "evidence_id long, subject_id string")
+    got = {tuple(r) for r in people.link_mentions(units, d, none).collect()}
+    assert got == {(1, "s1"), (3, "s2"), (9, "s2"), (5, "s3"), (7, "s4"), (8, "s4")}
+
+
+def test_mention_dictionary(spark):
+    p = spark.createDataFrame([("1", "Ana Berg", "Person 1"), ("2", "Bo Berg", "Person 2"), ("3", "Cleo Nilsson Ek", "Person 3"), ("4", None, "Person 4"), ("5", "Solo", "Person 5"), ("6", "Nina Ana", "Person 6")], "subject_id string, display_name string, display_alias string")
+    a = spark.createDataFrame([("1", "ana@x.org", "EMAIL")], "subject_id string, alias string, alias_type string")
+    loose = {tuple(r) for r in people.mention_dictionary(p, a).collect()}
+    assert loose == {*((str(i), f"Person {i}") for i in range(1, 7)), ("1", "ana@x.org"), ("1", "AB"), ("2", "Bo"), ("2", "BB"), ("3", "Cleo"), ("3", "Ek"), ("3", "CNE"), ("6", "Nina"), ("6", "NA")}
+    index = spark.createDataFrame([("3", "FIRST", "Cleo", None), ("3", "LAST", "Ek", "too-short"), ("2", "FULL", "bo berg", None)], "subject_id string, kind string, token string, reason string")
+    strict = {tuple(r) for r in people.mention_dictionary(p, a, index).collect()}
+    assert strict == loose - {("2", "Bo"), ("3", "Ek"), ("6", "Nina")}
