@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import privacy
 from ..operators import retrieval as R
 from ..sources.tables import UNITS_SQL, read, units
-from .search import CAP_SQL, SEARCH_SQL, _bm25, _with_source
+from .search import CAP_SQL, SEARCH_SQL, _best, _with_source
 
 QUERIES, SQL = {}, {}
 
@@ -26,7 +26,7 @@ def register(sql: str):
 @register(f"WITH {SEARCH_SQL}, {CAP_SQL.format('body', 240, 2, 30)} SELECT query_id, id AS doc_id, document_id, score, rank FROM capped")
 def coverage_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide retrieval: thirty hits of a query, two of a document at most."""
-    return R.capped_top_k(_with_source(_bm25(spark, sf_dir, R.BODY_WEIGHTS), spark, sf_dir), 30, 2).select("query_id", F.col("id").alias("doc_id"), "document_id", "score", "rank")
+    return R.capped_top_k(_with_source(_best(spark, sf_dir, "body", 8 * 30).drop("rank"), spark, sf_dir), 30, 2).select("query_id", F.col("id").alias("doc_id"), "document_id", "score", "rank")
 
 
 @register(f"WITH {UNITS_SQL} SELECT evidence_id, speaker_sender, CASE document_type WHEN 'TRANSCRIPT' THEN 'SPEAKER' ELSE 'AUTHOR' END AS relation FROM units WHERE trim(speaker_sender) NOT IN ('system', 'Me', 'Them')")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import text_index as X
 from ..operators import vectors as V
+from ..sources.store import shared_dir, stored
 from ..sources.tables import UNITS_SQL, dated, read, transcript_units, units
 
 QUERIES, SQL = {}, {}
@@ -96,6 +100,26 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_FIELDS = {"body": "text", "title": "source", "speaker": "lang"}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> X.TextIndex:
+    """The index of the documents, kept in the shared folder: cut into tokens once, brought up to date when it is opened."""
+    name = hashlib.md5(f"{sf_dir} {sorted(_FIELDS.items())}".encode()).hexdigest()
+    return X.open_index(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), _FIELDS, f"{shared_dir(spark)}/indexes/{name}")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What each phrase gives to each document, by the weights of body and title; and the questions' phrases."""
+    phrases = stored(R.query_phrases(_questions(spark, sf_dir)))
+    return X.parts(_stored_index(spark, sf_dir), phrases, {"body": R.BODY_WEIGHTS, "title": R.TITLE_WEIGHTS}), phrases
+
+
+def _best(spark: SparkSession, sf_dir: str, view: str, k: int) -> DataFrame:
+    """The k best documents of each question by one weighting."""
+    return X.best_k(*_parts(spark, sf_dir), view, k).best
+
+
 def _bm25(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFrame:
     return R.bm25(_index(spark, sf_dir), R.query_phrases(_questions(spark, sf_dir)), weights)
 
@@ -137,12 +161,12 @@ SEARCH_SQL = search_sql()
 
 @register(f"WITH {SEARCH_SQL} SELECT query_id, id AS doc_id, score, rank FROM body_top")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_bm25(spark, sf_dir, R.BODY_WEIGHTS), 15).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return _best(spark, sf_dir, "body", 15).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @register(f"WITH {SEARCH_SQL} SELECT query_id, id AS doc_id, score, rank FROM title_top")
 def bm25_title_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_bm25(spark, sf_dir, R.TITLE_WEIGHTS), 15).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return _best(spark, sf_dir, "title", 15).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 CAP_SQL = """
@@ -157,7 +181,7 @@ def _with_source(scored: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
 
 @register(f"WITH {SEARCH_SQL}, {CAP_SQL.format('body', 120, 2, 15)} SELECT query_id, id AS doc_id, document_id, score, rank FROM capped")
 def per_document_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _with_source(_bm25(spark, sf_dir, R.BODY_WEIGHTS), spark, sf_dir)
+    scored = _with_source(_best(spark, sf_dir, "body", 8 * 15).drop("rank"), spark, sf_dir)
     return R.capped_top_k(scored, 15, 2).select("query_id", F.col("id").alias("doc_id"), "document_id", "score", "rank")
 
 
@@ -167,7 +191,8 @@ fused AS (SELECT query_id, id, round(sum(part), 9) AS score, count(*) AS n_lists
 SELECT query_id, id AS doc_id, score, n_lists, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 15"""
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = [(R.top_k(scored, 15), weight) for scored, weight in zip(_views(spark, sf_dir), (1.0, 1.5), strict=True)]
+    parts, phrases = _parts(spark, sf_dir)
+    lists = [(X.best_k(parts, phrases, view, 15).best, weight) for view, weight in (("body", 1.0), ("title", 1.5))]
     return R.fuse(lists, 15).select("query_id", F.col("id").alias("doc_id"), "score", "n_lists", "rank")
 
 
@@ -227,8 +252,9 @@ hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = R.top_k(_bm25(spark, sf_dir, R.BODY_WEIGHTS), 15)
-    title = R.capped_top_k(_with_source(_bm25(spark, sf_dir, R.TITLE_WEIGHTS), spark, sf_dir), 15, 4)
+    parts, phrases = _parts(spark, sf_dir)
+    lexical = X.best_k(parts, phrases, "body", 15).best
+    title = R.capped_top_k(_with_source(X.best_k(parts, phrases, "title", 8 * 15).best.drop("rank"), spark, sf_dir), 15, 4)
     v, _ = _vectors(spark, sf_dir)
     q = read(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), F.col("v").alias("qv"))
     return R.fuse([(lexical, 1.0), (title, 1.5), (R.top_k(R.cosine(v, q), 15), 1.0)], 15)
@@ -281,7 +307,7 @@ SELECT count(*) AS topics, count(*) FILTER (first <= 5) AS in_top_5, count(*) FI
 )
 def benchmark_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval quality: a hit is relevant if it holds the whole passage of the question."""
-    hits = R.top_k(_bm25(spark, sf_dir, R.BODY_WEIGHTS), 15).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = _best(spark, sf_dir, "body", 15).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     judged = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).join(hits, "query_id", "left")
     first = judged.groupBy("query_id").agg(F.min(F.when(F.col("text").contains(F.col("passage")), F.col("rank"))).alias("first"))
     return first.agg(
