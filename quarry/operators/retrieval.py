@@ -149,22 +149,6 @@ def _in_window() -> Column:
     return F.coalesce((F.col("event_date") >= F.col("date_from")) & (F.col("event_date") < F.col("date_to")), F.lit(False))
 
 
-def lexical_lists(scored: DataFrame) -> DataFrame:
-    """(query_id, id, list, rank) of scored(query_id, id, body, title, document_id, event_date, and the columns of `asked`): all lexical lists from one pass."""
-    best = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    s = scored.withColumns({"by_body": best(F.desc("body"), "id"), "by_title": best(F.desc("title"), "id"), "dated": _in_window()})
-    s = s.withColumn("by_date", best(F.desc("dated"), F.desc("body"), "id"))
-    s = s.where((F.least("by_body", "by_title") <= 8 * F.col("most")) | F.col("dated") & (F.col("by_date") <= F.col("most")))
-    within = lambda order: F.row_number().over(W.partitionBy("query_id", "document_id").orderBy(order))
-    s = s.withColumns({"nth_title": within("by_title"), "nth_body": within("by_body")})
-    title, spread = (F.col("by_title") <= 8 * F.col("most")) & (F.col("nth_title") <= TITLE_CAP), F.col("wide") & (F.col("by_body") <= 8 * F.col("most")) & (F.col("nth_body") <= WIDE_CAP)
-    among = lambda ok, by: F.sum(F.when(ok, 1).otherwise(0)).over(W.partitionBy("query_id").orderBy(by).rowsBetween(W.unboundedPreceding, 0))
-    s = s.withColumns({"title_rank": among(title, "by_title"), "spread_rank": among(spread, "by_body")})
-    entry = lambda name, ok, rank: F.when(ok & (F.col(rank) <= F.col("most")), F.struct(F.lit(name).alias("list"), F.col(rank).cast("int").alias("rank")))
-    lists = F.array(entry("lexical", F.lit(True), "by_body"), entry("title", title, "title_rank"), entry("spread", spread, "spread_rank"), entry("dated_lexical", F.col("dated"), "by_date"))
-    return s.select("query_id", "id", F.explode(F.array_compact(lists)).alias("l")).select("query_id", "id", "l.list", "l.rank")
-
-
 def semantic_lists(scored: DataFrame) -> DataFrame:
     """(query_id, id, list, rank) of scored(query_id, id, score, event_date, and the columns of `asked`)."""
     best = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
@@ -182,16 +166,45 @@ def fuse_lists(lists: DataFrame, questions: DataFrame) -> DataFrame:
     return top_k(scored, WIDE_LIMIT).join(questions.select("query_id", "most"), "query_id").where(F.col("rank") <= F.col("most")).drop("most")
 
 
-def later_sweep(fused: DataFrame, lexical: DataFrame, semantic: DataFrame, units: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, id, score, rank, after_date, new) for wide and temporal questions: lexical(query_id, id, score) and semantic(query_id, id, score) evidence of units(id, event_date) after the earliest date of the best hits, fused; `new` is what the hits lack."""
+def sweep_from(fused: DataFrame, units: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, after_date): for wide and temporal questions the earliest date of units(id, event_date) among the best hits, where it is known."""
     wanted = questions.where(F.col("wide") | F.col("temporal")).select("query_id")
-    after = fused.where(F.col("rank") <= ANCHORS).join(wanted, "query_id", "left_semi").join(units, "id").groupBy("query_id").agg(F.min("event_date").alias("after_date")).where("after_date IS NOT NULL")
-    late = [top_k(s.join(after, "query_id").join(units, "id").where(F.col("event_date") > F.col("after_date")).select("query_id", "id", "score"), SWEEP_LIMIT) for s in (lexical, semantic)]
-    swept = fuse([(x, 1.0) for x in late], SWEEP_LIMIT).join(after, "query_id")
+    return fused.where(F.col("rank") <= ANCHORS).join(wanted, "query_id", "left_semi").join(units, "id").groupBy("query_id").agg(F.min("event_date").alias("after_date")).where("after_date IS NOT NULL")
+
+
+def later_sweep(fused: DataFrame, lexical: DataFrame, semantic: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, id, score, rank, after_date, new): lexical and semantic lists(query_id, id, rank) of evidence after a question's date, fused; `new` is what the hits lack."""
+    swept = fuse([(x, 1.0) for x in (lexical, semantic)], SWEEP_LIMIT).join(after, "query_id")
     seen = fused.select("query_id", "id", F.lit(False).alias("new"))
     return swept.join(seen, ["query_id", "id"], "left").select("query_id", "id", "score", "rank", "after_date", F.coalesce("new", F.lit(True)).alias("new"))
 
 
+#: Hits whose context is shown, and those of a wide question.
+SEEDS, WIDE_SEEDS = 8, 12
+
+
+def answer(fused: DataFrame, sweep: DataFrame, units: DataFrame, questions: DataFrame) -> DataFrame:
+    """One answer: fused(query_id, id, rank, score) hits, then the units of the windows around the first hits, then later evidence of sweep(query_id, id, rank), each unit once at its first place.
+
+    (query_id, place, id, hit_rank, hit_score, n_windows, sweep_rank) with the other columns of units(id, document_id, document_type, unit_index, speaker_sender,
+    raw_text, ...) as they are now; ids without a unit drop out. Windows are those of `continued_windows`; only documents with a hit are looked at.
+    """
+    seeds = fused.join(questions.select("query_id", "wide"), "query_id").where(F.col("rank") <= F.when(F.col("wide"), WIDE_SEEDS).otherwise(SEEDS)).select("query_id", "id", "rank")
+    anchors = seeds.join(units.select("id", "document_id", "unit_index"), "id")
+    near = units.join(anchors.select("document_id").distinct(), "document_id", "left_semi")
+    windows = anchors.join(continued_windows(near).select("document_id", "unit_index", "lo", "hi"), ["document_id", "unit_index"])
+    places = near.select("id", "document_id", F.row_number().over(W.partitionBy("document_id").orderBy("unit_index")).alias("nth"))
+    shown = windows.select("query_id", "document_id", "rank", F.explode(F.sequence("lo", "hi")).alias("nth")).join(places, ["document_id", "nth"])
+    first = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+    none = F.lit(None)
+    all_ = fused.select("query_id", "id", first(0, F.col("rank"), F.lit(0)).alias("first"), F.col("rank").alias("hit_rank"), F.col("score").alias("hit_score"), F.lit(0).alias("window"), none.cast("int").alias("sweep_rank"))
+    all_ = all_.union(shown.select("query_id", "id", first(1, F.col("rank"), F.col("nth")), none.cast("int"), none.cast("double"), F.lit(1), none.cast("int")))
+    all_ = all_.union(sweep.select("query_id", "id", first(2, F.col("rank"), F.lit(0)), none.cast("int"), none.cast("double"), F.lit(0), "rank"))
+    each = all_.groupBy("query_id", "id").agg(F.min("first").alias("first"), F.max("hit_rank").alias("hit_rank"), F.max("hit_score").alias("hit_score"), F.sum("window").alias("n_windows"), F.max("sweep_rank").alias("sweep_rank"))
+    found = each.join(units, "id").withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("first")))
+    return found.select("query_id", "place", "id", "hit_rank", "hit_score", "n_windows", "sweep_rank", *[c for c in units.columns if c != "id"])
+
+
 def usable_vectors(queries: DataFrame, index_model: str | None) -> DataFrame:
     """queries(query_id, model, ...) with `warning`: why a question has lexical hits only, null where its vector may be used."""
     missing = F.lit("semantic retrieval unavailable: ")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import text_index as X
+from ..sources.store import stored
 from ..sources.tables import dated, read
-from .search import _NEEDY, TOKENS_SQL, _grow, _index, quoted, search_sql
+from .search import _NEEDY, TOKENS_SQL, _grow, _index, _stored_index, quoted, search_sql
 
 QUERIES, SQL = {}, {}
 
@@ -60,40 +62,69 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), dated(F.col("doc_id")).alias("event_date"))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions, lexical scores, semantic scores; vectors of documents that don't exist have none."""
-    q = _questions(spark, sf_dir)
-    lexical = R.bm25_views(_index(spark, sf_dir), R.term_phrases(q), {"body": R.BODY_WEIGHTS, "title": R.TITLE_WEIGHTS})
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, their phrases, what each phrase gives to a document with its date, and semantic scores; vectors of documents that don't exist have none."""
+    q = stored(_questions(spark, sf_dir))
+    phrases = stored(R.term_phrases(q))
+    parts = X.parts(_stored_index(spark, sf_dir), phrases, {"body": R.BODY_WEIGHTS, "title": R.TITLE_WEIGHTS}).withColumn("event_date", dated(F.col("id")))
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = read(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), F.col("v").alias("qv"))
-    return q, lexical, R.cosine(v.join(_units(spark, sf_dir), "id", "left_semi"), asked)
+    return q, phrases, parts, stored(R.cosine(v.join(_units(spark, sf_dir), "id", "left_semi"), asked))
 
 
-def _fused(q: DataFrame, lexical: DataFrame, semantic: DataFrame, units: DataFrame) -> DataFrame:
+def _fused(q: DataFrame, phrases: DataFrame, parts: DataFrame, semantic: DataFrame, units: DataFrame) -> DataFrame:
     info = q.select("query_id", "wide", "most", "date_from", "date_to")
-    lists = R.lexical_lists(lexical.join(units, "id").join(info, "query_id")).union(R.semantic_lists(semantic.join(units, "id").join(info, "query_id")))
-    return R.fuse_lists(lists, q)
+    return R.fuse_lists(X.lexical_lists(parts, phrases, q, units).union(R.semantic_lists(semantic.join(units, "id").join(info, "query_id"))), q)
+
+
+def _swept(fused: DataFrame, q: DataFrame, phrases: DataFrame, parts: DataFrame, semantic: DataFrame, units: DataFrame) -> DataFrame:
+    """Later evidence of both kinds, fused."""
+    after = stored(R.sweep_from(fused, units.select("id", "event_date"), q))
+    window = after.select("query_id", F.date_add(F.col("after_date").cast("date"), 1).cast("string").alias("date_from"), F.lit("9999").alias("date_to"))
+    lexical = X.best_k(parts, phrases, "body", R.SWEEP_LIMIT, window).best
+    late = semantic.join(after, "query_id").join(units.select("id", "event_date"), "id").where(F.col("event_date") > F.col("after_date"))
+    return R.later_sweep(fused, lexical, R.top_k(late.select("query_id", "id", "score"), R.SWEEP_LIMIT), after)
 
 
 @register(f"WITH {RETRIEVE_SQL} SELECT query_id, id AS doc_id, score, n_lists, rank FROM fused")
 def retrieve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical, title, spread, semantic and dated lists by what a question asks for, fused."""
-    return _fused(*_scores(spark, sf_dir), _units(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return _fused(*_lists(spark, sf_dir), _units(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-@register(
-    f"""WITH {RETRIEVE_SQL}, af AS (SELECT query_id, min(event_date) AS after_date FROM fused JOIN un USING (id) JOIN ql USING (query_id) WHERE rank <= 5 AND (wide OR temporal) GROUP BY query_id),
+_LATER_SQL = f"""{RETRIEVE_SQL}, af AS (SELECT query_id, min(event_date) AS after_date FROM fused JOIN un USING (id) JOIN ql USING (query_id) WHERE rank <= 5 AND (wide OR temporal) GROUP BY query_id),
 s1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY body DESC, id) AS rank FROM rk JOIN af USING (query_id) WHERE event_date > after_date), s2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sm JOIN af USING (query_id) WHERE event_date > after_date),
 sp AS (SELECT query_id, id, round(sum(part), 9) AS score FROM (SELECT query_id, id, CAST(1.0 AS DOUBLE) / (60 + rank) AS part FROM s1 WHERE rank <= 10 UNION ALL SELECT query_id, id, CAST(1.0 AS DOUBLE) / (60 + rank) FROM s2 WHERE rank <= 10) GROUP BY ALL),
-sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 10)
-SELECT sr.query_id, sr.id AS doc_id, sr.score, sr.rank, after_date, f.id IS NULL AS new FROM sr JOIN af USING (query_id) LEFT JOIN fused f ON f.query_id = sr.query_id AND f.id = sr.id"""
-)
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 10)"""
+
+
+@register(f"WITH {_LATER_SQL} SELECT sr.query_id, sr.id AS doc_id, sr.score, sr.rank, after_date, f.id IS NULL AS new FROM sr JOIN af USING (query_id) LEFT JOIN fused f ON f.query_id = sr.query_id AND f.id = sr.id")
 def later_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later evidence for wide and temporal questions, lexical and semantic, fused; and what the hits lack."""
-    q, lexical, semantic = _scores(spark, sf_dir)
+    given = _lists(spark, sf_dir)
+    units = _units(spark, sf_dir)
+    return _swept(stored(_fused(*given, units)), *given, units).withColumnRenamed("id", "doc_id")
+
+
+@register(
+    f"""WITH {_LATER_SQL},
+nb AS (SELECT doc_id AS id, source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents),
+wn AS (SELECT f.query_id, f.rank, s.document_id, s.nth FROM fused f JOIN ql USING (query_id) JOIN nb s USING (id) WHERE f.rank <= CASE WHEN wide THEN 12 ELSE 8 END),
+al AS (SELECT query_id, id, 0 AS k, rank AS a, 0 AS b, rank AS h, score AS s, 0 AS w, NULL AS l FROM fused UNION ALL SELECT query_id, n.id, 1, wn.rank, n.nth, NULL, NULL, 1, NULL FROM wn JOIN nb n ON n.document_id = wn.document_id AND n.nth BETWEEN wn.nth - 1 AND wn.nth + 1
+  UNION ALL SELECT query_id, id, 2, rank, 0, NULL, NULL, 0, rank FROM sr),
+ea AS (SELECT query_id, id, min({{'k': k, 'a': a, 'b': b}}) AS f, max(h) AS hit_rank, max(s) AS hit_score, sum(w)::BIGINT AS n_windows, max(l) AS sweep_rank FROM al GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f) AS place, id AS doc_id, hit_rank, hit_score, n_windows, sweep_rank, source AS document_id, lang, md5(text) AS text_md5 FROM ea JOIN documents d ON d.doc_id = ea.id"""
+)
+def retrieval_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, the windows around the first of them, and later evidence, as records in the order of their first place."""
+    given = _lists(spark, sf_dir)
     units = _units(spark, sf_dir)
-    swept = R.later_sweep(_fused(q, lexical, semantic, units), lexical.select("query_id", "id", F.col("body").alias("score")), semantic, units.select("id", "event_date"), q)
-    return swept.withColumnRenamed("id", "doc_id")
+    fused = stored(_fused(*given, units))
+    records = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.lit("EMAIL").alias("document_type"), F.col("doc_id").alias("unit_index"), F.col("lang").alias("speaker_sender"), F.col("text").alias("raw_text")
+    )
+    out = R.answer(fused, stored(_swept(fused, *given, units)), records, given[0])
+    return out.select("query_id", "place", F.col("id").alias("doc_id"), "hit_rank", "hit_score", "n_windows", "sweep_rank", "document_id", F.col("speaker_sender").alias("lang"), F.md5("raw_text").alias("text_md5"))
 
 
 _REVERSED_SQL = "SELECT item_id, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS text FROM benchmark"

@@ -120,16 +120,6 @@ def _best(spark: SparkSession, sf_dir: str, view: str, k: int) -> DataFrame:
     return X.best_k(*_parts(spark, sf_dir), view, k).best
 
 
-def _bm25(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFrame:
-    return R.bm25(_index(spark, sf_dir), R.query_phrases(_questions(spark, sf_dir)), weights)
-
-
-def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Scores with the weights of the body and of the title, from one pass over the index."""
-    both = R.bm25_views(_index(spark, sf_dir), R.query_phrases(_questions(spark, sf_dir)), {"body": R.BODY_WEIGHTS, "title": R.TITLE_WEIGHTS})
-    return tuple(both.select("query_id", "id", F.col(v).alias("score")) for v in ("body", "title"))
-
-
 def _bm25_sql(weights: dict[str, float], name: str) -> str:
     weight = " ".join(f"WHEN '{f}' THEN {w}" for f, w in weights.items())
     return f"""
@@ -274,10 +264,12 @@ sweep AS (SELECT b.query_id, id, score, after_date, row_number() OVER (PARTITION
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scored = _bm25(spark, sf_dir, R.BODY_WEIGHTS)
-    first = R.top_k(scored, 15)
-    after = first.where("rank <= 5").groupBy("query_id").agg(F.min(dated(F.col("id"))).alias("after_date"))
-    return first, R.top_k(scored.join(after, "query_id").where(dated(F.col("id")) > F.col("after_date")), 10)
+    parts, phrases = _parts(spark, sf_dir)
+    parts = parts.withColumn("event_date", dated(F.col("id")))
+    first = stored(X.best_k(parts, phrases, "body", 15).best)
+    after = stored(first.where("rank <= 5").groupBy("query_id").agg(F.min(dated(F.col("id"))).alias("after_date")))
+    window = after.select("query_id", F.date_add(F.col("after_date").cast("date"), 1).cast("string").alias("date_from"), F.lit("9999").alias("date_to"))
+    return first, X.best_k(parts, phrases, "body", 10, window).best.join(after, "query_id")
 
 
 @register(f"WITH {SWEEP_SQL} SELECT query_id, id AS doc_id, score, after_date, rank FROM sweep")
