@@ -1,18 +1,16 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring with a sharded log-frequency Bloom filter.
 
-All training unigrams are counted by aggregation, and with them the bigrams that a sample finds frequent. Counts are
-quantised on a log scale, and an n-gram of level q enters the filter q times, once for each level
-up to its own; a count is read back by probing levels until one is absent. The filter holds the
-unigrams of the head (below) and the frequent bigrams, so its size has a bound; it is broadcast.
+Counts are quantised on a log scale, and an n-gram of level q enters a filter q times, once for each level
+up to its own; a count is read back by probing levels until one is absent. Every unigram and bigram of the training documents is in
+the filter. The filter is sharded: the shard of the most frequent unigrams and bigrams has a bounded size and is broadcast; all
+other n-grams, singletons included, belong to shards by hash. Documents send their probes, packed into arrays, to these; a shard adds up
+the training occurrences among what it gets, builds its filter from them, and answers all probes from it. What each document has of the
+shares goes back, packed too. Shards grow in number with the training tokens, not in size, as no n-gram of theirs is frequent.
 
-All other n-grams, singletons included, are counted and scored in one shuffle. Documents send what they have of
-them to shards by hash, packed into arrays; a shard's sums over training documents are the counts, the same
-levels give the shares, and what each document has of them goes back, packed too. Shards grow in number with the training tokens, not in size, as no n-gram
-of theirs is frequent. A score does not depend on which n-grams the filter holds. Shares interpolate the bigram and the unigram.
-
-The head is the tokens of at least a certain count, at most HEAD_TOKENS of them; the base score has
-their exact counts from a broadcast array. In bigrams, first tokens beyond the head count as one
-token; second tokens are always told apart.
+The head is the tokens of at least a certain count, at most HEAD_TOKENS of them: the unigrams of the broadcast shard, whose exact counts
+for the base score are in a broadcast array. It decides where an n-gram is counted, and changes no score but by the filters' false
+positives: a bigram is looked up where its rare token is counted, one of two rare tokens in both places, and the two answers meet where
+they came from. Shares interpolate the bigram and the unigram.
 
 A token is a lower-cased (A-Z) word `[^\\x20\\x09-\\x0D]+`; each text ends in one end token, so
 that null and empty texts have one token. Tokens are compared by 64-bit hashes. doc_id
@@ -45,8 +43,6 @@ LEVELS = 64
 #: The bigram's share has the weight WEIGHT * c / (c + PRIOR), where c is the count of the first token.
 WEIGHT, PRIOR = 0.15, 8.0
 END = np.array([0x6C62272E07BB0142], U)
-#: Stands for first tokens beyond the head.
-OTHER = U(0x3C6EF372FE94F82B)
 
 _VALUE = np.concatenate(([0.0], RATIO ** (np.arange(LEVELS) + 0.5)))  # what a level stands for
 _VALUE[1] = 1.0
@@ -153,14 +149,24 @@ def _slots(h: np.ndarray, q, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (e >> U(64 - (words.bit_length() - 1))).astype(np.int64), bits
 
 
+def _words(entries: int, bits: int) -> int:
+    """Words of a filter of so many entries: a power of two."""
+    return 1 << max(0, (-(-int(entries) * bits // 64) - 1).bit_length())
+
+
+def _inserted(h: np.ndarray, top: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a filter that entries up to the levels `top` set bits in, and these bits."""
+    at, bits = _slots(np.repeat(h, top), np.arange(top.sum()) - np.repeat(np.cumsum(top) - top, top) + 1, words)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0))) if len(order) else order
+    return at[order][first], np.bitwise_or.reduceat(bits[order], first) if len(first) else bits
+
+
 def _entries(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, top = batch.column(0).to_numpy().view(U), level(batch.column(1).to_numpy())
-            at, bits = _slots(np.repeat(h, top), np.concatenate([np.arange(1, t + 1) for t in top]) if len(top) else top, words)
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0))) if len(order) else order
-            yield pa.RecordBatch.from_arrays([pa.array(at[order][first]), pa.array((np.bitwise_or.reduceat(bits[order], first) if len(first) else bits).view(np.int64))], ["at", "bits"])
+            at, bits = _inserted(batch.column(0).to_numpy().view(U), level(batch.column(1).to_numpy()), words)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["at", "bits"])
 
     return run
 
@@ -168,9 +174,7 @@ def _entries(words: int):
 def build_filter(ngrams: DataFrame) -> np.ndarray:
     """The filter of (h, c), at BITS_PER_ENTRY. Of the head and MAX_FREQUENT bigrams, it has some tens of MB at most."""
     entries = ngrams.agg(F.coalesce(F.sum(_level(F.col("c"))), F.lit(0))).first()[0]
-    words = LEAST_WORDS
-    while words * 64 < entries * BITS_PER_ENTRY:
-        words *= 2
+    words = max(LEAST_WORDS, _words(entries, BITS_PER_ENTRY))
     rows = ngrams.mapInArrow(_entries(words), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(words, U)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(U)
@@ -199,27 +203,28 @@ def log_shares(one: np.ndarray, context: np.ndarray, both: np.ndarray, total: in
 
 
 class Model(NamedTuple):
-    """head, count: tokens and their exact counts, sorted; often: the bigrams that the filter holds, sorted; other: level of OTHER; total, kinds: training tokens, distinct and all."""
+    """The broadcast shard. head, count: its tokens and their exact counts, sorted; often: its bigrams, sorted; total, kinds: training tokens, all and distinct."""
 
     filter: np.ndarray
     head: np.ndarray
     count: np.ndarray
     often: np.ndarray
-    other: int
     total: int
     kinds: int
 
 
-#: What the documents of a chunk have for a shard. doc, low, high, x: bigrams outside the filter with a second token of the
-#: head; low and high are 48 bits of their hash. rare_*: bigrams with second tokens beyond the head. x is m << 13 | context << 7 |
-#: one << 1 | train, with the times in the document and the levels of the first and second token. own: sums of whole documents, in one row of each chunk.
+#: What the documents of a chunk have for a shard. doc, low, high, x: bigrams of two tokens of the head; low and high are 48 bits of
+#: their hash. rare_*: bigrams with a second token beyond the head, in this token's shard; first_*: those with such a first token, in its shard. x is m << 14 |
+#: both << 13 | context << 7 | one << 1 | train, with the times in the document, whether both tokens are beyond the head, and the levels of the first and
+#: second token. own: sums of whole documents, in one row of each chunk.
 SUMS = "doc_id long, n_tokens long, n_known long, base double, score double"
 SUMS_LIST = f"array<struct<{SUMS.replace(' ', ':').replace(',:', ',')}>>"
 PACKED = (
     "shard int, chunk long, doc array<long>, low array<int>, high array<short>, x array<long>, rare_doc array<long>, rare_token array<long>, rare_pair array<long>, rare_x array<long>, "
-    f"own {SUMS_LIST}"
+    f"first_doc array<long>, first_token array<long>, first_pair array<long>, first_x array<long>, own {SUMS_LIST}"
 )
-PARTS = f"chunk long, doc array<long>, score array<double>, rare {SUMS_LIST}"
+#: What a shard answers. both_*: of bigrams of two rare tokens, the times and levels of the second token and of the bigram; context_*: the levels of their first tokens.
+PARTS = f"chunk long, doc array<long>, score array<double>, rare {SUMS_LIST}, both_doc array<long>, both_pair array<long>, both_x array<long>, context_pair array<long>, context_x array<long>"
 
 
 def _runs(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +242,9 @@ def _lists(values: pa.Array, shard: np.ndarray, shards: np.ndarray) -> pa.Array:
 
 
 def _packed(broadcast, count: int):
+    def shard_of(h: np.ndarray) -> np.ndarray:
+        return ((h >> U(48)) * U(count) >> U(16) if count < 1 << 16 else h % U(count)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = broadcast.value
         names = [x.split()[0] for x in PACKED.split(", ")]
@@ -251,9 +259,8 @@ def _packed(broadcast, count: int):
             context[1:], first[1:] = one[:-2], known[:-2]
             context[begin], first[begin] = level_of[end], known[-1]
             base = tenths[inverse[:-1]]
-            known, one = known[:-1], one[:-1]
-            context = np.where(first, context, model.other)
-            pair = pairs(np.where(first, firsts(h, begin), OTHER), h)
+            known, one, before = known[:-1], one[:-1], firsts(h, begin)
+            pair = pairs(before, h)
             closed = _within(pair, model.often)[0] & known & first
             u, where = np.unique(pair[closed], return_inverse=True)
             share = log_shares(one[closed], context[closed], levels(model.filter, u)[where], model.total, model.kinds)
@@ -261,18 +268,22 @@ def _packed(broadcast, count: int):
             left = np.flatnonzero(~closed)
             i, m = _runs(row[left], pair[left])
             i = left[i]
-            x = m << 13 | context[i] << 7 | one[i] << 1 | train[row[i]]
-            shard = (np.where(known[i], pair[i], h[i]) >> U(48)) * U(count) >> U(16) if count < 1 << 16 else np.where(known[i], pair[i], h[i]) % U(count)
-            order = np.argsort(shard, kind="stable")
-            i, x, shard = i[order], x[order], shard[order].astype(np.int64)
-            rare = ~known[i]
-            some = np.unique(shard) if len(shard) else np.zeros(1, np.int64)
+            both = ~known[i] & ~first[i]
+            x = m << 14 | both << 13 | context[i] << 7 | one[i] << 1 | train[row[i]]
+            sent = {}
+            for name, of, key in (("", known & first, pair), ("rare_", ~known, h), ("first_", ~first, before)):
+                j, shard = i[of[i]], shard_of(key[i[of[i]]])
+                order = np.argsort(shard, kind="stable")
+                sent[name] = j[order], x[of[i]][order], shard[order], key
+            some = np.unique(np.concatenate([v[2] for v in sent.values()]))
+            some = some if len(some) else np.zeros(1, np.int64)
             name = h.sum() + mix(ids.fill_null(-1).to_numpy().view(U)).sum()  # chunks of equal rows may share it: all that comes of a chunk are sums
             columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name.view(np.int64)))]
-            j, k = i[~rare], i[rare]
+            j, x, shard, _ = sent[""]
             low, high = pair[j].astype(np.uint32).view(np.int32), (pair[j] >> U(32)).astype(np.uint16).view(np.int16)
-            columns += [_lists(v, shard[~rare], some) for v in (ids.take(pa.array(row[j])), pa.array(low), pa.array(high), pa.array(x[~rare]))]
-            columns += [_lists(v, shard[rare], some) for v in (ids.take(pa.array(row[k])), pa.array(h[k].view(np.int64)), pa.array(pair[k].view(np.int64)), pa.array(x[rare]))]
+            columns += [_lists(v, shard, some) for v in (ids.take(pa.array(row[j])), pa.array(low), pa.array(high), pa.array(x))]
+            for j, x, shard, key in (sent["rare_"], sent["first_"]):
+                columns += [_lists(v, shard, some) for v in (ids.take(pa.array(row[j])), pa.array(key[j].view(np.int64)), pa.array(pair[j].view(np.int64)), pa.array(x))]
             own = _records(ids, np.bincount(row, minlength=n), np.bincount(row[known], minlength=n), np.bincount(row, base, n), np.bincount(row[closed], share, n))
             columns.append(pa.ListArray.from_arrays(pa.array([0] + [n] * len(some), pa.int32()), own))
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -289,10 +300,15 @@ def _by(table: pa.Table, name: str) -> np.ndarray:
     return np.repeat(np.arange(len(table)), pa.compute.list_value_length(table[name]).to_numpy())
 
 
-def _found(key: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """For each entry, the sum of m over all with its key."""
-    u, where = np.unique(key, return_inverse=True)
-    return np.bincount(where, m, len(u)).astype(np.int64)[where]
+def _answers(key: np.ndarray, trained: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each probe its level in the shard's filter, built from the training occurrences of all keys; and the exact sum of these."""
+    u, where = np.unique(key.view(U), return_inverse=True)
+    count = np.bincount(where, trained, len(u)).astype(np.int64)
+    top = np.where(count > 0, level(count), 0)
+    filter_ = np.zeros(_words(top.sum(), bits), U)
+    at, set_ = _inserted(u, top, len(filter_))
+    filter_[at] = set_
+    return levels(filter_, u)[where], count[where]
 
 
 def _records(docs: pa.Array, *sums: np.ndarray) -> pa.StructArray:
@@ -306,47 +322,73 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _shares(table: pa.Table, total: int, kinds: int) -> pa.Table:
+def _shares(table: pa.Table, total: int, kinds: int, bits: int) -> pa.Table:
     """Of a shard, for each row, what its n-grams add to the sums of the row's documents, whose entries follow one another."""
-    out = []
-    for kind in ("", "rare_"):
-        docs, x, row = _flat(table, f"{kind}doc"), _flat(table, f"{kind}x").to_numpy(), _by(table, f"{kind}doc")
-        m, context, one = x >> 13, x >> 7 & LEVELS - 1, x >> 1 & LEVELS - 1
-        trained = np.where(x & 1, m, 0)
-        if kind:
-            both, times = _found(_flat(table, "rare_pair").to_numpy(), trained), _found(_flat(table, "rare_token").to_numpy(), trained)
-            one = np.where(times > 0, level(times), 0)
-        else:
-            both = _found(_flat(table, "low").to_numpy().view(np.uint32).astype(U) | _flat(table, "high").to_numpy().view(np.uint16).astype(U) << U(32), trained)
-        share = m * log_shares(one, context, np.where(both > 0, level(both), 0), total, kinds)
+    numbers = lambda name: _flat(table, name).to_numpy()
+    fields = lambda x: (x >> 14, x >> 13 & 1 == 1, x >> 7 & LEVELS - 1, x >> 1 & LEVELS - 1, np.where(x & 1, x >> 14, 0))
+    lists = lambda row, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(table) + 1)).astype(np.int32)), values)
+
+    def by_document(docs: pa.Array, row: np.ndarray, *sums: np.ndarray):
         code = docs.dictionary_encode("encode").indices.to_numpy()
-        at = _groups(row, code) if len(x) else np.zeros(0, np.int64)
-        add = lambda v, at=at: np.add.reduceat(v, at) if len(at) else v[:0]
-        offsets = pa.array(np.searchsorted(row[at], np.arange(len(table) + 1)).astype(np.int32))
-        who = docs.take(pa.array(at))
-        if kind:
-            own = _records(who, np.zeros(len(at), np.int64), add(m * (times > 0)), add(m * np.log10(times + 1.0)), add(share))
-            own = pa.ListArray.from_arrays(offsets, own)
-            # and the sums of whole documents, where the row has them
-            first, second = table["own"].combine_chunks(), own
-            size = pa.compute.list_value_length(first).to_numpy()
-            entries = pa.concat_arrays([first.flatten(), second.flatten()])
-            order = np.argsort(np.concatenate((np.repeat(np.arange(len(table)), size), row[at])), kind="stable")
-            ends = np.concatenate(([0], np.cumsum(size) + offsets.to_numpy()[1:])).astype(np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(ends), entries.take(pa.array(order))))
-        else:
-            out += [pa.ListArray.from_arrays(offsets, v) for v in (who, pa.array(add(share)))]
-    return pa.table([table["chunk"], *out], [x.split()[0] for x in PARTS.split(", ")[:4]])
-
-
-def _sums(table: pa.Table) -> pa.Table:
+        at = _groups(row, code) if len(row) else np.zeros(0, np.int64)
+        return docs.take(pa.array(at)), row[at], *(np.add.reduceat(v, at) if len(at) else v[:0] for v in sums)
+
+    m, _, context, one, trained = fields(numbers("x"))
+    pair = numbers("low").view(np.uint32).astype(U) | numbers("high").view(np.uint16).astype(U) << U(32)
+    share = m * log_shares(one, context, _answers(pair, trained, bits)[0], total, kinds)
+    who, row, share = by_document(_flat(table, "doc"), _by(table, "doc"), share)
+
+    m, rare, context, _, trained = fields(numbers("rare_x"))
+    token, pair = numbers("rare_token"), numbers("rare_pair")
+    one, times = _answers(token, trained, bits)
+    together = _answers(pair, trained, bits)[0]
+    own = np.where(rare, 0.0, m * log_shares(one, context, together, total, kinds))
+    docs, at = _flat(table, "rare_doc"), _by(table, "rare_doc")
+    rare_who, rare_row, known, base, own = by_document(docs, at, m * (times > 0), m * np.log10(times + 1.0), own)
+    some = np.flatnonzero(rare)
+    open_ = [lists(at[some], v) for v in (docs.take(pa.array(some)), pa.array(pair[some]), pa.array((m << 14 | one << 7 | together)[some]))]
+
+    # first tokens beyond the head: their counts are those of the bigrams that they end
+    m, rare, _, one, trained_first = fields(numbers("first_x"))
+    key = numbers("first_token")
+    context = _answers(np.concatenate((token, key)), np.concatenate((trained, np.zeros(len(key), np.int64))), bits)[0][len(token) :]
+    pair, at = numbers("first_pair"), _by(table, "first_doc")
+    single = np.flatnonzero(~rare)
+    first_share = m * log_shares(one, context, _answers(pair, np.where(rare, 0, trained_first), bits)[0], total, kinds)
+    first_who, first_row, first_share = by_document(_flat(table, "first_doc").take(pa.array(single)), at[single], first_share[single])
+    some = np.flatnonzero(rare)
+    open_ += [lists(at[some], pa.array(v[some])) for v in (pair, context)]
+
+    who, row, share = pa.concat_arrays([who, first_who]), np.concatenate((row, first_row)), np.concatenate((share, first_share))
+    order = np.argsort(row, kind="stable")
+    scores = [lists(row[order], v.take(pa.array(order))) for v in (who, pa.array(share))]
+    # with the sums of whole documents, where the row has them
+    whole = table["own"].combine_chunks()
+    sums = pa.concat_arrays([whole.flatten(), _records(rare_who, np.zeros(len(rare_row), np.int64), known, base, own)])
+    row = np.concatenate((np.repeat(np.arange(len(table)), pa.compute.list_value_length(whole).to_numpy()), rare_row))
+    order = np.argsort(row, kind="stable")
+    return pa.table([table["chunk"], *scores, lists(row[order], sums.take(pa.array(order))), *open_], list(PART_NAMES))
+
+
+#: The columns of PARTS (its structs have commas too).
+PART_NAMES = ("chunk", "doc", "score", "rare", "both_doc", "both_pair", "both_x", "context_pair", "context_x")
+
+
+def _sums(table: pa.Table, total: int, kinds: int) -> pa.Table:
     """Of a chunk, the sums of its documents."""
     own = _flat(table, "rare")
-    docs = pa.concat_arrays([own.field("doc_id"), _flat(table, "doc")]).dictionary_encode("encode")
+    # bigrams of two rare tokens: the context's level from the one shard, the other levels from the other
+    pair, context = _flat(table, "context_pair").to_numpy(), _flat(table, "context_x").to_numpy()
+    order = np.argsort(pair, kind="stable")
+    asked, x = _flat(table, "both_pair").to_numpy(), _flat(table, "both_x").to_numpy()
+    _, at = _within(asked, pair[order])
+    share = (x >> 14) * log_shares(x >> 7 & LEVELS - 1, context[order][at] if len(at) else at, x & LEVELS - 1, total, kinds)
+
+    docs = pa.concat_arrays([own.field("doc_id"), _flat(table, "doc"), _flat(table, "both_doc")]).dictionary_encode("encode")
     code, n = docs.indices.to_numpy(), len(docs.dictionary)
     here = len(own)
     sums = [np.bincount(code[:here], own.field(c).to_numpy(), n) for c in ("n_tokens", "n_known", "base", "score")]
-    sums[3] = sums[3] + np.bincount(code[here:], _flat(table, "score").to_numpy(), n)
+    sums[3] = sums[3] + np.bincount(code[here:], np.concatenate((_flat(table, "score").to_numpy(), share)), n)
     return pa.Table.from_batches([pa.RecordBatch.from_struct_array(_records(docs.dictionary, sums[0].astype(np.int64), sums[1].astype(np.int64), *(x.astype(float) for x in sums[2:])))])
 
 
@@ -371,11 +413,10 @@ def score(docs: DataFrame) -> DataFrame:
     head, count = head[order], count[order]
     often = often[_within(a, head)[0] & _within(b, head)[0]]
     filter_ = build_filter(unigrams.where(cut).union(bigrams))
-    rest = total - int(count.sum())
-    model = spark.sparkContext.broadcast(Model(filter_, head, count, often, int(level(rest)) if rest else 0, total, kinds))
+    model, bits = spark.sparkContext.broadcast(Model(filter_, head, count, often, total, kinds)), BITS_PER_ENTRY
     packed = docs.select("doc_id", (~held_out()).alias("train"), "text").mapInArrow(_packed(model, total // SHARD + 1), PACKED)
-    parts = packed.groupBy("shard").applyInArrow(lambda table: _shares(table, total, kinds), PARTS)
-    sums = parts.groupBy("chunk").applyInArrow(_sums, SUMS).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    parts = packed.groupBy("shard").applyInArrow(lambda table: _shares(table, total, kinds, bits), PARTS)
+    sums = parts.groupBy("chunk").applyInArrow(lambda table: _sums(table, total, kinds), SUMS).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return sums.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"), "score")
 
 
