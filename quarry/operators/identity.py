@@ -49,10 +49,13 @@ def reuse_locators(parsed: DataFrame, manifest: DataFrame, every: DataFrame | No
 
 
 def revoke(manifest: DataFrame, locators: DataFrame, when: str) -> DataFrame:
-    """The manifest with the given (document_id, source_locator) tombstoned; what is revoked already stays as it is."""
-    hit = manifest.join(locators.distinct().withColumn("hit", F.lit(True)), ["document_id", "source_locator"], "left")
+    """The manifest with the given (document_id, source_locator) tombstoned; what is revoked already stays as it is; a locator that the manifest lacks raises when the result is read."""
+    hit = manifest.withColumn("known", F.lit(True)).join(locators.select("document_id", "source_locator").distinct().withColumn("hit", F.lit(True)), ["document_id", "source_locator"], "full")
+    unknown = F.raise_error(F.concat(F.lit("unknown locator "), F.coalesce("source_locator", F.lit("null")), F.lit(" of "), F.coalesce(F.col("document_id").cast("string"), F.lit("null")))).cast("boolean")
+    hit = hit.where(F.when(F.col("known").isNull(), unknown).otherwise(F.lit(True)))
     gone = F.col("hit") & F.col("revoked_at").isNull()
-    return hit.withColumns({"content_fingerprint": F.when(gone, F.lit("REVOKED")).otherwise(F.col("content_fingerprint")), "revoked_at": F.when(gone, F.lit(when)).otherwise(F.col("revoked_at"))}).drop("hit")
+    marked = hit.withColumns({"content_fingerprint": F.when(gone, F.lit("REVOKED")).otherwise(F.col("content_fingerprint")), "revoked_at": F.when(gone, F.lit(when)).otherwise(F.col("revoked_at"))})
+    return marked.select(*manifest.columns)
 
 
 def remap(old: DataFrame, new: DataFrame) -> DataFrame:

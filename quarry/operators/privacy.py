@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..sources.store import stored
+
 
 def whole(name: str) -> str:
     """A pattern for a name as whole words in any case, whatever white space stands between them."""
@@ -86,8 +92,89 @@ def needle(text: str) -> str:
     return r"(?iU)(?<!\w)" + re.escape(text) + r"(?!\w)" if BARE.fullmatch(text) else "(?iu)" + re.escape(text)
 
 
+class _Folded(dict):
+    """Code points in lower case, one for one: each stays in its place."""
+
+    def __missing__(self, point: int) -> int:
+        upper = chr(point).upper()
+        lower = (upper if len(upper) == 1 else chr(point)).lower()
+        self[point] = ord(lower) if len(lower) == 1 else point
+        return self[point]
+
+
+_FOLDED = _Folded()
+
+
+def _fold(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLDED)
+
+
+def _is_word(c: str) -> bool:
+    return c == "_" or c.isalpha() or c.isdecimal() or unicodedata.category(c) in ("Mn", "Mc", "Me", "Nl", "Pc")
+
+
+class Needles:
+    """One automaton of all needles: a text is read once, whatever their number."""
+
+    def __init__(self, needles: list[str]) -> None:
+        import ahocorasick
+
+        self.automaton, same = ahocorasick.Automaton(), {}
+        for i, n in enumerate(needles):
+            if n:
+                same.setdefault(_fold(n), []).append((i, BARE.fullmatch(n) is not None))
+        for key, which in same.items():
+            self.automaton.add_word(key, (len(key), which))
+        if same:
+            self.automaton.make_automaton()
+        self.some = bool(same)
+
+    def counts(self, text: str) -> dict[int, int]:
+        """By the number of a needle, how often it comes, without overlaps with itself."""
+        found, until = {}, {}
+        if not self.some:
+            return found
+        text = _fold(text)
+        for end, (size, which) in self.automaton.iter(text):
+            start = end - size + 1
+            for i, bare in which:
+                if start < until.get(i, 0) or bare and (start and _is_word(text[start - 1]) or end + 1 < len(text) and _is_word(text[end + 1])):
+                    continue
+                found[i], until[i] = found.get(i, 0) + 1, end + 1
+        return found
+
+
+#: Needles up to which a pattern each, and beyond which one automaton, searches a text; needles of an automaton, which is sent to all tasks.
+FEW, MOST = 8, 100_000
+
+
+def _walked(surface: DataFrame, columns: list[str], needles: list[str]) -> DataFrame:
+    """(i, hits, n_rows) of the needles with hits in some columns of a table: partial sums of each batch, added up."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Needles(needles)
+        for batch in batches:
+            hits, rows = {}, {}
+            for column in batch.columns:
+                for text in column.to_pylist():
+                    for i, k in search.counts(text).items() if text else ():
+                        hits[i], rows[i] = hits.get(i, 0) + k, rows.get(i, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.int32()), pa.array(list(hits.values()), pa.int64()), pa.array(list(rows.values()), pa.int64())], ["i", "hits", "n_rows"])
+
+    texts = surface.select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
+    return texts.mapInArrow(walk, "i int, hits long, n_rows long").groupBy("i").agg(F.sum("hits").alias("hits"), F.sum("n_rows").alias("n_rows"))
+
+
 def needle_counts(surface: DataFrame, column: str, needles: list[str], label: str) -> DataFrame:
-    """(surface, needle, hits, n_rows): occurrences of each needle, in any case; names of one word as whole words only."""
+    """(surface, needle, hits, n_rows): occurrences of each needle, in any case; names of one word as whole words only. Many needles are searched at once, in parts of MOST."""
+    if len(needles) > FEW:
+        out = None
+        for at in range(0, len(needles), MOST):
+            some = needles[at : at + MOST]
+            names = surface.sparkSession.createDataFrame(list(enumerate(some)), "i int, needle string")
+            found = names.join(_walked(surface, [column], some), "i", "left").select(F.lit(label).alias("surface"), "needle", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "n_rows")])
+            out = found if out is None else out.union(found)
+        return out
     counts = F.array(*[F.struct(F.lit(n).alias("needle"), F.regexp_count(F.coalesce(column, F.lit("")), F.lit(needle(n))).alias("k")) for n in needles])
     rows = surface.select(F.explode(counts).alias("c")).groupBy(F.col("c.needle").alias("needle")).agg(F.sum("c.k").alias("hits"), F.count_if(F.col("c.k") > 0).alias("n_rows"))
     return rows.select(F.lit(label).alias("surface"), "needle", "hits", "n_rows")
@@ -96,10 +183,21 @@ def needle_counts(surface: DataFrame, column: str, needles: list[str], label: st
 def content_hits(table: DataFrame, needles: list[str], label: str, bookkeeping: tuple[str, ...] = ()) -> DataFrame:
     """(surface, hits) over all text columns of a table but those that keep aliases."""
     columns = [c for c, t in table.dtypes if t == "string" and c not in bookkeeping]
+    if len(needles) > FEW:
+        parts = [_walked(table, columns, needles[at : at + MOST]).select("hits") for at in range(0, len(needles), MOST)]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.union(part)
+        return rows.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits")).select(F.lit(label).alias("surface"), "hits")
     found = [F.regexp_count(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(needle(n))) for c in columns for n in needles]
     return table.select(sum(found, F.lit(0)).cast("long").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("hits")).select(F.lit(label).alias("surface"), "hits")
 
 
+def file_names(table: DataFrame) -> DataFrame:
+    """(file_name) of the files that a table is read from: a surface too."""
+    return table.select("_metadata.file_name").distinct()
+
+
 def verification(surfaces: DataFrame, person: DataFrame, aliases: DataFrame, before: DataFrame, after: DataFrame, alias: str) -> DataFrame:
     """(item, ok): that no surface(surface, hits) shows a needle, and the five checks of person(subject_id, privacy_state, display_alias, display_name), of its aliases(subject_id) and of its relations before and after."""
     counts = surfaces.select(F.concat(F.lit("surface: "), "surface").alias("item"), (F.col("hits") == 0).alias("ok"))
@@ -115,9 +213,52 @@ def verification(surfaces: DataFrame, person: DataFrame, aliases: DataFrame, bef
     return counts
 
 
-def affected(edges: DataFrame, units: DataFrame, subject, pattern: str) -> DataFrame:
-    """Distinct evidence_id linked to a subject, or with its name in the text."""
-    return edges.where(F.col("subject_id") == subject).select("evidence_id").union(units.where(F.col("raw_text").rlike(pattern)).select("evidence_id")).distinct()
+def bears(names: list[str], emails: list[str], *columns: str) -> Column:
+    """Whether a name or an address stands in one of some columns."""
+    blob = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
+    hits = [blob.rlike(whole(n)) for n in names] + [F.lower(blob).contains(e.lower()) for e in emails]
+    return F.greatest(*hits, F.lit(False), F.lit(False))
+
+
+def affected(edges: DataFrame, units: DataFrame, subject, names: list[str], emails: list[str] = ()) -> DataFrame:
+    """Distinct evidence_id linked to a subject in edges(evidence_id, subject_id), or of units(evidence_id, raw_text, speaker_sender, thread_context) that bear a name or an address in their text, speaker or title."""
+    named = units.where(bears(list(names), list(emails), "raw_text", "speaker_sender", "thread_context"))
+    return edges.where(F.col("subject_id") == subject).select("evidence_id").union(named.select("evidence_id")).distinct()
+
+
+def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, id, step): what depends on start(kind, id), over any number of edges(kind, id, on_kind, on_id), with the number of edges of the shortest way; what it starts from has 0.
+
+    Each round joins the edges with what the last one added, and stores what is new; the driver sees whether anything is.
+    """
+    reached = new = stored(start.select("kind", "id").distinct().withColumn("step", F.lit(0)))
+    step = 0
+    while True:
+        step += 1
+        last = new.select(F.col("kind").alias("on_kind"), F.col("id").alias("on_id"))
+        new = stored(edges.join(last, ["on_kind", "on_id"], "left_semi").select("kind", "id").distinct().join(reached.select("kind", "id"), ["kind", "id"], "left_anti").withColumn("step", F.lit(step)))
+        if new.isEmpty():
+            return reached
+        reached = reached.union(new)
+
+
+def reversed_away(findings: DataFrame, cases: DataFrame, edges: DataFrame, gone: DataFrame, alias: str) -> DataFrame:
+    """(kind, id, step): findings and cases that a reversal makes stale. They depend, over any number of edges, on a unit of gone(evidence_id), whose text changes, or on a row that bears the alias in findings(finding_id, title, summary, body) or cases(case_id, query, receipt)."""
+    holds = lambda *columns: F.concat_ws(" ", *columns).contains(alias)
+    start = gone.select(F.lit("unit").alias("kind"), F.col("evidence_id").alias("id"))
+    start = start.union(findings.where(holds("title", "summary", "body")).select(F.lit("finding"), "finding_id")).union(cases.where(holds("query", "receipt")).select(F.lit("case"), "case_id"))
+    return closure(start, edges).where("kind <> 'unit'")
+
+
+def stash(vectors: DataFrame, units: DataFrame, names: list[str], emails: list[str] = ()) -> DataFrame:
+    """(text_hash, v): a vector for each text of units(evidence_id, raw_text) that has one in vectors(evidence_id, v) and bears no name and no address: what a rebuild may use again."""
+    kept = units.where(~bears(list(names), list(emails), "raw_text")).select("evidence_id", T.text_hash(F.col("raw_text")).alias("text_hash"))
+    return vectors.join(kept, "evidence_id").groupBy("text_hash").agg(F.min_by("v", "evidence_id").alias("v"))
+
+
+def unstash(stashed: DataFrame, units: DataFrame) -> DataFrame:
+    """(evidence_id, v) of the units(evidence_id, raw_text) after a rebuild whose text has a vector in the stash."""
+    return units.select("evidence_id", T.text_hash(F.col("raw_text")).alias("text_hash")).join(stashed, "text_hash").select("evidence_id", "v")
 
 
 def invalidated(findings: DataFrame, cases: DataFrame, cited: DataFrame, gone: DataFrame, pattern: str) -> DataFrame:

@@ -388,12 +388,16 @@ def relationship_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.lost_relations(before, after)
 
 
-@register(r"SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents) UNION SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])idiot([^\p{L}\p{N}_]|$)')")
+@register(
+    r"SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents) UNION SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])idiot([^\p{L}\p{N}_]|$)') OR doc_id % 50 IN (3, 4, 5)"
+)
 def affected_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units linked to a subject (the toxic label) or with its name in the text."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("raw_text"))
+    """Units linked to a subject (the toxic label), or with its name or address in the text, the speaker or the title; each of the latter is planted, beside a near miss."""
+    k = F.col("doc_id") % 50
+    text = F.when(k == 5, F.concat("text", F.lit(" Ask WHO@example.org."))).when(k == 6, F.concat("text", F.lit(" idiots"))).otherwise(F.col("text"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), text.alias("raw_text"), F.when(k == 3, "An IDIOT").when(k == 7, "Idiotin").alias("speaker_sender"), F.when(k == 4, "re: idiot").alias("thread_context"))
     linked = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("evidence_id"), F.col("toxic").alias("subject_id")).join(d, "evidence_id", "left_semi")
-    return privacy.affected(linked, d, 1, privacy.whole("idiot")).withColumnRenamed("evidence_id", "doc_id")
+    return privacy.affected(linked, d, 1, ["idiot"], ["who@example.org"]).withColumnRenamed("evidence_id", "doc_id")
 
 
 @register(

@@ -223,7 +223,7 @@ _SURFACES = {"documents": "text", "conversations": "text", "pages": "html", "ben
 @register(
     "WITH h AS ("
     + " UNION ALL ".join(rf"SELECT '{t}' AS s, coalesce(sum(len(regexp_extract_all(regexp_replace(lower(coalesce({c}, '')), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])idiot(?:$|[^\p{{L}}\p{{N}}_])')) + len(regexp_extract_all(lower(coalesce({c}, '')), 'admin@example\.com'))), 0) AS hits FROM {t}" for t, c in _SURFACES.items())
-    + ") SELECT 'surface: ' || s AS item, hits = 0 AS ok FROM h UNION ALL SELECT 'check: ' || c, ok FROM (VALUES ('subject_is_pseudonymised', true), ('display_alias_matches', true), ('display_name_cleared', true), ('no_original_aliases_remain', false), ('evidence_people_relationships_preserved', true)) v(c, ok)"
+    + " UNION ALL SELECT 'sealed identities', 0 UNION ALL SELECT 'file names', 0 UNION ALL SELECT 'labels', 0) SELECT 'surface: ' || s AS item, hits = 0 AS ok FROM h UNION ALL SELECT 'check: ' || c, ok FROM (VALUES ('subject_is_pseudonymised', true), ('display_alias_matches', true), ('display_name_cleared', true), ('no_original_aliases_remain', false), ('evidence_people_relationships_preserved', true)) v(c, ok)"
 )
 def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """That no surface shows a person's name or address, and the checks; the aliases of this one were left behind."""
@@ -232,11 +232,26 @@ def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = privacy.content_hits(read(spark, sf_dir, t).select(c, F.lit("idiot").alias("kept_alias")), ["idiot", "admin@example.com"], t, ("kept_alias",))
         hits = found if hits is None else hits.union(found)
     c = read(spark, sf_dir, "customer").where("c_custkey = 1")
+    sealed = privacy.seal(c.select(F.col("c_custkey").alias("subject_id"), F.lit("idiot, admin@example.com").alias("bundle")), "0123456789abcdef")
+    for name, surface in (("sealed identities", sealed.select("ciphertext")), ("file names", privacy.file_names(read(spark, sf_dir, "documents"))), ("labels", read(spark, sf_dir, "labels"))):
+        hits = hits.union(privacy.content_hits(surface, ["idiot", "admin@example.com"], name))
     person = c.select(F.col("c_custkey").alias("subject_id"), F.lit("PSEUDONYMISED").alias("privacy_state"), F.lit("Person Amber").alias("display_alias"), F.lit(None).cast("string").alias("display_name"))
     relations = read(spark, sf_dir, "orders").where("o_custkey = 1").select(F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderstatus").alias("relation"))
     return privacy.verification(hits, person, c.select(F.col("c_custkey").alias("subject_id")), relations, relations, "Person Amber")
 
 
+@register(
+    """WITH t AS (SELECT 'documents' AS surface, lower(text) || ' from nation_' || doc_id % 30 || 'nation_1' AS t FROM documents UNION ALL SELECT 'conversations', lower(text) || ' Nation_' || turn FROM conversations)
+SELECT s.surface, n_name AS needle, coalesce(sum((length(t) - length(replace(lower(t), lower(n_name), ''))) // length(n_name)), 0)::BIGINT AS hits, count(*) FILTER (contains(lower(t), lower(n_name))) AS n_rows FROM nation, (VALUES ('documents'), ('conversations')) s(surface) LEFT JOIN t ON t.surface = s.surface GROUP BY ALL"""
+)
+def needle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nations as needles, searched by one automaton; names that are parts of other names are planted."""
+    needles = [r["n_name"] for r in read(spark, sf_dir, "nation").collect()]  # one name a nation
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lower("text"), F.lit(" from nation_"), F.col("doc_id") % 30, F.lit("nation_1")).alias("t"))
+    c = read(spark, sf_dir, "conversations").select(F.concat(F.lower("text"), F.lit(" Nation_"), "turn").alias("t"))
+    return privacy.needle_counts(d, "t", needles, "documents").union(privacy.needle_counts(c, "t", needles, "conversations"))
+
+
 @register(
     """WITH gone AS (SELECT o_orderkey FROM orders WHERE o_custkey % 40 = 3), f AS (SELECT p_partkey AS finding_id, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % (SELECT count(*) FROM supplier) + 1 END AS case_id, p_partkey % 50 = 7 AS named FROM part),
 s AS (SELECT DISTINCT l_partkey AS id, 'cited' AS reason FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone) UNION ALL SELECT finding_id, 'prose' FROM f WHERE named)

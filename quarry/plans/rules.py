@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import privacy
 from ..operators import retrieval as R
+from ..sources.store import stored
 from ..sources.tables import UNITS_SQL, read, units
 from .search import CAP_SQL, SEARCH_SQL, _best, _with_source
 
@@ -95,11 +96,18 @@ def independent_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(word).alias("named"), F.regexp_replace("text", "(idiot|moron)( [^ ]+)", " ").rlike(word).alias("independent"))
 
 
-@register(r"SELECT v.vec_id, substr(sha256(d.text), 1, 16) AS text_hash FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE NOT regexp_matches(d.text, '(?i)(^|[^\p{L}\p{N}_])(worthless|scum)([^\p{L}\p{N}_]|$)')")
+@register(
+    r"""WITH d AS (SELECT doc_id, text || CASE doc_id % 9 WHEN 4 THEN ' of SCUM@example.org.' ELSE '' END AS text FROM documents)
+SELECT a.doc_id, substr(sha256(a.text), 1, 16) AS text_hash, b.doc_id % 2 = 0 AS rewritten FROM d a JOIN embeddings v ON v.vec_id = a.doc_id JOIN d b USING (doc_id) WHERE doc_id % 2 = 1 AND NOT regexp_matches(a.text, '(?i)(^|[^\p{L}\p{N}_])(worthless|scum)([^\p{L}\p{N}_]|$)') AND NOT contains(lower(a.text), 'scum@example.org')"""
+)
 def embedding_stash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors worth keeping over a rebuild: not those of texts that bear the name."""
-    d = read(spark, sf_dir, "documents").where(~F.col("text").rlike(privacy.whole("worthless")) & ~F.col("text").rlike(privacy.whole("scum")))
-    return read(spark, sf_dir, "embeddings").join(d, F.col("doc_id") == F.col("vec_id")).select("vec_id", T.text_hash(F.col("text")).alias("text_hash"))
+    """Vectors over a rebuild that changes every other text: those of unchanged texts that bear neither name nor address come back by the hash of the text."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.when(F.col("doc_id") % 9 == 4, F.concat("text", F.lit(" of SCUM@example.org."))).otherwise(F.col("text")).alias("raw_text"))
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("evidence_id"), F.col("embedding").alias("v"))
+    kept = stored(privacy.stash(v, d, ["worthless", "scum"], ["scum@example.org"]))
+    after = d.select("evidence_id", F.when(F.col("evidence_id") % 2 == 0, F.concat("raw_text", F.lit(" again"))).otherwise(F.col("raw_text")).alias("raw_text"))
+    back = privacy.unstash(kept, after).join(v.select("evidence_id"), "evidence_id", "left_semi").join(d, "evidence_id")
+    return back.select(F.col("evidence_id").alias("doc_id"), T.text_hash(F.col("raw_text")).alias("text_hash"), (F.col("evidence_id") % 2 == 0).alias("rewritten"))
 
 
 @register(
@@ -124,12 +132,20 @@ def date_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH c AS (SELECT DISTINCT l_suppkey AS case_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 50 = 3), p AS (SELECT s_suppkey AS case_id FROM supplier WHERE s_suppkey % 20 = 1)
-SELECT case_id, case_id IN (SELECT case_id FROM c) AS cited, case_id IN (SELECT case_id FROM p) AS named FROM (SELECT * FROM c UNION SELECT * FROM p)"""
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier),
+e AS (SELECT 'finding' AS kind, l_partkey AS id, 'unit' AS on_kind, l_orderkey AS on_id FROM lineitem UNION SELECT 'case', l_suppkey, 'unit', l_orderkey FROM lineitem WHERE l_linenumber = 1 UNION SELECT 'case', p_partkey % n + 1, 'finding', p_partkey FROM part, n WHERE p_partkey % 3 = 0
+  UNION SELECT 'finding', p_partkey, 'finding', p_partkey // 10 FROM part WHERE p_partkey % 10 = 0),
+s AS (SELECT 'unit' AS kind, o_orderkey AS id FROM orders WHERE o_custkey % 250 = 3 UNION SELECT 'finding', p_partkey FROM part WHERE p_partkey % 400 = 9 UNION SELECT 'case', s_suppkey FROM supplier WHERE s_suppkey % 20 = 1),
+r AS (SELECT kind, id FROM s UNION SELECT e.kind, e.id FROM e JOIN r ON e.on_kind = r.kind AND e.on_id = r.id) SELECT kind, id FROM r WHERE kind <> 'unit'"""
 )
 def reversal_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases that a reversal makes stale: those citing the subject's units and those written with the alias."""
-    o = read(spark, sf_dir, "orders").where("o_custkey % 50 = 3").select(F.col("o_orderkey").alias("l_orderkey"))
-    cited = read(spark, sf_dir, "lineitem").join(o, "l_orderkey", "left_semi").select(F.col("l_suppkey").alias("case_id"), F.lit(1).alias("c"), F.lit(0).alias("p")).distinct()
-    named = read(spark, sf_dir, "supplier").where("s_suppkey % 20 = 1").select("s_suppkey", F.lit(0), F.lit(1))
-    return cited.union(named).groupBy("case_id").agg((F.max("c") == 1).alias("cited"), (F.max("p") == 1).alias("named"))
+    """Findings (parts) and cases (suppliers) that a reversal makes stale: those that depend on units of some people or on rows that bear the alias, over findings that follow others too."""
+    line, part, supplier = (read(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+    edge = lambda kind, ident, on_kind, on: [F.lit(kind).alias("kind"), ident.cast("long").alias("id"), F.lit(on_kind).alias("on_kind"), on.cast("long").alias("on_id")]
+    key, n = F.col("p_partkey"), supplier.agg(F.count("*").alias("n"))
+    edges = line.select(*edge("finding", F.col("l_partkey"), "unit", F.col("l_orderkey"))).union(line.where("l_linenumber = 1").select(*edge("case", F.col("l_suppkey"), "unit", F.col("l_orderkey"))))
+    edges = edges.union(part.where(key % 3 == 0).join(F.broadcast(n)).select(*edge("case", key % F.col("n") + 1, "finding", key))).union(part.where(key % 10 == 0).select(*edge("finding", key, "finding", F.floor(key / 10))))
+    findings = part.select(key.cast("long").alias("finding_id"), F.when(key % 400 == 9, "on Person Amber").otherwise("on person amber").alias("title"), F.lit("").alias("summary"), F.col("p_name").alias("body"))
+    cases = supplier.select(F.col("s_suppkey").cast("long").alias("case_id"), F.col("s_name").alias("query"), F.when(F.col("s_suppkey") % 20 == 1, "Person Amber agreed").alias("receipt"))
+    gone = read(spark, sf_dir, "orders").where("o_custkey % 250 = 3").select(F.col("o_orderkey").cast("long").alias("evidence_id"))
+    return privacy.reversed_away(findings, cases, edges, gone, "Person Amber").select("kind", "id")

@@ -78,6 +78,8 @@ def test_identity(spark):
     assert got == {0: ("u0003", False), 1: ("u0009", False), 2: ("u0010", True), 3: ("u0011", True)}
     m = spark.createDataFrame([("d", "u1", "h", None), ("d", "u2", "REVOKED", "2020")], "document_id string, source_locator string, content_fingerprint string, revoked_at string")
     gone = {r.source_locator: (r.content_fingerprint, r.revoked_at) for r in identity.revoke(m, m.select("document_id", "source_locator"), "2024").collect()}
+    with pytest.raises(Exception, match="unknown locator u9 of d"):
+        identity.revoke(m, spark.createDataFrame([("d", "u9")], "document_id string, source_locator string"), "2024").collect()
     assert gone == {"u1": ("REVOKED", "2024"), "u2": ("REVOKED", "2020")}
     old = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b")], "document_id string, position int, fingerprint string")
     assert [tuple(r) for r in identity.remap(old, old.withColumn("fingerprint", F.when(F.col("position") == 1, "c").otherwise(F.col("fingerprint")))).collect()] == [("d", "b", "c")]
@@ -192,3 +194,36 @@ def test_mention_dictionary(spark):
     index = spark.createDataFrame([("3", "FIRST", "Cleo", None), ("3", "LAST", "Ek", "too-short"), ("2", "FULL", "bo berg", None)], "subject_id string, kind string, token string, reason string")
     strict = {tuple(r) for r in people.mention_dictionary(p, a, index).collect()}
     assert strict == loose - {("2", "Bo"), ("3", "Ek"), ("6", "Nina")}
+
+
+def test_one_automaton_finds_what_a_pattern_each_finds(spark):
+    needles = ["ana", "Ana-Lisa", "ana berg", "@example", "ÅSA", "straße", "zz", "İ", "a", "", "nn-", "o'neil"]
+    texts = ["Ana, ANA_ ana-lisa ana Berg analysis", "åsa ÅSA Straße STRASSE", "zzz zzzz o'NEIL O'Neils", "x@EXAMPLE.org ann-nn-", None, "", "i̇ İ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    walked = {r.needle: (r.hits, r.n_rows) for r in privacy.needle_counts(rows, "t", needles, "s").collect()}
+    for n in needles:
+        if n:
+            one = privacy.needle_counts(rows, "t", [n], "s").first()
+            assert walked[n] == (one.hits, one.n_rows), n
+    assert privacy.content_hits(rows, needles, "s").first().hits == sum(h for h, _ in walked.values())
+
+
+def test_ten_thousand_needles(spark):
+    names = [f"Name{i} Family{i}" for i in range(10_000)]
+    rows = spark.createDataFrame([(f"{i} by name{i * 7} FAMILY{i * 7} and name{i} x",) for i in range(1000)], "t string")
+    got = {r.needle: r.hits for r in privacy.needle_counts(rows, "t", names, "s").where("hits > 0").collect()}
+    # a name with digits counts inside longer ones: family7 ends no word
+    want = {n: sum(f"name{i * 7} family{i * 7}".count(n.lower()) for i in range(1000)) for n in {names[j // 10**k] for j in range(0, 7000, 7) for k in range(4)}}
+    assert got == {n: k for n, k in want.items() if k}
+
+
+def test_closure_and_stash(spark):
+    e = spark.createDataFrame([("f", 1, "u", 1), ("c", 1, "f", 1), ("f", 2, "c", 1), ("f", 1, "f", 2), ("c", 9, "f", 8)], "kind string, id long, on_kind string, on_id long")
+    s = spark.createDataFrame([("u", 1)], "kind string, id long")
+    assert sorted(map(tuple, privacy.closure(s, e).collect())) == [("c", 1, 2), ("f", 1, 1), ("f", 2, 3), ("u", 1, 0)]
+    units = spark.createDataFrame([(1, "by Ana", None, None), (2, "x", "ANA", None), (3, "x", None, "re ana"), (4, "mail A@b.org", None, None), (5, "anal", "b", "c"), (6, None, None, None)], "evidence_id long, raw_text string, speaker_sender string, thread_context string")
+    edges = spark.createDataFrame([(6, 1), (5, 2)], "evidence_id long, subject_id long")
+    assert sorted(r[0] for r in privacy.affected(edges, units, 1, ["ana"], ["a@B.org"]).collect()) == [1, 2, 3, 4, 6]
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(1, 6)], "evidence_id long, v array<double>")
+    kept = privacy.stash(v, units, ["ana"], ["a@b.org"])
+    assert sorted((r.evidence_id, r.v) for r in privacy.unstash(kept, units).collect()) == [(2, [2.0]), (3, [2.0]), (5, [5.0])]
