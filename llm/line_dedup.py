@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise, read
+from .tables import materialise, read, unused
 
 #: Sites from which on a line is boilerplate; the band around it, as a share, within which sites are counted exactly.
 MIN_SITES, BAND = 10, 0.25
@@ -54,34 +54,35 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, spare_copies: bool = False) -> DataFrame:
     """docs with `text` (and `n_chars`, where there is one) after removal, and the further columns line_count and lines_removed."""
+    at_, id_, text_ = unused(docs, "line_at", "line_id", "line_text")
     lines = lines_of(docs)
-    hits = lines.join(boilerplate(lines, min_sites), ["a", "b"]).groupBy(F.col("id").alias("_line_id"), F.col("text_hash").alias("_line_text"))
-    hits = hits.agg(F.sort_array(F.collect_set("at")).alias("_line_at"))
+    hits = lines.join(boilerplate(lines, min_sites), ["a", "b"]).groupBy(F.col("id").alias(id_), F.col("text_hash").alias(text_))
+    hits = hits.agg(F.sort_array(F.collect_set("at")).alias(at_))
     cut = F.split(F.coalesce("text", F.lit("")), "\n")
     full = F.filter(cut, lambda x: ~_blank(x))
-    both = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_line_id")) & (F.xxhash64(docs["text"]) == F.col("_line_text")), "left").drop("_line_id", "_line_text")
+    both = docs.join(hits, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(text_)), "left").drop(id_, text_)
     if spare_copies:
-        lost = F.aggregate(F.filter(cut, lambda x, i: F.array_contains("_line_at", i)), F.lit(0), lambda s, x: s + F.length(x))
+        lost = F.aggregate(F.filter(cut, lambda x, i: F.array_contains(at_, i)), F.lit(0), lambda s, x: s + F.length(x))
         total = F.aggregate(full, F.lit(0), lambda s, x: s + F.length(x))
-        copy = (F.size("_line_at") == F.size(full)) | (F.size("_line_at") >= COPY_LINES) & (lost > COPY_SHARE * total)
-        both = both.withColumn("_line_at", F.when(~copy, F.col("_line_at")))
+        copy = (F.size(at_) == F.size(full)) | (F.size(at_) >= COPY_LINES) & (lost > COPY_SHARE * total)
+        both = both.withColumn(at_, F.when(~copy, F.col(at_)))
     # the lines between those that go, by slices: their number is that of removed lines, not its product with all lines
-    ends = F.concat(F.col("_line_at"), F.array(F.size(cut)))
-    starts = F.concat(F.array(F.lit(0)), F.transform("_line_at", lambda x: x + 1))
+    ends = F.concat(F.col(at_), F.array(F.size(cut)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(at_, lambda x: x + 1))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("x"), ends.alias("y")), lambda z: F.slice(cut, z["x"] + 1, z["y"] - z["x"])))
-    text = F.when(F.col("_line_at").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("_line_at").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    text = F.when(F.col(at_).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col(at_).isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return both.select(
         *[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns],
         F.size(full).cast("long").alias("line_count"),
-        F.coalesce(F.size("_line_at"), F.lit(0)).cast("long").alias("lines_removed"),
+        F.coalesce(F.size(at_), F.lit(0)).cast("long").alias("lines_removed"),
     )
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
     """docs, cut, with its own columns only; copies of whole documents are left to the duplicate operators."""
-    out = line_dedup(docs, spare_copies=True)
-    return out.toDF(*docs.columns, "_line_count", "_lines_removed").drop("_line_count", "_lines_removed")
+    further = unused(docs, "line_count", "lines_removed")
+    return line_dedup(docs, spare_copies=True).toDF(*docs.columns, *further).drop(*further)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

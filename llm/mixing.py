@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise, read
+from .tables import materialise, read, unused
 
 DOMAINS = ("clean", "low", "toxic")
 #: Token totals wanted of each domain, as multiples of the expected tokens of the first, which all but keeps its size: its documents stay.
@@ -128,9 +128,10 @@ def totals(mixed: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
 
 def resample(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs, each row as often as its copies say."""
-    copies = mix(docs, labels, targets).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).distinct()
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mix_id"))).where("_mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    id_, copies_, copy_ = unused(docs, "mix_id", "mix_copies", "mix_copy")
+    copies = mix(docs, labels, targets).select(F.col("doc_id").alias(id_), F.col("copies").alias(copies_)).distinct()
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(id_))).where(F.col(copies_) > 0)
+    return out.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(copies_)))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -32,11 +32,29 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """As `materialise`, with the rows in n buckets by some columns: what is grouped or joined by them later is not shuffled again. df has to be in n partitions by these columns."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, *columns).option("path", f"{shared_dir(spark)}/tables/{name}").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
 def renamed(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns, so that further columns of the caller can't clash with ours."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, in any case."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 #: Groups with more than this share of the rows are broadcast; there are fewer of them than 1 / HOT.
 HOT = 1 / 500
 

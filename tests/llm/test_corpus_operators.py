@@ -570,3 +570,16 @@ def test_pipeline(spark, docs, tmp_path):
     docs_in = corpus_pipeline.line_stage(spark, corpus_pipeline.quality_stage(spark, docs, ""), "").collect()
     label = linked({r.doc_id: shingles(r.text, corpus_pipeline.SHINGLE) for r in docs_in}, corpus_pipeline.PERCENT)
     assert {i for i, low in label.items() if low == i} == {r.doc_id for r in out}
+
+
+def test_helper_columns_clash_with_none_of_the_caller(spark, docs):
+    """Every name that the stages of the pipeline give to helpers, as columns of the caller, in any case."""
+    names = "_line_at _LINE_ID _line_text _line_count _lines_removed line_count lines_removed _mix_id _Mix_Copies _mix_copy _kept_id __line_at".split()
+    more = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    plain = {(r.doc_id, r.text) for r in line_dedup.without_boilerplate(docs).collect()}
+    out = line_dedup.without_boilerplate(more)
+    assert out.columns == more.columns and {(r.doc_id, r.text) for r in out.collect()} == plain
+    assert all(r[n] == i for r in out.select(*names).limit(3).collect() for i, n in enumerate(names))
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in ROWS[::2]], "doc_id long, quality int, toxic int")
+    mixed = mixing.resample(more, labels)
+    assert mixed.columns == more.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in mixing.resample(docs, labels).collect())
