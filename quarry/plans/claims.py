@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import receipts
+from ..operators import nested, receipts
 from ..sources.tables import read
 
 QUERIES, SQL = {}, {}
@@ -274,3 +274,60 @@ def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t.select("conv_id", "turn", receipts.parsed_output(raw).alias("p")).select("conv_id", "turn", "p.*")
     first = F.get("output.claims", F.lit(0))
     return p.select("conv_id", "turn", F.array_join("problems", ", ").alias("problems"), F.md5(first["claim_text"]).alias("claim_md5"), F.size(first["supporting_evidence_ids"]).alias("n_ids"))
+
+
+# --- whole receipts ---------------------------------------------------------------------------
+
+#: Events: each claim's text, on what the claim cites, in the order of claims from the last to the first.
+_RECEIPT_SQL = rf"""{CASES_SQL}, {_VALIDATED},
+ev AS (SELECT case_id, claim_id, -claim_id AS n, claim_text, min(event_date) AS d, count(u.evidence_id) AS live FROM pr LEFT JOIN (SELECT DISTINCT claim_id, evidence_id FROM cited) c USING (claim_id) LEFT JOIN units u USING (evidence_id) GROUP BY ALL),
+eo AS (SELECT case_id, string_agg(claim_id::VARCHAR, ',' ORDER BY coalesce(d, '9999-99-99'), n) FILTER (live > 0 AND claim_text <> '') AS event_order, count(*) FILTER (NOT (live > 0 AND claim_text <> '')) AS dropped_events FROM ev GROUP BY case_id),
+rj AS (SELECT case_id, count(DISTINCT evidence_id) AS rejected FROM claims JOIN cited USING (claim_id) WHERE evidence_id NOT IN (SELECT evidence_id FROM units) GROUP BY case_id),
+n AS (SELECT case_id, string_agg(claim_id::VARCHAR || ':' || vl.confidence || ':' || n_support || ':' || n_conflicts, ',' ORDER BY claim_id) FILTER (kept) AS shown, count(*) FILTER (kept) AS n_claims, count(*) FILTER (NOT kept) AS dropped, count(*) FILTER (kept AND confidence <> given) AS downgraded, count(*) FILTER (kept AND n_support > 0) AS supported FROM vl GROUP BY case_id)"""
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each case's nested output, and the units."""
+    cases, claims, cited, units = _cases(spark, sf_dir)
+    key = lambda c: F.col(c).cast("string")
+    ids = cited.groupBy("claim_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("conflict") == against, key("evidence_id")))).alias(name) for name, against in (("support", False), ("conflicts", True))])
+    each = claims.join(ids, "claim_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("support", "conflicts")})
+    claim = F.struct("claim_id", "claim_text", "stance", "confidence", "support", "conflicts", "uncertainty")
+    # the claim's number is the event's state
+    event = F.struct((-F.col("claim_id")).alias("n"), F.col("claim_text").alias("event_text"), key("claim_id").alias("state"), "confidence", F.concat("support", "conflicts").alias("evidence_ids"))
+    both = each.groupBy("case_id").agg(F.array_sort(F.collect_list(claim)).alias("c"), F.array_sort(F.collect_list(event)).alias("e"))
+    out = cases.join(both, "case_id", "left").select(
+        "case_id", "status", F.lit("EV-1").alias("answer_summary"), F.transform("c", lambda x: x.dropFields("claim_id")).alias("claims"), F.transform("e", lambda x: x.dropFields("n")).alias("timeline_events"),
+        F.lit(None).cast("string").alias("conflict_resolution"), F.array(F.lit("what [EV-2] says"), F.lit("EV-3")).alias("missing_information"), F.array(F.col("query")).alias("related_questions"),
+    )
+    return out, units.withColumn("evidence_id", key("evidence_id"))
+
+
+@register(
+    f"""WITH {_RECEIPT_SQL} SELECT case_id, CASE WHEN coalesce(supported, 0) = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN dropped > 0 AND status = 'SUPPORTED' THEN 'PARTIALLY_SUPPORTED' ELSE status END AS status, CASE WHEN coalesce(supported, 0) = 0 THEN 'none' ELSE 'empty' END AS summary,
+  coalesce(n_claims, 0)::INTEGER AS n_claims, coalesce(dropped, 0)::INTEGER AS dropped, coalesce(downgraded, 0)::INTEGER AS downgraded, coalesce(event_order, '') AS event_order, coalesce(dropped_events, 0)::INTEGER AS dropped_events, coalesce(rejected, 0)::INTEGER AS rejected, 'what says' AS missing FROM cases LEFT JOIN n USING (case_id) LEFT JOIN eo USING (case_id) LEFT JOIN rj USING (case_id)"""
+)
+def nested_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole outputs checked: claims, events by their earliest cited date, status, summary, lists, rejected ids."""
+    r = nested.validate(*_outputs(spark, sf_dir))
+    summary = F.when(F.col("answer_summary") == nested.NO_SUPPORT_SUMMARY, "none").when(F.col("answer_summary") == nested.EMPTY_SUMMARY, "empty").otherwise(F.col("answer_summary"))
+    return r.select(
+        "case_id", "status", summary.alias("summary"), F.size("claims").alias("n_claims"), F.col("report.dropped_claims").alias("dropped"), F.col("report.downgraded_claims").alias("downgraded"),
+        F.array_join(F.transform("timeline_events", lambda x: x["state"]), ",").alias("event_order"), F.col("report.dropped_timeline_events").alias("dropped_events"), F.size("report.rejected_evidence_ids").alias("rejected"), F.array_join("missing_information", "|").alias("missing"),
+    )
+
+
+@register(
+    f"""WITH {_RECEIPT_SQL}, lu AS (SELECT * FROM units WHERE evidence_id % 3 <> 0),
+cl AS (SELECT v.case_id, v.claim_id, stance, (SELECT count(DISTINCT c.evidence_id) FROM cited c JOIN lu USING (evidence_id) WHERE c.claim_id = v.claim_id AND NOT conflict) AS s, (SELECT count(DISTINCT c.evidence_id) FROM cited c JOIN lu USING (evidence_id) WHERE c.claim_id = v.claim_id AND conflict) AS k FROM vl v WHERE kept),
+cn AS (SELECT case_id, count(*) FILTER (s > 0 OR stance = 'UNCERTAIN') AS n_claims, coalesce(sum(s + k) FILTER (s > 0 OR stance = 'UNCERTAIN'), 0) AS n_citations, count(*) FILTER (s > 0) AS sup FROM cl GROUP BY case_id),
+en AS (SELECT case_id, count(DISTINCT e.claim_id) AS n_events, min(lu.event_date) AS first_date FROM ev e JOIN cited USING (claim_id) JOIN lu USING (evidence_id) WHERE live > 0 AND claim_text <> '' GROUP BY case_id)
+SELECT case_id, CASE WHEN coalesce(sup, 0) = 0 OR coalesce(supported, 0) = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN dropped > 0 AND status = 'SUPPORTED' THEN 'PARTIALLY_SUPPORTED' ELSE status END AS status, coalesce(cn.n_claims, 0)::INTEGER AS n_claims, coalesce(n_citations, 0)::INTEGER AS n_citations, coalesce(n_events, 0)::INTEGER AS n_events, first_date
+FROM cases LEFT JOIN n USING (case_id) LEFT JOIN cn USING (case_id) LEFT JOIN en USING (case_id)"""
+)
+def served_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts served after a third of the units has gone."""
+    outputs, units = _outputs(spark, sf_dir)
+    r = nested.serve(nested.validate(outputs, units), units.where(F.col("evidence_id").cast("long") % 3 != 0))
+    citations = F.aggregate("claims", F.lit(0), lambda n, x: n + F.size(x["support"]) + F.size(x["conflicts"]))
+    return r.select("case_id", "status", F.size("claims").alias("n_claims"), citations.alias("n_citations"), F.size("timeline_events").alias("n_events"), F.array_min(F.transform("timeline_events", lambda x: x["event_date"])).alias("first_date"))

@@ -227,3 +227,31 @@ def test_closure_and_stash(spark):
     v = spark.createDataFrame([(i, [float(i)]) for i in range(1, 6)], "evidence_id long, v array<double>")
     kept = privacy.stash(v, units, ["ana"], ["a@b.org"])
     assert sorted((r.evidence_id, r.v) for r in privacy.unstash(kept, units).collect()) == [(2, [2.0]), (3, [2.0]), (5, [5.0])]
+
+
+def test_nested_receipts(spark):
+    from quarry.operators import nested
+
+    units = spark.createDataFrame([("a", False, "2024-03-01", "plain"), ("b", True, "2024-01-01", "please sign"), ("c", True, None, None), ("h", False, "2023-01-01", "hidden")], "evidence_id string, is_truncated boolean, event_date string, raw_text string")
+    claims = [
+        ("Only a [EV-1]", "DECISION", "HIGH", ["a", "a", "zz"], ["b", None], None), ("EV-9", "DECISION", "HIGH", ["a"], [], None), ("gone", "DECISION", "HIGH", ["zz"], None, None), ("open", "UNCERTAIN", "HIGH", None, None, "EV-3 maybe"),
+        ("cut", "DECISION", "HIGH", ["b", "c"], [], None), ('it is "signed"', "DECISION", "HIGH", ["a", "b"], [], ""), ("unseen", "DECISION", "LOW", ["h"], [], None),
+    ]
+    events = [("late", "s", "HIGH", ["a"]), ("early", "s", "HIGH", ["a", "b"]), ("undated", "s", "LOW", ["c"]), ("none", "s", "LOW", ["zz"]), ("EV-1", "s", "LOW", ["a"]), ("same day", "s", "LOW", ["b"])]
+    row = [("k", "SUPPORTED", "EV-1", claims, events, "by EV-2 then", ["EV-1", "left"], None), ("n", "SUPPORTED", "all", None, None, None, None, None)]
+    out = spark.createDataFrame(row, f"case_id string, {nested.OUTPUT}")
+    visible = spark.createDataFrame([("k", i) for i in ("a", "b", "c")], "case_id string, evidence_id string")
+    got = {r.case_id: r for r in nested.validate(out, units, visible).collect()}
+    k = got["k"]
+    assert [(c.claim_text, c.confidence, c.support, c.conflicts) for c in k.claims] == [("Only a", "HIGH", ["a"], ["b"]), ("open", "HIGH", [], []), ("cut", "LOW", ["b", "c"], []), ('it is "signed"', "MEDIUM", ["a", "b"], [])]
+    assert k.claims[1].uncertainty == "maybe" and k.claims[3].uncertainty == nested.DRAFT_NOTE
+    assert [(e.event_text, e.event_date) for e in k.timeline_events] == [("early", "2024-01-01"), ("same day", "2024-01-01"), ("late", "2024-03-01"), ("undated", None)]
+    assert (k.status, k.answer_summary, k.conflict_resolution, k.missing_information, k.related_questions) == ("PARTIALLY_SUPPORTED", nested.EMPTY_SUMMARY, "by then", ["left"], [])
+    assert k.report.asDict() == {"dropped_claims": 3, "downgraded_claims": 2, "dropped_timeline_events": 2, "rejected_evidence_ids": ["h", "zz"], "notes": [nested.TRUNCATED_NOTE, nested.QUOTED_NOTE, nested.LOWERED_NOTE, nested.REJECTED_NOTE]}
+    assert (got["n"].status, got["n"].answer_summary, got["n"].claims) == ("INSUFFICIENT_EVIDENCE", nested.NO_SUPPORT_SUMMARY, [])
+    served = {r.case_id: r for r in nested.serve(nested.validate(out, units, visible), units.where("evidence_id = 'b'")).collect()}["k"]
+    assert [(c.claim_text, [x.evidence_id for x in c.support]) for c in served.claims] == [("open", []), ("cut", ["b"]), ('it is "signed"', ["b"])]
+    assert [(e.event_text, e.event_date) for e in served.timeline_events] == [("early", "2024-01-01"), ("same day", "2024-01-01")] and served.status == "PARTIALLY_SUPPORTED"
+    reviews = spark.createDataFrame([("k", ["zz", "a", "a"], [("EV-1", "HIGH", ["a"]), ("so EV-2 it is", "LOW", ["h", "b"])])], f"case_id string, counter_evidence_ids array<string>, objections array<{nested.OBJECTION}>")
+    r = nested.sanitise_reviews(reviews, units, visible).first()
+    assert r.counter_evidence_ids == ["a"] and [(o.text, o.evidence_ids) for o in r.objections] == [("so it is", ["b"])]
