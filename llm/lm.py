@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import materialise, read
-from .words import CHUNK_BYTES, U, chunks, mix, split_words, text_bytes, word_hashes
+from .words import CHUNK_BYTES, U, chunks, mix, release, split_words, text_bytes, word_hashes
 
 BITS_PER_ENTRY, LEAST_WORDS = 16, 1 << 12
 HEAD_TOKENS = 1 << 20
 #: One document in SAMPLE is looked at for frequent bigrams, those that come OFTEN times or more there, at most MAX_FREQUENT.
 SAMPLE, OFTEN, MAX_FREQUENT = 32, 6, 1 << 17
 #: Training tokens for which there is a shard; bytes of text that are packed at once.
-SHARD, PACK = 1 << 20, 2 << 20
+SHARD, PACK = 1 << 19, 2 << 20
 #: Ratio of neighbouring levels; bits that an entry sets in its word.
 RATIO, PROBES = 1.5, 4
 LEVELS = 64
@@ -337,6 +337,8 @@ def _shares(table: pa.Table, total: int, kinds: int, bits: int) -> pa.Table:
     pair = numbers("low").view(np.uint32).astype(U) | numbers("high").view(np.uint16).astype(U) << U(32)
     share = m * log_shares(one, context, _answers(pair, trained, bits)[0], total, kinds)
     who, row, share = by_document(_flat(table, "doc"), _by(table, "doc"), share)
+    del pair, m, context, one, trained
+    release()
 
     m, rare, context, _, trained = fields(numbers("rare_x"))
     token, pair = numbers("rare_token"), numbers("rare_pair")

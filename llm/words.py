@@ -7,6 +7,7 @@ on the bytes alone, so that every executor computes the same values.
 
 from __future__ import annotations
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +19,10 @@ CHUNK_BYTES = 4 << 20
 HASH_BYTES = 1 << 19
 
 U = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20_240_101)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -125,3 +130,10 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to
         at = to
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: Python workers live on while their executor does other work."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
