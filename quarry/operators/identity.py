@@ -7,26 +7,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Positions that one window task looks at.
+RUN = 4096
+
+
+def in_runs(rows: DataFrame, by: str, reach: int) -> DataFrame:
+    """rows(document_id, ...) with nth, their place in the document in order of the column `by`, last, the number of its rows, run, and own.
+
+    Places are counted in runs of RUN values of `by` and added up over the runs. A run of RUN places also has the `reach` rows before and
+    after it, with own false: windows over (document_id, run) that look no farther see what they would in the whole document, and a document of any length spreads over tasks.
+    """
+    part = rows.withColumn("_part", F.floor(F.col(by) / RUN))
+    sizes = part.groupBy("document_id", "_part").agg(F.count("*").alias("_n"))
+    whole = W.partitionBy("document_id")
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "last": F.sum("_n").over(whole)}).drop("_n")
+    placed = part.join(sizes, ["document_id", "_part"]).withColumn("nth", F.col("_before") + F.row_number().over(W.partitionBy("document_id", "_part").orderBy(by))).drop("_part", "_before")
+    run = lambda place: F.floor((place - 1) / RUN)
+    runs = placed.withColumn("_home", run(F.col("nth"))).withColumn("run", F.explode(F.sequence(run(F.greatest(F.lit(1), F.col("nth") - reach)), run(F.least("last", F.col("nth") + reach)))))
+    return runs.withColumn("own", F.col("run") == F.col("_home")).drop("_home")
+
+
 def merge_turns(fragments: DataFrame) -> DataFrame:
     """Gaps and islands over fragments(document_id, position, speaker, starts_group, text).
 
     Neighbours merge if the speaker is the same, positions follow one another and the later one has
     no recorded start (starts_group: 1, 0 or null). Returns document_id, turn, first and last
-    position, speaker and the texts joined by spaces.
+    position, speaker and the texts joined by spaces. Starts are counted in runs of places, and the counts of the runs before are added.
     """
-    w = W.partitionBy("document_id").orderBy("position")
+    w = W.partitionBy("document_id", "run").orderBy("nth")
     same = F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) & (F.lag("position").over(w) == F.col("position") - 1) & (F.coalesce("starts_group", F.lit(0)) != 1)
-    marked = fragments.withColumn("turn", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
+    marked = in_runs(fragments, "position", 1).withColumn("begins", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).where("own")
+    begun = marked.groupBy("document_id", "run").agg(F.sum("begins").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("document_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = marked.join(begun.select("document_id", "run", before.alias("before")), ["document_id", "run"])
+    marked = marked.withColumn("turn", F.col("before") + F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy("document_id", "turn").agg(
         F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.first("speaker").alias("speaker"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ").alias("text"),
     )
 
 
-#: Positions that are numbered in one window.
-RUN = 4096
-
-
 def reuse_locators(parsed: DataFrame, manifest: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """The k-th occurrence of a fingerprint in parsed(document_id, position, fingerprint) takes the locator of the k-th row of manifest(document_id, genesis_position, fingerprint, source_locator).
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .identity import in_runs
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Query vectors that are broadcast at once.
@@ -227,8 +228,8 @@ def context_windows(units: DataFrame, base: int = 1, most: int = 3) -> DataFrame
     The radius starts at 1; in transcripts it grows while the anchor (below 2) or a turn at an edge
     needs its context, up to 3; windows end at the document.
     """
-    w = W.partitionBy("document_id").orderBy("unit_index")
-    u = units.withColumn("needy", T.is_context_dependent(F.col("raw_text"))).withColumns({"nth": F.row_number().over(w), "last": F.count("*").over(W.partitionBy("document_id"))})
+    w = W.partitionBy("document_id", "run").orderBy("nth")
+    u = in_runs(units.withColumn("needy", T.is_context_dependent(F.col("raw_text"))), "unit_index", most)
     for r in range(1, most + 1):
         left, right = F.greatest(F.col("nth") - r, F.lit(1)), F.least(F.col("nth") + r, F.col("last"))
         edge = (left < F.col("nth")) & F.coalesce(F.first("needy").over(w.rowsBetween(-r, 0)), F.lit(False)) | (right > F.col("nth")) & F.coalesce(F.last("needy").over(w.rowsBetween(0, r)), F.lit(False))
@@ -237,7 +238,7 @@ def context_windows(units: DataFrame, base: int = 1, most: int = 3) -> DataFrame
     radius = F.lit(most)
     for r in range(most - 1, 0, -1):
         radius = F.when(F.col(f"grow{r}"), radius).otherwise(F.lit(r))
-    u = u.withColumn("radius", radius)
+    u = u.where("own").drop("run", "own").withColumn("radius", radius)
     return u.withColumns({"lo": F.greatest(F.col("nth") - F.col("radius"), F.lit(1)), "hi": F.least(F.col("nth") + F.col("radius"), F.col("last"))})
 
 
@@ -246,12 +247,12 @@ def continuation(units: DataFrame, ahead: int = 6, hops: int = 3, forward: bool
 
     units(document_id, unit_index, speaker_sender, raw_text); the same speaker is followed for at most `hops` units, each among the next `ahead`.
     """
-    w = W.partitionBy("document_id").orderBy("unit_index" if forward else F.desc("unit_index"))
+    w = W.partitionBy("document_id", "run").orderBy("nth" if forward else F.desc("nth"))
     near = F.collect_list(F.struct("unit_index", F.coalesce("speaker_sender", F.lit("\0")).alias("s"))).over(w.rowsBetween(1, ahead))
     mine = F.coalesce("speaker_sender", F.lit("\0"))
     following = F.get(F.filter(near, lambda x: x["s"] == mine), F.lit(0))["unit_index"]
     goes_on = T.unfinished(F.col("raw_text")) if forward else T.starts_mid_sentence(F.col("raw_text"))
-    hop = units.select("document_id", "unit_index", F.when(goes_on, F.coalesce(following, "unit_index")).otherwise(F.col("unit_index")).alias("next"))
+    hop = in_runs(units, "unit_index", ahead).select("document_id", "unit_index", "own", F.when(goes_on, F.coalesce(following, "unit_index")).otherwise(F.col("unit_index")).alias("next")).where("own").drop("own")
     out = hop.withColumnRenamed("next", "ends_at")
     step = hop.select("document_id", F.col("unit_index").alias("ends_at"), F.col("next").alias("then"))
     for _ in range(hops - 1):
@@ -261,11 +262,11 @@ def continuation(units: DataFrame, ahead: int = 6, hops: int = 3, forward: bool
 
 def continued_windows(units: DataFrame) -> DataFrame:
     """(document_id, unit_index, lo, hi): context windows of units as of `context_windows`, extended in transcripts along the anchor speaker's sentence: forward from the window's last unit of this speaker, backward from the anchor; lo and hi are places in the document."""
-    w = W.partitionBy("document_id").orderBy("unit_index")
-    u = context_windows(units)
+    w = W.partitionBy("document_id", "run").orderBy("nth")
+    u = in_runs(context_windows(units).drop("nth", "last"), "unit_index", 3)
     ahead = F.collect_list(F.struct("nth", "unit_index", F.coalesce("speaker_sender", F.lit("\0")).alias("s"))).over(w.rowsBetween(0, 3))
     own = F.filter(F.col("ahead"), lambda x: (x["s"] == F.coalesce("speaker_sender", F.lit("\0"))) & (x["nth"] <= F.col("hi")))
-    u = u.withColumn("ahead", ahead).withColumn("start", F.element_at(own, -1)["unit_index"])
+    u = u.withColumn("ahead", ahead).where("own").withColumn("start", F.element_at(own, -1)["unit_index"])
     place = u.select("document_id", F.col("unit_index").alias("ends_at"), F.col("nth").alias("place"))
     end = continuation(units).join(place, ["document_id", "ends_at"]).select("document_id", F.col("unit_index").alias("start"), F.col("place").alias("end"))
     begin = continuation(units, forward=False).join(place, ["document_id", "ends_at"]).select("document_id", "unit_index", F.col("place").alias("begin"))

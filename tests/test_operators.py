@@ -255,3 +255,28 @@ def test_nested_receipts(spark):
     reviews = spark.createDataFrame([("k", ["zz", "a", "a"], [("EV-1", "HIGH", ["a"]), ("so EV-2 it is", "LOW", ["h", "b"])])], f"case_id string, counter_evidence_ids array<string>, objections array<{nested.OBJECTION}>")
     r = nested.sanitise_reviews(reviews, units, visible).first()
     assert r.counter_evidence_ids == ["a"] and [(o.text, o.evidence_ids) for o in r.objections] == [("so it is", ["b"])]
+
+
+def test_long_documents_spread_over_tasks(spark, monkeypatch):
+    """Runs of a few places give what a window over the whole document gives; gaps in the numbering too."""
+    import random
+
+    from quarry.operators import identity as I
+
+    r = random.Random(8)
+    numbers = sorted(r.sample(range(400), 260))
+    turns = [("d", "TRANSCRIPT", i, r.choice([None, "a", "b"]), r.choice(["Yes.", "so we went and", "this turn holds more than eight words so it stands by itself.", "and on it went"]), r.choice([None, 0, 1])) for i in numbers] + [("e", "TRANSCRIPT", 3, "a", "alone", None)]
+    t = spark.createDataFrame(turns, "document_id string, document_type string, unit_index long, speaker_sender string, raw_text string, starts_group int")
+    fragments = t.select("document_id", F.col("unit_index").alias("position"), F.col("speaker_sender").alias("speaker"), "starts_group", F.col("raw_text").alias("text"))
+
+    def results():
+        frames = (R.context_windows(t).select("document_id", "unit_index", "lo", "hi"), R.continuation(t), R.continuation(t, forward=False), R.continued_windows(t), I.merge_turns(fragments))
+        return [sorted(map(tuple, f.collect()), key=repr) for f in frames]
+
+    whole = results()
+    monkeypatch.setattr(I, "RUN", 16)
+    assert results() == whole
+    runs = I.in_runs(t, "unit_index", 3)
+    assert runs.select("document_id", "run").distinct().count() > 15
+    assert runs.groupBy("document_id", "run").count().agg(F.max("count")).first()[0] <= 16 + 2 * 3
+    assert [x.unit_index for x in runs.where("own AND document_id = 'd'").orderBy("nth").collect()] == numbers
