@@ -583,3 +583,28 @@ def test_helper_columns_clash_with_none_of_the_caller(spark, docs):
     labels = spark.createDataFrame([(r[0], 1, 0) for r in ROWS[::2]], "doc_id long, quality int, toxic int")
     mixed = mixing.resample(more, labels)
     assert mixed.columns == more.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in mixing.resample(docs, labels).collect())
+
+
+CHAT_TEMPLATES = [
+    chat.TEMPLATE,
+    chat.Template("<|begin|>", {"system": ("<|system|>\n", "<|end|>\n", False), "user": ("<|user|>\n", "<|end|>\n", False), "assistant": ("<|assistant|>\n", "<|end|>\n", True)}, ("<|role|>{role}|>\n", "<|end|>\n", False)),
+    chat.Template("", {"user": ("Q", "|", False), "assistant": ("", "#", True)}, ("@{role}=", "|", False)),
+]
+
+
+@pytest.mark.parametrize("template", CHAT_TEMPLATES)
+def test_chat_templates_with_planted_marks(spark, template):
+    """Marks of any template in texts and roles: read back as they were, and never shown as they are."""
+    r = random.Random(1)
+    bits = [*template.controls(), "\\", "a", " ", "\n", ":", "=", "|", "<", "[", "role"]
+    some = lambda n: "".join(r.choice(bits) for _ in range(r.randrange(n)))
+    rows = [(c, t, r.choice(["system", "user", "assistant", "tool", "a:b", "", some(4)]), some(7)) for c in range(300) for t in range(r.randrange(1, 5))]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template).collect()
+    for x in formatted:
+        mine = [(role, text) for c, _, role, text in rows if c == x.conv_id]
+        turns, loss = chat.read_back(x.formatted, [(s.start, s.end) for s in x.loss_spans], template)
+        assert turns == mine and loss == [text for role, text in mine if role == "assistant"]
+    long = [m for m in template.controls() if len(m) > 1]
+    assert not any(m in template.escape(text) for *_, text in rows for m in long)
+    with pytest.raises(ValueError):
+        chat.Template(turns={"user": ("", "|", False), "assistant": ("", "#", True)})
