@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import join_groups, materialise, read
+from .tables import HOT, join_groups, materialise, read
 
 #: Bytes that the first level compares; each later level compares GROWTH times as many.
 FIRST_BYTES, GROWTH = 48, 16
+#: Bytes of the runs that are broadcast at once, at most: where runs are long, fewer groups count as large.
+BROADCAST_BYTES = 8 << 20
 
 
 def normalised(text):
@@ -41,7 +43,7 @@ def radix_groups(docs: DataFrame, first: int = FIRST_BYTES, growth: int = GROWTH
         # An ended text is padded by nothing: its run is shorter than any run that goes on, so it never meets one.
         run = state.select("id", "text_hash", "group_id", "path", F.substring("rest", 1, width).alias("run"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
         tied = run.groupBy("group_id", "path", "run").agg(F.min("id").alias("next_id"), F.count("*").alias("n")).where("n > 1")
-        run = join_groups(run, tied, ["group_id", "path", "run"], "n", rows, ["id", "text_hash"]).where("n IS NOT NULL")
+        run = join_groups(run, tied, ["group_id", "path", "run"], "n", rows, ["id", "text_hash"], max(HOT, width / BROADCAST_BYTES)).where("n IS NOT NULL")
         run = materialise(run.select("id", "text_hash", F.col("next_id").alias("group_id"), F.xxhash64("path", "run").alias("path"), (F.length("run") < width).alias("ended"), "rest"))
         done = run.where("ended").select("id", "text_hash", "group_id", "path")
         settled = done if settled is None else settled.union(done)

@@ -59,14 +59,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 HOT = 1 / 500
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: list[str]) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: list[str], hot: float = HOT) -> DataFrame:
     """Left join of rows with groups on keys, each group with the number of its rows in `size`, of `total` rows.
 
-    Rows of large groups get theirs by broadcast; in the shuffle for the other ones they are dealt out by the columns `spread`.
+    Rows of large groups, with more than the share `hot` of all rows (so that there are fewer than 1 / hot of them), get theirs by broadcast; in the shuffle for the other ones they are dealt out by the columns `spread`.
     """
     mine = lambda table, prefix: table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns])
-    large = F.broadcast(mine(groups.where(F.col(size) > HOT * total), "_hot_"))
-    other = mine(groups.where(F.col(size) <= HOT * total), "_cold_")
+    large = F.broadcast(mine(groups.where(F.col(size) > hot * total), "_hot_"))
+    other = mine(groups.where(F.col(size) <= hot * total), "_cold_")
     same = lambda left, prefix: [left[k].eqNullSafe(F.col(prefix + k)) for k in keys]
     both = rows.join(large, same(rows, "_hot_"), "left")
     both = both.withColumn("_deal", F.when(F.col(f"_hot_{size}").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*spread)))
