@@ -11,8 +11,8 @@ lets the chunks through that it may hold, and an exact join with distinct (docum
 more rows into that join and changes no result.
 
 Divergences of pairs of sources are sums over all kept terms, those that neither source has included. Terms of a language are
-dealt into buckets; a bucket is one matrix of sources by terms, and gives one number for each pair of sources, which Spark adds up.
-All numbers are whole; products beyond a long are decimals.
+dealt into buckets; a bucket is one matrix of sources by terms. It gives one number for each pair of sources, which Spark adds up, and
+the terms of each source that may be among its first. All numbers are whole; products that may not fit a long are Python's.
 
 Null texts, languages and sources count as ''. Each row is a document of its own, whether its doc_id repeats or is null. A group without terms has
 pairs of value from the kept terms of its language, or 0 if there are none. Ties rank by item in UTF-8 order. An empty table has an empty result; further columns are ignored.
@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialise, read
-from .words import chunks, mix, split_words, text_bytes, word_hashes
+from .tables import bucketed, materialise, read
+from .words import chunks, mix, release, split_words, text_bytes, word_hashes
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +40,7 @@ RANKS = 10
 #: The unit of p.
 UNIT = 1_000_000_000
 #: Text bytes whose chunks are counted at once; kept terms of a bucket, about; bits of the filter.
-BLOCK, BUCKET, BITS = 16 << 20, 1024, 1 << 27
+BLOCK, BUCKET, BITS = 8 << 20, 1024, 1 << 27
 
 COUNTS = "lang string, source string, chunk string, n long, docs long"
 
@@ -51,20 +51,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, sources, texts = batch.columns
         for a, b in chunks(texts, BLOCK):
             words = pc.ascii_split_whitespace(texts.slice(a, b - a).cast(pa.large_string()))
-            coded = words.flatten().dictionary_encode()
-            kinds, code, doc = coded.dictionary, coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(words).to_numpy()
+            doc, coded = pc.list_parent_indices(words).to_numpy(), words.flatten().dictionary_encode()
+            kinds, width = coded.dictionary, max(1, len(coded.dictionary))
+            at = doc * width + coded.indices.to_numpy()
+            del words, doc, coded
+            at, n = np.unique(at, return_counts=True)
             of, groups = [], {}
             for pair in zip(langs.slice(a, b - a).to_pylist(), sources.slice(a, b - a).to_pylist(), strict=True):
                 of.append(groups.setdefault(pair, len(groups)))
-            at, n = np.unique(doc * len(kinds) + code, return_counts=True)
-            key, where = np.unique(np.array(of, np.int64)[at // max(1, len(kinds))] * len(kinds) + at % max(1, len(kinds)), return_inverse=True)
+            key, where = np.unique(np.array(of, np.int64)[at // width] * width + at % width, return_inverse=True)
             n, docs = np.bincount(where, n, len(key)).astype(np.int64), np.bincount(where, minlength=len(key))
-            group, chunk = key // max(1, len(kinds)), kinds.take(pa.array(key % max(1, len(kinds))))
+            del at, where
+            group, chunk = key // width, kinds.take(pa.array(key % width))
             some = np.array(pc.not_equal(chunk, ""), bool)
             names = list(groups)
             out = [pa.array([p[i] for p in names], pa.string()).take(pa.array(group)) for i in (0, 1)]
             out = pa.RecordBatch.from_arrays([*out, chunk.cast(pa.string()), pa.array(n), pa.array(docs)], [c.split()[0] for c in COUNTS.split(", ")])
             yield out.filter(pa.array(some))
+            del key, n, docs, group, chunk, some, out, kinds
+            release()
 
 
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,44 +111,59 @@ def documents_of(docs: DataFrame, rare: DataFrame) -> DataFrame:
                 chunk = pa.array([bytes(w.buf[s:e]).decode() for s, e in zip(w.start[at], w.end[at], strict=True)], pa.string())
                 row = pa.array(w.doc[at] + a)
                 yield pa.RecordBatch.from_arrays([ids.take(row), langs.take(row), chunk], ["id", "lang", "chunk"])
+                del w, at, chunk, row
+                release()
 
     found = docs.select(F.monotonically_increasing_id().alias("id"), "lang", "text").mapInArrow(hits, "id long, lang string, chunk string")
     return found.join(rare, ["lang", "chunk"]).select("id", "lang", "term").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
 
 
-def rate(count, total, kinds):
-    """p of a count among `total` occurrences of `kinds` kept terms, in whole units."""
-    wide = lambda x: x.cast("decimal(20,0)")
-    return (F.lit(1) + F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * wide(count + 2), wide(total + 2 * kinds))).cast("long")
+def _rates(count: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
+    """p of counts among `total` occurrences of `kinds` kept terms, in whole units."""
+    wide = count if count.max(initial=0) < (1 << 62) // UNIT else count.astype(object)
+    return (1 + UNIT * (wide + 2) // (total + 2 * kinds)).astype(np.int64)
 
 
-def gain(p, q):
-    return F.call_function("div", (p - q) * (p - q), p + q)
+def _gain(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) * (p - q) // (p + q)
 
 
-def _pairs(key, terms: pa.Table, groups: pa.Table) -> pa.Table:
-    """Sums over the terms of a bucket, for each pair of sources."""
-    names = groups["source"].to_pylist()
+def _parts(key, terms: pa.Table, groups: pa.Table) -> pa.Table:
+    """Of one bucket of terms: sums for each pair of sources, and the terms of each source that may be among its first RANKS."""
+    names, kinds = groups["source"].combine_chunks(), groups["kinds"][0].as_py()
     coded = terms["term"].combine_chunks().dictionary_encode()
-    p = np.repeat(groups["p0"].to_numpy()[:, None], len(coded.dictionary), 1)
-    at = {name: i for i, name in enumerate(names)}
-    p[[at[s] for s in terms["source"].to_pylist()], coded.indices.to_numpy()] = terms["p"].to_numpy()
-    value = np.zeros((len(names), len(names)), np.int64)
-    for i, own in enumerate(p):
-        d = own - p
-        value[i] = (d * d // (own + p)).sum(1)
+    row = pc.index_in(terms["source"], names).to_numpy(zero_copy_only=False)
+    count = np.zeros((len(names), len(coded.dictionary)), np.int64)
+    count[row, coded.indices.to_numpy()] = terms["count"].to_numpy()
+    total = groups["total"].to_numpy()
+    # without kept terms there is no column either
+    p, q = _rates(count, total[:, None], max(1, kinds)), _rates(count.sum(0), total.sum(), max(1, kinds))
+    value = np.stack([_gain(own, p).sum(1) for own in p])
     i, j = np.nonzero(~np.eye(len(names), dtype=bool))
-    names = groups["source"].combine_chunks()
-    return pa.table({"lang": pa.array([key[0].as_py()] * len(i), pa.string()), "source": names.take(pa.array(i)), "item": names.take(pa.array(j)), "value": pa.array(value[i, j])})
+    pairs = [names.take(pa.array(i)), pa.array(["pair"]).take(pa.array(np.zeros(len(i), int))), names.take(pa.array(j)), pa.array(value[i, j])]
+    order = np.empty(len(coded.dictionary), np.int64)
+    order[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(order))
+    at, of = [], []
+    for s in range(len(names)):
+        high = np.flatnonzero((count[s] > 0) & (p[s] > q))
+        of.append(high[np.lexsort((order[high], -_gain(p[s], q)[high]))][:RANKS])
+        at.append(np.full(len(of[-1]), s))
+    at, of = np.concatenate(at), np.concatenate(of)
+    best = [names.take(pa.array(at)), pa.array(["term"]).take(pa.array(np.zeros(len(at), int))), coded.dictionary.take(pa.array(of)), pa.array(_gain(p[at, of], q[of]))]
+    columns = [pa.concat_arrays(c) for c in zip(pairs, best, strict=True)]
+    return pa.table([pa.array([key[0].as_py()] * len(columns[0]), pa.string()), *columns], names=["lang", "source", "part", "item", "value"])
 
 
 def divergence(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank of docs(text, lang, source)."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = docs.mapInArrow(_count, COUNTS).groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = materialise(counts)
+    # blocks have counted already, so rows go to their partition by chunk as they are; all that follows by chunk stays in it
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = docs.mapInArrow(_count, COUNTS).repartition(parts, "chunk").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = bucketed(counts, parts, "chunk")
     found = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    terms = materialise(counts.select("chunk").distinct().select("chunk", F.explode(found).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times")))
+    terms = counts.select("chunk").distinct().select("chunk", F.explode(found).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
+    terms = bucketed(terms, parts, "chunk")
 
     spread = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs")).join(terms, "chunk")
     spread = materialise(spread.groupBy("lang", "term").agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).where(F.col("all") >= MIN_DOCS))
@@ -152,28 +172,22 @@ def divergence(docs: DataFrame) -> DataFrame:
     kept = spread.where(F.col("most") >= MIN_DOCS).select("lang", "term")
     kept = materialise(kept.union(documents_of(docs, rare).where(F.col("docs") >= MIN_DOCS).select("lang", "term")))
 
-    freq = counts.join(terms.join(kept, "term"), ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
-    freq = materialise(freq)
-    kinds = kept.groupBy("lang").agg(F.count("*").alias("kinds"))
+    kinds = materialise(kept.groupBy("lang").agg(F.count("*").alias("kinds")))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("kinds") / BUCKET)).cast("int")
+    dealt = kept.join(kinds, "lang").select(F.col("lang").alias("own"), "term", F.pmod(F.xxhash64("term"), buckets).cast("int").alias("bucket"))
+    useful = terms.join(dealt, "term").repartition(parts, "chunk")
+    # the language is no key of this join, as both sides lie by chunk alone
+    freq = counts.join(useful, "chunk").where(F.array_contains(F.array("own"), F.col("lang"))).repartition(parts, "lang", "bucket")
+    freq = bucketed(freq.groupBy("lang", "bucket", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count")), parts, "lang", "bucket")
     sizes = freq.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     groups = docs.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(kinds, "lang", "left")
-    groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "kinds")])
-    empty = F.when(F.col("kinds") > 0, rate(F.lit(0).cast("long"), F.col("total"), F.col("kinds"))).otherwise(F.lit(1)).cast("long")
-    groups = materialise(groups.withColumn("p0", empty))
-    rates = freq.join(groups, ["lang", "source"]).select("lang", "source", "term", "kinds", rate(F.col("count"), F.col("total"), F.col("kinds")).alias("p"))
-
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kinds").alias("kinds"))
-    usual = freq.groupBy("lang", "term").agg(F.sum("count").alias("count")).join(whole, "lang").select("lang", "term", rate(F.col("count"), F.col("total"), F.col("kinds")).alias("q"))
-    by_group = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    high = rates.join(usual, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gain(F.col("p"), F.col("q")).alias("value"))
-    high = high.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= RANKS)
+    groups = materialise(groups.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "kinds")]))
 
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("kinds") / BUCKET)).cast("int")
-    left = rates.select("lang", F.pmod(F.xxhash64("term"), buckets).cast("int").alias("bucket"), "term", "source", "p")
-    right = groups.select("lang", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("bucket"), "source", "p0")
-    pairs = left.groupBy("lang", "bucket").cogroup(right.groupBy("lang", "bucket")).applyInArrow(_pairs, "lang string, source string, item string, value long")
-    pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
-    return pairs.withColumn("rank", F.row_number().over(by_group)).union(high)
+    every = groups.withColumn("bucket", F.explode(F.sequence(F.lit(0), buckets - 1)))
+    found = freq.groupBy("lang", "bucket").cogroup(every.groupBy("lang", "bucket")).applyInArrow(_parts, "lang string, source string, part string, item string, value long")
+    found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    by_part = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    return found.withColumn("rank", F.row_number().over(by_part)).where((F.col("part") == "pair") | (F.col("rank") <= RANKS)).select("lang", "source", "part", "item", "value", "rank")
 
 
 ORACLE_SQL = r"""
