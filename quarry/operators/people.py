@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 
 # Given names that are everyday words; the shape of a full name.
 COMMON_WORD_NAMES = """
@@ -190,7 +191,8 @@ def link_mentions(units: DataFrame, dictionary: DataFrame, stronger: DataFrame)
     tokens = segments.select("evidence_id", "segment", F.explode(F.array_distinct("pieces")).alias("word"))
 
     filed = cores.select("core", F.posexplode("core").alias("place", "word")).where(is_word(F.col("word")))
-    held = tokens.join(filed.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("held"))
+    tokens = stored(tokens.join(filed.select("word").distinct(), "word"))
+    held = tokens.groupBy("word").agg(F.count("*").alias("held"))
     filed = filed.join(held, "word").groupBy("core").agg(F.min(F.struct("held", "word", "place")).alias("r"), F.count("*").alias("known"), F.first(F.size(F.filter("core", is_word))).alias("words"))
     filed = filed.where("known = words").select("r.word", "r.place", F.size("core").alias("length"))
     shapes = filed.groupBy("word").agg(F.collect_set(F.struct("place", "length")).alias("shapes"))

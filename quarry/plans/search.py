@@ -91,8 +91,13 @@ def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- BM25 over documents, with the benchmark's passages as queries -----------------------------
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the index reads them: without placeholders of mail programs."""
+    return read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id").withColumn("text", T.search_text(F.col("text")))
+
+
 def _index(spark: SparkSession, sf_dir: str) -> R.Index:
-    return R.postings(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), {"body": "text", "title": "source", "speaker": "lang"})
+    return R.postings(_indexed(spark, sf_dir), _FIELDS)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +111,7 @@ _FIELDS = {"body": "text", "title": "source", "speaker": "lang"}
 def _stored_index(spark: SparkSession, sf_dir: str) -> X.TextIndex:
     """The index of the documents, kept in the shared folder: cut into tokens once, brought up to date when it is opened."""
     name = hashlib.md5(f"{sf_dir} {sorted(_FIELDS.items())}".encode()).hexdigest()
-    return X.open_index(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), _FIELDS, f"{shared_dir(spark)}/indexes/{name}")
+    return X.open_index(_indexed(spark, sf_dir), _FIELDS, f"{shared_dir(spark)}/indexes/{name}")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -129,11 +134,15 @@ def _bm25_sql(weights: dict[str, float], name: str) -> str:
   FROM phrases JOIN {name}_hits USING (phrase, prefix) JOIN {name}_df USING (phrase, prefix) JOIN sizes USING (id), stats GROUP BY ALL)"""
 
 
+#: What the index reads of a text.
+SEARCH_TEXT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\[Image removed by sender\]', ' ', 'g'), '(?i)\[cid:[^\]]*\]', ' ', 'g'), '(?i)Bild borttagen av avs[äa]ndaren', ' ', 'g'), '(^|[^A-Za-z])Image($|[^A-Za-z])', '\1 \2', 'g')"""
+
+
 def search_sql(questions: str = "SELECT item_id, text FROM benchmark", consumed: str = "false") -> str:
     """CTEs of BM25 over the documents for questions(item_id, text); `consumed` is a condition on terms t that don't count."""
     return f"""
 asked AS ({questions}),
-fields AS (SELECT doc_id AS id, 'body' AS field, text AS t FROM documents UNION ALL SELECT doc_id, 'title', source FROM documents UNION ALL SELECT doc_id, 'speaker', lang FROM documents),
+fields AS (SELECT doc_id AS id, 'body' AS field, {SEARCH_TEXT_SQL} AS t FROM documents UNION ALL SELECT doc_id, 'title', source FROM documents UNION ALL SELECT doc_id, 'speaker', lang FROM documents),
 postings AS (SELECT id, field, token, count(*) AS tf FROM (SELECT id, field, unnest(regexp_extract_all({FOLD_SQL.format("coalesce(t, '')")}, '[\\p{{L}}\\p{{N}}]+')) AS token FROM fields) GROUP BY ALL),
 sizes AS (SELECT id, sum(tf) AS size FROM postings GROUP BY id), stats AS (SELECT count(*) AS n_docs, avg(size) AS mean_size FROM sizes),
 qterms AS (SELECT DISTINCT item_id AS query_id, t FROM (SELECT item_id, unnest({TOKENS_SQL.format('text')}) AS t FROM asked) WHERE NOT ({consumed}) AND length(t) >= 2 AND t NOT IN ({quoted(T.STOPWORDS + T.TEMPORAL_CUES)})
