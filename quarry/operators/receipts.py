@@ -45,6 +45,13 @@ WITHHELD = "Wording withheld: the Radar states only that a blocker may have chan
 DEFAULT_UNESTABLISHED = "No internal evidence establishes a budget, an owner, or an approval to reopen this idea."
 EXTERNAL_ONLY_UNESTABLISHED = "No internal evidence shows the organization's current position on this idea."
 CHANGED = ["WORTH_REASSESSING", "PARTIALLY_CHANGED"]
+# Fixed values too: the searches of a discovery, three in each of its passes.
+DISCOVERY_PASSES = [
+    ["we decided against it", "proposal rejected not going to do that", "no we are not doing that turned down declined"],
+    ["deferred until later postponed not now", "descoped moved to a separate workstream out of scope", "parked for a later phase"],
+    ["on hold we will revisit this later", "wait until then before we do this", "instead of that we will do this other thing"],
+    ["cannot do this because of capacity and resources", "not possible because of security compliance or data protection", "too expensive cost budget not approved not enough data"],
+]
 
 
 def query_triggers(query) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import receipts
 from ..operators import retrieval as R
 from ..operators import text_index as X
 from ..sources.store import stored
@@ -163,19 +164,13 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").alias("vec_id"), F.round(F.sqrt(R.dot(F.col("v"), F.col("v"))), 6).alias("length"))
 
 
-_PASSES = [
-    ["we decided against it", "proposal rejected not going to do that", "no we are not doing that turned down declined"],
-    ["deferred until later postponed not now", "descoped moved to a separate workstream out of scope", "parked for a later phase"],
-    ["on hold we will revisit this later", "wait until then before we do this", "instead of that we will do this other thing"],
-    ["cannot do this because of capacity and resources", "not possible because of security compliance or data protection", "too expensive cost budget not approved not enough data"],
-]
-_PASS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({10 * i + j}, '{q}')" for i, p in enumerate(_PASSES) for j, q in enumerate(p)) + ") v(item_id, text)"
+_PASS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({10 * i + j}, '{q}')" for i, p in enumerate(receipts.DISCOVERY_PASSES) for j, q in enumerate(p)) + ") v(item_id, text)"
 
 
 @register(f"WITH {search_sql(_PASS_SQL)} SELECT query_id // 10 AS pass, id AS doc_id, count(*) AS n_queries, min(rank) AS best FROM body_top WHERE rank <= 8 GROUP BY ALL")
 def radar_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four passes of three fixed searches over the documents, eight hits each: what a discovery may cite."""
-    rows = [F.struct(F.lit(10 * i + j).alias("query_id"), F.lit(q).alias("query")) for i, p in enumerate(_PASSES) for j, q in enumerate(p)]
+    rows = [F.struct(F.lit(10 * i + j).alias("query_id"), F.lit(q).alias("query")) for i, p in enumerate(receipts.DISCOVERY_PASSES) for j, q in enumerate(p)]
     queries = spark.range(1).select(F.inline(F.array(*rows)))
     hits = R.top_k(R.bm25(_index(spark, sf_dir), R.query_phrases(queries), R.BODY_WEIGHTS), 8)
     return hits.groupBy(F.floor(F.col("query_id") / 10).cast("int").alias("pass"), F.col("id").alias("doc_id")).agg(F.count("*").alias("n_queries"), F.min("rank").alias("best"))
