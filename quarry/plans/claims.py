@@ -175,12 +175,15 @@ def insufficient_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts.short_circuit(cases, units.where("document_type = 'REPORT'").select(F.col("document_id").alias("case_id")))
 
 
+_LIST = lambda words: "[" + ", ".join(quoted(w) for w in words) + "]"
 _PROBES = ", ".join(f"topic || ' {p}'" for p in receipts.RELIABILITY_PROBES)
 
 
 @register(
     rf"""WITH {CASES_SQL}, t AS (SELECT conv_id AS case_id, list(text ORDER BY turn) FILTER (role = 'user') AS qs, list(text ORDER BY turn) FILTER (role <> 'user') AS other FROM conversations GROUP BY conv_id),
-p AS (SELECT case_id, query, CASE WHEN case_id % 4 = 3 THEN '' ELSE coalesce(regexp_extract(query, '[\p{{L}}\p{{N}}]+'), '') END AS topic, [{{'s': CASE WHEN case_id % 10 = 1 THEN 'source_reliability' ELSE 'DIRECT_CONTRADICTION' END, 'q': list_concat([' '], coalesce(qs, []))}}, {{'s': 'CONFLICTING_VALUE', 'q': coalesce(other, [])}}, {{'s': 'ALTERNATIVE_STATE', 'q': coalesce(qs, [])}}] AS bs FROM cases JOIN t USING (case_id)),
+k AS (SELECT case_id, query, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+') AS tok FROM cases),
+kt AS (SELECT case_id, query, tok, list_filter(tok, lambda x, i: length(x) >= 2 AND NOT list_contains({_LIST(T.STOPWORDS + T.TEMPORAL_CUES)}, x) AND list_position(tok, x) = i) AS kept FROM k),
+p AS (SELECT case_id, query, CASE WHEN case_id % 4 = 3 THEN '' ELSE array_to_string(list_concat(kept, CASE WHEN list_has_any(tok, {_LIST(T.QUANTITY_CUES)}) AND NOT list_contains(kept, 'percent') THEN ['percent'] ELSE [] END)[1:2], ' ') END AS topic, [{{'s': CASE WHEN case_id % 10 = 1 THEN 'source_reliability' ELSE 'DIRECT_CONTRADICTION' END, 'q': list_concat([' '], coalesce(qs, []))}}, {{'s': 'CONFLICTING_VALUE', 'q': coalesce(other, [])}}, {{'s': 'ALTERNATIVE_STATE', 'q': coalesce(qs, [])}}] AS bs FROM kt JOIN t USING (case_id)),
 b AS (SELECT case_id, CASE WHEN regexp_matches(query, {quoted(receipts.ASKS_RELIABILITY)}) AND bs[1].s <> 'source_reliability' AND topic <> '' THEN [bs[1], {{'s': 'SOURCE_RELIABILITY', 'q': [{_PROBES}]}}] ELSE bs[1:2] END AS bs FROM p)
 SELECT case_id, k AS bundle, bs[k].s AS strategy, md5(array_to_string(list_filter(list_transform(bs[k].q, lambda x: trim(x)), lambda x: x <> '')[1:3], '|')) AS queries_md5 FROM (SELECT case_id, bs, unnest([1, 2]) AS k FROM b)"""
 )
@@ -193,8 +196,8 @@ def skeptic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundle = lambda s, q: F.struct(s.alias("strategy"), q.alias("queries"))
     first = F.when(F.col("case_id") % 10 == 1, "source_reliability").otherwise("DIRECT_CONTRADICTION")
     bundles = F.array(bundle(first, F.concat(F.array(F.lit(" ")), "qs")), bundle(F.lit("CONFLICTING_VALUE"), F.col("other")), bundle(F.lit("ALTERNATIVE_STATE"), F.col("qs")))
-    terms = F.when(F.col("case_id") % 4 == 3, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("query", F.lit(T.WORD), F.lit(1)))
-    plan = p.select("case_id", F.posexplode(receipts.skeptic_plan(F.col("query"), F.slice(terms, 1, 1), bundles)).alias("k", "b"))
+    terms = F.when(F.col("case_id") % 4 == 3, F.array().cast("array<string>")).otherwise(T.topic_terms(F.col("query")))
+    plan = p.select("case_id", F.posexplode(receipts.skeptic_plan(F.col("query"), terms, bundles)).alias("k", "b"))
     return plan.select("case_id", (F.col("k") + 1).alias("bundle"), "b.strategy", F.md5(F.array_join("b.queries", "|")).alias("queries_md5"))
 
 
