@@ -1,6 +1,7 @@
 """SQL of single queries on invented tables."""
 
 import duckdb
+import pytest
 
 from quarry.plans import catalog
 
@@ -16,3 +17,16 @@ def test_parse_all_counts_each_type_once():
     con = tables(documents="SELECT 1 AS doc_id, 'a' || chr(10) || chr(10) || 'b' AS text", conversations="SELECT 1 AS conv_id, 0 AS turn, 'said' AS text")
     got = sorted(r[:3] for r in con.sql(catalog.SQL["parse_all"]).fetchall())
     assert got == [("EMAIL", 1, 1), ("REPORT", 1, 6), ("TRANSCRIPT", 1, 1)]
+
+
+@pytest.mark.parametrize("name", ["context_window", "continued_windows"])
+def test_windows_of_odd_texts(spark, tmp_path, name):
+    """Openers before letters with marks, white space that engines see differently, no text, ends of lines."""
+    long = " und" * 9
+    texts = ["Noé" + long + ".", "No," + long + ".", "Éok" + long + ".", "\u017fure" + long + ".", "OK" + long + ".\n", None, "ñ" + long + ".", "a\x0bb\xa0c d e f g h i\u2003j.", "a\x0bb c d e f g h.", "okñ" + long + "?", "no\u0301" + long + ".", "x" + long + ".\r"]
+    rows = [(c, t, texts[(t * (c + 1) + c) % len(texts)]) for c in range(8) for t in range(40)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = tables(conversations=f"SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.sql(catalog.SQL[name])
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
