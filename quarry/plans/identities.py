@@ -89,10 +89,10 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {PEOPLE_SQL}, q AS (SELECT display_name AS name FROM people UNION SELECT display_alias FROM people UNION SELECT 'New ' || display_name FROM people)
-SELECT q.name, coalesce(p.subject_id, a.subject_id, '?') AS subject_id, p.subject_id IS NULL AND a.subject_id IS NULL AS minted FROM q LEFT JOIN people p ON p.display_alias = q.name LEFT JOIN aliases a ON a.alias = q.name AND a.alias_type = 'FULL_NAME'"""
+SELECT q.name, coalesce(p.subject_id, a.subject_id, '?') AS subject_id, p.subject_id IS NULL AND a.subject_id IS NULL AS minted FROM q LEFT JOIN (SELECT display_alias, min(subject_id) AS subject_id FROM people GROUP BY display_alias) p ON p.display_alias = q.name LEFT JOIN (SELECT alias, min(subject_id) AS subject_id FROM aliases WHERE alias_type = 'FULL_NAME' GROUP BY alias) a ON a.alias = q.name"""
 )
 def resolve_or_mint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, aliases and new names; the ids of new ones are random and shown as one mark."""
+    """Names, aliases and new names; a form of several people stands for the smallest id; the ids of new ones are random and shown as one mark."""
     p, a = _people(spark, sf_dir)
     asked = p.select(F.col("display_name").alias("name")).union(p.select("display_alias")).union(p.select(F.concat(F.lit("New "), "display_name")))
     return people.resolve_or_mint(asked, p, a).select("name", F.when(F.col("minted"), "?").otherwise(F.col("subject_id")).alias("subject_id"), "minted")

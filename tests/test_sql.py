@@ -1,5 +1,7 @@
 """SQL of single queries on invented tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -30,3 +32,21 @@ def test_windows_of_odd_texts(spark, tmp_path, name):
     want = con.sql(catalog.SQL[name])
     got = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_an_alias_of_two_people_is_the_smaller_id(spark, tmp_path):
+    seen, clash, n = {}, None, 0
+    while not clash:  # two names whose aliases are equal
+        name = "Ab" + "".join(chr(97 + int(d)) for d in str(n)) + " Berg"
+        key = hashlib.md5(name.encode()).hexdigest()[:6]
+        clash, n = (seen[key], name) if key in seen else None, n + 1
+        seen[key] = name
+    spark.createDataFrame([(1, f"1 {clash[0]} 2 {clash[1]} 3")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("GERMANY",)], "n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([("EUROPE",)], "r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    con = tables(**{t: f"SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')" for t in ("documents", "nation", "region")}, customer="SELECT 'A B' AS c_mktsegment")
+    want = con.sql(catalog.SQL["resolve_or_mint"])
+    got = catalog.QUERIES["resolve_or_mint"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    ids = [r[1] for r in want.fetchall() if r[0].startswith("Person " + hashlib.md5(clash[0].encode()).hexdigest()[:6])]
+    assert ids == [min(hashlib.md5(x.encode()).hexdigest() for x in clash)]
