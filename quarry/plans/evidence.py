@@ -354,9 +354,9 @@ def radar_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("WITH s AS (SELECT s_suppkey, unnest(CASE WHEN s_nationkey % 5 = 0 THEN range(0, 25) ELSE [s_nationkey] END) AS category FROM supplier) SELECT p_partkey, s_suppkey FROM part JOIN s ON category = p_size % 25")
 def signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals without a category go with every candidate, the others with their category's."""
-    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("category"))
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") % 5 == 0, F.sequence(F.lit(0), F.lit(24))).otherwise(F.array("s_nationkey")).alias("categories"))
-    return p.join(s.select("s_suppkey", F.explode("categories").alias("category")), "category").select("p_partkey", "s_suppkey")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate"), (F.col("p_size") % 25).alias("category"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("signal"), F.col("s_nationkey").alias("category"), (F.col("s_nationkey") % 5 == 0).alias("general"))
+    return receipts.signal_pairs(p, s, 25).select(F.col("candidate").alias("p_partkey"), F.col("signal").alias("s_suppkey"))
 
 
 # --- privacy --------------------------------------------------------------------------------

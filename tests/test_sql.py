@@ -50,3 +50,13 @@ def test_an_alias_of_two_people_is_the_smaller_id(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
     ids = [r[1] for r in want.fetchall() if r[0].startswith("Person " + hashlib.md5(clash[0].encode()).hexdigest()[:6])]
     assert ids == [min(hashlib.md5(x.encode()).hexdigest() for x in clash)]
+
+
+def test_signal_pairs_spread_over_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id AS p_partkey", "CAST(CASE WHEN id % 9 > 0 THEN id % 60 - 5 END AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(90).selectExpr("id % 80 AS s_suppkey", "CAST(CASE WHEN id % 7 > 0 THEN id % 30 END AS INT) AS s_nationkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = tables(**{t: f"SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')" for t in ("part", "supplier")})
+    pairs = catalog.QUERIES["signal_match"](spark, str(tmp_path))
+    rows = pairs.selectExpr("p_partkey", "s_suppkey", "spark_partition_id() AS task").collect()
+    assert sorted(tuple(r)[:2] for r in rows) == sorted(con.sql(catalog.SQL["signal_match"]).fetchall())
+    assert len({r.task for r in rows}) > 4
