@@ -80,3 +80,15 @@ def test_time_of_cosine_grows_in_proportion_to_the_dimension(spark):
 
     seconds(64)
     assert seconds(1536) < 8 * seconds(384) + 1
+
+
+def test_blocks_of_products_give_the_best_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(V, "ELEMENTS", 64)
+    r = np.random.default_rng(3)
+    rows = [(i, x) for i, x in enumerate([*r.integers(-2, 3, (120, 4)).astype(float).tolist(), [0.0] * 4, [1.0, None, 0.0, 0.0], [float("nan")] * 4, [1.0, 2.0], [2.0, 4.0], []])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    q = v.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    for k in (1, 7, 200):
+        want = {tuple(x) for x in R.top_k(R.cosine(v, q), k).select("query_id", "id", "score", "rank").collect()}
+        assert {tuple(x) for x in V.cosine_top_k(v, q, k).select("query_id", "id", "score", "rank").collect()} == want
+    assert V.cosine_top_k(v, q.where("query_id < 0"), 3).count() == V.cosine_top_k(v.where("id < 0"), q, 3).count() == 0
