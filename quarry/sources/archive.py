@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .store import stored
 
 # Header labels by language, month names, section titles, transcript fields.
 HEADERS = {
@@ -121,10 +122,15 @@ def messages(docs: DataFrame) -> DataFrame:
     u = u.withColumns({"run_from": F.max(F.when(F.col("is_from"), F.col("pos"))).over(run), "run_end": F.max("pos").over(run)})
     u = u.withColumns({"message": F.last(F.when(F.col("is_from"), F.col("pos")), ignorenulls=True).over(doc), "ends": F.last(F.when(F.col("is_from"), F.col("run_end")), ignorenulls=True).over(doc)})
     label = F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair])[F.col("label")]
-    heads = u.where("is_header AND run_from IS NOT NULL").groupBy("document_id", F.col("run_from").alias("message"), label.alias("k")).agg(F.max_by("value", "pos").alias("v"))
-    heads = heads.groupBy("document_id", "message").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("header"))
-    body = u.where("message IS NOT NULL AND pos > ends AND NOT (is_header AND run_from IS NOT NULL)").groupBy("document_id", "message").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n").alias("body"))
-    out = heads.join(body, ["document_id", "message"], "left").withColumn("idx", F.row_number().over(W.partitionBy("document_id").orderBy("message")) - 1)
+    # header lines and body lines of a message in one aggregation, which follows the windows' partitioning: lines are cut and shuffled once
+    is_head = F.col("is_header") & F.col("run_from").isNotNull()
+    is_body = F.col("message").isNotNull() & (F.col("pos") > F.col("ends")) & ~is_head
+    u = u.where(is_head | is_body).select("document_id", F.when(is_head, F.col("run_from")).otherwise(F.col("message")).alias("message"), F.when(is_head, F.struct("pos", label.alias("k"), F.col("value").alias("v"))).alias("h"), F.when(is_body, F.struct("pos", "raw")).alias("b"))
+    out = u.groupBy("document_id", "message").agg(F.sort_array(F.collect_list("h")).alias("h"), F.sort_array(F.collect_list("b")).alias("b")).where(F.size("h") > 0)
+    keys = F.array_distinct(F.transform("h", lambda x: x["k"]))
+    header = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter("h", lambda x: x["k"] == k), -1)["v"]))  # the last line of a label
+    body = F.when(F.size("b") > 0, F.array_join(F.transform("b", lambda x: x["raw"]), "\n"))
+    out = out.select("document_id", "message", header.alias("header"), body.alias("body")).withColumn("idx", F.row_number().over(W.partitionBy("document_id").orderBy("message")) - 1)
     sender, date = F.coalesce(F.col("header")["From"], F.lit("")), F.coalesce(F.col("header")["Date"], F.col("header")["Sent"], F.lit(""))
     both = r"^(.*?)\s*<([^>]+)>\s*$"
     named = sender.rlike(both)
@@ -134,18 +140,21 @@ def messages(docs: DataFrame) -> DataFrame:
     return out.select("document_id", "idx", "header", F.nullif(name, F.lit("")).alias("sender_name"), email.alias("sender_email"), event_date(date).alias("event_date"), locator.alias("natural_locator"), F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"^\s+|\s+$", "")).alias("body"))
 
 
+def _subject() -> Column:
+    """The subject of the document's newest message."""
+    return F.first(F.col("header")["Subject"]).over(W.partitionBy("document_id").orderBy("idx"))
+
+
 def mail(docs: DataFrame) -> DataFrame:
     """A unit for each message with a body; the title is the newest message's subject."""
     m = messages(docs)
-    title = m.where("idx = 0").select("document_id", F.col("header")["Subject"].alias("thread_context"))
-    return m.where("body <> ''").join(title, "document_id").select("document_id", F.col("idx").alias("position"), F.col("sender_name").alias("speaker_sender"), "sender_email", "event_date", "thread_context", "natural_locator", F.col("body").alias("raw_text"), T.is_truncated(F.col("body")).alias("is_truncated"))
+    return m.withColumn("thread_context", _subject()).where("body <> ''").select("document_id", F.col("idx").alias("position"), F.col("sender_name").alias("speaker_sender"), "sender_email", "event_date", "thread_context", "natural_locator", F.col("body").alias("raw_text"), T.is_truncated(F.col("body")).alias("is_truncated"))
 
 
 def reports(docs: DataFrame) -> DataFrame:
     """Units of status reports: a paragraph each, and in titled sections with two or more numbered bullets a bullet each."""
     m = messages(docs)
-    subject = m.where("idx = 0").select("document_id", F.col("header")["Subject"].alias("subject"))
-    p = m.select("document_id", "idx", "sender_name", "sender_email", "event_date", F.posexplode(F.split("body", r"\n\s*\n")).alias("paragraph", "p")).where(F.trim("p") != "")
+    p = m.withColumn("subject", _subject()).select("document_id", "idx", "subject", "sender_name", "sender_email", "event_date", F.posexplode(F.split("body", r"\n\s*\n")).alias("paragraph", "p")).where(F.trim("p") != "")
     kept = F.filter(F.transform(F.split(F.regexp_replace("p", r"^\s+|\s+$", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     head = rf"^({'|'.join(SECTIONS)})\b(.*)$"
     p = p.withColumn("rows", kept).withColumn("label", F.regexp_extract(F.get("rows", F.lit(0)), head, 1)).withColumn("status", F.trim(F.regexp_extract(F.get("rows", F.lit(0)), head, 2)))
@@ -155,7 +164,7 @@ def reports(docs: DataFrame) -> DataFrame:
     status = F.filter(F.array("status"), lambda x: x != "")
     parts = F.concat(status, bullets, plain)
     units = F.when(F.col("label") == "", F.array(F.array_join("rows", " "))).when(F.size(bullets) >= 2, parts).otherwise(F.array(F.array_join(parts, " ")))
-    out = p.select("*", F.posexplode(units).alias("k", "raw_text")).where("raw_text <> ''").join(subject, "document_id")
+    out = p.select("*", F.posexplode(units).alias("k", "raw_text")).where("raw_text <> ''")
     context = F.when(F.col("label") == "", F.col("subject")).otherwise(F.concat_ws(" — ", "subject", "label"))
     return out.select("document_id", F.struct("idx", "paragraph", "k").alias("position"), F.col("sender_name").alias("speaker_sender"), "sender_email", "event_date", context.alias("thread_context"), "raw_text", T.is_truncated(F.col("raw_text")).alias("is_truncated"))
 
@@ -187,8 +196,8 @@ def parse_all(docs: DataFrame) -> DataFrame:
     said = transcripts(of("TRANSCRIPT")).select("document_id", "position", "speaker_sender", null.alias("event_date"), null.alias("thread_context"), "natural_locator", "raw_text", T.is_truncated(F.col("raw_text")).alias("is_truncated"))
     columns = ["document_id", "position", "speaker_sender", "event_date", "thread_context", "natural_locator", "raw_text", "is_truncated"]
     parsed = {"TRANSCRIPT": said, "EMAIL": mail(of("EMAIL")).select(*columns), "REPORT": reports(of("REPORT")).withColumn("natural_locator", null).select(*columns)}
-    out = None
+    out, titles = None, stored(docs.select("document_id", "document_date", "title"))
     for kind, units in parsed.items():
-        one = assemble(units, docs).select("document_id", F.lit(kind).alias("document_type"), F.col("unit_index").cast("long"), *columns[2:])
+        one = assemble(units, titles).select("document_id", F.lit(kind).alias("document_type"), F.col("unit_index").cast("long"), *columns[2:])
         out = one if out is None else out.union(one)
     return out
