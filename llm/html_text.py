@@ -7,31 +7,35 @@ compound name has to agree, so that `table-header` stays. Articles inside articl
 comments, as HTML defines them, unless the outer one is but a frame. Of the articles that are
 left (else the main elements) the longest stays, with those of at least half its length.
 
-Pages with neither go through a host suffix array: the token streams of a host's pages are
+Every page goes through the host suffix array: the token streams of a host's pages are
 concatenated, sorted suffixes find substrings of MIN_TOKENS or more, and those that MIN_PAGES distinct pages
-of the host share are removed; the runs that they don't cover stay, without blocks that are mostly links. The pages
-of every MIN_TOKENS window are counted over the whole host by an aggregation, so a host of any size is dealt into arrays of
-about PAGES pages, and the result does not depend on how.
+of the host share are repeats. The pages of every MIN_TOKENS window are counted over the whole host by an aggregation, so a host
+of any size is dealt into arrays of about PAGES pages, and the result does not depend on how. What repeats lose depends on the page:
 
-The suffix array is not used inside an article, where it gives wrong results: sentences of an
-article that other pages quote would go, and menus or adverts that only one page shows would stay.
+* without an article or main element they go; the runs that they don't cover stay, without blocks that are mostly links;
+* in articles a box (a div, list or the like with a class, id or role, or one article of several) goes if all text of its kind is
+  repeats. Of an article that is over half repeats, which is a copy, nothing goes.
+
+The streams hold what structure cuts, too, as a host's menus and notices show what it repeats. Text of an article that is in no
+box is not in them: nothing there may go, since articles quote each other and end in common lines.
 
 Nulls count as empty pages, whose text is empty; repeated rows are repeated in the result, and count as one page by
-page_id; a null url is a host of its own. An empty table has an empty result. Further columns are ignored.
+page_id, those without one by what they hold; pages without a url are one host. An empty table has an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialise, read
+from .tables import read
 from .words import mix, ngrams, segment_hashes
 
 MIN_TOKENS, MIN_PAGES, PAGES = 6, 3, 512
@@ -47,6 +51,8 @@ _BLOCK = {
     "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "section", "article",
     "main", "body", "html", "figure", "figcaption", "hr", "address", "details", "summary", "center", "fieldset",
 }
+#: What may be a box of its own inside an article.
+_BOX = {"div", "section", "ul", "ol", "details", "fieldset", "center", "address"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _INLINE = {"span", "a", "button", "select"}
 _TREE = _BLOCK | _CUT | _INLINE
@@ -75,10 +81,10 @@ def _named(attributes: str) -> bool:
 
 
 class Element:
-    __slots__ = ("chars", "closed", "cut", "holds", "inner", "mute", "name", "parent")
+    __slots__ = ("attributes", "chars", "closed", "cut", "holds", "inner", "mute", "name", "parent")
 
-    def __init__(self, name: str, parent: Element | None, cut: bool):
-        self.name, self.parent, self.cut = name, parent, cut
+    def __init__(self, name: str, parent: Element | None, cut: bool, attributes: str = ""):
+        self.name, self.parent, self.cut, self.attributes = name, parent, cut, attributes
         self.mute = parent is not None and (parent.mute or cut and name in _INLINE)  # inside a block, whose other text goes on
         self.closed = self.holds = False  # by an end tag of its own; an article or main element
         self.chars = self.inner = 0  # of all its text that isn't cut; of articles directly inside
@@ -160,7 +166,7 @@ def tree(page: str) -> tuple[list[tuple[str, Element, float]], list[Element]]:
         if name in _VOID or m[3].endswith("/") and name != "a":
             continue
         cut = name in _CUT or name not in ("main", "body", "html") and _named(m[3])
-        stack.append(Element(name, stack[-1], cut))
+        stack.append(Element(name, stack[-1], cut, m[3] if name in _BOX else ""))
         if name in ("article", "main"):
             frames.append(stack[-1])
     flush()
@@ -168,7 +174,13 @@ def tree(page: str) -> tuple[list[tuple[str, Element, float]], list[Element]]:
 
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
-    """The text blocks of a page in order, and whether they are those of an article or main element."""
+    """The text blocks of a page that structure keeps, in order, and whether they are those of an article or main element."""
+    found, sure = sections(page)
+    return [text for text, kept, _ in found if kept], sure
+
+
+def sections(page: str | None) -> tuple[list[tuple[str, bool, list[tuple]]], bool]:
+    """All text blocks of a page in order, each with whether structure keeps it and the boxes that it is in; and whether those kept are of an article or main element."""
     found, frames = tree(page or "")
     for x in frames:
         if not x.cut:
@@ -187,8 +199,10 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             e = e.parent
         return False
 
-    kept = [(text, e, share) for text, e, share in found if not gone(e)]
-    for text, e, _ in kept:
+    stays = [not gone(e) for _, e, _ in found]
+    for (text, e, _), ok in zip(found, stays, strict=True):
+        if not ok:
+            continue
         inner = None
         while e:
             if e.name == "article":
@@ -220,8 +234,25 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
                     e = e.parent
                 return e is not None and (id(e) in main if zone == "article" else id(e) in main or of(e.parent))
 
-            return [text for text, e, _ in kept if of(e)], True
-    return [text for text, _, share in kept if share <= LINK_SHARE], False
+            def boxes(e: Element) -> list[tuple]:
+                """By their kind: name, and class and role, or else id."""
+                kinds = []
+                while id(e) not in main:
+                    if e.attributes and (told := _ATTRIBUTE.findall(e.attributes)):
+                        kinds.append((e.name, *([x for x in told if x[0].lower() != "id"] or told)))
+                    e = e.parent
+                return [*kinds, (zone, id(e))] if len(main) > 1 else kinds
+
+            kept = [ok and of(e) for (_, e, _), ok in zip(found, stays, strict=True)]
+            inside = [boxes(e) if ok else [] for (_, e, _), ok in zip(found, kept, strict=True)]
+            sizes = [text.count(" ") + 1 if ok else 0 for (text, _, _), ok in zip(found, kept, strict=True)]
+            held = Counter[tuple]()
+            for kinds, n in zip(inside, sizes, strict=True):
+                held.update(dict.fromkeys(kinds, n))
+            # a kind that holds over half of the text never goes: were it all repeats, this would be a copy
+            small = {x for x, n in held.items() if 2 * n <= sum(sizes)}
+            return [(text, ok, [x for x in kinds if x in small]) for (text, _, _), ok, kinds in zip(found, kept, inside, strict=True)], True
+    return [(text, ok and share <= LINK_SHARE, []) for (text, _, share), ok in zip(found, stays, strict=True)], False
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,22 +283,27 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def _windows(ids: np.ndarray) -> np.ndarray:
-    """A hash for each MIN_TOKENS tokens in a row."""
-    return ngrams(ids, MIN_TOKENS)
+def windows(streams: list[list[str]], min_tokens: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all streams' tokens and the stream of each; and of every min_tokens tokens in a row of one stream: where they begin, and a hash."""
+    sizes = np.array([len(s) for s in streams], np.int64)
+    tokens = token_hashes([t for s in streams for t in s])
+    stream = np.repeat(np.arange(len(streams)), sizes)
+    w = ngrams(tokens, min_tokens)
+    at = np.flatnonzero(stream[: len(w)] == stream[len(tokens) - len(w) :])
+    return tokens, stream, at, w[at].view(np.int64)
 
 
-def boilerplate(streams: list[list[str]], shared: list[np.ndarray], min_tokens: int = MIN_TOKENS) -> list[np.ndarray]:
-    """For each page, which of its tokens lie in a substring of min_tokens or more of which its host shares every window; `shared` has those windows of each page."""
-    tokens = [token_hashes(stream) for stream in streams]
-    sizes = np.array([len(s) for s in streams])
+def boilerplate(streams: list[list[str]], shared: np.ndarray, min_tokens: int = MIN_TOKENS) -> list[np.ndarray]:
+    """For each stream, which of its tokens lie in a substring of min_tokens or more of which the host shares every window; `shared` has those windows."""
+    tokens, stream, at, w = windows(streams, min_tokens)
+    sizes = np.bincount(stream, minlength=len(streams))
     begin = np.cumsum(sizes + 1) - (sizes + 1)
-    flat = np.empty(int(sizes.sum()) + len(sizes), np.uint64)
+    place = np.arange(len(tokens)) + stream
+    flat = np.empty(len(tokens) + len(streams), np.uint64)
+    flat[place] = tokens
+    flat[begin + sizes] = mix(np.arange(len(streams), dtype=np.uint64) ^ np.uint64(0xE7037ED1A0B428DB))  # ends differ, so that no match goes over one
     often = np.zeros(len(flat), bool)
-    for k, (a, t) in enumerate(zip(begin, tokens, strict=True)):
-        flat[a : a + len(t)] = t
-        flat[a + len(t)] = mix(np.array([k], np.uint64) ^ np.uint64(0xE7037ED1A0B428DB))[0]  # ends differ, so that no match goes over one
-        often[a : a + max(0, len(t) - min_tokens + 1)] = np.isin(ngrams(t, min_tokens).view(np.int64), shared[k])
+    often[place[at]] = np.isin(w, shared)
     order, common = suffix_array(flat)
     gone = np.zeros(len(flat) + 1, np.int64)
     # runs of sorted suffixes that agree in min_tokens tokens or more are the places of one substring
@@ -287,61 +323,56 @@ def token_hashes(stream: list[str]) -> np.ndarray:
     return segment_hashes(np.frombuffer(b"".join(data), np.uint8), end - size, end)
 
 
-def _stream(text: str) -> list[str]:
-    return [t for block in text.split("\n") for t in block.split(" ") if t]
+def _streams(found: list[tuple[str, bool, list[tuple]]], sure: bool) -> tuple[list[str], list[str]]:
+    """The tokens of a page's kept blocks, if repeats may go from them, and those of its other blocks."""
+    may_go = not sure or any(boxes for _, _, boxes in found)
+    return [t for text, kept, _ in found if kept and may_go for t in text.split(" ")], [t for text, kept, _ in found if not kept for t in text.split(" ")]
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [blocks(x.as_py()) for x in batch.column(2)]
-        sure = [ok or not found for found, ok in got]
-        text = ["\n".join(found) for found, _ in got]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(sure, pa.bool_())], ["page_id", "url", "text", "sure"])
+def _without(found: list[tuple[str, bool, list[tuple]]], sure: bool, gone: np.ndarray) -> str:
+    """The text of the kept blocks without repeats; `gone` tells the tokens that are."""
+    kept = [(text, boxes) for text, ok, boxes in found if ok]
+    if not gone.any() or sure and 2 * gone.sum() > len(gone):
+        return "\n".join(text for text, _ in kept)
+    tokens = [text.split(" ") for text, _ in kept]
+    marks = np.split(gone, np.cumsum([len(x) for x in tokens])[:-1])
+    if not sure:
+        left = [" ".join(t for t, g in zip(x, m, strict=True) if not g) for x, m in zip(tokens, marks, strict=True)]
+        return "\n".join(x for x in left if x)
+    own = {box for (_, boxes), m in zip(kept, marks, strict=True) if not m.all() for box in boxes}
+    return "\n".join(text for text, boxes in kept if own.issuperset(boxes))
 
 
 def _page_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(_windows(token_hashes(_stream(x.as_py())))) for x in batch.column(1)]
-        at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-        windows = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(windows), batch.column(2).take(at), batch.column(3).take(at)], ["host", "w", "page_id", "row"])
-
-
-def _clean(table: pa.Table) -> pa.Table:
-    rows = table.select(["page_id", "url", "text", "shared"]).to_pylist()
-    streams = [[(k, t) for k, block in enumerate(r["text"].split("\n")) for t in block.split(" ")] for r in rows]
-    texts = []
-    for stream, gone in zip(streams, boilerplate([[t for _, t in s] for s in streams], [np.array(r["shared"] or [], np.int64) for r in rows]), strict=True):
-        kept: dict[int, list[str]] = {}
-        for (k, t), g in zip(stream, gone, strict=True):
-            if not g:
-                kept.setdefault(k, []).append(t)
-        texts.append("\n".join(" ".join(v) for v in kept.values()))
-    return pa.table({"page_id": pa.array([r["page_id"] for r in rows], pa.int64()), "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string())})
-
-
-def without_host_boilerplate(unsure: DataFrame) -> DataFrame:
-    """(page_id, url, text) of pages(page_id, url, text) without what MIN_PAGES pages of their host share."""
-    host = F.coalesce(F.regexp_extract("url", r"^\w+://([^/?#]+)", 1), F.lit(""))
-    unsure = materialise(unsure.select("page_id", "url", "text", host.alias("host"), F.expr("uuid()").alias("row")))
-    windows = materialise(unsure.select("host", "text", "page_id", "row").mapInArrow(_page_windows, "host string, w long, page_id long, row string"))
-    # pages are told apart by page_id where there is one; two steps, so that no window's pages meet in one task
-    each = windows.select("host", "w", F.coalesce(F.col("page_id").cast("string"), "row").alias("page")).distinct()
-    often = each.groupBy("host", "w").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", "w")
-    shared = windows.join(often, ["host", "w"]).groupBy("row").agg(F.collect_list("w").alias("shared"))
-    arrays = unsure.groupBy("host").agg(F.ceil(F.count("*") / PAGES).alias("arrays"))
-    dealt = unsure.join(shared, "row", "left").join(arrays, "host").withColumn("part", F.pmod(F.xxhash64("row"), F.col("arrays")))
-    return dealt.groupBy("host", "part").applyInArrow(_clean, "page_id long, url string, text string")
+        streams = [s for x in batch.column(3) for s in _streams(*sections(x.as_py()))]
+        _, stream, at, w = windows(streams)
+        row = pa.array(stream[at] // 2)
+        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(row) for k in range(3)], pa.array(w)], ["host", "part", "page", "w"])
+
+
+def _extract(pages: pa.Table, shared: pa.Table) -> pa.Table:
+    found = [sections(x.as_py()) for x in pages["html"]]
+    gone = boilerplate([s for x in found for s in _streams(*x)], shared["w"].to_numpy())
+    texts = [_without(*x, g) for x, g in zip(found, gone[::2], strict=True)]
+    return pa.table({"page_id": pages["page_id"], "url": pages["url"], "text": pa.array(texts, pa.string())})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = pages.mapInArrow(_parse, "page_id long, url string, text string, sure boolean")
-    unsure = materialise(parsed.where("NOT sure").select("page_id", "url", "text"))
-    out = parsed.where("sure").select("page_id", "url", "text")
-    if not unsure.isEmpty():
-        out = out.union(without_host_boilerplate(unsure))
+    pages = pages.withColumn("host", F.coalesce(F.regexp_extract("url", r"^\w+://([^/?#]+)", 1), F.lit("")))
+    contents = F.concat(F.lit("#"), F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))), 256))
+    pages = pages.withColumn("page", F.coalesce(F.col("page_id").cast("string"), contents))
+    # hosts of more than one array; fewer than 1 / PAGES of the pages
+    large = pages.groupBy("host").agg(F.ceil(F.count("*") / PAGES).alias("arrays")).where("arrays > 1")
+    dealt = pages.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("page"), F.coalesce("arrays", F.lit(1))))
+    # a page is in one part only, so that counts of parts add up; one shuffle serves the distinct pages and their counts
+    each = dealt.select("host", "part", "page", "html").mapInArrow(_page_windows, "host string, part long, page string, w long")
+    counts = each.repartition("host", "part", "w").distinct().groupBy("host", "part", "w").agg(F.count("*").alias("pages"))
+    often = counts.withColumn("pages", F.sum("pages").over(Window.partitionBy("host", "w"))).where(F.col("pages") >= MIN_PAGES)
+    sides = [x.groupBy("host", "part") for x in (dealt.select("host", "part", "page_id", "url", "html"), often.select("host", "part", "w"))]
+    out = sides[0].cogroup(sides[1]).applyInArrow(_extract, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -552,6 +552,64 @@ def test_html_hosts_of_any_size(spark, pages):
     assert all(30 < len(want[i].split()) <= 39 for i in want)  # each common passage went, the rare notices too
 
 
+def test_html_repeats_in_articles(spark):
+    """The host's suffix array judges what is in boxes of articles, on pages with articles too."""
+    line, other = "Read our weekly letter every Friday morning free", "This common line ends all texts of ours"
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(30))
+    page = lambda k, more, outside="": f"<body>{outside}<article><h1>Head {k}</h1><p>{own(k)}</p>{more}</article></body>"
+    text = lambda k, *more: "\n".join([f"Head {k}", own(k), *more])
+    rows, want = [], {}
+
+    def add(host, html, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}.example.com/{len(rows)}", html))
+
+    for k in range(3):
+        add("a", page(k, f'<div class="box7"><p>{line}</p></div><p>{other}</p>'), text(k, other))  # a box goes, prose stays
+        add("plain", page(k, f"<div>{line}</div>"), text(k, line))  # no kind of its own
+        add("style", page(k, f'<div id="p1" class="para">{line}</div><div class="para" id="p2">more {own(k + 9)}</div>'), text(k, line, f"more {own(k + 9)}"))  # a kind that holds own text
+        add("copies", page(7, f'<div class="box7">{line}</div>'), text(7, line))
+        add("wrap", f'<article><div class="body">{page(k, f"<div class=box7>{line}</div>")[15:-17]}</div></article>', text(k))  # a box of the whole text stays
+        add("two", page(k, "") + f"<article>{line} {other} {line}</article>", text(k))  # one article of several
+        add("far", page(k, f'<div class="box7">{line}</div>') if k == 2 else page(k, "", f"<aside>{line}</aside>"), text(k))  # elsewhere it is in sidebars
+    for k in range(2):
+        add("b", page(k, f'<div class="box7">{line}</div>'), text(k, line))  # two pages only
+    add("b", rows[-1][2], want[len(rows) - 1])
+    rows[-1] = (rows[-2][0], *rows[-1][1:])  # one page by page_id
+    got = collections.Counter((r.page_id, r.text) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == collections.Counter((rows[k][0], x) for k, x in want.items())
+
+
+@pytest.mark.parametrize("pages", [512, 7])
+def test_html_boxes_by_brute_force(spark, monkeypatch, pages):
+    monkeypatch.setattr(html_text, "PAGES", pages)
+    r = random.Random(8)
+    lines = [[r.choice(VOCABULARY[:60]) + str(r.randrange(40)) for _ in range(r.randrange(5, 14))] for _ in range(12)]
+    fresh = lambda: [f"{r.choice(VOCABULARY[:60])}{r.randrange(10**6)}" for _ in range(r.randrange(3, 25))]
+    rows, shapes = [], {}
+    for i in range(90):
+        host = r.choice("abbbccccc")
+        parts = [(r.choice(["", "x", "y", "z"]), r.choice(lines) if r.random() < 0.4 else fresh()) for _ in range(r.randrange(1, 6))]
+        nav = r.choice(lines)
+        body = "".join(f'<div class="{c}">{" ".join(w)}</div>' if c else f"<p>{' '.join(w)}</p>" for c, w in parts)
+        rows.append((i, f"https://{host}.example.com/{i}?q", f"<nav>{' '.join(nav)}</nav><article>{body}</article>"))
+        kept = [t for _, w in parts for t in w] if any(c for c, _ in parts) else []
+        shapes[i] = host, parts, kept, nav
+    six = lambda w: [tuple(w[k : k + 6]) for k in range(len(w) - 5)]
+    count = collections.Counter((host, x) for host, _, kept, nav in shapes.values() for x in {*six(kept), *six(nav)})
+    want = {}
+    for i, (host, parts, kept, _) in shapes.items():
+        gone = {j for k, x in enumerate(six(kept)) if count[host, x] >= 3 for j in range(k, k + 6)}
+        at, own = 0, {""}
+        for c, w in parts:
+            if not gone.issuperset(range(at, at + len(w))):
+                own.add(c)
+            at += len(w)
+        want[i] = "\n".join(" ".join(w) for c, w in parts if c in own or 2 * len(gone) > len(kept))
+    assert {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+    assert sum(want[i] != "\n".join(" ".join(w) for _, w in shapes[i][1]) for i in want) > 9
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
