@@ -92,3 +92,14 @@ def test_blocks_of_products_give_the_best_of_all_pairs(spark, monkeypatch):
         want = {tuple(x) for x in R.top_k(R.cosine(v, q), k).select("query_id", "id", "score", "rank").collect()}
         assert {tuple(x) for x in V.cosine_top_k(v, q, k).select("query_id", "id", "score", "rank").collect()} == want
     assert V.cosine_top_k(v, q.where("query_id < 0"), 3).count() == V.cosine_top_k(v.where("id < 0"), q, 3).count() == 0
+
+
+def test_products_within_a_window_of_dates(spark, monkeypatch):
+    monkeypatch.setattr(V, "ELEMENTS", 64)
+    r = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, x, f"2024-01-{i % 28 + 1:02d}" if i % 9 else None) for i, x in enumerate(r.integers(-2, 3, (120, 4)).astype(float).tolist())], "id long, v array<double>, event_date string")
+    q = v.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.lit("2024-01-04").alias("date_from"), F.when(F.col("id") % 2 == 0, "2024-01-15").otherwise("2024-01-05").alias("date_to"))
+    every = R.cosine(v, q).join(q, "query_id").join(v.select("id", "event_date"), "id").where("event_date >= date_from AND event_date < date_to")
+    for k in (1, 7, 200):
+        want = {tuple(x) for x in R.top_k(every.select("query_id", "id", "score"), k).select("query_id", "id", "score", "rank").collect()}
+        assert want and {tuple(x) for x in V.cosine_top_k(v, q, k, True).select("query_id", "id", "score", "rank").collect()} == want
