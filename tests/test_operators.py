@@ -307,3 +307,30 @@ def test_a_piece_costs_one_look_up_whatever_the_hits(spark):
     found = people.link_mentions(units, d, spark.createDataFrame([], "evidence_id long, subject_id string"))
     assert {tuple(r) for r in found.collect()} == {(u, x) for u in range(4) for x in names[u:]}
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answer_has_the_windows_of_whole_documents(spark, monkeypatch):
+    """It looks at neighbourhoods of hits only: places, ends of documents and sentences that go on are those of the whole document."""
+    said = ["and so", "It ends.", "but then we", "yes", "a longer turn that says what it wants to say and goes on", "so on, and", "Fine by me, let us go there at once with all the others."]
+    rows = [(1000 * d + i, f"d{d}", "EMAIL" if d == 2 else "TRANSCRIPT", 3 * i, [None, "a", "b"][(i * 5 + d) % 3], said[(i * i + d * i) % 7]) for d in range(3) for i in range([1, 90, 200][d])]
+    units = spark.createDataFrame(rows, "id long, document_id string, document_type string, unit_index long, speaker_sender string, raw_text string").repartition(3).cache()
+    hits = [(q, 1000 * d + i, r, 1.0 / r) for q in range(4) for r, (d, i) in enumerate([(0, 0), (1, q), (1, 89 - q), (1, 40 + 3 * q), (2, 0), (2, 199 - q), (2, 100 + q), (1, 20 + q), (1, 60), (1, 70)], 1)]
+    fused = spark.createDataFrame(hits, "query_id long, id long, rank int, score double")
+    questions = spark.createDataFrame([(q, q % 2 == 0) for q in range(4)], "query_id long, wide boolean")
+    looked_at, windows = [], R.continued_windows
+    monkeypatch.setattr(R, "continued_windows", lambda u: looked_at.append(u.groupBy("document_id").count().agg(F.max("count")).first()[0]) or windows(u))
+    got = R.answer(fused, fused.where("rank < 3"), units, questions)
+    assert looked_at == [2 * R.REACH + 1]
+    places = {r.id: (r.document_id, n) for d in ("d0", "d1", "d2") for n, r in enumerate(sorted((x for x in units.collect() if x.document_id == d), key=lambda x: x.unit_index), 1)}
+    whole = {(r.document_id, r.unit_index): (r.lo, r.hi) for r in windows(units).collect()}
+    by_place, index = {p: i for i, p in places.items()}, {r[0]: r[3] for r in rows}
+    want = {}
+    for q, i, r, _ in hits:
+        if r <= (12 if q % 2 == 0 else 8):
+            d, _ = places[i]
+            lo, hi = whole[d, index[i]]
+            for n in range(lo, hi + 1):
+                want[q, by_place[d, n]] = want.get((q, by_place[d, n]), 0) + 1
+    found = got.collect()
+    assert {(r.query_id, r.id): r.n_windows for r in found if r.n_windows} == want
+    assert max(want.values()) > 1 and all(sorted(r.place for r in found if r.query_id == q) == list(range(1, 1 + sum(r.query_id == q for r in found))) for q in range(4))
