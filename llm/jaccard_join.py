@@ -51,8 +51,8 @@ class Rule(NamedTuple):
 
 
 RULE = Rule()
-#: Sets that may meet on one shingle and be paired there.
-CAP = 48
+#: Sets that may meet on one shingle and be paired there; pairs that a task has in memory at once.
+CAP, PAIRS = 48, 1 << 18
 #: One document in SAMPLE is looked at for frequent shingles: at most MAX_FREQUENT of those in FREQUENT of them or more.
 SAMPLE, FREQUENT, MAX_FREQUENT = 16, 1 / 2000, 1 << 18
 #: Shingles from which on a class is large; the sizes of a level of classes differ by the power LEVEL of what linked sets may differ by.
@@ -164,12 +164,14 @@ def _pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
         a, n, hot = (who.flatten().field(c).to_numpy() for c in ("a", "n", "hot"))
         for k in np.unique(size):
             i, j = np.triu_indices(k, 1)
-            at = begin[size == k][:, None]
-            x, y = (at + i).ravel(), (at + j).ravel()
-            fine = rule.percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])
-            x, y = x[fine], y[fine]
-            need = np.minimum(1 + slack(np.minimum(n[x], n[y])), least_common(np.maximum(n[x], n[y]), rule)) - np.minimum(hot[x], hot[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], a[y])), pa.array(np.maximum(a[x], a[y])), pa.array(need)], ["x", "y", "need"])
+            same = begin[size == k]
+            step = max(1, PAIRS // max(1, len(i)))
+            for at in range(0, len(same), step):
+                x, y = ((same[at : at + step, None] + side).ravel() for side in (i, j))
+                fine = rule.percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])
+                x, y = x[fine], y[fine]
+                need = np.minimum(1 + slack(np.minimum(n[x], n[y])), least_common(np.maximum(n[x], n[y]), rule)) - np.minimum(hot[x], hot[y])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], a[y])), pa.array(np.maximum(a[x], a[y])), pa.array(need)], ["x", "y", "need"])
 
 
 def most_apart(n, rule: Rule):
@@ -257,8 +259,10 @@ def forest(first: np.ndarray, g: np.ndarray, n: np.ndarray, queries: np.ndarray
         if not n[q] or not other.any():
             continue
         mine = item[first[q] : first[q] + n[q]]
-        size = often[mine]
-        common = np.bincount(holders[np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=k)
+        common = np.zeros(k, np.int64)
+        for part in np.array_split(mine, 1 + int(often[mine].sum()) // PAIRS):
+            size = often[part]
+            common += np.bincount(holders[np.repeat(begin[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=k)
         union = n + n[q] - common
         if base is None:
             base = 1 - common / np.maximum(union, 1)

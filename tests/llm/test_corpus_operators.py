@@ -204,6 +204,19 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert got == sorted(f"Row(doc_id={a}, component_id={b})" for a, b in [(1, 1), (1, 1), (2, 1), (3, 3), (None, 1), (None, 4), (4, 4), (None, None), (3, 1)])
 
 
+def test_jaccard_pairs_leave_in_bounded_batches(monkeypatch):
+    """Whatever the groups of a batch: 10,000 groups of 48 sets gave one batch of 11,280,000 pairs."""
+    sizes = [2, 48, 48, 3, 1, 48, 7, 48]
+    rows = [[{"a": 100 * g + i, "n": 90 + i % 5, "hot": 0} for i in range(k)] for g, k in enumerate(sizes)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("n", pa.int64()), ("hot", pa.int64())])))], ["who"])
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1200, raising=False)
+    out = list(jaccard_join._pairs(iter([batch]), jaccard_join.RULE))
+    want = {(100 * g + i, 100 * g + j) for g, k in enumerate(sizes) for j in range(k) for i in range(j)}
+    found = [(x, y) for b in out for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert len(found) == len(want) and set(found) == want
+    assert max(b.num_rows for b in out) <= 1200
+
+
 @pytest.mark.parametrize("shingle, percent", [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_linked_sets_share_a_class(shingle, percent):
     rule = jaccard_join.Rule(shingle, percent)
